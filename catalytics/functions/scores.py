@@ -1,8 +1,8 @@
 """Demand features, scores, levels and labels as column expressions.
 
 Every function returns a ``Column`` built from built-in functions, so it stays
-inside whole-stage codegen.  Rounding is Spark's ``round`` (half up on the
-decimal value); the README lists where this differs from half-even rounding.
+inside whole-stage codegen.  Computed doubles are rounded with ``round_half``
+(binary value, half up); exact DECIMAL means use ``round``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,18 @@ REORDER_BOUGHT = 100
 BESTSELLER_STARS = 4.5            # synthesized isBestSeller = stars > 4.5
 
 
+def round_half(c, digits: int = 0) -> Column:
+    """Round a double half up on its binary value: floor(x * 10^d + 0.5) / 10^d.
+
+    Spark's ``round`` rounds the shortest decimal string of the double
+    (32.925 -> 32.93), while the reference (Python/pandas) and most engines
+    round the binary value (32.925 is 32.92499.. -> 32.92).  This form is
+    built from exact IEEE steps, so any engine evaluates it identically.
+    """
+    m = float(10 ** digits)
+    return F.floor(col_(c) * m + 0.5) / m
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -59,7 +71,7 @@ def composite(sn, bn, bsn, pn) -> Column:
 
 
 def demand_score(sn, bn, bsn, pn) -> Column:
-    return F.round(composite(sn, bn, bsn, pn), 2)
+    return round_half(composite(sn, bn, bsn, pn), 2)
 
 
 def demand_level(score="demand_score") -> Column:
@@ -81,7 +93,7 @@ def confidence(score="demand_score", divisor: float = 100.0, floor_zero: bool =
     c = F.least(F.lit(CONFIDENCE_CAP), (col_(score) / divisor) * 95.0)
     if floor_zero:
         c = F.greatest(F.lit(0.0), c)
-    return F.round(c, 1)
+    return round_half(c, 1)
 
 
 def clipped_score(stars, bought, bs, price) -> Column:
@@ -97,14 +109,14 @@ def clipped_score(stars, bought, bs, price) -> Column:
                 clip((1.0 - (col_(price) - F.col("price_min"))
                       / (F.col("price_max") - F.col("price_min"))) * 100.0)
                 ).otherwise(F.lit(50.0))
-    return F.round(clip((sn + bn + bsn + pn) * 0.25), 2)
+    return round_half(clip((sn + bn + bsn + pn) * 0.25), 2)
 
 
 def quick_score(stars="stars", bought="boughtInLastMonth", bs="isBestSeller") -> Column:
     """Listing score used by the product list and lookup (no price term)."""
-    return F.round(col_(stars) * 0.25 * 25.0
-                   + F.least(col_(bought) / 10.0, F.lit(25.0))
-                   + F.when(col_(bs), F.lit(25.0)).otherwise(F.lit(0.0)), 2)
+    return round_half(col_(stars) * 0.25 * 25.0
+                      + F.least(col_(bought) / 10.0, F.lit(25.0))
+                      + F.when(col_(bs), F.lit(25.0)).otherwise(F.lit(0.0)), 2)
 
 
 def seller_panel_score(stars_num, bought_int) -> Column:

@@ -35,8 +35,8 @@ def stats(scored: DataFrame) -> DataFrame:
         S.exact_avg("price").alias("avg_price"),
         S.exact_avg("stars").alias("avg_stars"),
         S.exact_avg("demand_score").alias("avg_demand_score"),
-        F.round(F.min("price"), 2).alias("price_min"),
-        F.round(F.max("price"), 2).alias("price_max"))
+        S.round_half(F.min("price"), 2).alias("price_min"),
+        S.round_half(F.max("price"), 2).alias("price_max"))
 
 
 def summary(scored: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def trend_recommendation(trend_rows: DataFrame) -> DataFrame:
     """
     r = trend_rows.withColumn("composite", F.col("avg_demand_score") * 0.7 + F.col("total_bought") * 0.0003)
     top1 = (r.orderBy(F.col("composite").desc(), F.col("avg_demand_score").desc(), F.col("category").asc())
-             .limit(1).select(F.col("category").alias("recommended"), F.round("composite", 4).alias("composite")))
+             .limit(1).select(F.col("category").alias("recommended"), S.round_half("composite", 4).alias("composite")))
     top5 = (r.orderBy(F.col("avg_demand_score").desc(), F.col("category").asc()).limit(5)
              .agg(F.sort_array(F.collect_list(F.struct((-F.col("avg_demand_score")).alias("k"),
                                                        F.col("category").alias("category")))).alias("s"))
@@ -108,7 +108,7 @@ def category_distribution(scored: DataFrame, top: int = 12) -> DataFrame:
     return (g.orderBy(F.col("count").desc(), F.col(CAT).asc()).limit(top)
              .crossJoin(F.broadcast(total))
              .select(F.col(CAT).alias("category"), "count",
-                     F.round(F.col("count") / F.col("total") * 100, 1).alias("share_pct")))
+                     S.round_half(F.col("count") / F.col("total") * 100, 1).alias("share_pct")))
 
 
 def category_distribution_summary(scored: DataFrame, top: int = 12) -> DataFrame:
@@ -121,8 +121,8 @@ def category_distribution_summary(scored: DataFrame, top: int = 12) -> DataFrame
     totals = g.agg(F.sum("count").alias("total"), F.count("*").alias("distinct_categories"))
     return (leader.crossJoin(top_agg).crossJoin(totals)
                   .select("leader", "leader_count",
-                          F.round(F.col("leader_count") / F.col("total") * 100, 1).alias("leader_pct"),
-                          F.round(F.col("top_count") / F.col("total") * 100, 1).alias("top_share_pct"),
+                          S.round_half(F.col("leader_count") / F.col("total") * 100, 1).alias("leader_pct"),
+                          S.round_half(F.col("top_count") / F.col("total") * 100, 1).alias("top_share_pct"),
                           "distinct_categories"))
 
 
@@ -157,11 +157,11 @@ def price_distribution(scored: DataFrame, top: int = 10, exact: bool = True,
         F.min("price").alias("min"), q.alias("q"), F.max("price").alias("max"),
         S.exact_avg("price").alias("mean"), F.count("price").alias("count"))
     return (g.select(F.col(CAT).alias("category"),
-                     F.round("min", 2).alias("min"),
-                     F.round(F.col("q")[0], 2).alias("q1"),
-                     F.round(F.col("q")[1], 2).alias("median"),
-                     F.round(F.col("q")[2], 2).alias("q3"),
-                     F.round("max", 2).alias("max"), "mean", "count",
+                     S.round_half("min", 2).alias("min"),
+                     S.round_half(F.col("q")[0], 2).alias("q1"),
+                     S.round_half(F.col("q")[1], 2).alias("median"),
+                     S.round_half(F.col("q")[2], 2).alias("q3"),
+                     S.round_half("max", 2).alias("max"), "mean", "count",
                      F.col("q")[1].alias("_median_raw"))
              .orderBy(F.col("_median_raw").desc(), F.col("category").asc())
              .drop("_median_raw"))
@@ -176,7 +176,7 @@ def demand_mix(scored: DataFrame) -> DataFrame:
         F.col("demand_level").alias("level"), "ord", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("count"))
     total = j.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
     return (j.crossJoin(F.broadcast(total))
-             .select("level", "count", F.round(F.col("count") / F.col("total") * 100, 1).alias("pct"), "ord")
+             .select("level", "count", S.round_half(F.col("count") / F.col("total") * 100, 1).alias("pct"), "ord")
              .orderBy("ord").drop("ord"))
 
 
@@ -209,7 +209,7 @@ def correlation_matrix(scored: DataFrame) -> DataFrame:
             else:
                 v = F.col(f"c{min(i, j)}{max(i, j)}")
             entries.append(F.struct(F.lit(la).alias("row_label"), F.lit(lb).alias("col_label"),
-                                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(v, 3).alias("r")))
+                                    F.lit(i).alias("i"), F.lit(j).alias("j"), S.round_half(v, 3).alias("r")))
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
@@ -228,7 +228,7 @@ def price_rating_corr(scored: DataFrame) -> DataFrame:
     return (scored.agg(F.corr("price", "stars").alias("corr"),
                        F.count_if(F.col("stars") >= 4.5).alias("high_rated"),
                        F.count("*").alias("total"))
-                  .select(F.round("corr", 3).alias("corr"), bucket.alias("bucket"), "high_rated", "total"))
+                  .select(S.round_half("corr", 3).alias("corr"), bucket.alias("bucket"), "high_rated", "total"))
 
 
 def inventory_metrics(scored: DataFrame, limit: int = 30) -> DataFrame:
@@ -260,9 +260,9 @@ def category_stats(scored: DataFrame) -> DataFrame:
         S.exact_avg("demand_score").alias("avg_demand_score"),
         F.sum("boughtInLastMonth").alias("total_bought"),
         _int_sum("isBestSeller").alias("best_sellers"),
-        F.round(F.min("price"), 2).alias("price_min"),
-        F.round(F.max("price"), 2).alias("price_max"),
-        F.round(F.max("demand_score"), 2).alias("max_demand_score"),
+        S.round_half(F.min("price"), 2).alias("price_min"),
+        S.round_half(F.max("price"), 2).alias("price_max"),
+        S.round_half(F.max("demand_score"), 2).alias("max_demand_score"),
         F.count_if(F.col("demand_score") >= 60).alias("high_demand_count"),
         F.count_if((F.col("demand_score") >= 35) & (F.col("demand_score") < 60)).alias("medium_demand_count"),
         F.count_if(F.col("demand_score") < 35).alias("low_demand_count"),
@@ -384,9 +384,9 @@ def monthly_insights(monthly: DataFrame) -> DataFrame:
         F.sum("units").alias("total_units"),
     ).select(
         "peak_month", "peak_units", "first_units", "last_units",
-        F.round((F.col("last_units") - F.col("first_units"))
+        S.round_half((F.col("last_units") - F.col("first_units"))
                 / F.greatest(F.col("first_units"), F.lit(1)) * 100, 1).alias("growth_pct"),
-        F.round(F.col("q4_units") / F.col("total_units") * 100, 1).alias("q4_share_pct"))
+        S.round_half(F.col("q4_units") / F.col("total_units") * 100, 1).alias("q4_share_pct"))
 
 
 # The seasonal weights of the monthly trend, Jan..Dec.
@@ -403,11 +403,11 @@ def seasonal_allocation(scored: DataFrame) -> DataFrame:
     total = scored.agg(F.coalesce(F.sum("boughtInLastMonth"), F.lit(0).cast("bigint")).alias("total_units"))
     return (F.broadcast(dim).crossJoin(total)
              .select("month_no", "month",
-                     F.round(F.col("total_units") * (F.col("weight") / total_w)).cast("bigint").alias("units")))
+                     S.round_half(F.col("total_units") * (F.col("weight") / total_w), 0).cast("bigint").alias("units")))
 
 
 def order_totals(orders: DataFrame) -> DataFrame:
     """Items, subtotal, shipping (50 for express), total per order."""
     return orders.select("order_id", F.size("items").alias("items"),
-                         F.round("subtotal", 2).alias("subtotal"), "shipping",
-                         F.round("total", 2).alias("total"), "delivery_speed")
+                         S.round_half("subtotal", 2).alias("subtotal"), "shipping",
+                         S.round_half("total", 2).alias("total"), "delivery_speed")

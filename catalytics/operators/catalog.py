@@ -38,7 +38,7 @@ def normalize(df: DataFrame, stats: DataFrame, round_norms: bool = True,
     sn, bn, bsn, pn = (S.stars_norm(), S.bought_norm(), S.bs_norm(), S.price_norm())
     out = j.select(*df.columns,
                    S.demand_score(sn, bn, bsn, pn).alias("demand_score"),
-                   *[(F.round(c, 4) if round_norms else c).alias(n)
+                   *[(S.round_half(c, 4) if round_norms else c).alias(n)
                      for c, n in zip((sn, bn, bsn, pn), NORM_COLUMNS)])
     if level:
         out = out.withColumn("demand_level", S.demand_level())

@@ -140,7 +140,7 @@ def demand_lookup(scored: DataFrame, catalog: DataFrame, listings: DataFrame, ke
     lst = lst.select("asin", "title", "demand_score", S.demand_level().alias("demand_level"),
                      S.confidence(floor_zero=True).alias("confidence_score"), "stars",
                      F.col("boughtInLastMonth").alias("bought_last_month"), F.lit(True).alias("is_user_product"))
-    cat = scored.select("asin", "title", F.round("demand_score", 2).alias("demand_score"),
+    cat = scored.select("asin", "title", S.round_half("demand_score", 2).alias("demand_score"),
                         S.demand_level().alias("demand_level"), S.confidence().alias("confidence_score"),
                         "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
                         F.lit(False).alias("is_user_product"))
@@ -221,7 +221,7 @@ def user_orders(orders: DataFrame, email: str) -> DataFrame:
     """One user's orders, newest first, with the count on each row."""
     mine = orders.where(F.col("user_email") == email.lower())
     n = mine.agg(F.count("*").alias("count"))
-    return (mine.select("order_id", "created_at", F.size("items").alias("items"), F.round("total", 2).alias("total"),
+    return (mine.select("order_id", "created_at", F.size("items").alias("items"), S.round_half("total", 2).alias("total"),
                         "status")
                 .crossJoin(F.broadcast(n))
                 .orderBy(F.col("created_at").desc(), F.col("order_id").desc()))

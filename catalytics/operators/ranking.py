@@ -158,9 +158,9 @@ def predictions(scored: DataFrame, limit: int = 50, category: str | None = None,
     """Top N by score (optional category), then the level filter AFTER the limit."""
     base = scored if not category else scored.where(F.col(CAT) == category)
     top = base.orderBy(F.col("demand_score").desc(), F.col("asin").asc()).limit(limit)
-    out = top.select("asin", "title", F.col(CAT).alias("category"), F.round("price", 2).alias("price"),
+    out = top.select("asin", "title", F.col(CAT).alias("category"), S.round_half("price", 2).alias("price"),
                      "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
-                     F.round("demand_score", 2).alias("demand_score"),
+                     S.round_half("demand_score", 2).alias("demand_score"),
                      S.demand_level().alias("demand_level"),
                      S.confidence().alias("confidence"),
                      F.col("isBestSeller").alias("is_best_seller"))
@@ -171,18 +171,18 @@ def reorder_alerts(scored: DataFrame, limit: int = 30) -> DataFrame:
     """T4: low score and low sales, lowest score first."""
     return (scored.where(reorder_predicate())
                   .orderBy(F.col("demand_score").asc(), F.col("asin").asc()).limit(limit)
-                  .select("asin", "title", F.col(CAT).alias("category"), F.round("price", 2).alias("price"),
+                  .select("asin", "title", F.col(CAT).alias("category"), S.round_half("price", 2).alias("price"),
                           "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
-                          F.round("demand_score", 2).alias("demand_score"),
+                          S.round_half("demand_score", 2).alias("demand_score"),
                           F.lit("Low").alias("demand_level"), F.lit("Reorder Recommended").alias("alert")))
 
 
 def top_movers(scored: DataFrame, limit: int = 30) -> DataFrame:
     """T5: most units sold."""
     return (scored.orderBy(F.col("boughtInLastMonth").desc(), F.col("asin").asc()).limit(limit)
-                  .select("asin", "title", F.col(CAT).alias("category"), F.round("price", 2).alias("price"),
+                  .select("asin", "title", F.col(CAT).alias("category"), S.round_half("price", 2).alias("price"),
                           "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
-                          F.round("demand_score", 2).alias("demand_score"),
+                          S.round_half("demand_score", 2).alias("demand_score"),
                           S.demand_level().alias("demand_level"),
                           F.col("isBestSeller").alias("is_best_seller")))
 
@@ -192,9 +192,9 @@ def category_top(scored: DataFrame, k: int = 10) -> DataFrame:
     """Top k by score within every category."""
     t = top_per_group(scored.where(F.col(CAT).isNotNull()), CAT,
                       [F.col("demand_score").desc(), F.col("asin").asc()], k)
-    return t.select(F.col(CAT).alias("category"), "rank", "asin", "title", F.round("price", 2).alias("price"),
+    return t.select(F.col(CAT).alias("category"), "rank", "asin", "title", S.round_half("price", 2).alias("price"),
                     "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
-                    F.round("demand_score", 2).alias("demand_score"), S.demand_level().alias("demand_level"),
+                    S.round_half("demand_score", 2).alias("demand_score"), S.demand_level().alias("demand_level"),
                     S.confidence(divisor=200.0).alias("confidence"), F.col("isBestSeller").alias("is_best_seller"))
 
 
@@ -202,9 +202,9 @@ def category_bottom(scored: DataFrame, k: int = 5) -> DataFrame:
     """Bottom k by score within every category (reorder candidates)."""
     t = top_per_group(scored.where(F.col(CAT).isNotNull()), CAT,
                       [F.col("demand_score").asc(), F.col("asin").asc()], k)
-    return t.select(F.col(CAT).alias("category"), "rank", "asin", "title", F.round("price", 2).alias("price"),
+    return t.select(F.col(CAT).alias("category"), "rank", "asin", "title", S.round_half("price", 2).alias("price"),
                     "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
-                    F.round("demand_score", 2).alias("demand_score"), S.demand_level().alias("demand_level"))
+                    S.round_half("demand_score", 2).alias("demand_score"), S.demand_level().alias("demand_level"))
 
 
 def category_bought_top(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -212,7 +212,7 @@ def category_bought_top(scored: DataFrame, k: int = 10) -> DataFrame:
     t = top_per_group(scored.where(F.col(CAT).isNotNull()), CAT,
                       [F.col("boughtInLastMonth").desc(), F.col("asin").asc()], k)
     return t.select(F.col(CAT).alias("category"), "rank", F.substring("title", 1, 30).alias("title"),
-                    F.col("boughtInLastMonth").alias("bought"), F.round("demand_score", 2).alias("score"))
+                    F.col("boughtInLastMonth").alias("bought"), S.round_half("demand_score", 2).alias("score"))
 
 
 # ---------------------------------------------------------------- T8..T11

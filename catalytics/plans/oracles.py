@@ -44,8 +44,8 @@ _LEVEL = "CASE WHEN demand_score >= 60 THEN 'High' WHEN demand_score >= 35 THEN
 
 _CTE["scored"] = _feat("catalog", "feat") + f""",
 scored0 AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller,
-   round(sn*0.25{D} + bn*0.25{D} + bsn*0.25{D} + pn*0.25{D}, 2) AS demand_score,
-   round(sn, 4) AS stars_norm, round(bn, 4) AS bought_norm, round(bsn, 4) AS bs_norm, round(pn, 4) AS price_norm
+   rnd(sn*0.25{D} + bn*0.25{D} + bsn*0.25{D} + pn*0.25{D}, 2) AS demand_score,
+   rnd(sn, 4) AS stars_norm, rnd(bn, 4) AS bought_norm, rnd(bsn, 4) AS bs_norm, rnd(pn, 4) AS price_norm
  FROM feat),
 scored AS (SELECT *, {_LEVEL} AS demand_level FROM scored0)"""
 
@@ -131,7 +131,7 @@ def _with(extra: str, body: str, *needs: str) -> str:
 
 
 _SCORE_COLS = "asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller"
-_LQUICK = (f"round(stars*0.25{D}*25.0{D} + least(boughtInLastMonth / 10.0{D}, 25.0{D}) "
+_LQUICK = (f"rnd(stars*0.25{D}*25.0{D} + least(boughtInLastMonth / 10.0{D}, 25.0{D}) "
            f"+ CASE WHEN isBestSeller THEN 25.0{D} ELSE 0.0{D} END, 2)")
 _UNION = f"""lunion AS (
   SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, {_LQUICK} AS demand_score,
@@ -156,7 +156,7 @@ lookup AS (
   FROM (SELECT DISTINCT asin FROM cart_items) k LEFT JOIN lfirst l ON l.asin = k.asin LEFT JOIN scored c ON c.asin = k.asin
   WHERE l.asin IS NOT NULL OR c.asin IS NOT NULL)"""
 
-_CONF = "round(least(95.0::DOUBLE, (demand_score / 100.0::DOUBLE) * 95.0::DOUBLE), 1)"
+_CONF = "rnd(least(95.0::DOUBLE, (demand_score / 100.0::DOUBLE) * 95.0::DOUBLE), 1)"
 
 ORACLES: dict[str, str] = {}
 O = ORACLES
@@ -169,7 +169,7 @@ O["demand_level"] = sql("SELECT asin, demand_score, demand_level FROM scored", "
 O["stats"] = sql(f"""SELECT count(*) AS total_products, count(DISTINCT categoryName) AS total_categories,
   coalesce(CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT), 0) AS best_sellers,
   {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, {ex_avg('demand_score')} AS avg_demand_score,
-  round(min(price), 2) AS price_min, round(max(price), 2) AS price_max FROM scored""", "scored")
+  rnd(min(price), 2) AS price_min, rnd(max(price), 2) AS price_max FROM scored""", "scored")
 
 O["summary"] = sql(f"""SELECT count(*) AS total_products, count(DISTINCT categoryName) AS total_categories,
   coalesce(CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT), 0) AS best_sellers,
@@ -184,7 +184,7 @@ O["trend_cards"] = _with(_TRENDS, f"""SELECT count_if(trend = 'Surging') AS surg
 
 O["trend_recommendation"] = _with(_TRENDS + f""",
 comp AS (SELECT *, avg_demand_score * 0.7{D} + total_bought * 0.0003{D} AS composite FROM trends),
-top1 AS (SELECT category AS recommended, round(composite, 4) AS composite FROM comp
+top1 AS (SELECT category AS recommended, rnd(composite, 4) AS composite FROM comp
          ORDER BY composite DESC, avg_demand_score DESC, category LIMIT 1),
 top5 AS (SELECT string_agg(category, ', ' ORDER BY avg_demand_score DESC, category) AS top5
          FROM (SELECT * FROM comp ORDER BY avg_demand_score DESC, category LIMIT 5))""",
@@ -195,10 +195,10 @@ cc_total AS (SELECT sum(count) AS total, count(*) AS distinct_categories FROM cc
 cc_top AS (SELECT * FROM cc ORDER BY count DESC, categoryName LIMIT 12)"""
 
 O["category_distribution"] = _with(_CATCOUNT, """SELECT categoryName AS category, count,
-  round(count / total * 100, 1) AS share_pct FROM cc_top, cc_total""", "scored")
+  rnd(count / total * 100, 1) AS share_pct FROM cc_top, cc_total""", "scored")
 
 O["category_distribution_summary"] = _with(_CATCOUNT, """SELECT l.categoryName AS leader, l.count AS leader_count,
-  round(l.count / total * 100, 1) AS leader_pct, round(t.top_count / total * 100, 1) AS top_share_pct,
+  rnd(l.count / total * 100, 1) AS leader_pct, rnd(t.top_count / total * 100, 1) AS top_share_pct,
   distinct_categories
   FROM (SELECT * FROM cc_top ORDER BY count DESC, categoryName LIMIT 1) l,
        (SELECT sum(count) AS top_count FROM cc_top) t, cc_total""", "scored")
@@ -222,14 +222,14 @@ qv AS (SELECT p.categoryName, p.qi,
        FROM pos p JOIN rk lo ON lo.categoryName = p.categoryName AND lo.r = floor(p.position)
                   JOIN rk hi ON hi.categoryName = p.categoryName AND hi.r = ceil(p.position)),
 agg AS (SELECT categoryName, min(price) AS mn, max(price) AS mx, {ex_avg('price')} AS mean, count(price) AS count
-        FROM sub GROUP BY 1)""", """SELECT a.categoryName AS category, round(mn, 2) AS min,
-  round(q1.v, 2) AS q1, round(q2.v, 2) AS median, round(q3.v, 2) AS q3, round(mx, 2) AS max, mean, count
+        FROM sub GROUP BY 1)""", """SELECT a.categoryName AS category, rnd(mn, 2) AS min,
+  rnd(q1.v, 2) AS q1, rnd(q2.v, 2) AS median, rnd(q3.v, 2) AS q3, rnd(mx, 2) AS max, mean, count
   FROM agg a JOIN qv q1 ON q1.categoryName = a.categoryName AND q1.qi = 1
              JOIN qv q2 ON q2.categoryName = a.categoryName AND q2.qi = 2
              JOIN qv q3 ON q3.categoryName = a.categoryName AND q3.qi = 3""", "scored")
 
 O["demand_mix"] = sql("""SELECT lv.level, coalesce(cnt, 0) AS count,
-  round(coalesce(cnt, 0) / greatest((SELECT count(*) FROM scored), 1) * 100, 1) AS pct
+  rnd(coalesce(cnt, 0) / greatest((SELECT count(*) FROM scored), 1) * 100, 1) AS pct
   FROM (VALUES ('High', 0), ('Medium', 1), ('Low', 2)) lv(level, ord)
   LEFT JOIN (SELECT demand_level, count(*) AS cnt FROM scored GROUP BY 1) c ON c.demand_level = lv.level""", "scored")
 
@@ -247,14 +247,15 @@ def _corr_rows(offdiag_only: bool) -> str:
             if offdiag_only and not i < j:
                 continue
             v = "1.0::DOUBLE" if i == j else f"corr(CAST({_CORR_COLS[min(i,j)][0]} AS DOUBLE), CAST({_CORR_COLS[max(i,j)][0]} AS DOUBLE))"
-            rows.append(f"SELECT '{la}' AS row_label, '{lb}' AS col_label, round({v}, 3) AS r FROM scored")
+            src = "" if i == j else " FROM scored"
+            rows.append(f"SELECT '{la}' AS row_label, '{lb}' AS col_label, rnd({v}, 3) AS r{src}")
     return "\nUNION ALL\n".join(rows)
 
 
 O["correlation_matrix"] = sql(_corr_rows(False), "scored")
 O["correlation_pairs"] = sql(f"SELECT *, abs(r) AS abs_r FROM ({_corr_rows(True)})", "scored")
 
-O["price_rating_corr"] = sql("""SELECT round(c, 3) AS corr,
+O["price_rating_corr"] = sql("""SELECT rnd(c, 3) AS corr,
   CASE WHEN c >= 0.6 THEN 'strong positive' WHEN c >= 0.3 THEN 'moderate positive' WHEN c > 0 THEN 'weak positive'
        WHEN c > -0.3 THEN 'weak negative' WHEN c > -0.6 THEN 'moderate negative' ELSE 'strong negative' END AS bucket,
   high_rated, total
@@ -275,8 +276,8 @@ O["inventory_categories"] = _with(_ROLLUP, """SELECT categoryName AS category, p
 O["category_stats"] = sql(f"""SELECT categoryName AS category, count(*) AS product_count,
   {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, {ex_avg('demand_score')} AS avg_demand_score,
   sum(boughtInLastMonth) AS total_bought, CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers,
-  round(min(price), 2) AS price_min, round(max(price), 2) AS price_max,
-  round(max(demand_score), 2) AS max_demand_score,
+  rnd(min(price), 2) AS price_min, rnd(max(price), 2) AS price_max,
+  rnd(max(demand_score), 2) AS max_demand_score,
   count_if(demand_score >= 60) AS high_demand_count,
   count_if(demand_score >= 35 AND demand_score < 60) AS medium_demand_count,
   count_if(demand_score < 35) AS low_demand_count
@@ -295,8 +296,8 @@ O["stars_histogram"] = sql("""SELECT c.categoryName AS category, CAST(s.s AS INT
   (SELECT count(*) FROM scored x WHERE x.categoryName = c.categoryName AND x.stars >= s.s AND x.stars < s.s + 1) AS count
   FROM (SELECT DISTINCT categoryName FROM scored WHERE categoryName IS NOT NULL) c, range(1, 6) s(s)""", "scored")
 
-_PRED = f"""pred AS (SELECT asin, title, categoryName AS category, round(price, 2) AS price, stars,
-    boughtInLastMonth AS bought_last_month, round(demand_score, 2) AS demand_score, demand_level,
+_PRED = f"""pred AS (SELECT asin, title, categoryName AS category, rnd(price, 2) AS price, stars,
+    boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level,
     {_CONF} AS confidence, isBestSeller AS is_best_seller
   FROM scored ORDER BY demand_score DESC, asin LIMIT 50)"""
 
@@ -315,19 +316,19 @@ m2 AS (SELECT *, CAST(substr(month, 6, 2) AS INTEGER) AS mon, CAST(substr(month,
                  + CAST(substr(month, 6, 2) AS INTEGER) AS month_key FROM m)
 SELECT arg_max(month, (units, -month_key)) AS peak_month, max(units) AS peak_units,
   arg_min(units, month) AS first_units, arg_max(units, month) AS last_units,
-  round((arg_max(units, month) - arg_min(units, month)) / greatest(arg_min(units, month), 1) * 100, 1) AS growth_pct,
-  round(sum(CASE WHEN mon >= 10 THEN units ELSE 0 END) / sum(units) * 100, 1) AS q4_share_pct
+  rnd((arg_max(units, month) - arg_min(units, month)) / greatest(arg_min(units, month), 1) * 100, 1) AS growth_pct,
+  rnd(sum(CASE WHEN mon >= 10 THEN units ELSE 0 END) / sum(units) * 100, 1) AS q4_share_pct
 FROM m2"""
 
 O["seasonal_allocation"] = sql(f"""SELECT month_no, month,
-  CAST(round(t * (w / {_W_TOTAL!r}{D})) AS BIGINT) AS units
+  CAST(rnd(t * (w / {_W_TOTAL!r}{D}), 0) AS BIGINT) AS units
   FROM (VALUES (1,'Jan',0.78{D}),(2,'Feb',0.82{D}),(3,'Mar',0.92{D}),(4,'Apr',0.97{D}),(5,'May',1.02{D}),
                (6,'Jun',1.04{D}),(7,'Jul',1.03{D}),(8,'Aug',1.06{D}),(9,'Sep',1.08{D}),(10,'Oct',1.18{D}),
                (11,'Nov',1.32{D}),(12,'Dec',1.42{D})) v(month_no, month, w),
        (SELECT coalesce(sum(boughtInLastMonth), 0) AS t FROM scored)""", "scored")
 
-O["order_totals"] = sql("""SELECT order_id, n_items AS items, round(subtotal, 2) AS subtotal, shipping,
-  round(total, 2) AS total, delivery_speed FROM orders_doc""", "orders_doc")
+O["order_totals"] = sql("""SELECT order_id, n_items AS items, rnd(subtotal, 2) AS subtotal, shipping,
+  rnd(total, 2) AS total, delivery_speed FROM orders_doc""", "orders_doc")
 
 O["product_listing"] = _with(_UNION, """SELECT asin, title, categoryName, price, stars, boughtInLastMonth,
   isBestSeller, demand_score, is_user_product, image_filename, owner_email, description, added_on
@@ -340,29 +341,29 @@ O["recommended"] = sql(f"""SELECT {_SCORE_COLS}, demand_score FROM scored
   WHERE isBestSeller OR (SELECT count_if(isBestSeller) FROM scored) = 0
   ORDER BY demand_score DESC, asin LIMIT 10""", "scored")
 
-O["reorder_alerts"] = sql("""SELECT asin, title, categoryName AS category, round(price, 2) AS price, stars,
-  boughtInLastMonth AS bought_last_month, round(demand_score, 2) AS demand_score, 'Low' AS demand_level,
+O["reorder_alerts"] = sql("""SELECT asin, title, categoryName AS category, rnd(price, 2) AS price, stars,
+  boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, 'Low' AS demand_level,
   'Reorder Recommended' AS alert FROM scored WHERE demand_score < 35 AND boughtInLastMonth < 100
   ORDER BY demand_score, asin LIMIT 30""", "scored")
 
-O["top_movers"] = sql("""SELECT asin, title, categoryName AS category, round(price, 2) AS price, stars,
-  boughtInLastMonth AS bought_last_month, round(demand_score, 2) AS demand_score, demand_level,
+O["top_movers"] = sql("""SELECT asin, title, categoryName AS category, rnd(price, 2) AS price, stars,
+  boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level,
   isBestSeller AS is_best_seller FROM scored ORDER BY boughtInLastMonth DESC, asin LIMIT 30""", "scored")
 
-O["category_top"] = sql("""SELECT categoryName AS category, rank, asin, title, round(price, 2) AS price, stars,
-  boughtInLastMonth AS bought_last_month, round(demand_score, 2) AS demand_score, demand_level,
-  round(least(95.0::DOUBLE, (demand_score / 200.0::DOUBLE) * 95.0::DOUBLE), 1) AS confidence,
+O["category_top"] = sql("""SELECT categoryName AS category, rank, asin, title, rnd(price, 2) AS price, stars,
+  boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level,
+  rnd(least(95.0::DOUBLE, (demand_score / 200.0::DOUBLE) * 95.0::DOUBLE), 1) AS confidence,
   isBestSeller AS is_best_seller
   FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score DESC, asin) AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 10""", "scored")
 
-O["category_bottom"] = sql("""SELECT categoryName AS category, rank, asin, title, round(price, 2) AS price, stars,
-  boughtInLastMonth AS bought_last_month, round(demand_score, 2) AS demand_score, demand_level
+O["category_bottom"] = sql("""SELECT categoryName AS category, rank, asin, title, rnd(price, 2) AS price, stars,
+  boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level
   FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score ASC, asin) AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 5""", "scored")
 
 O["category_bought_top"] = sql("""SELECT categoryName AS category, rank, substr(title, 1, 30) AS title,
-  boughtInLastMonth AS bought, round(demand_score, 2) AS score
+  boughtInLastMonth AS bought, rnd(demand_score, 2) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY boughtInLastMonth DESC, asin) AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 10""", "scored")
 
@@ -386,7 +387,7 @@ O["next_ids"] = sql("""SELECT greatest(coalesce((SELECT max(asin) FROM catalog),
                                   coalesce((SELECT max(asin) FROM lview), 0)) + 1 AS next_asin,
   coalesce((SELECT max(id) FROM lview), 0) + 1 AS next_id""", "catalog", "listings")
 
-O["user_orders"] = sql("""SELECT order_id, created_at, n_items AS items, round(total, 2) AS total, 'confirmed' AS status,
+O["user_orders"] = sql("""SELECT order_id, created_at, n_items AS items, rnd(total, 2) AS total, 'confirmed' AS status,
   (SELECT count(*) FROM orders_doc WHERE user_email = 'customer#000000001') AS count
   FROM orders_doc WHERE user_email = 'customer#000000001'""", "orders_doc")
 
@@ -414,7 +415,7 @@ tfeat AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isB
           SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, sn, bn, bsn, pn,
                  true FROM lfeat),
 train0 AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller,
-   round(sn*0.25{D} + bn*0.25{D} + bsn*0.25{D} + pn*0.25{D}, 2) AS demand_score,
+   rnd(sn*0.25{D} + bn*0.25{D} + bsn*0.25{D} + pn*0.25{D}, 2) AS demand_score,
    sn AS stars_norm, bn AS bought_norm, bsn AS bs_norm, pn AS price_norm, is_user_product FROM tfeat),
 train AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, demand_score,
    {_LEVEL} AS demand_level, stars_norm, bought_norm, bs_norm, price_norm, is_user_product FROM train0)"""
@@ -425,7 +426,7 @@ O["product_lookup"] = _with(_LOOKUP, "SELECT * FROM lookup", "scored", "listings
 
 O["demand_lookup"] = _with(f"""lfirst AS (SELECT * FROM lview QUALIFY row_number() OVER (PARTITION BY asin ORDER BY id) = 1),
 lclip AS (SELECT l.asin, l.title, l.stars, l.boughtInLastMonth,
-   round(greatest(0.0{D}, least(100.0{D}, (
+   rnd(greatest(0.0{D}, least(100.0{D}, (
      greatest(0.0{D}, least(100.0{D}, ((l.stars - 1.0{D}) / 4.0{D}) * 100.0{D}))
      + CASE WHEN bought_max > 0 THEN greatest(0.0{D}, least(100.0{D}, (l.boughtInLastMonth / bought_max) * 100.0{D}))
             ELSE 0.0{D} END
@@ -435,11 +436,11 @@ lclip AS (SELECT l.asin, l.title, l.stars, l.boughtInLastMonth,
    ) * 0.25{D})), 2) AS demand_score
    FROM lfirst l, cstats),
 keys AS (SELECT DISTINCT asin FROM cart_items)""", f"""SELECT k.asin, title, demand_score, {_LEVEL} AS demand_level,
-  round(greatest(0.0{D}, least(95.0{D}, (demand_score / 100.0{D}) * 95.0{D})), 1) AS confidence_score, stars,
+  rnd(greatest(0.0{D}, least(95.0{D}, (demand_score / 100.0{D}) * 95.0{D})), 1) AS confidence_score, stars,
   boughtInLastMonth AS bought_last_month, true AS is_user_product
   FROM keys k JOIN lclip USING (asin)
 UNION ALL
-SELECT k.asin, title, round(demand_score, 2), demand_level, {_CONF}, stars, boughtInLastMonth, false
+SELECT k.asin, title, rnd(demand_score, 2), demand_level, {_CONF}, stars, boughtInLastMonth, false
   FROM keys k JOIN scored USING (asin) WHERE k.asin NOT IN (SELECT asin FROM lclip)""",
                             "scored", "listings", "carts")
 
@@ -462,3 +463,35 @@ O["listing_inserts"] = sql(f"""SELECT
   FROM part CROSS JOIN n_sup LEFT JOIN supplier ON s_suppkey = p_partkey % n_supp
        LEFT JOIN sold ON l_partkey = p_partkey
   WHERE p_partkey % 20 = 10""", "catalog", "listings")
+
+
+def expand_rnd(s: str) -> str:
+    """Expand rnd(expr, d) into floor((expr) * 1e{d} + 0.5) / 1e{d}, the
+    rounding the Spark side uses (catalytics.functions.scores.round_half)."""
+    out, i = [], 0
+    while True:
+        j = s.find("rnd(", i)
+        if j < 0 or (j > 0 and (s[j - 1].isalnum() or s[j - 1] == "_")):
+            if j < 0:
+                out.append(s[i:])
+                return "".join(out)
+            out.append(s[i:j + 4])
+            i = j + 4
+            continue
+        out.append(s[i:j])
+        k, depth = j + 4, 1
+        while depth:
+            depth += (s[k] == "(") - (s[k] == ")")
+            k += 1
+        inner = s[j + 4:k - 1]
+        depth, cut = 0, None
+        for pos, ch in enumerate(inner):
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 0:
+                cut = pos
+        expr, d = expand_rnd(inner[:cut]), int(inner[cut + 1:])
+        out.append(f"(floor(({expr}) * 1e{d} + 0.5) / 1e{d})")
+        i = k
+
+
+ORACLES.update({k: expand_rnd(v) for k, v in ORACLES.items()})
