@@ -465,6 +465,211 @@ O["listing_inserts"] = sql(f"""SELECT
   WHERE p_partkey % 20 = 10""", "catalog", "listings")
 
 
+# ---------------------------------------------------------------- sources, functions, sampling, ML, changes
+_CTE["users"] = """users0 AS (
+  SELECT c_custkey, lower(c_name) AS email, sha256(CAST(c_custkey AS VARCHAR)) AS password_hash, c_name AS name,
+         printf('+91 %05d %05d', (c_custkey * 7919) % 100000, c_custkey % 100000) AS phone,
+         c_mktsegment AS department, n_name AS city,
+         CASE WHEN c_custkey % 50 = 0 THEN 'Admin' ELSE 'Analyst' END AS role,
+         strftime(DATE '2024-01-01' + CAST(c_custkey % 365 AS INTEGER), '%Y-%m-%d') AS joined
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey),
+users AS (SELECT email, password_hash, name, phone, department, city, role, joined FROM users0)"""
+_CTE["train"] = _TRAIN
+_DEPS["users"] = []
+_DEPS["train"] = ["scored", "listings"]
+_CTE["balanced"] = """tcnt AS (SELECT demand_level, count(*) AS n FROM train GROUP BY 1),
+tmax AS (SELECT max(n) AS mx FROM tcnt),
+trk AS (SELECT t.*, row_number() OVER (PARTITION BY demand_level ORDER BY md5(CAST(asin AS VARCHAR)), asin) AS r
+        FROM train t),
+balanced AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, demand_score,
+                    demand_level, stars_norm, bought_norm, bs_norm, price_norm, is_user_product,
+                    unnest(generate_series(1, CAST(floor(mx / n) AS BIGINT) + CASE WHEN r <= mx % n THEN 1 ELSE 0 END))
+                      AS copy
+             FROM trk JOIN tcnt USING (demand_level) CROSS JOIN tmax)"""
+_DEPS["balanced"] = ["train"]
+_CTE["split"] = """scnt AS (SELECT demand_level, count(*) AS n FROM scored GROUP BY 1),
+split AS (SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY s.demand_level ORDER BY md5(CAST(asin AS VARCHAR)), asin)
+                              <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
+          FROM scored s JOIN scnt USING (demand_level)),
+enc AS (SELECT *, CAST(dense_rank() OVER (ORDER BY coalesce(categoryName, 'Unknown')) - 1 AS INTEGER) AS cat_enc,
+               CAST(dense_rank() OVER (ORDER BY demand_level) - 1 AS INTEGER) AS label FROM split)"""
+_DEPS["split"] = ["scored"]
+_CTE["purchases"] = """np AS (SELECT count(*) AS n_parts FROM part),
+purchases AS (SELECT event_id AS order_id, event_id % n_parts AS asin, CAST(user_id % 3 + 1 AS BIGINT) AS units, ts,
+                     printf('Customer#%09d', user_id) AS user_email, value AS amount
+              FROM events, np WHERE event_type = 'purchase')"""
+_DEPS["purchases"] = []
+_CTE["changes"] = """nl AS (SELECT count(*) AS n_listings FROM lview),
+clog AS (SELECT e.*, event_id % n_listings + 1 AS listing_id FROM events e, nl),
+clog2 AS (SELECT c.*, CASE WHEN user_id % 5 = 0 THEN 'intruder@example.com'
+                           WHEN user_id % 2 = 0 THEN upper(l.owner_email) ELSE l.owner_email END AS actor_email
+          FROM clog c LEFT JOIN lview l ON l.id = c.listing_id)"""
+_DEPS["changes"] = ["listings"]
+
+_LV12 = ("asin, id, owner_email, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, description, "
+         "image_filename, added_on")
+
+O["scan_catalog_documents"] = sql("""SELECT asin, title, categoryName, price, stars,
+  CAST(boughtInLastMonth AS INTEGER) AS boughtInLastMonth, isBestSeller FROM catalog""", "catalog")
+O["scan_with_fallback"] = sql("SELECT * FROM catalog", "catalog")
+O["normalize_raw_feed"] = "SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand AS categoryName FROM part"
+O["filter_excluded_terms"] = r"""SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand AS categoryName
+  FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND NOT regexp_matches(p_name, '\bbra\b', 'i')"""
+O["migrate_products_dedup"] = sql("""SELECT asin, title, categoryName, price, stars, boughtInLastMonth,
+  isBestSeller, demand_score, demand_level, stars_norm, bought_norm, bs_norm, price_norm, false AS is_user_product
+  FROM train""", "train")
+O["migrate_users_clean"] = sql("""SELECT * FROM (
+  SELECT lower(trim(CASE WHEN c_custkey % 17 = 0 THEN '  ' WHEN c_custkey % 3 = 0 THEN ' ' || upper(email) || ' '
+                    ELSE email END)) AS email,
+         password_hash, name, phone, department, city,
+         coalesce(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE role END, 'Analyst') AS role, joined
+  FROM users0) WHERE email IS NOT NULL AND email <> ''""", "users")
+O["asset_manifest"] = "SELECT p_partkey AS asin FROM part WHERE p_partkey % 7 <> 0"
+O["csv_to_json"] = sql("""SELECT to_json(struct_pack(asin := CAST(asin AS VARCHAR), id := CAST(id AS VARCHAR),
+  owner_email := owner_email, title := title, categoryName := categoryName, price := CAST(price AS VARCHAR),
+  stars := CAST(stars AS VARCHAR), boughtInLastMonth := CAST(boughtInLastMonth AS VARCHAR),
+  isBestSeller := CASE WHEN isBestSeller THEN 'TRUE' ELSE 'FALSE' END, description := description,
+  image_filename := image_filename, added_on := added_on))::VARCHAR AS json FROM lview""", "listings")
+O["collection_counts"] = sql("""SELECT 'products' AS collection, count(*) AS rows FROM catalog
+  UNION ALL SELECT 'users', count(*) FROM customer
+  UNION ALL SELECT 'user_products', count(*) FROM lview
+  UNION ALL SELECT 'orders', count(*) FROM orders_doc
+  UNION ALL SELECT 'gridfs_files', count(*) FROM part WHERE p_partkey % 7 <> 0""", "catalog", "listings", "orders_doc")
+O["dataset_info"] = sql("""SELECT demand_level, count(*) AS count, (SELECT count(*) FROM balanced) AS total_rows,
+  14 AS n_columns FROM balanced GROUP BY demand_level""", "balanced")
+O["balance_classes"] = sql("SELECT * FROM balanced", "balanced")
+O["write_training_csv"] = O["balance_classes"]
+O["class_distribution"] = sql("""SELECT 'before' AS stage, demand_level, count(*) AS count FROM train GROUP BY 2
+  UNION ALL SELECT 'after', demand_level, count(*) FROM balanced GROUP BY 2""", "balanced")
+
+O["demand_score_clipped"] = _with(f"""lc AS (SELECT l.asin,
+     greatest(0.0{D}, least(100.0{D}, ((l.stars - 1.0{D}) / 4.0{D}) * 100.0{D})) AS sn,
+     CASE WHEN bought_max > 0 THEN greatest(0.0{D}, least(100.0{D}, (l.boughtInLastMonth / bought_max) * 100.0{D}))
+          ELSE 0.0{D} END AS bn,
+     CASE WHEN l.isBestSeller THEN 100.0{D} ELSE 0.0{D} END AS bsn,
+     CASE WHEN price_max > price_min THEN greatest(0.0{D}, least(100.0{D},
+          (1.0{D} - (l.price - price_min) / (price_max - price_min)) * 100.0{D})) ELSE 50.0{D} END AS pn
+   FROM lview l, cstats)""", f"""SELECT asin, rnd(greatest(0.0{D}, least(100.0{D},
+     sn*0.25{D} + bn*0.25{D} + bsn*0.25{D} + pn*0.25{D})), 2) AS demand_score FROM lc""", "catalog", "listings")
+O["listing_quick_score"] = sql(f"SELECT asin, {_LQUICK} AS score FROM lview", "listings")
+O["seller_panel_score"] = sql(f"""SELECT asin, CAST(floor((stars / 5.0{D}) * 30.0{D}
+  + least(boughtInLastMonth / 1000.0{D}, 1.0{D}) * 40.0{D} + 10.0{D} + 0.5{D}) AS BIGINT) AS score FROM lview""",
+                              "listings")
+O["legacy_score"] = sql(f"SELECT asin, stars * 20.0{D} + boughtInLastMonth * 0.1{D} AS legacy_score FROM catalog",
+                        "catalog")
+O["confidence"] = sql(f"""SELECT asin, rnd(least(95.0{D}, (demand_score / 100.0{D}) * 95.0{D}), 1) AS confidence,
+  rnd(least(95.0{D}, (demand_score / 200.0{D}) * 95.0{D}), 1) AS confidence_category FROM scored""", "scored")
+O["trend_label"] = _with(_ROLLUP, f"SELECT categoryName AS category, avg_demand_score, {_TREND} AS trend FROM rollup",
+                         "scored")
+O["trend_label_legacy"] = _with(_ROLLUP, f"""SELECT categoryName AS category, avg_demand_score,
+  CASE WHEN avg_score_exact >= 150 THEN 'Surging' WHEN avg_score_exact >= 130 THEN 'Rising'
+       WHEN avg_score_exact >= 110 THEN 'Stable' ELSE 'Declining' END AS trend FROM rollup""", "scored")
+O["filter_search_regex"] = sql("SELECT asin, title FROM scored WHERE regexp_matches(title, '^(red|blue) ', 'i')",
+                               "scored")
+O["filter_search_literal"] = sql("SELECT asin, title FROM lview WHERE contains(lower(title), 'gizmo')", "listings")
+O["filter_equality"] = sql("""SELECT asin, categoryName, isBestSeller FROM scored
+  WHERE categoryName = 'Brand#1' AND isBestSeller""", "scored")
+O["filter_range"] = sql("""SELECT asin, price, stars FROM scored WHERE price >= 950.0 AND price <= 990.5
+  AND stars >= 3.5""", "scored")
+O["reorder_predicate"] = sql("""SELECT asin, demand_score, boughtInLastMonth FROM scored
+  WHERE demand_score < 35 AND boughtInLastMonth < 100""", "scored")
+O["skip_malformed_rows"] = sql("SELECT asin, price, stars, boughtInLastMonth FROM lview", "listings")
+O["safe_projection"] = sql("SELECT email, name, phone, department, city, role, joined FROM users", "users")
+O["title_truncate"] = sql("""SELECT asin, substr(title, 1, 45) AS title_45, substr(title, 1, 30) AS title_30
+  FROM catalog""", "catalog")
+
+O["scatter_sample"] = sql("""SELECT asin, rnd(price, 2) AS price, stars, categoryName AS category,
+  rnd(demand_score, 1) AS demand FROM scored ORDER BY md5(CAST(asin AS VARCHAR)), asin LIMIT 1200""", "scored")
+O["category_price_samples"] = _with(_KEEP, """SELECT categoryName AS category, asin, rnd(price, 2) AS price FROM (
+  SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY md5(CAST(asin AS VARCHAR)), asin) AS rk
+  FROM scored WHERE categoryName IN (SELECT categoryName FROM keep)) WHERE rk <= 400""", "scored")
+O["category_scatter"] = sql("""SELECT categoryName AS category, asin, rnd(price, 2) AS x, rnd(demand_score, 2) AS y,
+  substr(title, 1, 45) AS title FROM (
+  SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY md5(CAST(asin AS VARCHAR)), asin) AS rk
+  FROM scored WHERE categoryName IS NOT NULL) WHERE rk <= 300""", "scored")
+O["catalog_downsample"] = sql("""SELECT * FROM catalog ORDER BY md5(CAST(asin AS VARCHAR)), asin LIMIT 10000""",
+                              "catalog")
+O["stratified_split"] = sql("SELECT asin, demand_level, split FROM split", "split")
+O["label_encode"] = sql("SELECT asin, categoryName, cat_enc, demand_level, label FROM enc", "split")
+_ZF = ["stars_norm", "bought_norm", "bs_norm", "price_norm", "cat_enc"]
+O["standardize"] = sql("SELECT asin, split, " + ", ".join(
+    f"rnd(CASE WHEN s_{f} > 0 THEN ({f} - m_{f}) / s_{f} ELSE 0.0{D} END, 6) AS z_{f}" for f in _ZF)
+    + " FROM enc, (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in _ZF)
+    + " FROM enc WHERE split = 'train')", "split")
+O["quick_score_metrics"] = sql(f"""WITH pr AS (SELECT demand_level AS y,
+    CASE WHEN q >= 60 THEN 'High' WHEN q >= 35 THEN 'Medium' ELSE 'Low' END AS p
+    FROM (SELECT demand_level, {_LQUICK} AS q FROM scored)),
+  conf AS (SELECT y, p, count(*) AS n FROM pr GROUP BY 1, 2),
+  tot AS (SELECT sum(n) AS total, sum(CASE WHEN y = p THEN n END) AS correct FROM conf),
+  m AS (SELECT s.cls, s.support, coalesce(t.tp, 0) AS tp, coalesce(q.predicted, 0) AS predicted
+        FROM (SELECT y AS cls, sum(n) AS support FROM conf GROUP BY 1) s
+        LEFT JOIN (SELECT y AS cls, n AS tp FROM conf WHERE y = p) t USING (cls)
+        LEFT JOIN (SELECT p AS cls, sum(n) AS predicted FROM conf GROUP BY 1) q USING (cls)),
+  m2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0{D} END AS pr_,
+                CASE WHEN support > 0 THEN tp / support ELSE 0.0{D} END AS rc_ FROM m)
+  SELECT cls AS class, rnd(pr_ * 100, 1) AS precision, rnd(rc_ * 100, 1) AS recall,
+    rnd(CASE WHEN pr_ + rc_ > 0 THEN 2 * pr_ * rc_ / (pr_ + rc_) ELSE 0.0{D} END * 100, 1) AS f1_score,
+    CAST(support AS BIGINT) AS support, rnd(correct / total * 100, 2) AS accuracy FROM m2, tot""".replace(
+    "WITH pr AS", ", pr AS", 1), "scored").replace("\n, pr AS", ",\npr AS")
+O["seller_panel"] = sql(f"""SELECT owner_email, count(*) AS listings, count_if(ps >= 60) AS high_count,
+  CAST(floor(sum(ps) / count(*) + 0.5{D}) AS BIGINT) AS avg_score,
+  CAST(floor(sum(CAST(price AS DECIMAL(24,4))) / count(*)) AS BIGINT) AS avg_price
+  FROM (SELECT owner_email, price, CAST(floor((stars / 5.0{D}) * 30.0{D} + least(boughtInLastMonth / 1000.0{D}, 1.0{D})
+        * 40.0{D} + 10.0{D} + 0.5{D}) AS BIGINT) AS ps FROM lview) GROUP BY owner_email""", "listings")
+
+O["listing_updates"] = _with("""upd AS (SELECT listing_id AS id, lower(trim(actor_email)) AS own, ts,
+    value AS price,
+    CASE WHEN event_id % 4 = 0 THEN round(1.0::DOUBLE + (event_id % 41) / 10.0::DOUBLE, 1) END AS stars,
+    CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS description
+  FROM clog2 WHERE event_type = 'click'),
+red AS (SELECT id, own, arg_max(price, ts) FILTER (WHERE price IS NOT NULL) AS n_price,
+               arg_max(stars, ts) FILTER (WHERE stars IS NOT NULL) AS n_stars,
+               arg_max(description, ts) FILTER (WHERE description IS NOT NULL) AS n_desc, max(ts) AS mts
+        FROM upd GROUP BY 1, 2)""", """SELECT l.asin, l.id, l.owner_email, l.title, l.categoryName,
+  coalesce(n_price, l.price) AS price, coalesce(n_stars, l.stars) AS stars, l.boughtInLastMonth, l.isBestSeller,
+  coalesce(n_desc, l.description) AS description, l.image_filename, l.added_on,
+  strftime(mts, '%Y-%m-%d %H:%M') AS updated_on
+  FROM lview l LEFT JOIN red r ON r.id = l.id AND r.own = lower(trim(l.owner_email))""", "listings", "changes")
+O["listing_deletes"] = _with("""dels AS (SELECT DISTINCT listing_id AS id, lower(trim(actor_email)) AS own
+  FROM clog2 WHERE event_type = 'error')""", f"""SELECT {_LV12} FROM lview l
+  WHERE NOT EXISTS (SELECT 1 FROM dels d WHERE d.id = l.id AND d.own = lower(trim(l.owner_email)))""",
+                             "listings", "changes")
+O["seller_activity_merge"] = _with("""ups AS (SELECT listing_id AS id, lower(trim(actor_email)) AS own, ts,
+    printf('up_%d_%d.png', user_id, event_id) AS fn FROM clog2 WHERE event_type = 'view' AND user_id % 2 = 1),
+red AS (SELECT id, own, max(ts) AS mts, arg_max(fn, (ts, fn)) AS fn FROM ups GROUP BY 1, 2)""",
+                                   """SELECT l.asin, l.id, l.owner_email, coalesce(fn, l.image_filename) AS image_filename,
+  strftime(mts, '%Y-%m-%d %H:%M') AS updated_on
+  FROM lview l LEFT JOIN red r ON r.id = l.id AND r.own = lower(trim(l.owner_email))""", "listings", "changes")
+O["profile_updates"] = _with("""pu AS (SELECT printf('customer#%09d', user_id % (SELECT count(*) FROM customer)) AS em, ts,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+    WHERE event_type = 'view' AND user_id % 2 = 0),
+pu2 AS (SELECT em, ts, CASE WHEN k % 2 = 0 THEN printf('+91 %05d', k) END AS phone, printf('City-%d', k) AS city,
+               CASE WHEN k % 7 = 0 THEN 'Manager' END AS role FROM pu),
+red AS (SELECT em, arg_max(phone, ts) FILTER (WHERE phone IS NOT NULL) AS n_phone,
+               arg_max(city, ts) AS n_city, arg_max(role, ts) FILTER (WHERE role IS NOT NULL) AS n_role
+        FROM pu2 GROUP BY em)""", """SELECT email, name, coalesce(n_phone, phone) AS phone, department,
+  coalesce(n_city, city) AS city, coalesce(n_role, role) AS role, joined
+  FROM users LEFT JOIN red ON red.em = lower(trim(email))""", "users")
+_REG = """reg AS (SELECT event_id, ts, lower(trim(CASE WHEN user_id % 3 = 0
+             THEN printf('Customer#%09d', user_id % (SELECT count(*) FROM customer))
+             ELSE printf('New.User%d@Example.com', user_id) END)) AS email_norm,
+           printf('User %d', user_id) AS name FROM events WHERE event_type = 'signup')"""
+O["duplicate_registration"] = _with(_REG, """SELECT email_norm AS email, arg_min(name, (ts, event_id)) AS name,
+  arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS attempts, 'Analyst' AS role,
+  strftime(min(ts), '%Y-%m-%d') AS joined
+  FROM reg WHERE email_norm NOT IN (SELECT lower(trim(email)) FROM users) GROUP BY email_norm""", "users")
+O["registration_outcomes"] = _with(_REG + """,
+pe AS (SELECT email_norm, count(*) AS n, email_norm IN (SELECT lower(trim(email)) FROM users) AS known
+       FROM reg GROUP BY 1)""", """SELECT CAST(sum(CASE WHEN NOT known THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
+  CAST(sum(CASE WHEN NOT known THEN n - 1 ELSE 0 END) AS BIGINT) AS duplicate_in_batch,
+  CAST(sum(CASE WHEN known THEN n ELSE 0 END) AS BIGINT) AS already_registered FROM pe""", "users")
+O["order_ingest"] = sql("""SELECT order_id, lower(trim(user_email)) AS user_email, asin, units,
+  rnd(amount, 2) AS total, 'confirmed' AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at
+  FROM purchases""", "purchases")
+O["stream_units_tumbling"] = sql("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, asin,
+  sum(units) AS units, count(*) AS orders FROM purchases GROUP BY 1, 2""", "purchases")
+
+
 def expand_rnd(s: str) -> str:
     """Expand rnd(expr, d) into floor((expr) * 1e{d} + 0.5) / 1e{d}, the
     rounding the Spark side uses (catalytics.functions.scores.round_half)."""

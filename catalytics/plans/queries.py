@@ -16,6 +16,7 @@ from catalytics.operators import listings as L
 from catalytics.operators import ranking as R
 from catalytics.operators.catalog import catalog_stats, normalize, score_catalog
 from catalytics.sources import fixtures as X
+from catalytics.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +108,152 @@ QUERIES: dict[str, Query] = {
     "missing_assets": lambda s, d: L.missing_assets(scored(s, d), X.asset_manifest_rows(s, d)),
     "listing_inserts": lambda s, d: L.listing_inserts(catalog(s, d), listings(s, d), X.insert_batch(s, d)),
 }
+
+
+# ---------------------------------------------------------------- more sources, functions, ML, changes
+from catalytics.functions import predicates as P  # noqa: E402
+from catalytics.functions import scores as S  # noqa: E402
+from catalytics.operators import changes as C  # noqa: E402
+from catalytics.operators import ml as M  # noqa: E402
+from catalytics.operators import sampling as SM  # noqa: E402
+from catalytics.sources import readers as RD  # noqa: E402
+from catalytics.streaming import orders as ST  # noqa: E402
+
+REGEX_PATTERN = "^(red|blue) "
+LITERAL_WORD = "GIZMO"
+EQ_CATEGORY = "Brand#1"
+
+
+def raw_feed(spark, d):
+    """A raw product feed with the second set of source column names."""
+    p = read_table(spark, d, "part")
+    return p.select(F.col("p_name").alias("productDisplayName"), F.col("p_brand").alias("masterCategory"),
+                    F.format_string("%d.jpg", F.col("p_partkey")).alias("image"))
+
+
+def catalog_documents(spark, d):
+    """The catalog as loosely typed documents (numbers stored as strings, an _id)."""
+    c = catalog(spark, d)
+    return c.select(F.md5(F.col("asin").cast("string")).alias("_id"), F.col("asin").cast("string").alias("asin"),
+                    "title", "categoryName", F.col("price").cast("string").alias("price"),
+                    F.col("stars").cast("string").alias("stars"),
+                    F.col("boughtInLastMonth").cast("string").alias("boughtInLastMonth"), "isBestSeller")
+
+
+def training(spark, d):
+    return L.training_union(catalog(spark, d), listings(spark, d))
+
+
+def balanced(spark, d):
+    return SM.balance_classes(training(spark, d))
+
+
+def split_frame(spark, d):
+    return SM.model_frame(scored(spark, d))
+
+
+def standardized(spark, d):
+    z = SM.standardize(split_frame(spark, d))
+    return z.select("asin", "split", *[S.round_half(f"z_{f}", 6).alias(f"z_{f}") for f in SM.FEATURES])
+
+
+def write_training_csv(spark, d):
+    """Write the balanced set as CSV into the shared folder, read it back typed."""
+    from catalytics.session import scratch_path
+    from pyspark.sql import types as T
+    b = balanced(spark, d)
+    path = scratch_path(spark, "training-csv")
+    RD.write_table(b, path, fmt="csv")
+    return spark.read.schema(T._parse_datatype_string(", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                                                                 for f in b.schema.fields))) \
+                .option("header", True).csv(path)
+
+
+def purchases(spark, d):
+    return X.purchases_log(spark, d)
+
+
+def trend_labels(spark, d, cuts):
+    g = A.category_rollup(scored(spark, d))
+    return g.select(F.col("categoryName").alias("category"), "avg_demand_score",
+                    S.trend_label("avg_score_exact", cuts).alias("trend"))
+
+
+QUERIES.update({
+    # ---- sources and sinks
+    "scan_catalog_documents": lambda s, d: RD.documents_to_catalog(catalog_documents(s, d)),
+    "scan_with_fallback": lambda s, d: RD.with_fallback(catalog(s, d).where(F.col("asin") < 0),
+                                                        lambda: catalog(s, d)),
+    "normalize_raw_feed": lambda s, d: RD.normalize_raw_feed(raw_feed(s, d)),
+    "migrate_products_dedup": lambda s, d: RD.dedup_first(balanced(s, d), "asin", "copy")
+                                             .withColumn("is_user_product", F.lit(False)).drop("copy"),
+    "migrate_users_clean": lambda s, d: RD.clean_users(X.users_raw(s, d)),
+    "asset_manifest": lambda s, d: L.asset_asins(X.asset_manifest_rows(s, d)),
+    "write_training_csv": write_training_csv,
+    "csv_to_json": lambda s, d: RD.csv_records_as_json(listings(s, d)),
+    "collection_counts": lambda s, d: RD.collection_counts({
+        "products": catalog(s, d), "users": X.users(s, d), "user_products": L.listing_view(listings(s, d)),
+        "orders": X.orders(s, d), "gridfs_files": X.asset_manifest_rows(s, d)}),
+    "dataset_info": lambda s, d: RD.dataset_info(balanced(s, d).drop("copy")),
+    # ---- scalar functions and predicates
+    "demand_score_clipped": lambda s, d: M.listing_features(L.listing_view(listings(s, d)), catalog(s, d))
+                                           .select("asin", S.round_half(S.clip(S.composite(
+                                               "stars_norm", "bought_norm", "bs_norm", "price_norm")), 2)
+                                               .alias("demand_score")),
+    "listing_quick_score": lambda s, d: L.listing_view(listings(s, d)).select("asin", S.quick_score().alias("score")),
+    "seller_panel_score": lambda s, d: L.parse_listings(listings(s, d)).select(
+        "asin", S.seller_panel_score(P.js_parse_float("stars_raw"), P.js_parse_int("bought_raw")).alias("score")),
+    "legacy_score": lambda s, d: catalog(s, d).select("asin", S.legacy_score().alias("legacy_score")),
+    "confidence": lambda s, d: scored(s, d).select("asin", S.confidence().alias("confidence"),
+                                                   S.confidence(divisor=200.0).alias("confidence_category")),
+    "trend_label": lambda s, d: trend_labels(s, d, S.TREND_CUTS),
+    "trend_label_legacy": lambda s, d: trend_labels(s, d, S.TREND_CUTS_LEGACY),
+    "filter_search_regex": lambda s, d: scored(s, d).where(P.catalog_filter(search=REGEX_PATTERN))
+                                                    .select("asin", "title"),
+    "filter_search_literal": lambda s, d: L.listing_view(listings(s, d))
+                                           .where(P.catalog_filter(search=LITERAL_WORD, literal=True))
+                                           .select("asin", "title"),
+    "filter_equality": lambda s, d: scored(s, d).where(P.catalog_filter(category=EQ_CATEGORY, bestseller=True))
+                                                .select("asin", "categoryName", "isBestSeller"),
+    "filter_range": lambda s, d: scored(s, d).where(P.catalog_filter(min_price=950.0, max_price=990.5,
+                                                                     min_stars=3.5))
+                                             .select("asin", "price", "stars"),
+    "filter_excluded_terms": lambda s, d: P.excluded_terms(RD.normalize_raw_feed(raw_feed(s, d))),
+    "reorder_predicate": lambda s, d: scored(s, d).where(P.reorder_predicate())
+                                                  .select("asin", "demand_score", "boughtInLastMonth"),
+    "skip_malformed_rows": lambda s, d: L.listing_view(listings(s, d))
+                                         .select("asin", "price", "stars", "boughtInLastMonth"),
+    "safe_projection": lambda s, d: C.safe_projection(X.users(s, d)),
+    "title_truncate": lambda s, d: catalog(s, d).select("asin", F.substring("title", 1, 45).alias("title_45"),
+                                                        F.substring("title", 1, 30).alias("title_30")),
+    "synthesize_fields": lambda s, d: RD.synthesize_fields(RD.normalize_raw_feed(raw_feed(s, d))),
+    # ---- sampling and ML
+    "scatter_sample": lambda s, d: SM.scatter_sample(scored(s, d), 1200),
+    "category_price_samples": lambda s, d: SM.category_price_samples(scored(s, d), 10, 400),
+    "category_scatter": lambda s, d: SM.category_scatter(scored(s, d), 300),
+    "catalog_downsample": lambda s, d: SM.downsample(catalog(s, d), 10000),
+    "balance_classes": balanced,
+    "stratified_split": lambda s, d: split_frame(s, d).select("asin", "demand_level", "split"),
+    "label_encode": lambda s, d: SM.label_encode(scored(s, d)),
+    "standardize": standardized,
+    "class_distribution": lambda s, d: A.class_distribution(training(s, d), balanced(s, d)),
+    "quick_score_metrics": lambda s, d: M.quick_score_metrics(scored(s, d)),
+    "model_stats": lambda s, d: M.model_stats(scored(s, d), max_iter=60),
+    "predict_demand": lambda s, d: M.predict_demand(M.train_demand_model(scored(s, d), max_iter=60)[0],
+                                                    scored(s, d), catalog(s, d), L.listing_view(listings(s, d))),
+    "category_segments": lambda s, d: M.category_segments(scored(s, d)),
+    "segment_label_map": lambda s, d: M.category_segments(scored(s, d))
+                                        .groupBy("categoryName", "cluster", "segment").agg(F.count("*").alias("n")),
+    "segment_summary": lambda s, d: A.segment_summary(
+        M.category_segments(scored(s, d)).join(scored(s, d).drop("categoryName"), "asin")),
+    "seller_panel": lambda s, d: A.seller_panel(L.parse_listings(listings(s, d))),
+    # ---- change logs and streams (batch form)
+    "listing_updates": lambda s, d: C.listing_updates(listings(s, d), X.listing_updates_log(s, d)),
+    "listing_deletes": lambda s, d: C.listing_deletes(listings(s, d), X.listing_deletes_log(s, d)),
+    "profile_updates": lambda s, d: C.profile_updates(X.users(s, d), X.profile_updates_log(s, d)),
+    "duplicate_registration": lambda s, d: C.duplicate_registration(X.users(s, d), X.registrations_log(s, d)),
+    "registration_outcomes": lambda s, d: C.registration_outcomes(X.users(s, d), X.registrations_log(s, d)),
+    "seller_activity_merge": lambda s, d: C.seller_activity_merge(listings(s, d), X.image_uploads_log(s, d)),
+    "order_ingest": lambda s, d: ST.ingest_orders(purchases(s, d)).drop("ts"),
+    "stream_units_tumbling": lambda s, d: ST.units_per_day(purchases(s, d)),
+})

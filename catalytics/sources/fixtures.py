@@ -144,12 +144,12 @@ def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description")
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: user profiles from customer + nation (email = lower(c_name))."""
+def _users_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return (cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
-                .select(F.lower(F.col("c_name")).alias("email"),
+                .select("c_custkey",
+                        F.lower(F.col("c_name")).alias("email"),
                         F.sha2(F.col("c_custkey").cast("string"), 256).alias("password_hash"),
                         F.col("c_name").alias("name"),
                         F.format_string("+91 %05d %05d", (F.col("c_custkey") * 7919) % 100000,
@@ -157,15 +157,20 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("c_mktsegment").alias("department"),
                         F.col("n_name").alias("city"),
                         F.when(F.col("c_custkey") % 50 == 0, F.lit("Admin")).otherwise(F.lit("Analyst")).alias("role"),
-                        F.date_format(F.lit(dt.date(2024, 1, 1)) + (F.col("c_custkey") % 365).cast("int"),
+                        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 365).cast("int")),
                                       "yyyy-MM-dd").alias("joined")))
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: user profiles from customer + nation (email = lower(c_name))."""
+    return _users_keyed(spark, sf_dir).drop("c_custkey")
+
+
 def users_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as they arrive from the user CSV: untrimmed mixed-case emails,
     some blank, some without a role."""
-    u = users(spark, sf_dir)
-    key = F.conv(F.substring(F.sha2(F.col("email"), 256), 1, 4), 16, 10).cast("int")
+    u = _users_keyed(spark, sf_dir)
+    key = F.col("c_custkey")
     return u.select(
         F.when(key % 17 == 0, F.lit("  "))
          .when(key % 3 == 0, F.concat(F.lit(" "), F.upper(F.col("email")), F.lit(" ")))
