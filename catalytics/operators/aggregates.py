@@ -17,6 +17,12 @@ from catalytics.functions.predicates import reorder_predicate
 CAT = "categoryName"
 
 
+def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table built as JVM literals (no Python-side data transfer)."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _grouped(df: DataFrame) -> DataFrame:
     # pandas groupby drops null keys
     return df.where(F.col(CAT).isNotNull())
@@ -170,7 +176,7 @@ def price_distribution(scored: DataFrame, top: int = 10, exact: bool = True,
 def demand_mix(scored: DataFrame) -> DataFrame:
     """Count and % per level; all three levels always present."""
     spark = scored.sparkSession
-    dim = spark.createDataFrame([(lvl, i) for i, lvl in enumerate(S.LEVELS)], "demand_level string, ord int")
+    dim = literal_rows(spark, ["demand_level", "ord"], [(lvl, i) for i, lvl in enumerate(S.LEVELS)])
     counts = scored.groupBy("demand_level").agg(F.count("*").alias("cnt"))
     j = F.broadcast(dim).join(counts, "demand_level", "left").select(
         F.col("demand_level").alias("level"), "ord", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("count"))
@@ -398,8 +404,8 @@ def seasonal_allocation(scored: DataFrame) -> DataFrame:
     """The catalog's monthly units spread over 12 months by fixed weights."""
     spark = scored.sparkSession
     total_w = sum(SEASONAL_WEIGHTS)
-    dim = spark.createDataFrame([(i + 1, MONTH_NAMES[i], w) for i, w in enumerate(SEASONAL_WEIGHTS)],
-                                "month_no int, month string, weight double")
+    dim = literal_rows(spark, ["month_no", "month", "weight"],
+                       [(i + 1, MONTH_NAMES[i], float(w)) for i, w in enumerate(SEASONAL_WEIGHTS)])
     total = scored.agg(F.coalesce(F.sum("boughtInLastMonth"), F.lit(0).cast("bigint")).alias("total_units"))
     return (F.broadcast(dim).crossJoin(total)
              .select("month_no", "month",

@@ -119,23 +119,42 @@ def predict_demand(model, scored: DataFrame, catalog: DataFrame, listings_view:
 
 # ---------------------------------------------------------------- M12, J9, A17
 def _assign(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """Nearest center per point (ties: lower cluster id)."""
-    cs = centers.groupBy(CAT).agg(F.collect_list(F.struct("cid", "cx", "cy")).alias("cs"))
+    """Nearest center per point (ties: lower cluster id).  ``centers`` has one
+    row per category with its k centers as an array (k x #categories values)."""
     d = F.transform("cs", lambda c: F.struct(((F.col("x") - c["cx"]) ** 2 + (F.col("y") - c["cy"]) ** 2).alias("d"),
                                              c["cid"].alias("cid")))
-    return points.join(cs, CAT).withColumn("cid", F.array_min(d)["cid"]).drop("cs")
+    return points.join(F.broadcast(centers), CAT).withColumn("cid", F.array_min(d)["cid"]).drop("cs")
 
 
-def category_segments(scored: DataFrame, k: int = 3, iterations: int = 12) -> DataFrame:
+CENTERS_TYPE = "array<struct<categoryName:string,cs:array<struct<cid:int,cx:double,cy:double>>>>"
+
+
+def _centers_df(spark, centers: list[tuple]) -> DataFrame:
+    """The small center table as one JSON literal (a single JVM call)."""
+    import json
+    by_cat: dict = {}
+    for c, i, x, y in centers:
+        by_cat.setdefault(c, []).append({"cid": int(i), "cx": float(x), "cy": float(y)})
+    js = json.dumps([{"categoryName": c, "cs": v} for c, v in by_cat.items()])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(js), CENTERS_TYPE)))
+
+
+def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
     """KMeans on per-category standardized (price, demand_score), every
     category at once; k = min(3, distinct points).  Then J9 maps clusters to
     Hot/Warm/Cold by descending mean score.
 
-    Initial centers are the first k distinct points in md5 order (a
-    deterministic stand-in for random/k-means++ seeding).  The point table is
-    checkpointed once (shared checkpoint dir) and the small center table every
-    iteration, so lineage stays short and a lost executor recomputes little.
+    The point table is checkpointed once to the shared checkpoint folder.
+    Each Lloyd step is one job: nearest center per point (centers joined as
+    a per-category array), then per-(category, cluster) means as a partial
+    aggregate.  Only the centers (k x #categories rows, like MLlib's KMeans)
+    come back to the driver, which cuts lineage and stops early once the
+    largest squared center move is <= ``tol``.  Seeds are deterministic:
+    x = 0 and y at the (2i+1)/2k quantiles of the category's scores, so the
+    clusters start spread along demand; identical seeds collapse (k shrinks
+    when a category has fewer distinct scores).
     """
+    spark = scored.sparkSession
     pts = scored.where(F.col(CAT).isNotNull()).select("asin", CAT, "price", "demand_score")
     st = pts.groupBy(CAT).agg(F.avg("price").alias("mp"), F.stddev_pop("price").alias("sp"),
                               F.avg("demand_score").alias("ms"), F.stddev_pop("demand_score").alias("ss"))
@@ -145,16 +164,24 @@ def category_segments(scored: DataFrame, k: int = 3, iterations: int = 12) -> Da
                     F.when(F.col("ss") > 0, (F.col("demand_score") - F.col("ms")) / F.col("ss")).otherwise(0.0)
                     .alias("y"))
             .checkpoint())
-    distinct_pts = z.groupBy(CAT, "x", "y").agg(F.min("asin").alias("a"))
-    w = Window.partitionBy(CAT).orderBy(F.md5(F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string"))),
-                                        "a")
-    centers = (distinct_pts.withColumn("cid", F.row_number().over(w) - 1).where(F.col("cid") < k)
-               .select(CAT, "cid", F.col("x").alias("cx"), F.col("y").alias("cy"))).checkpoint()
-    for _ in range(iterations):
-        assigned = _assign(z, centers)
-        centers = (assigned.groupBy(CAT, "cid").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-                   .checkpoint())
-    final = _assign(z, centers)
+    qs = [(2 * i + 1) / (2 * k) for i in range(k)]
+    seeds = z.groupBy(CAT).agg(F.percentile_approx("y", qs, 10000).alias("q")).collect()
+    centers = []
+    for row in seeds:
+        seen = set()
+        for i, y in enumerate(row["q"]):
+            if y not in seen:
+                seen.add(y)
+                centers.append((row[CAT], i, 0.0, float(y)))
+    for _ in range(max_iter):
+        new = [tuple(r) for r in _assign(z, _centers_df(spark, centers)).groupBy(CAT, "cid")
+               .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()]
+        old = {(c, i): (x, y) for c, i, x, y in centers}
+        shift = max(((x - old[(c, i)][0]) ** 2 + (y - old[(c, i)][1]) ** 2 for c, i, x, y in new), default=0.0)
+        centers = new
+        if shift <= tol:
+            break
+    final = _assign(z, _centers_df(spark, centers))
     return label_segments(final)
 
 

@@ -242,31 +242,38 @@ def asset_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .select(F.format_string("images/%d.jpg", F.col("p_partkey")).alias("path")))
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F6 base: events with the listing they touch (id) and the acting owner.
+def listing_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, owner_email) of the F2 listings, without their sales columns."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") % LISTING_EVERY == 0)
+    sup, n = _supplier_owner(spark, sf_dir)
+    owned = part.crossJoin(F.broadcast(n)).withColumn("owner_key", F.col("p_partkey") % F.col("n_supp"))
+    return owned.join(sup, owned.owner_key == sup.s_suppkey, "left").select(
+        ((F.col("p_partkey") / LISTING_EVERY).cast("bigint") + 1).alias("lid"),
+        F.lower(F.col("s_name")).alias("owner_email"))
+
+
+def change_log(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """F6 base for one event type: events with the listing they touch (id)
+    and the acting owner.
 
-    click -> listing update (price = value), error -> delete, signup ->
-    registration, purchase -> order line for asin = event_id % count(part),
-    view -> profile update (even user) or image upload (odd user).
-    Every fifth acting user is not the owner, so the change must not apply.
+    click -> listing update (price = value), error -> delete, view -> image
+    upload (odd user).  Every fifth acting user is not the owner, so the
+    change must not apply; even users write the owner's email upper-cased.
     """
-    ev = read_table(spark, sf_dir, "events")
-    lst = listings_raw(spark, sf_dir).select(F.col("id").cast("bigint").alias("lid"), "owner_email")
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
+    lst = listing_owners(spark, sf_dir)
     n_lst = lst.agg(F.count("*").alias("n_listings"))
-    n_part = read_table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
-    e = (ev.crossJoin(F.broadcast(n_lst)).crossJoin(F.broadcast(n_part))
-           .withColumn("listing_id", F.col("event_id") % F.col("n_listings") + 1))
+    e = ev.crossJoin(F.broadcast(n_lst)).withColumn("listing_id", F.col("event_id") % F.col("n_listings") + 1)
     return (e.join(lst, e.listing_id == lst.lid, "left")
              .select("event_id", "ts", "user_id", "event_type", "value", "props", "listing_id",
                      F.when(F.col("user_id") % 5 == 0, F.lit("intruder@example.com"))
                       .when(F.col("user_id") % 2 == 0, F.upper(F.col("owner_email")))
-                      .otherwise(F.col("owner_email")).alias("actor_email"),
-                     (F.col("event_id") % F.col("n_parts")).alias("purchase_asin")))
+                      .otherwise(F.col("owner_email")).alias("actor_email")))
 
 
 def listing_updates_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update requests: (id, owner_email, ts) + nullable editable fields."""
-    c = change_log(spark, sf_dir).where(F.col("event_type") == "click")
+    c = change_log(spark, sf_dir, "click")
     return c.select(F.col("listing_id").alias("id"), F.col("actor_email").alias("owner_email"), "ts",
                     F.lit(None).cast("string").alias("title"),
                     F.lit(None).cast("string").alias("categoryName"),
@@ -280,7 +287,7 @@ def listing_updates_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_deletes_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = change_log(spark, sf_dir).where(F.col("event_type") == "error")
+    c = change_log(spark, sf_dir, "error")
     return c.select(F.col("listing_id").alias("id"), F.col("actor_email").alias("owner_email"), "ts")
 
 
@@ -312,15 +319,18 @@ def profile_updates_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_uploads_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = change_log(spark, sf_dir).where((F.col("event_type") == "view") & (F.col("user_id") % 2 == 1))
+    c = change_log(spark, sf_dir, "view").where(F.col("user_id") % 2 == 1)
     return c.select(F.col("listing_id").alias("id"), F.col("actor_email").alias("owner_email"), "ts",
                     F.format_string("up_%d_%d.png", F.col("user_id"), F.col("event_id")).alias("image_filename"))
 
 
 def purchases_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase events as order lines: order_id, asin, units, ts, user_email."""
-    c = change_log(spark, sf_dir).where(F.col("event_type") == "purchase")
-    return c.select(F.col("event_id").alias("order_id"), F.col("purchase_asin").alias("asin"),
-                    (F.col("user_id") % 3 + 1).cast("bigint").alias("units"), "ts",
-                    F.format_string("Customer#%09d", F.col("user_id")).alias("user_email"),
-                    F.col("value").alias("amount"))
+    """Purchase events as order lines: order_id, asin = event_id % count(part),
+    units, ts, user_email, amount."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    n_part = read_table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
+    return ev.crossJoin(F.broadcast(n_part)).select(
+        F.col("event_id").alias("order_id"), (F.col("event_id") % F.col("n_parts")).alias("asin"),
+        (F.col("user_id") % 3 + 1).cast("bigint").alias("units"), "ts",
+        F.format_string("Customer#%09d", F.col("user_id")).alias("user_email"),
+        F.col("value").alias("amount"))
