@@ -25,12 +25,14 @@ BESTSELLER_STARS = 4.5            # synthesized isBestSeller = stars > 4.5
 
 
 def round_half(c, digits: int = 0) -> Column:
-    """Round a double half up on its binary value: floor(x * 10^d + 0.5) / 10^d.
+    """Round a double half up on its scaled binary value: floor(x*10^d + 0.5) / 10^d.
 
     Spark's ``round`` rounds the shortest decimal string of the double
-    (32.925 -> 32.93), while the reference (Python/pandas) and most engines
-    round the binary value (32.925 is 32.92499.. -> 32.92).  This form is
-    built from exact IEEE steps, so any engine evaluates it identically.
+    (32.925 -> 32.93), while the reference (pandas/numpy: rint(x*10^d)/10^d)
+    and DuckDB round the scaled binary value (32.925*100 = 3292.4999.. ->
+    32.92).  This form agrees with numpy except on exact .5 products (half up
+    instead of half even) and is built from IEEE steps every engine evaluates
+    identically.
     """
     m = float(10 ** digits)
     return F.floor(col_(c) * m + 0.5) / m

@@ -33,9 +33,16 @@ USER_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in USER_FIELD
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Typed product scan (CSV with header, or Parquet)."""
+    """Typed product scan (CSV with header, or Parquet).
+
+    CSV columns are matched by header name, not position (as a dtype map
+    does), each read as a string and cast; an unparsable value becomes null.
+    No inference pass over the data is made.
+    """
     if fmt == "csv":
-        return spark.read.schema(CATALOG_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in raw.columns
+                            else F.lit(None).cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA.fields])
     return spark.read.schema(CATALOG_SCHEMA).parquet(path)
 
 

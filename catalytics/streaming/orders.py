@@ -55,10 +55,17 @@ def units_per_day(purchases: DataFrame, watermark: str | None = None) -> DataFra
               .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "asin", "units", "orders"))
 
 
+def _source(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None):
+    r = spark.readStream.schema(PURCHASE_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(source_dir)
+
+
 def start_order_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                       available_now: bool = True):
+                       available_now: bool = True, max_files_per_trigger: int | None = None):
     """Run U6 from Parquet files landing in ``source_dir`` into a Parquet sink."""
-    src = spark.readStream.schema(PURCHASE_SCHEMA).parquet(source_dir)
+    src = _source(spark, source_dir, max_files_per_trigger)
     w = (ingest_orders_stream(src).writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -66,8 +73,9 @@ def start_order_ingest(spark: SparkSession, source_dir: str, sink_dir: str, chec
 
 
 def start_units_per_day(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                        available_now: bool = True):
-    src = spark.readStream.schema(PURCHASE_SCHEMA).parquet(source_dir)
+                        available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Units per asin per day into a Parquet sink (append: closed days only)."""
+    src = _source(spark, source_dir, max_files_per_trigger)
     w = (units_per_day(src, UNITS_WATERMARK).writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
