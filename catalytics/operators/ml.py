@@ -43,6 +43,19 @@ def train_demand_model(scored: DataFrame, max_iter: int = 100, seed: int = 42, b
     return pipe.fit(train), frame
 
 
+def training_summary(scored: DataFrame, max_iter: int = 100) -> DataFrame:
+    """M9 report: sample counts per split, layer sizes and iterations run."""
+    model, frame = train_demand_model(scored, max_iter=max_iter)
+    mlp = model.stages[-1]
+    summ = mlp.summary() if callable(mlp.summary) else mlp.summary
+    iters = len(summ.objectiveHistory)
+    counts = frame.agg(F.count("*").alias("total_samples"),
+                       F.count_if(F.col("split") == "train").alias("train_samples"),
+                       F.count_if(F.col("split") == "test").alias("test_samples"))
+    return counts.select("*", F.lit("-".join(map(str, LAYERS))).alias("layers"),
+                         F.lit(iters).cast("int").alias("iterations_run"))
+
+
 # ---------------------------------------------------------------- M10
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                            class_names: DataFrame | None = None) -> DataFrame:

@@ -238,6 +238,7 @@ QUERIES.update({
     "standardize": standardized,
     "class_distribution": lambda s, d: A.class_distribution(training(s, d), balanced(s, d)),
     "quick_score_metrics": lambda s, d: M.quick_score_metrics(scored(s, d)),
+    "train_demand_model": lambda s, d: M.training_summary(scored(s, d), max_iter=60),
     "model_stats": lambda s, d: M.model_stats(scored(s, d), max_iter=60),
     "predict_demand": lambda s, d: M.predict_demand(M.train_demand_model(scored(s, d), max_iter=60)[0],
                                                     scored(s, d), catalog(s, d), L.listing_view(listings(s, d))),

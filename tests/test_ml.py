@@ -80,3 +80,9 @@ def test_kmeans_segments_order(spark):
         present = [segs[k] for k in order if k in segs]
         assert present == sorted(present, reverse=True)
         assert set(segs) <= set(order) and "Hot" in segs
+
+
+def test_training_summary_counts(spark):
+    t = rows(M.training_summary(scored(spark, SF_SMALL), max_iter=5))[0]
+    assert t["train_samples"] + t["test_samples"] == t["total_samples"] == 200
+    assert t["layers"] == "5-128-64-32-3" and t["iterations_run"] >= 1

@@ -13,7 +13,7 @@ from oracle_harness import compare
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
-HEAVY = {"model_stats", "predict_demand"}      # covered in test_ml.py
+HEAVY = {"model_stats", "predict_demand", "train_demand_model"}      # covered in test_ml.py
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
