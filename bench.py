@@ -59,7 +59,7 @@ def main() -> None:
     scored = spark.read.parquet(gold_path).cache()
     timed("load_catalog", lambda: scored.count())
     lst_path = scratch_path(spark, "listings")
-    timed("build_listings", lambda: L.parse_listings(X.listings_raw(spark, sf_dir))
+    timed("build_listings", lambda: L.parse_listings(X.listings_raw(spark, sf_dir, catalog=scored))
           .write.mode("overwrite").parquet(lst_path))
     listings = spark.read.parquet(lst_path).cache()
     timed("load_listings", lambda: listings.count())

@@ -22,6 +22,19 @@ CONFIDENCE_CAP = 95.0
 REORDER_SCORE = 35.0              # reorder alert: score < 35 and bought < 100
 REORDER_BOUGHT = 100
 BESTSELLER_STARS = 4.5            # synthesized isBestSeller = stars > 4.5
+FEATURE_WEIGHT = 0.25             # each of the four normalized features
+QUICK_STARS_WEIGHT = 0.25         # listing quick score: stars * 0.25 * 25
+QUICK_STARS_SCALE = 25.0
+QUICK_BOUGHT_DIVISOR = 10.0       #   + min(bought / 10, 25)
+QUICK_CAP = 25.0                  #   + 25 for a bestseller
+PANEL_STARS_WEIGHT = 30.0         # seller panel: stars / 5 * 30
+PANEL_BOUGHT_SCALE = 1000.0       #   + min(bought / 1000, 1) * 40
+PANEL_BOUGHT_WEIGHT = 40.0
+PANEL_BASE = 10.0                 #   + 10
+LEGACY_STARS_WEIGHT = 20.0        # diagnostic score: stars * 20 + bought * 0.1
+LEGACY_BOUGHT_WEIGHT = 0.1
+RECOMMEND_SCORE_WEIGHT = 0.7      # trend recommendation: avg * 0.7 + units * 0.0003
+RECOMMEND_UNITS_WEIGHT = 0.0003
 
 
 def round_half(c, digits: int = 0) -> Column:
@@ -69,7 +82,8 @@ def price_norm(price="price", pmin="price_min", pmax="price_max") -> Column:
 
 def composite(sn, bn, bsn, pn) -> Column:
     """Equal-weight composite of the four normalized features (unrounded)."""
-    return col_(sn) * 0.25 + col_(bn) * 0.25 + col_(bsn) * 0.25 + col_(pn) * 0.25
+    w = FEATURE_WEIGHT
+    return col_(sn) * w + col_(bn) * w + col_(bsn) * w + col_(pn) * w
 
 
 def demand_score(sn, bn, bsn, pn) -> Column:
@@ -111,14 +125,14 @@ def clipped_score(stars, bought, bs, price) -> Column:
                 clip((1.0 - (col_(price) - F.col("price_min"))
                       / (F.col("price_max") - F.col("price_min"))) * 100.0)
                 ).otherwise(F.lit(50.0))
-    return round_half(clip((sn + bn + bsn + pn) * 0.25), 2)
+    return round_half(clip((sn + bn + bsn + pn) * FEATURE_WEIGHT), 2)
 
 
 def quick_score(stars="stars", bought="boughtInLastMonth", bs="isBestSeller") -> Column:
     """Listing score used by the product list and lookup (no price term)."""
-    return round_half(col_(stars) * 0.25 * 25.0
-                      + F.least(col_(bought) / 10.0, F.lit(25.0))
-                      + F.when(col_(bs), F.lit(25.0)).otherwise(F.lit(0.0)), 2)
+    return round_half(col_(stars) * QUICK_STARS_WEIGHT * QUICK_STARS_SCALE
+                      + F.least(col_(bought) / QUICK_BOUGHT_DIVISOR, F.lit(QUICK_CAP))
+                      + F.when(col_(bs), F.lit(QUICK_CAP)).otherwise(F.lit(0.0)), 2)
 
 
 def seller_panel_score(stars_num, bought_int) -> Column:
@@ -126,12 +140,13 @@ def seller_panel_score(stars_num, bought_int) -> Column:
 
     Rounds like the browser's Math.round (floor(x + 0.5)).
     """
-    x = (col_(stars_num) / 5.0) * 30.0 + F.least(col_(bought_int) / 1000.0, F.lit(1.0)) * 40.0 + 10.0
+    x = ((col_(stars_num) / 5.0) * PANEL_STARS_WEIGHT
+         + F.least(col_(bought_int) / PANEL_BOUGHT_SCALE, F.lit(1.0)) * PANEL_BOUGHT_WEIGHT + PANEL_BASE)
     return F.floor(x + 0.5)
 
 
 def legacy_score(stars="stars", bought="boughtInLastMonth") -> Column:
-    return col_(stars) * 20.0 + col_(bought) * 0.1
+    return col_(stars) * LEGACY_STARS_WEIGHT + col_(bought) * LEGACY_BOUGHT_WEIGHT
 
 
 def exact_avg(c, scale: int = 4, digits: int = 2) -> Column:

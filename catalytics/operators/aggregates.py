@@ -97,7 +97,8 @@ def trend_recommendation(trend_rows: DataFrame) -> DataFrame:
     Ties keep the trend order (mean desc, then name), like a stable sort.
     Works over the (at most 126) trend rows.
     """
-    r = trend_rows.withColumn("composite", F.col("avg_demand_score") * 0.7 + F.col("total_bought") * 0.0003)
+    r = trend_rows.withColumn("composite", F.col("avg_demand_score") * S.RECOMMEND_SCORE_WEIGHT
+                              + F.col("total_bought") * S.RECOMMEND_UNITS_WEIGHT)
     top1 = (r.orderBy(F.col("composite").desc(), F.col("avg_demand_score").desc(), F.col("category").asc())
              .limit(1).select(F.col("category").alias("recommended"), S.round_half("composite", 4).alias("composite")))
     top5 = (r.orderBy(F.col("avg_demand_score").desc(), F.col("category").asc()).limit(5)

@@ -131,25 +131,26 @@ def predict_demand(model, scored: DataFrame, catalog: DataFrame, listings_view:
 
 
 # ---------------------------------------------------------------- M12, J9, A17
-def _assign(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """Nearest center per point (ties: lower cluster id).  ``centers`` has one
-    row per category with its k centers as an array (k x #categories values)."""
-    d = F.transform("cs", lambda c: F.struct(((F.col("x") - c["cx"]) ** 2 + (F.col("y") - c["cy"]) ** 2).alias("d"),
-                                             c["cid"].alias("cid")))
-    return points.join(F.broadcast(centers), CAT).withColumn("cid", F.array_min(d)["cid"]).drop("cs")
+def _assign(points: DataFrame, centers) -> DataFrame:
+    """Nearest center per point (ties: lower cluster id).  ``centers`` is a
+    map column category -> array of (cid, cx, cy), a constant of k x
+    #categories entries, looked up per row (no join, no broadcast job)."""
+    d = F.transform(F.element_at(centers, F.col(CAT)),
+                    lambda c: F.struct(((F.col("x") - c["cx"]) ** 2 + (F.col("y") - c["cy"]) ** 2).alias("d"),
+                                       c["cid"].alias("cid")))
+    return points.withColumn("cid", F.array_min(d)["cid"])
 
 
-CENTERS_TYPE = "array<struct<categoryName:string,cs:array<struct<cid:int,cx:double,cy:double>>>>"
+CENTERS_TYPE = "map<string,array<struct<cid:int,cx:double,cy:double>>>"
 
 
-def _centers_df(spark, centers: list[tuple]) -> DataFrame:
-    """The small center table as one JSON literal (a single JVM call)."""
+def _centers_map(centers: list[tuple]):
+    """The center table as one constant map literal (folded at planning)."""
     import json
     by_cat: dict = {}
     for c, i, x, y in centers:
         by_cat.setdefault(c, []).append({"cid": int(i), "cx": float(x), "cy": float(y)})
-    js = json.dumps([{"categoryName": c, "cs": v} for c, v in by_cat.items()])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(js), CENTERS_TYPE)))
+    return F.from_json(F.lit(json.dumps(by_cat)), CENTERS_TYPE)
 
 
 def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
@@ -187,14 +188,14 @@ def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: fl
                 seen.add(y)
                 centers.append((row[CAT], i, 0.0, float(y)))
     for _ in range(max_iter):
-        new = [tuple(r) for r in _assign(z, _centers_df(spark, centers)).groupBy(CAT, "cid")
+        new = [tuple(r) for r in _assign(z, _centers_map(centers)).groupBy(CAT, "cid")
                .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()]
         old = {(c, i): (x, y) for c, i, x, y in centers}
         shift = max(((x - old[(c, i)][0]) ** 2 + (y - old[(c, i)][1]) ** 2 for c, i, x, y in new), default=0.0)
         centers = new
         if shift <= tol:
             break
-    final = _assign(z, _centers_df(spark, centers))
+    final = _assign(z, _centers_map(centers))
     return label_segments(final)
 
 

@@ -160,13 +160,10 @@ def standardized(spark, d):
 def write_training_csv(spark, d):
     """Write the balanced set as CSV into the shared folder, read it back typed."""
     from catalytics.session import scratch_path
-    from pyspark.sql import types as T
     b = balanced(spark, d)
     path = scratch_path(spark, "training-csv")
     RD.write_table(b, path, fmt="csv")
-    return spark.read.schema(T._parse_datatype_string(", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                                                                 for f in b.schema.fields))) \
-                .option("header", True).csv(path)
+    return spark.read.schema(b.schema).option("header", True).csv(path)
 
 
 def purchases(spark, d):

@@ -83,14 +83,17 @@ def _supplier_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup, n
 
 
-def _listing_rows(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
-    """Part slice p_partkey % 20 = offset as all-string seller listings."""
+def _listing_rows(spark: SparkSession, sf_dir: str, offset: int, units: DataFrame | None = None) -> DataFrame:
+    """Part slice p_partkey % 20 = offset as all-string seller listings.
+
+    ``units`` (l_partkey, units) defaults to the F1 sales window; pass the
+    catalog's column to avoid a second pass over lineitem."""
     part = (read_table(spark, sf_dir, "part")
             .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
             .where(F.col("p_partkey") % LISTING_EVERY == offset))
     sup, n = _supplier_owner(spark, sf_dir)
     pmax = read_table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("max_key"))
-    sold = units_by_part(spark, sf_dir)
+    sold = units if units is not None else units_by_part(spark, sf_dir)
     owned = (part.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(pmax))
                  .withColumn("owner_key", F.col("p_partkey") % F.col("n_supp")))
     return (owned.join(sup, owned.owner_key == sup.s_suppkey, "left")
@@ -108,9 +111,13 @@ def _listing_rows(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
                      F.col("p_type").alias("description")))
 
 
-def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seller listings as the all-string rows of the seller CSV."""
-    rows = _listing_rows(spark, sf_dir, 0)
+def listings_raw(spark: SparkSession, sf_dir: str, catalog: DataFrame | None = None) -> DataFrame:
+    """seller listings as the all-string rows of the seller CSV.
+
+    With ``catalog`` given, units come from its boughtInLastMonth column."""
+    units = None if catalog is None else catalog.select(F.col("asin").alias("l_partkey"),
+                                                        F.col("boughtInLastMonth").alias("units"))
+    rows = _listing_rows(spark, sf_dir, 0, units)
     return rows.select(
         F.col("asin_num").cast("string").alias("asin"),
         (F.col("id_num") + 1).cast("string").alias("id"),
