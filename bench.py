@@ -39,8 +39,12 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus,
-                        extra={"spark.driver.memory": "16g"})
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    extra = {"spark.driver.memory": "16g"}
+    for kv in filter(None, os.environ.get("BENCH_EXTRA_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=parts, extra=extra)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     times: dict[str, float] = {}
 

@@ -575,6 +575,16 @@ O["reorder_predicate"] = sql("""SELECT asin, demand_score, boughtInLastMonth FRO
   WHERE demand_score < 35 AND boughtInLastMonth < 100""", "scored")
 O["skip_malformed_rows"] = sql("SELECT asin, price, stars, boughtInLastMonth FROM lview", "listings")
 O["safe_projection"] = sql("SELECT email, name, phone, department, city, role, joined FROM users", "users")
+def _u(tag: str) -> str:
+    return (f"(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '42' || '{tag}'), 1, 8))::BIGINT "
+            f"/ 4294967296.0::DOUBLE)")
+
+
+O["synthesize_fields"] = f"""SELECT asin, title, categoryName, price, boughtInLastMonth, stars, stars > 4.5 AS isBestSeller
+  FROM (SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand AS categoryName,
+               rnd(500.0{D} + {_u('price')} * 4500.0{D}, 2) AS price,
+               CAST(50 + floor({_u('bought')} * 950.0{D}) AS BIGINT) AS boughtInLastMonth,
+               rnd(3.5{D} + {_u('stars')} * 1.5{D}, 1) AS stars FROM part)"""
 O["title_truncate"] = sql("""SELECT asin, substr(title, 1, 45) AS title_45, substr(title, 1, 30) AS title_30
   FROM catalog""", "catalog")
 

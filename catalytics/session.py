@@ -33,6 +33,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
     }
+    if master and master.startswith("local"):
+        # one JVM: every slot is equally local, so waiting for locality only adds delay
+        conf["spark.locality.wait"] = "0s"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

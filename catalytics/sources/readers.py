@@ -103,15 +103,17 @@ def normalize_raw_feed(raw: DataFrame) -> DataFrame:
 
 def synthesize_fields(df: DataFrame, seed: int = 42) -> DataFrame:
     """Reproducible price 500-5000 (2 dp), bought 50-999, stars 3.5-5.0
-    (1 dp) from a hash of (asin, seed); isBestSeller = stars > 4.5."""
+    (1 dp) from md5(asin, seed, field) as a uniform number in [0, 1);
+    isBestSeller = stars > 4.5.  Per-row expressions only (no shuffle)."""
+    from catalytics.functions.scores import round_half
+
     def u(tag: str):
-        h = F.xxhash64(F.col("asin").cast("string"), F.lit(seed), F.lit(tag))
-        return (F.pmod(h, F.lit(1 << 30)) / float(1 << 30))      # uniform [0, 1)
-    price = F.round(500.0 + u("price") * 4500.0, 2)
-    bought = (50 + F.floor(u("bought") * 950)).cast("bigint")
-    stars = F.round(3.5 + u("stars") * 1.5, 1)
-    return (df.withColumn("price", price).withColumn("boughtInLastMonth", bought)
-              .withColumn("stars", stars).withColumn("isBestSeller", F.col("stars") > 4.5))
+        h = F.md5(F.concat(F.col("asin").cast("string"), F.lit(str(seed)), F.lit(tag)))
+        return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    return (df.withColumn("price", round_half(500.0 + u("price") * 4500.0, 2))
+              .withColumn("boughtInLastMonth", (50 + F.floor(u("bought") * 950.0)).cast("bigint"))
+              .withColumn("stars", round_half(3.5 + u("stars") * 1.5, 1))
+              .withColumn("isBestSeller", F.col("stars") > 4.5))
 
 
 def dedup_first(df: DataFrame, key: str, seq: str) -> DataFrame:
