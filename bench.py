@@ -18,7 +18,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from catalytics.operators import aggregates as A  # noqa: E402
 from catalytics.operators import changes as C  # noqa: E402

@@ -89,8 +89,10 @@ def product_listing(scored: DataFrame, listings: DataFrame, page: int = 1, limit
     return union.orderBy(*order).offset(start).limit(limit).drop("_src", "_lid")
 
 
-def listing_union(scored, listings, search=None, category=None, min_price=None, max_price=None,
-                  min_stars=None, bestseller=None, sort_by=None) -> DataFrame:
+def listing_union(scored: DataFrame, listings: DataFrame, search=None, category=None, min_price=None,
+                  max_price=None, min_stars=None, bestseller=None) -> DataFrame:
+    """Filtered listings (literal search, quick score) + filtered catalog rows
+    (regex search, stored score) in one frame; ``_src``/``_lid`` order them."""
     from catalytics.operators.listings import listing_view
     cat = (scored.where(catalog_filter(search, category, min_price, max_price, min_stars, bestseller))
                  .select("asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",

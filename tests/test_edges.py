@@ -1,6 +1,5 @@
 """Hand-made edge frames (FIXTURES.md): the quirks of the reference's semantics."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from catalytics.functions import predicates as P
