@@ -149,14 +149,28 @@ def legacy_score(stars="stars", bought="boughtInLastMonth") -> Column:
     return col_(stars) * LEGACY_STARS_WEIGHT + col_(bought) * LEGACY_BOUGHT_WEIGHT
 
 
-def exact_avg(c, scale: int = 4, digits: int = 2) -> Column:
-    """Average of a column with few decimals, rounded, without float-order noise.
+def scaled_units(c, scale: int = 2) -> Column:
+    """A column with at most ``scale`` decimals as an exact bigint of 10^-scale units."""
+    return F.round(col_(c) * float(10 ** scale)).cast("bigint")
 
-    Summing as DECIMAL is exact, so the rounded mean does not depend on the
-    order in which partitions are merged (a double sum does).
+
+def exact_mean(c, scale: int = 2) -> Column:
+    """Exact mean of a column with at most ``scale`` decimals, as DECIMAL(38,18).
+
+    Rows are summed as bigint units (a long sum in the hot loop, and exact,
+    so the result does not depend on how partitions are merged); only the
+    one value per group is divided in decimal.
     """
-    return F.round(F.avg(col_(c).cast(f"decimal(20,{scale})")), digits).cast("double")
+    total = F.sum(scaled_units(c, scale)).cast("decimal(20,0)")
+    n = (F.count(col_(c)) * (10 ** scale)).cast("decimal(20,0)")
+    return total / n
+
+
+def exact_avg(c, scale: int = 2, digits: int = 2) -> Column:
+    """``exact_mean`` rounded half up to ``digits`` places, as a double."""
+    return F.round(exact_mean(c, scale), digits).cast("double")
 
 
 def exact_sum(c, scale: int = 2) -> Column:
-    return F.sum(col_(c).cast(f"decimal(22,{scale})")).cast("double")
+    """Exact sum of a column with at most ``scale`` decimals, as a double."""
+    return F.sum(scaled_units(c, scale)) / float(10 ** scale)

@@ -3,7 +3,8 @@
 All grouped aggregates use partial (map-side) aggregation, so a category that
 holds a third of the rows costs one partial row per input partition, not one
 task.  Per-group outputs limited to top N use a deterministic tie-break.
-Averages over columns with few decimals are summed as DECIMAL (exact).
+Sums and means of columns with few decimals are exact (bigint units summed,
+one decimal division per group), so results do not depend on merge order.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def category_rollup(scored: DataFrame) -> DataFrame:
     """Per-category count, exact mean score/stars/price, units, bestsellers."""
     return (_grouped(scored).groupBy(CAT).agg(
         F.count("asin").alias("product_count"),
-        F.avg(F.col("demand_score").cast("decimal(20,4)")).alias("avg_score_exact"),
+        S.exact_mean("demand_score").alias("avg_score_exact"),
         S.exact_avg("demand_score").alias("avg_demand_score"),
         S.exact_avg("stars").alias("avg_stars"),
         S.exact_avg("price").alias("avg_price"),
@@ -354,10 +355,11 @@ def seller_panel(listings_parsed: DataFrame) -> DataFrame:
     g = s.groupBy("owner_email").agg(F.count("*").alias("n"),
                                      F.count_if(F.col("panel_score") >= 60).alias("high"),
                                      F.sum("panel_score").alias("score_sum"),
-                                     F.sum(F.col("price_num").cast("decimal(24,4)")).alias("price_sum"))
+                                     F.sum(S.scaled_units("price_num", 4)).alias("price_units"))
     return g.select("owner_email", F.col("n").alias("listings"), F.col("high").alias("high_count"),
                     F.floor(F.col("score_sum") / F.col("n") + 0.5).alias("avg_score"),
-                    F.floor(F.col("price_sum") / F.col("n")).cast("bigint").alias("avg_price"))
+                    F.floor(F.col("price_units").cast("decimal(20,0)") / (F.col("n") * 10000).cast("decimal(20,0)"))
+                    .cast("bigint").alias("avg_price"))
 
 
 def class_distribution(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -371,10 +373,12 @@ def monthly_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21 (re-aimed): measured units and revenue per month of l_shipdate."""
     from catalytics.sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice")
-    return (li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    # group on the truncated timestamp; format only the result rows
+    return (li.groupBy(F.date_trunc("month", "l_shipdate").alias("m"))
               .agg(F.sum("l_quantity").cast("bigint").alias("units"),
                    S.exact_sum("l_extendedprice").alias("revenue"),
-                   F.count("*").alias("lines")))
+                   F.count("*").alias("lines"))
+              .select(F.date_format("m", "yyyy-MM").alias("month"), "units", "revenue", "lines"))
 
 
 def monthly_insights(monthly: DataFrame) -> DataFrame:

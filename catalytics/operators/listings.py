@@ -161,7 +161,8 @@ def cart_resolve(scored: DataFrame, listings: DataFrame, carts: DataFrame) -> Da
     return (items.join(found.select("asin", "price"), "asin", "inner")
                  .groupBy("user_email")
                  .agg(F.count("*").alias("items"),
-                      F.round(F.sum(F.col("price").cast("decimal(22,4)")), 2).cast("double").alias("subtotal")))
+                      F.round((F.sum(S.scaled_units("price", 4)).cast("decimal(20,0)") / 10000), 2)
+                      .cast("double").alias("subtotal")))
 
 
 def cart_orphans(scored: DataFrame, listings: DataFrame, carts: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (order_lines(spark, sf_dir)
                  .groupBy("l_orderkey")
                  .agg(F.array_sort(F.collect_set("l_partkey")).alias("items"),
-                      F.sum(F.col("l_extendedprice").cast("decimal(22,2)")).alias("subtotal_dec")))
+                      F.sum(F.round(F.col("l_extendedprice") * 100.0).cast("bigint")).alias("subtotal_cents")))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     express = F.col("o_orderpriority") == EXPRESS_PRIORITY
@@ -209,9 +209,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.col("o_orderkey").alias("order_id"),
                      F.lower(F.col("c_name")).alias("user_email"),
                      "items",
-                     F.col("subtotal_dec").cast("double").alias("subtotal"),
+                     (F.col("subtotal_cents") / 100.0).alias("subtotal"),
                      shipping.alias("shipping"),
-                     (F.col("subtotal_dec") + shipping.cast("decimal(22,2)")).cast("double").alias("total"),
+                     ((F.col("subtotal_cents") + (shipping * 100.0).cast("bigint")) / 100.0).alias("total"),
                      F.element_at(F.array(*[F.lit(m) for m in PAYMENT_METHODS]),
                                   (F.col("o_orderkey") % len(PAYMENT_METHODS) + 1).cast("int")).alias("payment_method"),
                      F.when(express, F.lit("express")).otherwise(F.lit("standard")).alias("delivery_speed"),
