@@ -111,7 +111,7 @@ def ex_avg(c: str, scale: int = 4) -> str:
 _ROLLUP = f"""rollup AS (SELECT categoryName, count(asin) AS product_count,
     avg(CAST(demand_score AS DECIMAL(20,4))) AS avg_score_exact,
     {ex_avg('demand_score')} AS avg_demand_score, {ex_avg('stars')} AS avg_stars, {ex_avg('price')} AS avg_price,
-    sum(boughtInLastMonth) AS total_bought, CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers
+    CAST(sum(boughtInLastMonth) AS BIGINT) AS total_bought, CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers
   FROM scored WHERE categoryName IS NOT NULL GROUP BY categoryName)"""
 
 _TREND = ("CASE WHEN avg_score_exact >= 60 THEN 'Surging' WHEN avg_score_exact >= 50 THEN 'Rising' "
@@ -175,12 +175,12 @@ O["summary"] = sql(f"""SELECT count(*) AS total_products, count(DISTINCT categor
   coalesce(CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT), 0) AS best_sellers,
   count_if(demand_level = 'High') AS high_demand_count,
   {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, {ex_avg('demand_score')} AS avg_demand,
-  coalesce(sum(boughtInLastMonth), 0) AS total_units_month FROM scored""", "scored")
+  CAST(coalesce(sum(boughtInLastMonth), 0) AS BIGINT) AS total_units_month FROM scored""", "scored")
 
 O["trends"] = _with(_TRENDS, "SELECT * FROM trends", "scored")
 
 O["trend_cards"] = _with(_TRENDS, f"""SELECT count_if(trend = 'Surging') AS surging, count_if(trend = 'Rising') AS rising,
-  coalesce(sum(total_bought), 0) AS total_units, {ex_avg('avg_demand_score')} AS avg_score FROM trends""", "scored")
+  CAST(coalesce(sum(total_bought), 0) AS BIGINT) AS total_units, {ex_avg('avg_demand_score')} AS avg_score FROM trends""", "scored")
 
 O["trend_recommendation"] = _with(_TRENDS + f""",
 comp AS (SELECT *, avg_demand_score * 0.7{D} + total_bought * 0.0003{D} AS composite FROM trends),
@@ -275,7 +275,7 @@ O["inventory_categories"] = _with(_ROLLUP, """SELECT categoryName AS category, p
 
 O["category_stats"] = sql(f"""SELECT categoryName AS category, count(*) AS product_count,
   {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, {ex_avg('demand_score')} AS avg_demand_score,
-  sum(boughtInLastMonth) AS total_bought, CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers,
+  CAST(sum(boughtInLastMonth) AS BIGINT) AS total_bought, CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers,
   rnd(min(price), 2) AS price_min, rnd(max(price), 2) AS price_max,
   rnd(max(demand_score), 2) AS max_demand_score,
   count_if(demand_score >= 60) AS high_demand_count,
@@ -327,7 +327,7 @@ O["seasonal_allocation"] = sql(f"""SELECT month_no, month,
                (11,'Nov',1.32{D}),(12,'Dec',1.42{D})) v(month_no, month, w),
        (SELECT coalesce(sum(boughtInLastMonth), 0) AS t FROM scored)""", "scored")
 
-O["order_totals"] = sql("""SELECT order_id, n_items AS items, rnd(subtotal, 2) AS subtotal, shipping,
+O["order_totals"] = sql("""SELECT order_id, CAST(n_items AS INTEGER) AS items, rnd(subtotal, 2) AS subtotal, shipping,
   rnd(total, 2) AS total, delivery_speed FROM orders_doc""", "orders_doc")
 
 O["product_listing"] = _with(_UNION, """SELECT asin, title, categoryName, price, stars, boughtInLastMonth,
@@ -354,17 +354,17 @@ O["category_top"] = sql("""SELECT categoryName AS category, rank, asin, title, r
   boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level,
   rnd(least(95.0::DOUBLE, (demand_score / 200.0::DOUBLE) * 95.0::DOUBLE), 1) AS confidence,
   isBestSeller AS is_best_seller
-  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score DESC, asin) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score DESC, asin)::INTEGER AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 10""", "scored")
 
 O["category_bottom"] = sql("""SELECT categoryName AS category, rank, asin, title, rnd(price, 2) AS price, stars,
   boughtInLastMonth AS bought_last_month, rnd(demand_score, 2) AS demand_score, demand_level
-  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score ASC, asin) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY demand_score ASC, asin)::INTEGER AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 5""", "scored")
 
 O["category_bought_top"] = sql("""SELECT categoryName AS category, rank, substr(title, 1, 30) AS title,
   boughtInLastMonth AS bought, rnd(demand_score, 2) AS score
-  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY boughtInLastMonth DESC, asin) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY boughtInLastMonth DESC, asin)::INTEGER AS rank
         FROM scored WHERE categoryName IS NOT NULL) WHERE rank <= 10""", "scored")
 
 O["categories"] = sql("""SELECT categoryName AS category, (SELECT count(DISTINCT categoryName) FROM scored) AS count
@@ -387,7 +387,7 @@ O["next_ids"] = sql("""SELECT greatest(coalesce((SELECT max(asin) FROM catalog),
                                   coalesce((SELECT max(asin) FROM lview), 0)) + 1 AS next_asin,
   coalesce((SELECT max(id) FROM lview), 0) + 1 AS next_id""", "catalog", "listings")
 
-O["user_orders"] = sql("""SELECT order_id, created_at, n_items AS items, rnd(total, 2) AS total, 'confirmed' AS status,
+O["user_orders"] = sql("""SELECT order_id, created_at, CAST(n_items AS INTEGER) AS items, rnd(total, 2) AS total, 'confirmed' AS status,
   (SELECT count(*) FROM orders_doc WHERE user_email = 'customer#000000001') AS count
   FROM orders_doc WHERE user_email = 'customer#000000001'""", "orders_doc")
 
@@ -484,7 +484,7 @@ trk AS (SELECT t.*, row_number() OVER (PARTITION BY demand_level ORDER BY md5(CA
 balanced AS (SELECT asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, demand_score,
                     demand_level, stars_norm, bought_norm, bs_norm, price_norm, is_user_product,
                     unnest(generate_series(1, CAST(floor(mx / n) AS BIGINT) + CASE WHEN r <= mx % n THEN 1 ELSE 0 END))
-                      AS copy
+                      ::INTEGER AS copy
              FROM trk JOIN tcnt USING (demand_level) CROSS JOIN tmax)"""
 _DEPS["balanced"] = ["train"]
 _CTE["split"] = """scnt AS (SELECT demand_level, count(*) AS n FROM scored GROUP BY 1),
@@ -677,7 +677,7 @@ O["order_ingest"] = sql("""SELECT order_id, lower(trim(user_email)) AS user_emai
   rnd(amount, 2) AS total, 'confirmed' AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM purchases""", "purchases")
 O["stream_units_tumbling"] = sql("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, asin,
-  sum(units) AS units, count(*) AS orders FROM purchases GROUP BY 1, 2""", "purchases")
+  CAST(sum(units) AS BIGINT) AS units, count(*) AS orders FROM purchases GROUP BY 1, 2""", "purchases")
 
 
 def expand_rnd(s: str) -> str:
@@ -709,4 +709,21 @@ def expand_rnd(s: str) -> str:
         i = k
 
 
-ORACLES.update({k: expand_rnd(v) for k, v in ORACLES.items()})
+def expand_count_if(s: str) -> str:
+    """count_if(cond) -> count(*) FILTER (WHERE cond): BIGINT, like Spark's count_if."""
+    out, i = [], 0
+    while True:
+        j = s.find("count_if(", i)
+        if j < 0:
+            out.append(s[i:])
+            return "".join(out)
+        out.append(s[i:j])
+        k, depth = j + len("count_if("), 1
+        while depth:
+            depth += (s[k] == "(") - (s[k] == ")")
+            k += 1
+        out.append(f"(count(*) FILTER (WHERE {expand_count_if(s[j + len('count_if('):k - 1])}))")
+        i = k
+
+
+ORACLES.update({k: expand_count_if(expand_rnd(v)) for k, v in ORACLES.items()})

@@ -57,20 +57,32 @@ def digest(rows) -> str:
     return h.hexdigest()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
     s_rows = rows_of(s_cols, [tuple(r) for r in spark_df.collect()])
-    res = con.execute(sql)
-    o_cols = [d[0] for d in res.description]
-    o_rows = rows_of(o_cols, res.fetchall())
+    rel = con.sql(sql)
+    o_cols = list(rel.columns)
+    o_types = dict(zip(o_cols, [str(t) for t in rel.types]))
+    o_rows = rows_of(o_cols, rel.fetchall())
     out = {"spark_rows": len(s_rows), "oracle_rows": len(o_rows),
            "columns_match": sorted(s_cols) == sorted(o_cols),
+           "types_match": s_types == o_types,
            "hash_match": digest(s_rows) == digest(o_rows)}
+    if not out["types_match"]:
+        out["type_diffs"] = {c: (s_types[c], o_types.get(c)) for c in s_types if s_types[c] != o_types.get(c)}
     if not out["columns_match"]:
         out["spark_cols"], out["oracle_cols"] = sorted(s_cols), sorted(o_cols)
     elif not out["hash_match"]:
         a, b = set(map(repr, s_rows)), set(map(repr, o_rows))
         out["only_spark"] = sorted(a - b)[:3]
         out["only_oracle"] = sorted(b - a)[:3]
-    out["ok"] = out["columns_match"] and out["hash_match"] and len(s_rows) == len(o_rows)
+    out["ok"] = (out["columns_match"] and out["types_match"] and out["hash_match"]
+                 and len(s_rows) == len(o_rows))
     return out
