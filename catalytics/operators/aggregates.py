@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import reorder_predicate
 
@@ -106,15 +107,14 @@ def trend_recommendation(trend_rows: DataFrame) -> DataFrame:
              .agg(F.sort_array(F.collect_list(F.struct((-F.col("avg_demand_score")).alias("k"),
                                                        F.col("category").alias("category")))).alias("s"))
              .select(F.concat_ws(", ", F.col("s.category")).alias("top5")))
-    return top1.crossJoin(top5)
+    return with_row(top1, top5)
 
 
 def category_distribution(scored: DataFrame, top: int = 12) -> DataFrame:
     """A6 rows: top-N categories by product count with their share %."""
     g = _grouped(scored).groupBy(CAT).agg(F.count("*").alias("count"))
     total = g.agg(F.sum("count").alias("total"))
-    return (g.orderBy(F.col("count").desc(), F.col(CAT).asc()).limit(top)
-             .crossJoin(F.broadcast(total))
+    return (with_row(g.orderBy(F.col("count").desc(), F.col(CAT).asc()).limit(top), total)
              .select(F.col(CAT).alias("category"), "count",
                      S.round_half(F.col("count") / F.col("total") * 100, 1).alias("share_pct")))
 
@@ -127,7 +127,7 @@ def category_distribution_summary(scored: DataFrame, top: int = 12) -> DataFrame
     leader = (ranked.orderBy(F.col("count").desc(), F.col(CAT).asc()).limit(1)
                     .select(F.col(CAT).alias("leader"), F.col("count").alias("leader_count")))
     totals = g.agg(F.sum("count").alias("total"), F.count("*").alias("distinct_categories"))
-    return (leader.crossJoin(top_agg).crossJoin(totals)
+    return (with_row(with_row(leader, top_agg), totals)
                   .select("leader", "leader_count",
                           S.round_half(F.col("leader_count") / F.col("total") * 100, 1).alias("leader_pct"),
                           S.round_half(F.col("top_count") / F.col("total") * 100, 1).alias("top_share_pct"),
@@ -183,7 +183,7 @@ def demand_mix(scored: DataFrame) -> DataFrame:
     j = F.broadcast(dim).join(counts, "demand_level", "left").select(
         F.col("demand_level").alias("level"), "ord", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("count"))
     total = j.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
-    return (j.crossJoin(F.broadcast(total))
+    return (with_row(j, total)
              .select("level", "count", S.round_half(F.col("count") / F.col("total") * 100, 1).alias("pct"), "ord")
              .orderBy("ord").drop("ord"))
 
@@ -412,7 +412,7 @@ def seasonal_allocation(scored: DataFrame) -> DataFrame:
     dim = literal_rows(spark, ["month_no", "month", "weight"],
                        [(i + 1, MONTH_NAMES[i], float(w)) for i, w in enumerate(SEASONAL_WEIGHTS)])
     total = scored.agg(F.coalesce(F.sum("boughtInLastMonth"), F.lit(0).cast("bigint")).alias("total_units"))
-    return (F.broadcast(dim).crossJoin(total)
+    return (with_row(dim, total)
              .select("month_no", "month",
                      S.round_half(F.col("total_units") * (F.col("weight") / total_w), 0).cast("bigint").alias("units")))
 

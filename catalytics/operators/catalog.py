@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 
 CATALOG_COLUMNS = ["asin", "title", "categoryName", "price", "stars", "boughtInLastMonth", "isBestSeller"]
@@ -24,7 +25,7 @@ def catalog_stats(catalog: DataFrame) -> DataFrame:
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(stats))
+    return with_row(df, stats)
 
 
 def normalize(df: DataFrame, stats: DataFrame, round_norms: bool = True,

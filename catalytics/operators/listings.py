@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import parse_bool, reject_reason
 from catalytics.operators.catalog import catalog_stats, normalize, with_stats
@@ -189,7 +190,7 @@ def next_ids(catalog: DataFrame, listings: DataFrame) -> DataFrame:
     v = listing_view(listings)
     a = catalog.agg(F.max("asin").alias("m1"))
     b = v.agg(F.max("asin").alias("m2"), F.max("id").alias("mid"))
-    return a.crossJoin(b).select(
+    return with_row(a, b).select(
         (F.greatest(F.coalesce("m1", F.lit(0).cast("bigint")), F.coalesce("m2", F.lit(0).cast("bigint"))) + 1)
         .alias("next_asin"),
         (F.coalesce("mid", F.lit(0).cast("bigint")) + 1).alias("next_id"))
@@ -204,12 +205,12 @@ def listing_inserts(catalog: DataFrame, listings: DataFrame, batch: DataFrame,
     range), so no single task sees the whole batch.
     """
     rng = batch.agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
-    b = batch.crossJoin(F.broadcast(rng))
+    b = with_row(batch, rng)
     width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / float(buckets), F.lit(1.0))
     ranked = bucketed_row_number(b, [], F.floor((F.col("seq") - F.col("_lo")) / width), [F.col("seq").asc()],
                                  out="rn", bucket_bound=buckets + 1)
     ids = next_ids(catalog, listings)
-    return (ranked.crossJoin(F.broadcast(ids))
+    return (with_row(ranked, ids)
                   .select((F.col("next_asin") + F.col("rn") - 1).alias("asin"),
                           (F.col("next_id") + F.col("rn") - 1).alias("id"),
                           F.lower("owner_email").alias("owner_email"), "title", CAT, "price", "stars",
@@ -224,7 +225,7 @@ def user_orders(orders: DataFrame, email: str) -> DataFrame:
     n = mine.agg(F.count("*").alias("count"))
     return (mine.select("order_id", "created_at", F.size("items").alias("items"), S.round_half("total", 2).alias("total"),
                         "status")
-                .crossJoin(F.broadcast(n))
+                .transform(lambda d: with_row(d, n))
                 .orderBy(F.col("created_at").desc(), F.col("order_id").desc()))
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.operators.catalog import catalog_stats, with_stats
 from catalytics.operators.sampling import (FEATURES, apply_label_codes, fit_label_codes, model_frame)
@@ -66,8 +67,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     sup = conf.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
     npred = conf.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
     tot = conf.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))).alias("correct"))
-    m = (sup.join(tp, "cls", "left").join(npred, "cls", "left").crossJoin(F.broadcast(tot))
-            .fillna(0, subset=["tp", "predicted"]))
+    m = with_row(sup.join(tp, "cls", "left").join(npred, "cls", "left"), tot).fillna(0, subset=["tp", "predicted"])
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import catalog_filter, reorder_predicate
 
@@ -148,7 +149,7 @@ def product_listing_after(scored: DataFrame, after_value, after_asin: int, sort_
 def recommended(scored: DataFrame, limit: int = 10) -> DataFrame:
     """Top bestsellers by score; every product when there is no bestseller."""
     n_bs = scored.agg(F.count_if(F.col("isBestSeller")).alias("_n_bs"))
-    return (scored.crossJoin(F.broadcast(n_bs))
+    return (with_row(scored, n_bs)
                   .where(F.col("isBestSeller") | (F.col("_n_bs") == 0))
                   .orderBy(F.col("demand_score").desc(), F.col("asin").asc()).limit(limit)
                   .select("asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",
@@ -222,7 +223,7 @@ def categories(scored: DataFrame) -> DataFrame:
     """Sorted distinct non-null categories with their count on every row."""
     d = scored.where(F.col(CAT).isNotNull()).select(CAT).distinct()
     n = d.agg(F.count("*").alias("count"))
-    return d.crossJoin(F.broadcast(n)).orderBy(CAT).withColumnRenamed(CAT, "category")
+    return with_row(d, n).orderBy(CAT).withColumnRenamed(CAT, "category")
 
 
 def hero_rotation(scored: DataFrame, listings: DataFrame) -> DataFrame:

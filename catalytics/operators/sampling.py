@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.operators.aggregates import price_keep
 from catalytics.operators.listings import TRAINING_COLUMNS
@@ -62,7 +63,7 @@ def balance_classes(training: DataFrame, label: str = "demand_level") -> DataFra
     """
     counts = training.groupBy(label).agg(F.count("*").alias("_n"))
     mx = counts.agg(F.max("_n").alias("_max"))
-    sizes = F.broadcast(counts.crossJoin(mx))           # one row per class
+    sizes = F.broadcast(with_row(counts, mx))           # one row per class
     r = class_rank(training, label).join(sizes, label)
     copies = (F.floor(F.col("_max") / F.col("_n")).cast("int")
               + F.when(F.col("r") <= F.col("_max") % F.col("_n"), 1).otherwise(0))
@@ -118,7 +119,7 @@ def standardize(df: DataFrame, features=tuple(FEATURES), fit_on: str = "train")
     fit = df.where(F.col("split") == fit_on) if "split" in df.columns else df
     st = fit.agg(*[F.avg(f).alias(f"_m_{f}") for f in features],
                  *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
-    j = df.crossJoin(F.broadcast(st))
+    j = with_row(df, st)
     zs = [F.when(F.col(f"_s_{f}") > 0, (F.col(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}"))
            .otherwise(F.lit(0.0)).alias(f"z_{f}") for f in features]
     keep = [c for c in df.columns if c not in features]

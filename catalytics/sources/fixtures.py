@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalytics.functions.scalars import with_row
 from catalytics.functions.scores import BESTSELLER_STARS
 from catalytics.sources.tables import read_table
 
@@ -94,7 +95,7 @@ def _listing_rows(spark: SparkSession, sf_dir: str, offset: int, units: DataFram
     sup, n = _supplier_owner(spark, sf_dir)
     pmax = read_table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("max_key"))
     sold = units if units is not None else units_by_part(spark, sf_dir)
-    owned = (part.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(pmax))
+    owned = (with_row(with_row(part, n), pmax)
                  .withColumn("owner_key", F.col("p_partkey") % F.col("n_supp")))
     return (owned.join(sup, owned.owner_key == sup.s_suppkey, "left")
                  .join(sold, owned.p_partkey == sold.l_partkey, "left")
@@ -253,7 +254,7 @@ def listing_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, owner_email) of the F2 listings, without their sales columns."""
     part = read_table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") % LISTING_EVERY == 0)
     sup, n = _supplier_owner(spark, sf_dir)
-    owned = part.crossJoin(F.broadcast(n)).withColumn("owner_key", F.col("p_partkey") % F.col("n_supp"))
+    owned = with_row(part, n).withColumn("owner_key", F.col("p_partkey") % F.col("n_supp"))
     return owned.join(sup, owned.owner_key == sup.s_suppkey, "left").select(
         ((F.col("p_partkey") / LISTING_EVERY).cast("bigint") + 1).alias("lid"),
         F.lower(F.col("s_name")).alias("owner_email"))
@@ -270,7 +271,7 @@ def change_log(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
     lst = listing_owners(spark, sf_dir)
     n_lst = lst.agg(F.count("*").alias("n_listings"))
-    e = ev.crossJoin(F.broadcast(n_lst)).withColumn("listing_id", F.col("event_id") % F.col("n_listings") + 1)
+    e = with_row(ev, n_lst).withColumn("listing_id", F.col("event_id") % F.col("n_listings") + 1)
     return (e.join(lst, e.listing_id == lst.lid, "left")
              .select("event_id", "ts", "user_id", "event_type", "value", "props", "listing_id",
                      F.when(F.col("user_id") % 5 == 0, F.lit("intruder@example.com"))
@@ -302,7 +303,7 @@ def registrations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups; emails repeat (same user signs up again) and vary in case."""
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     cust = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("n_cust"))
-    e = ev.crossJoin(F.broadcast(cust))
+    e = with_row(ev, cust)
     email = F.when(F.col("user_id") % 3 == 0,
                    F.format_string("Customer#%09d", F.col("user_id") % F.col("n_cust")))\
              .otherwise(F.format_string("New.User%d@Example.com", F.col("user_id")))
@@ -315,7 +316,7 @@ def profile_updates_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").where(
         (F.col("event_type") == "view") & (F.col("user_id") % 2 == 0))
     cust = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("n_cust"))
-    e = ev.crossJoin(F.broadcast(cust))
+    e = with_row(ev, cust)
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(F.format_string("customer#%09d", F.col("user_id") % F.col("n_cust")).alias("email"), "ts",
                     F.lit("").alias("name"),
@@ -336,7 +337,7 @@ def purchases_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, ts, user_email, amount."""
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     n_part = read_table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
-    return ev.crossJoin(F.broadcast(n_part)).select(
+    return with_row(ev, n_part).select(
         F.col("event_id").alias("order_id"), (F.col("event_id") % F.col("n_parts")).alias("asin"),
         (F.col("user_id") % 3 + 1).cast("bigint").alias("units"), "ts",
         F.format_string("Customer#%09d", F.col("user_id")).alias("user_email"),

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from catalytics.functions.scalars import with_row
 from pyspark.sql import types as T
 
 CAT = "categoryName"
@@ -174,5 +176,5 @@ def dataset_info(training: DataFrame) -> DataFrame:
     """Stored training set: rows per level, total rows, column count."""
     total = training.agg(F.count("*").alias("total_rows"))
     return (training.groupBy("demand_level").agg(F.count("*").alias("count"))
-                    .crossJoin(F.broadcast(total))
+                    .transform(lambda d: with_row(d, total))
                     .withColumn("n_columns", F.lit(len(training.columns))))

@@ -32,11 +32,10 @@ def main():
     spark = get_session("local[8]", 16)
     span = {f: spark.read.parquet(f"{src}/{t}.parquet").agg(F.max(k) + 1).first()[0]
             for f, (t, k) in FAMILY_TABLE.items()}
-    copies = spark.range(n).withColumnRenamed("id", "_copy")
     for t in ("region", "nation", "part", "supplier", "customer", "orders", "lineitem", "events"):
         df = spark.read.parquet(f"{src}/{t}.parquet")
         if t in KEYS:
-            df = df.crossJoin(F.broadcast(copies))
+            df = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
             for c, fam in KEYS[t].items():
                 df = df.withColumn(c, F.col(c) + F.col("_copy") * span[fam])
             if t == "customer":
