@@ -168,7 +168,9 @@ def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: fl
     clusters start spread along demand; identical seeds collapse (k shrinks
     when a category has fewer distinct scores).
     """
+    from catalytics.session import checkpoint_dir
     spark = scored.sparkSession
+    checkpoint_dir(spark)         # the session's shared folder; a local one only if unset
     pts = scored.where(F.col(CAT).isNotNull()).select("asin", CAT, "price", "demand_score")
     st = pts.groupBy(CAT).agg(F.avg("price").alias("mp"), F.stddev_pop("price").alias("sp"),
                               F.avg("demand_score").alias("ms"), F.stddev_pop("demand_score").alias("ss"))
