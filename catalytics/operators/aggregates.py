@@ -179,8 +179,9 @@ def demand_mix(scored: DataFrame) -> DataFrame:
     """Count and % per level; all three levels always present."""
     spark = scored.sparkSession
     dim = literal_rows(spark, ["demand_level", "ord"], [(lvl, i) for i, lvl in enumerate(S.LEVELS)])
-    counts = scored.groupBy("demand_level").agg(F.count("*").alias("cnt"))
-    j = F.broadcast(dim).join(counts, "demand_level", "left").select(
+    # one row per level: demand_level is a three-way CASE, so this side is bounded
+    counts = F.broadcast(scored.groupBy("demand_level").agg(F.count("*").alias("cnt")))
+    j = dim.join(counts, "demand_level", "left").select(
         F.col("demand_level").alias("level"), "ord", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("count"))
     total = j.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
     return (with_row(j, total)
