@@ -46,3 +46,17 @@ def test_get_product_listing_precedence(ctx):
     r = EP.get_product(ctx, lst_asin).collect()
     assert len(r) == 1 and r[0]["is_user_product"] is True
     assert EP.get_product(ctx, -5).count() == 0
+
+
+def test_rf_predict_validates_and_scores(ctx, spark):
+    from catalytics.operators import ml as M
+    model, _ = M.train_demand_model(ctx.scored, max_iter=5)
+    req = spark.createDataFrame(
+        [(1, 950.0, 4.5, 120, True, "Brand#1"), (2, 0.0, 4.0, 10, False, "Brand#2"),
+         (3, 940.0, 6.0, 10, False, "Brand#3"), (4, 930.0, 3.0, 5, False, "never seen")],
+        "asin long, price double, stars double, boughtInLastMonth long, isBestSeller boolean, categoryName string")
+    out = EP.rf_predict(ctx, model, req)
+    pred = {r["asin"]: r for r in out["predictions"].collect()}
+    rej = {r["asin"]: r["reject_reason"] for r in out["rejected"].collect()}
+    assert set(pred) == {1, 4} and rej == {2: "price must be > 0", 3: "stars must be between 1 and 5"}
+    assert pred[4]["demand_level"] in ("High", "Medium", "Low")       # unseen category encodes to 0
