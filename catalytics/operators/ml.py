@@ -162,8 +162,9 @@ def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: fl
     Each Lloyd step is one job: nearest center per point (centers joined as
     a per-category array), then per-(category, cluster) means as a partial
     aggregate.  Only the centers (k x #categories rows, like MLlib's KMeans)
-    come back to the driver, which cuts lineage and stops early once the
-    largest squared center move is <= ``tol``.  Seeds are deterministic:
+    come back to the driver, which cuts lineage.  A category stops once its
+    largest squared center move is <= ``tol``; later steps read only the
+    points of categories still moving.  Seeds are deterministic:
     x = 0 and y at the (2i+1)/2k quantiles of the category's scores, so the
     clusters start spread along demand; identical seeds collapse (k shrinks
     when a category has fewer distinct scores).
@@ -189,13 +190,19 @@ def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: fl
             if y not in seen:
                 seen.add(y)
                 centers.append((row[CAT], i, 0.0, float(y)))
+    # each category stops on its own; a step only reads points of categories still moving
+    active = sorted({c for c, _, _, _ in centers})
     for _ in range(max_iter):
-        new = [tuple(r) for r in _assign(z, _centers_map(centers)).groupBy(CAT, "cid")
-               .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()]
-        old = {(c, i): (x, y) for c, i, x, y in centers}
-        shift = max(((x - old[(c, i)][0]) ** 2 + (y - old[(c, i)][1]) ** 2 for c, i, x, y in new), default=0.0)
-        centers = new
-        if shift <= tol:
+        moving = [t for t in centers if t[0] in set(active)]
+        step = [tuple(r) for r in _assign(z.where(F.col(CAT).isin(active)), _centers_map(moving))
+                .groupBy(CAT, "cid").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()]
+        old = {(c, i): (x, y) for c, i, x, y in moving}
+        shift: dict = {}
+        for c, i, x, y in step:
+            shift[c] = max(shift.get(c, 0.0), (x - old[(c, i)][0]) ** 2 + (y - old[(c, i)][1]) ** 2)
+        centers = [t for t in centers if t[0] not in set(active)] + step
+        active = sorted(c for c, m in shift.items() if m > tol)
+        if not active:
             break
     final = _assign(z, _centers_map(centers))
     return label_segments(final)
