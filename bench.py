@@ -40,6 +40,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
     extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):     # stage/task times without the UI (scripts/stage_times.py)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
     for kv in filter(None, os.environ.get("BENCH_EXTRA_CONF", "").split(",")):
         k, v = kv.split("=", 1)
         extra[k] = v
@@ -48,6 +50,7 @@ def main() -> None:
     times: dict[str, float] = {}
 
     def timed(name, fn):
+        spark.sparkContext.setJobDescription(name)      # names the stages in the event log
         t = time.perf_counter()
         fn()
         times[name] = round(time.perf_counter() - t, 3)
