@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from catalytics.operators import aggregates as A
 from catalytics.operators import changes as C
+from catalytics.operators import insights as IN
 from catalytics.operators import listings as L
 from catalytics.operators import ml as M
 from catalytics.operators import ranking as R
@@ -145,30 +146,36 @@ def summary(ctx: Context) -> DataFrame:
 def category_distribution(ctx: Context, top: int = 12) -> dict[str, DataFrame]:
     _check("top", top, 3, 50)
     return {"data": A.category_distribution(ctx.scored, top),
-            "insights": A.category_distribution_summary(ctx.scored, top)}
+            "insights": A.category_distribution_summary(ctx.scored, top),
+            "insight_text": IN.category_distribution_insights(ctx.scored, top)}
 
 
 def price_distribution(ctx: Context, top: int = 10) -> dict[str, DataFrame]:
     _check("top", top, 3, 30)
-    return {"data": A.price_distribution(ctx.scored, top), "samples": SM.category_price_samples(ctx.scored, top)}
+    return {"data": A.price_distribution(ctx.scored, top), "samples": SM.category_price_samples(ctx.scored, top),
+            "insight_text": IN.price_distribution_insights(ctx.scored, top)}
 
 
 def demand_analysis(ctx: Context) -> dict[str, DataFrame]:
-    return {"pie": A.demand_mix(ctx.scored), "bubble": A.demand_bubble(ctx.scored, 15)}
+    return {"pie": A.demand_mix(ctx.scored), "bubble": A.demand_bubble(ctx.scored, 15),
+            "insight_text": IN.demand_insights(ctx.scored)}
 
 
 def ratings_vs_price(ctx: Context, sample: int = 1200) -> dict[str, DataFrame]:
     _check("sample", sample, 100, 5000)
-    return {"data": SM.scatter_sample(ctx.scored, sample), "insights": A.price_rating_corr(ctx.scored)}
+    return {"data": SM.scatter_sample(ctx.scored, sample), "insights": A.price_rating_corr(ctx.scored),
+            "insight_text": IN.ratings_insights(ctx.scored, sample)}
 
 
 def monthly_trend(ctx: Context) -> dict[str, DataFrame]:
     m = A.monthly_units(ctx.spark, ctx.sf_dir)
-    return {"data": m, "insights": A.monthly_insights(m), "seasonal": A.seasonal_allocation(ctx.scored)}
+    return {"data": m, "insights": A.monthly_insights(m), "seasonal": A.seasonal_allocation(ctx.scored),
+            "insight_text": IN.monthly_insights_text(m)}
 
 
 def correlation(ctx: Context) -> dict[str, DataFrame]:
-    return {"matrix": A.correlation_matrix(ctx.scored), "pairs": A.correlation_pairs(ctx.scored)}
+    return {"matrix": A.correlation_matrix(ctx.scored), "pairs": A.correlation_pairs(ctx.scored),
+            "insight_text": IN.correlation_insights(ctx.scored)}
 
 
 # ---------------------------------------------------------------- users, listings, orders, datasets

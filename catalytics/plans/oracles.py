@@ -680,6 +680,71 @@ O["stream_units_tumbling"] = sql("""SELECT strftime(date_trunc('day', ts), '%Y-%
   CAST(sum(units) AS BIGINT) AS units, count(*) AS orders FROM purchases GROUP BY 1, 2""", "purchases")
 
 
+# ---------------------------------------------------------------- insight sentences
+def _num(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+O["category_distribution_insights"] = f"""SELECT
+  printf('%s leads the catalog with %s products (%s%% share).', leader, {_num('leader_count')},
+         CAST(leader_pct AS VARCHAR)) AS insight_1,
+  printf('Top %d categories account for %s%% of all listings.', 12, CAST(top_share_pct AS VARCHAR)) AS insight_2,
+  printf('Catalog spans %d distinct categories.', distinct_categories) AS insight_3
+  FROM ({O['category_distribution_summary']}) s"""
+
+O["price_distribution_insights"] = _with(f"""pd AS ({O['price_distribution']}),
+hi AS (SELECT category AS hi_cat, CAST(rnd(median, 0) AS BIGINT) AS hi_med FROM pd ORDER BY median DESC, category
+       LIMIT 1),
+lo AS (SELECT category AS lo_cat, CAST(rnd(median, 0) AS BIGINT) AS lo_med FROM pd ORDER BY median ASC, category DESC
+       LIMIT 1),
+mp AS (SELECT CAST(round(avg(CAST(price AS DECIMAL(20,4))), 0) AS BIGINT) AS mean_price FROM scored)""",
+    """SELECT printf('%s carries the highest median price (₹%d).', hi_cat, hi_med) AS insight_1,
+  printf('%s is the most affordable (median ₹%d).', lo_cat, lo_med) AS insight_2,
+  printf('Catalog-wide mean price: ₹%d.', mean_price) AS insight_3 FROM hi, lo, mp""", "scored")
+
+O["demand_insights"] = _with(f"""mix AS ({O['demand_mix']}),
+ms AS (SELECT CAST(round(avg(CAST(demand_score AS DECIMAL(20,4))), 1) AS DOUBLE) AS mean_score FROM scored)""",
+    f"""SELECT printf('%s products in the High-demand bucket (%s%%).',
+         {_num("(SELECT count FROM mix WHERE level = 'High')")},
+         CAST((SELECT pct FROM mix WHERE level = 'High') AS VARCHAR)) AS insight_1,
+  printf('%s products sit at Medium demand — the largest tier.',
+         {_num("(SELECT count FROM mix WHERE level = 'Medium')")}) AS insight_2,
+  printf('Mean demand score across the catalog: %s.', CAST(mean_score AS VARCHAR)) AS insight_3 FROM ms""",
+    "scored")
+
+O["ratings_insights"] = f"""SELECT printf('Price ↔ Rating correlation: %+.3f (%s).', corr, bucket) AS insight_1,
+  printf('%s products carry a 4.5★+ rating.', {_num('high_rated')}) AS insight_2,
+  printf('Showing %s of %s products (sample in md5 order).', {_num('least(1200, total)')}, {_num('total')})
+    AS insight_3
+  FROM ({O['price_rating_corr']}) r"""
+
+O["monthly_insights_text"] = f"""SELECT printf('Peak month: %s with %s units sold.', peak_month, {_num('peak_units')})
+    AS insight_1,
+  printf('Trend from %s to %s: %+.1f%%.', first_month, last_month, growth_pct) AS insight_2,
+  printf('Q4 (Oct–Dec) drives %s%% of annual volume.', CAST(q4_share_pct AS VARCHAR)) AS insight_3
+  FROM ({O['monthly_insights']}) i,
+       (SELECT min(month) AS first_month, max(month) AS last_month FROM ({O['monthly_units']})) m"""
+
+
+def _pairs_with_index() -> str:
+    rows = []
+    for i, (a, la) in enumerate(_CORR_COLS):
+        for j, (b, lb) in enumerate(_CORR_COLS):
+            if i < j:
+                rows.append(f"SELECT '{la}' AS row_label, '{lb}' AS col_label, {i * 10 + j} AS idx, "
+                            f"rnd(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 3) AS r FROM scored")
+    return "\nUNION ALL\n".join(rows)
+
+
+O["correlation_insights"] = sql(f"""SELECT
+  printf('Strongest pair: %s ↔ %s (r = %+.3f).', hi.row_label, hi.col_label, hi.r) AS insight_1,
+  printf('Weakest pair: %s ↔ %s (r = %+.3f).', lo.row_label, lo.col_label, lo.r) AS insight_2,
+  'Demand score is engineered from price / rating / units — expect non-trivial coupling there.' AS insight_3
+  FROM (SELECT arg_max(struct_pack(row_label, col_label, r), (abs(r), -idx)) AS hi,
+               arg_max(struct_pack(row_label, col_label, r), (-abs(r), idx)) AS lo
+        FROM ({_pairs_with_index()}))""", "scored")
+
+
 def expand_rnd(s: str) -> str:
     """Expand rnd(expr, d) into floor((expr) * 1e{d} + 0.5) / 1e{d}, the
     rounding the Spark side uses (catalytics.functions.scores.round_half)."""

@@ -255,3 +255,16 @@ QUERIES.update({
     "order_ingest": lambda s, d: ST.ingest_orders(purchases(s, d)).drop("ts"),
     "stream_units_tumbling": lambda s, d: ST.units_per_day(purchases(s, d)),
 })
+
+
+# ---------------------------------------------------------------- insight sentences
+from catalytics.operators import insights as IN  # noqa: E402
+
+QUERIES.update({
+    "category_distribution_insights": lambda s, d: IN.category_distribution_insights(scored(s, d), 12),
+    "price_distribution_insights": lambda s, d: IN.price_distribution_insights(scored(s, d), 10),
+    "demand_insights": lambda s, d: IN.demand_insights(scored(s, d)),
+    "ratings_insights": lambda s, d: IN.ratings_insights(scored(s, d), 1200),
+    "monthly_insights_text": lambda s, d: IN.monthly_insights_text(A.monthly_units(s, d)),
+    "correlation_insights": lambda s, d: IN.correlation_insights(scored(s, d)),
+})

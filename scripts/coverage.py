@@ -53,13 +53,13 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A3", "trends", ["trends"], "operators/aggregates.trends"),
     ("A4", "trend_cards", ["trend_cards"], "operators/aggregates.trend_cards"),
     ("A5", "trend_recommendation", ["trend_recommendation"], "operators/aggregates.trend_recommendation"),
-    ("A6", "category_distribution", ["category_distribution", "category_distribution_summary"],
+    ("A6", "category_distribution", ["category_distribution", "category_distribution_summary", "category_distribution_insights"],
      "operators/aggregates.category_distribution*"),
-    ("A7", "price_distribution", ["price_distribution"], "operators/aggregates.price_distribution"),
+    ("A7", "price_distribution", ["price_distribution", "price_distribution_insights"], "operators/aggregates.price_distribution"),
     ("A8", "demand_mix", ["demand_mix"], "operators/aggregates.demand_mix"),
-    ("A9", "demand_bubble", ["demand_bubble"], "operators/aggregates.demand_bubble"),
-    ("A10", "correlation_matrix", ["correlation_matrix", "correlation_pairs"], "operators/aggregates.correlation_*"),
-    ("A11", "price_rating_corr", ["price_rating_corr"], "operators/aggregates.price_rating_corr"),
+    ("A9", "demand_bubble", ["demand_bubble", "demand_insights"], "operators/aggregates.demand_bubble"),
+    ("A10", "correlation_matrix", ["correlation_matrix", "correlation_pairs", "correlation_insights"], "operators/aggregates.correlation_*"),
+    ("A11", "price_rating_corr", ["price_rating_corr", "ratings_insights"], "operators/aggregates.price_rating_corr"),
     ("A12", "inventory_metrics", ["inventory_metrics"], "operators/aggregates.inventory_metrics"),
     ("A13", "inventory_categories", ["inventory_categories"], "operators/aggregates.inventory_categories"),
     ("A14", "category_stats", ["category_stats"], "operators/aggregates.category_stats"),
@@ -70,7 +70,7 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A19", "seller_panel", ["seller_panel"], "operators/aggregates.seller_panel"),
     ("A20", "class_distribution", ["class_distribution"], "operators/aggregates.class_distribution"),
     ("A21", "monthly_units", ["monthly_units"], "operators/aggregates.monthly_units"),
-    ("A22", "monthly_insights", ["monthly_insights"], "operators/aggregates.monthly_insights"),
+    ("A22", "monthly_insights", ["monthly_insights", "monthly_insights_text"], "operators/aggregates.monthly_insights"),
     ("A23", "seasonal_allocation", ["seasonal_allocation"], "operators/aggregates.seasonal_allocation"),
     ("A24", "order_totals", ["order_totals"], "operators/aggregates.order_totals"),
     ("T1", "product_listing", ["product_listing", "product_listing_meta"], "operators/ranking.product_listing*"),
