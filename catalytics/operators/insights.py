@@ -105,3 +105,50 @@ def correlation_insights(scored: DataFrame) -> DataFrame:
     return p.select(F.format_string(T_STRONGEST, "hi.row_label", "hi.col_label", "hi.r").alias("insight_1"),
                     F.format_string(T_WEAKEST, "lo.row_label", "lo.col_label", "lo.r").alias("insight_2"),
                     F.lit(T_COUPLING).alias("insight_3"))
+
+
+# Sentence formats of the trend and category pages.
+T_TOP5 = "Top 5 by demand: %s"
+T_RECOMMEND = "Recommended: %s — best balance of demand score & sales volume"
+T_CATEGORY = ("This category has %s products with an avg demand score of %s. "
+              "%s products are High demand, %s are Best Sellers. ")
+T_TOP_PRODUCT = "Top product: %s (score %s). "
+T_HOT_SEGMENT = "Hot segment has %s products averaging ₹%s with score %s."
+
+
+def js_number(c) -> Column:
+    """A double as the browser prints a JSON number: 45.0 -> '45', 45.5 -> '45.5'."""
+    x = S.col_(c)
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def trend_texts(trend_rows: DataFrame) -> DataFrame:
+    """The trend page's two sentences from the recommendation row."""
+    r = A.trend_recommendation(trend_rows)
+    return r.select(F.format_string(T_TOP5, "top5").alias("top5_text"),
+                    F.format_string(T_RECOMMEND, "recommended").alias("recommendation_text"))
+
+
+def category_insights(scored: DataFrame) -> DataFrame:
+    """The category page's insight sentence for every category (without the
+    segment clause, which needs the KMeans segments; see ``with_hot_segment``)."""
+    from catalytics.operators import ranking as R
+    st = A.category_stats(scored)
+    top = R.category_top(scored, 1).select("category", F.substring("title", 1, 50).alias("top_title"),
+                                           F.col("demand_score").alias("top_score"))
+    j = st.join(top, "category", "left")
+    first = F.format_string(T_CATEGORY, F.col("product_count").cast("string"), js_number("avg_demand_score"),
+                            F.col("high_demand_count").cast("string"), F.col("best_sellers").cast("string"))
+    top_part = F.when(F.col("top_title").isNotNull(),
+                      F.format_string(T_TOP_PRODUCT, "top_title", js_number("top_score"))).otherwise(F.lit(""))
+    return j.select("category", F.concat(first, top_part).alias("insight"))
+
+
+def with_hot_segment(insights: DataFrame, segment_summary: DataFrame) -> DataFrame:
+    """Append the Hot-segment clause (segment_summary from A17)."""
+    hot = (segment_summary.where(F.col("segment") == "Hot")
+           .select(F.col("categoryName").alias("category"),
+                   F.format_string(T_HOT_SEGMENT, F.col("count").cast("string"), js_number("avg_price"),
+                                   js_number("avg_demand_score")).alias("_hot")))
+    return (insights.join(hot, "category", "left")
+                    .select("category", F.concat(F.col("insight"), F.coalesce("_hot", F.lit(""))).alias("insight")))

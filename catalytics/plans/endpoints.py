@@ -94,7 +94,7 @@ def demand_trends(ctx: Context, top: int = 20, sort_by: str = "avg_demand_score"
     _check("top", top, 1, 126)
     t = A.trends(ctx.scored, top)
     return {"data": t, "cards": A.trend_cards(t), "recommendation": A.trend_recommendation(t),
-            "chart": R.trends_resort(t, sort_by)}
+            "texts": IN.trend_texts(t), "chart": R.trends_resort(t, sort_by)}
 
 
 def bulk_predictions(ctx: Context, limit: int = 50, category: str | None = None,
@@ -135,7 +135,8 @@ def category_analysis(ctx: Context, category: str | None = None) -> dict[str, Da
             "bottom_products": R.category_bottom(s, 5).join(seg.select("asin", "segment"), "asin", "left"),
             "price_buckets": A.price_buckets(s), "stars_dist": A.stars_histogram(s),
             "scatter": SM.category_scatter(s, 300).join(seg.select("asin", "segment"), "asin", "left"),
-            "bought_chart": R.category_bought_top(s, 10)}
+            "bought_chart": R.category_bought_top(s, 10),
+            "insight": IN.with_hot_segment(IN.category_insights(s), A.segment_summary(with_seg))}
 
 
 # ---------------------------------------------------------------- analytics

@@ -745,6 +745,25 @@ O["correlation_insights"] = sql(f"""SELECT
         FROM ({_pairs_with_index()}))""", "scored")
 
 
+O["trend_texts"] = f"""SELECT 'Top 5 by demand: ' || top5 AS top5_text,
+  'Recommended: ' || recommended || ' — best balance of demand score & sales volume' AS recommendation_text
+  FROM ({O['trend_recommendation']}) t"""
+
+
+def _js(x: str) -> str:
+    return f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+
+
+O["category_insights"] = f"""SELECT st.category,
+  'This category has ' || CAST(product_count AS VARCHAR) || ' products with an avg demand score of '
+    || {_js('avg_demand_score')} || '. ' || CAST(high_demand_count AS VARCHAR) || ' products are High demand, '
+    || CAST(best_sellers AS VARCHAR) || ' are Best Sellers. '
+    || CASE WHEN tp.title IS NOT NULL THEN 'Top product: ' || substr(tp.title, 1, 50) || ' (score '
+            || {_js('tp.demand_score')} || '). ' ELSE '' END AS insight
+  FROM ({O['category_stats']}) st LEFT JOIN (SELECT category, title, demand_score FROM ({O['category_top']})
+                                              WHERE rank = 1) tp ON tp.category = st.category"""
+
+
 def expand_rnd(s: str) -> str:
     """Expand rnd(expr, d) into floor((expr) * 1e{d} + 0.5) / 1e{d}, the
     rounding the Spark side uses (catalytics.functions.scores.round_half)."""

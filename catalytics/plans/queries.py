@@ -268,3 +268,8 @@ QUERIES.update({
     "monthly_insights_text": lambda s, d: IN.monthly_insights_text(A.monthly_units(s, d)),
     "correlation_insights": lambda s, d: IN.correlation_insights(scored(s, d)),
 })
+
+QUERIES.update({
+    "trend_texts": lambda s, d: IN.trend_texts(A.trends(scored(s, d), 20)),
+    "category_insights": lambda s, d: IN.category_insights(scored(s, d)),
+})

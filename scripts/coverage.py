@@ -52,7 +52,7 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A2", "summary", ["summary"], "operators/aggregates.summary"),
     ("A3", "trends", ["trends"], "operators/aggregates.trends"),
     ("A4", "trend_cards", ["trend_cards"], "operators/aggregates.trend_cards"),
-    ("A5", "trend_recommendation", ["trend_recommendation"], "operators/aggregates.trend_recommendation"),
+    ("A5", "trend_recommendation", ["trend_recommendation", "trend_texts"], "operators/aggregates.trend_recommendation"),
     ("A6", "category_distribution", ["category_distribution", "category_distribution_summary", "category_distribution_insights"],
      "operators/aggregates.category_distribution*"),
     ("A7", "price_distribution", ["price_distribution", "price_distribution_insights"], "operators/aggregates.price_distribution"),
@@ -62,7 +62,7 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A11", "price_rating_corr", ["price_rating_corr", "ratings_insights"], "operators/aggregates.price_rating_corr"),
     ("A12", "inventory_metrics", ["inventory_metrics"], "operators/aggregates.inventory_metrics"),
     ("A13", "inventory_categories", ["inventory_categories"], "operators/aggregates.inventory_categories"),
-    ("A14", "category_stats", ["category_stats"], "operators/aggregates.category_stats"),
+    ("A14", "category_stats", ["category_stats", "category_insights"], "operators/aggregates.category_stats"),
     ("A15", "price_buckets", ["price_buckets"], "operators/aggregates.price_buckets"),
     ("A16", "stars_histogram", ["stars_histogram"], "operators/aggregates.stars_histogram"),
     ("A17", "segment_summary", ["segment_summary"], "operators/aggregates.segment_summary"),
