@@ -347,7 +347,8 @@ def predictions_summary(prediction_rows: DataFrame) -> DataFrame:
 
 
 def seller_panel(listings_parsed: DataFrame) -> DataFrame:
-    """Per owner: listings, #High by the seller score, mean score, floor(mean price)."""
+    """Per owner: listings, High/Medium/Low counts by the seller score,
+    rounded mean score, floor(mean price)."""
     from catalytics.functions.predicates import js_parse_float, js_parse_int
     s = listings_parsed.select(
         "owner_email",
@@ -355,9 +356,13 @@ def seller_panel(listings_parsed: DataFrame) -> DataFrame:
         js_parse_float("price_raw").alias("price_num"))
     g = s.groupBy("owner_email").agg(F.count("*").alias("n"),
                                      F.count_if(F.col("panel_score") >= 60).alias("high"),
+                                     F.count_if((F.col("panel_score") >= 35) & (F.col("panel_score") < 60))
+                                     .alias("medium"),
+                                     F.count_if(F.col("panel_score") < 35).alias("low"),
                                      F.sum("panel_score").alias("score_sum"),
                                      F.sum(S.scaled_units("price_num", 4)).alias("price_units"))
     return g.select("owner_email", F.col("n").alias("listings"), F.col("high").alias("high_count"),
+                    F.col("medium").alias("medium_count"), F.col("low").alias("low_count"),
                     F.floor(F.col("score_sum") / F.col("n") + 0.5).alias("avg_score"),
                     F.floor(F.col("price_units").cast("decimal(20,0)") / (F.col("n") * 10000).cast("decimal(20,0)"))
                     .cast("bigint").alias("avg_price"))

@@ -622,6 +622,7 @@ O["quick_score_metrics"] = sql(f"""WITH pr AS (SELECT demand_level AS y,
     CAST(support AS BIGINT) AS support, rnd(correct / total * 100, 2) AS accuracy FROM m2, tot""".replace(
     "WITH pr AS", ", pr AS", 1), "scored").replace("\n, pr AS", ",\npr AS")
 O["seller_panel"] = sql(f"""SELECT owner_email, count(*) AS listings, count_if(ps >= 60) AS high_count,
+  count_if(ps >= 35 AND ps < 60) AS medium_count, count_if(ps < 35) AS low_count,
   CAST(floor(sum(ps) / count(*) + 0.5{D}) AS BIGINT) AS avg_score,
   CAST(floor(sum(CAST(price AS DECIMAL(24,4))) / count(*)) AS BIGINT) AS avg_price
   FROM (SELECT owner_email, price, CAST(floor((stars / 5.0{D}) * 30.0{D} + least(boughtInLastMonth / 1000.0{D}, 1.0{D})
