@@ -49,3 +49,18 @@ def test_units_per_day_stream_equals_batch(spark):
     closed = {k: v for k, v in batch.items() if k[0] < "2024-01-04"}
     assert stream == closed
     assert stream[("2024-01-01", 7)] == 2 + 2 + 1 + 1
+
+
+def test_units_stream_ignores_rows_later_than_the_watermark(spark):
+    """Run, append a file with a too-late purchase, restart from the same
+    checkpoint: the watermark is kept in the checkpoint, the late row is
+    dropped and the closed day keeps its emitted value."""
+    src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
+    first = [(1, 7, 2, T0, "a@x.com", 1.0), (2, 7, 1, T0 + dt.timedelta(days=3), "b@x.com", 1.0)]
+    late = [(3, 7, 5, T0 + dt.timedelta(hours=2), "c@x.com", 1.0), (4, 8, 1, T0 + dt.timedelta(days=5), "d@x.com", 1.0)]
+    for part in (first, late):
+        spark.createDataFrame(part, ST.PURCHASE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.start_units_per_day(spark, src, f"{base}/units", f"{base}/ck").awaitTermination()
+    got = {(r["day"], r["asin"]): r["units"] for r in rows(spark.read.parquet(f"{base}/units"))}
+    assert got[("2024-01-01", 7)] == 2          # the late 5 units are not added to a closed day
+    assert ("2024-01-04", 7) in got             # day 4 closed by the day-6 purchase
