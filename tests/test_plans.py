@@ -41,7 +41,10 @@ def test_no_python_udfs_in_registered_queries(spark):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
 
-def test_stats_broadcast_is_one_row(spark):
+def test_global_stats_are_a_scalar_subquery_not_a_join(spark):
     s = scored(spark, SF_SMALL)
-    p = plan(A.trends(s))
-    assert "BroadcastNestedLoopJoin" in p or "BroadcastExchange" in p
+    df = A.trends(s)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in p
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
