@@ -48,3 +48,13 @@ def test_global_stats_are_a_scalar_subquery_not_a_join(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" in p
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_with_row_fails_on_more_than_one_row(spark):
+    import pytest
+    from catalytics.functions.scalars import with_row
+    base = spark.range(3)
+    ok = with_row(base, spark.range(1).selectExpr("41 + 1 AS answer"))
+    assert [r["answer"] for r in ok.collect()] == [42, 42, 42]
+    with pytest.raises(Exception, match="(?i)more than one row|SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        with_row(base, spark.range(2).selectExpr("id AS answer")).collect()
