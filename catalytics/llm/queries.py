@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalytics.llm.langid import op1_language_id
+from catalytics.llm.simhash import op7_simhash
 from catalytics.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
