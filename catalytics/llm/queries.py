@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalytics.llm.langid import op1_language_id
+from catalytics.llm.pii_crf import op10_personal_data
+from catalytics.llm.secrets import op3_secret_scan
 from catalytics.llm.simhash import op7_simhash
 from catalytics.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op7_simhash": op7_simhash,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
