@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalytics.llm.ann_forest import op8_ann_forest
+from catalytics.llm.bitsliced_topk import op4_bitsliced_topk
 from catalytics.llm.langid import op1_language_id
 from catalytics.llm.pii_crf import op10_personal_data
 from catalytics.llm.secrets import op3_secret_scan
@@ -16,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_bitsliced_topk": op4_bitsliced_topk,
     "op7_simhash": op7_simhash,
+    "op8_ann_forest": op8_ann_forest,
     "op10_personal_data": op10_personal_data,
 }
 
