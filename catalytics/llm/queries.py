@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from catalytics.llm.ann_forest import op8_ann_forest
 from catalytics.llm.bitsliced_topk import op4_bitsliced_topk
 from catalytics.llm.langid import op1_language_id
+from catalytics.llm.mixing import ORACLE_SQL as MIXING_SQL
+from catalytics.llm.mixing import op6_source_mixing
 from catalytics.llm.pii_crf import op10_personal_data
 from catalytics.llm.secrets import op3_secret_scan
 from catalytics.llm.simhash import op7_simhash
@@ -19,9 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_bitsliced_topk": op4_bitsliced_topk,
+    "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_ann_forest": op8_ann_forest,
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mixing": MIXING_SQL}
