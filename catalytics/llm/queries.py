@@ -11,6 +11,7 @@ from catalytics.llm.bitsliced_topk import op4_bitsliced_topk
 from catalytics.llm.langid import op1_language_id
 from catalytics.llm.mixing import ORACLE_SQL as MIXING_SQL
 from catalytics.llm.mixing import op6_source_mixing
+from catalytics.llm.ngram_lm import op9_ngram_lm
 from catalytics.llm.packing import op5_packing
 from catalytics.llm.pii_crf import op10_personal_data
 from catalytics.llm.secrets import op3_secret_scan
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_ann_forest": op8_ann_forest,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_personal_data": op10_personal_data,
 }
 
