@@ -100,7 +100,7 @@ def main() -> None:
     end_to_end = {
         "monthly_units": lambda: A.monthly_units(spark, sf_dir),
         "cart_resolve": lambda: L.cart_resolve(scored, listings, X.carts(spark, sf_dir)),
-        "order_totals": lambda: A.order_totals(X.orders(spark, sf_dir)),
+        "order_totals": lambda: A.order_totals(X.order_amounts(spark, sf_dir)),
         "listing_updates": lambda: C.listing_updates(listings, X.listing_updates_log(spark, sf_dir)),
         "stream_units_tumbling": lambda: ST.units_per_day(X.purchases_log(spark, sf_dir)),
         "category_segments": lambda: M.category_segments(scored),

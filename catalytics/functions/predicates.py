@@ -59,6 +59,22 @@ def excluded_terms(df: DataFrame, title="title", key_cols=("asin", "title", "cat
               .where(~F.coalesce(F.col(title).rlike(EXCLUDED_TITLE_PATTERN), F.lit(False))))
 
 
+def request_reason(price="price", stars="stars", bought="boughtInLastMonth") -> Column:
+    """First failed rule of a prediction request, or null; an empty category is accepted and encodes to 0."""
+    return (F.when(col_(price).isNull() | (col_(price) <= 0), F.lit("price must be > 0"))
+             .when(col_(stars).isNull() | (col_(stars) < 1.0) | (col_(stars) > 5.0), F.lit("stars must be between 1 and 5"))
+             .when(col_(bought) < 0, F.lit("boughtInLastMonth must be >= 0")))
+
+
+def edit_is_valid(price="price", stars="stars", bought="boughtInLastMonth", title="title", category="categoryName") -> Column:
+    """True for an edit whose supplied fields (null: not supplied) pass the listing rules."""
+    fields = [col_(price) <= 0, (col_(stars) < 1.0) | (col_(stars) > 5.0), col_(bought) < 0, F.trim(col_(title)) == "", F.trim(col_(category)) == ""]
+    bad = F.lit(False)
+    for f in fields:
+        bad = bad | F.coalesce(f, F.lit(False))
+    return ~bad
+
+
 def reject_reason(price="price", stars="stars", bought="boughtInLastMonth",
                   title="title", category="categoryName") -> Column:
     """First failed validation rule of a listing, or null when it is valid."""

@@ -154,19 +154,21 @@ def scaled_units(c, scale: int = 2) -> Column:
     return F.round(col_(c) * float(10 ** scale)).cast("bigint")
 
 
-def exact_mean(c, scale: int = 2) -> Column:
-    """Exact mean of a column with at most ``scale`` decimals, as DECIMAL(38,18).
+MEAN_SCALE = 6                    # decimals that a mean keeps of every value
 
-    Rows are summed as bigint units (a long sum in the hot loop, and exact,
-    so the result does not depend on how partitions are merged); only the
-    one value per group is divided in decimal.
+
+def exact_mean(c, scale: int = MEAN_SCALE) -> Column:
+    """Exact mean of a column to ``scale`` decimals per value, as a decimal.
+
+    Rows are summed as whole units in a decimal (exact, cannot overflow, and
+    independent of how partitions are merged); only the one value per group is divided.
     """
-    total = F.sum(scaled_units(c, scale)).cast("decimal(20,0)")
+    total = F.sum(scaled_units(c, scale).cast("decimal(15,0)")).cast("decimal(25,0)")
     n = (F.count(col_(c)) * (10 ** scale)).cast("decimal(20,0)")
     return total / n
 
 
-def exact_avg(c, scale: int = 2, digits: int = 2) -> Column:
+def exact_avg(c, scale: int = MEAN_SCALE, digits: int = 2) -> Column:
     """``exact_mean`` rounded half up to ``digits`` places, as a double."""
     return F.round(exact_mean(c, scale), digits).cast("double")
 

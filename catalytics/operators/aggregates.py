@@ -9,10 +9,11 @@ one decimal division per group), so results do not depend on merge order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalytics.functions.scalars import with_row
+from catalytics.functions.scalars import join_by_share, with_row
+from catalytics.operators.quantiles import exact_quantiles
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import reorder_predicate
 
@@ -72,16 +73,19 @@ def category_rollup(scored: DataFrame) -> DataFrame:
         _int_sum("isBestSeller").alias("best_sellers")))
 
 
-def trends(scored: DataFrame, top: int = 20) -> DataFrame:
+def trends(scored: DataFrame, top: int = 20, ranked: bool = False) -> DataFrame:
     """A3: top-N categories by mean demand score with a trend label.
 
-    The label uses the unrounded (exact) mean, as the reference does.
+    Label and order use the exact mean, as the reference does.  ``ranked`` adds the
+    place in that order, for views that sort again and must keep it among equals.
     """
     g = category_rollup(scored)
-    return (g.orderBy(F.col("avg_score_exact").desc(), F.col(CAT).asc()).limit(top)
-             .select(F.col(CAT).alias("category"), "product_count", "avg_demand_score", "avg_stars",
-                     "total_bought", "best_sellers",
-                     S.trend_label("avg_score_exact").alias("trend")))
+    best = g.orderBy(F.col("avg_score_exact").desc(), F.col(CAT).asc()).limit(top)
+    columns = [F.col(CAT).alias("category"), "product_count", "avg_demand_score", "avg_stars",
+               "total_bought", "best_sellers", S.trend_label("avg_score_exact").alias("trend")]
+    if ranked:                                            # over at most ``top`` rows
+        columns.append(F.row_number().over(Window.orderBy(F.col("avg_score_exact").desc(), F.col(CAT).asc())).alias("rank"))
+    return best.select(*columns)
 
 
 def trend_cards(trend_rows: DataFrame) -> DataFrame:
@@ -96,16 +100,13 @@ def trend_cards(trend_rows: DataFrame) -> DataFrame:
 def trend_recommendation(trend_rows: DataFrame) -> DataFrame:
     """A5: category with the best avg*0.7 + units*0.0003 and the top-5 names.
 
-    Ties keep the trend order (mean desc, then name), like a stable sort.
-    Works over the (at most 126) trend rows.
+    Works over the (at most 126) rows of ``trends(ranked=True)``; ties keep the trend order, like a stable sort.
     """
     r = trend_rows.withColumn("composite", F.col("avg_demand_score") * S.RECOMMEND_SCORE_WEIGHT
                               + F.col("total_bought") * S.RECOMMEND_UNITS_WEIGHT)
-    top1 = (r.orderBy(F.col("composite").desc(), F.col("avg_demand_score").desc(), F.col("category").asc())
+    top1 = (r.orderBy(F.col("composite").desc(), F.col("rank").asc())
              .limit(1).select(F.col("category").alias("recommended"), S.round_half("composite", 4).alias("composite")))
-    top5 = (r.orderBy(F.col("avg_demand_score").desc(), F.col("category").asc()).limit(5)
-             .agg(F.sort_array(F.collect_list(F.struct((-F.col("avg_demand_score")).alias("k"),
-                                                       F.col("category").alias("category")))).alias("s"))
+    top5 = (r.where(F.col("rank") <= 5).agg(F.sort_array(F.collect_list(F.struct("rank", "category"))).alias("s"))
              .select(F.concat_ws(", ", F.col("s.category")).alias("top5")))
     return with_row(top1, top5)
 
@@ -148,31 +149,23 @@ def price_keep(scored: DataFrame, top: int = 10) -> DataFrame:
     return scored.join(F.broadcast(top_categories(scored, top)), CAT, "left_semi")
 
 
-def price_distribution(scored: DataFrame, top: int = 10, exact: bool = True,
-                       accuracy: int = 10000) -> DataFrame:
+def price_distribution(scored: DataFrame, top: int = 10, ranked: bool = False) -> DataFrame:
     """Price five-number summary + mean per top-N category, by median desc.
 
-    ``exact`` uses ``percentile`` (linear interpolation, a counts-per-value
-    buffer that merges map-side); ``exact=False`` uses ``percentile_approx``
-    whose buffer is bounded by ``accuracy`` for very large groups.
+    The quartiles are exact (linear interpolation) and distributed, see ``exact_quantiles``.
+    ``ranked`` adds the place by the exact median.
     """
     sub = price_keep(scored, top)
-    if exact:
-        q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        q = F.percentile_approx("price", [0.25, 0.5, 0.75], accuracy)
-    g = sub.groupBy(CAT).agg(
-        F.min("price").alias("min"), q.alias("q"), F.max("price").alias("max"),
-        S.exact_avg("price").alias("mean"), F.count("price").alias("count"))
-    return (g.select(F.col(CAT).alias("category"),
-                     S.round_half("min", 2).alias("min"),
-                     S.round_half(F.col("q")[0], 2).alias("q1"),
-                     S.round_half(F.col("q")[1], 2).alias("median"),
-                     S.round_half(F.col("q")[2], 2).alias("q3"),
-                     S.round_half("max", 2).alias("max"), "mean", "count",
-                     F.col("q")[1].alias("_median_raw"))
-             .orderBy(F.col("_median_raw").desc(), F.col("category").asc())
-             .drop("_median_raw"))
+    g = sub.groupBy(CAT).agg(F.min("price").alias("min"), F.max("price").alias("max"),
+                             S.exact_avg("price").alias("mean"), F.count("price").alias("count"))
+    q = exact_quantiles(sub.select("asin", CAT, "price"), CAT, "price", (0.25, 0.5, 0.75))
+    out = g.join(q, CAT).select(F.col(CAT).alias("category"), S.round_half("min", 2).alias("min"), S.round_half(F.col("q")[0], 2).alias("q1"),
+                                S.round_half(F.col("q")[1], 2).alias("median"), S.round_half(F.col("q")[2], 2).alias("q3"),
+                                S.round_half("max", 2).alias("max"), "mean", "count", F.col("q")[1].alias("_median"))
+    order = [F.col("_median").desc(), F.col("category").asc()]
+    if ranked:                                            # over at most ``top`` rows
+        out = out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return out.orderBy(*order).drop("_median")
 
 
 def demand_mix(scored: DataFrame) -> DataFrame:
@@ -294,7 +287,9 @@ def price_buckets(scored: DataFrame, n_buckets: int = N_PRICE_BUCKETS) -> DataFr
     mm = g.groupBy(CAT).agg(F.min("price").alias("pmin"), F.max("price").alias("pmax")) \
           .withColumn("bsize", F.when(F.col("pmax") > F.col("pmin"),
                                       (F.col("pmax") - F.col("pmin")) / float(n_buckets)).otherwise(F.lit(1.0)))
-    j = g.select(CAT, "price").join(mm, CAT)
+    # equal prices are counted before any row meets its category's edges, and a category's prices are dealt over many tasks
+    priced = g.groupBy(CAT, "price").agg(F.count("*").alias("n"))
+    j = join_by_share(priced, mm, CAT, "price")
     b0 = F.floor((F.col("price") - F.col("pmin")) / F.col("bsize"))
 
     def inside(k):
@@ -302,8 +297,8 @@ def price_buckets(scored: DataFrame, n_buckets: int = N_PRICE_BUCKETS) -> DataFr
                 & (F.col("price") >= F.col("pmin") + k * F.col("bsize"))
                 & (F.col("price") < F.col("pmin") + (k + 1) * F.col("bsize")))
     bucket = F.when(inside(b0), b0).when(inside(b0 - 1), b0 - 1).when(inside(b0 + 1), b0 + 1)
-    counts = j.select(CAT, bucket.alias("bucket")).where(F.col("bucket").isNotNull()) \
-              .groupBy(CAT, "bucket").agg(F.count("*").alias("count"))
+    counts = j.select(CAT, bucket.alias("bucket"), "n").where(F.col("bucket").isNotNull()) \
+              .groupBy(CAT, "bucket").agg(F.sum("n").alias("count"))
     dim = mm.select(CAT, "pmin", "bsize", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"))
     lo = F.col("pmin") + F.col("bucket") * F.col("bsize")
     hi = F.col("pmin") + (F.col("bucket") + 1) * F.col("bsize")
@@ -425,6 +420,6 @@ def seasonal_allocation(scored: DataFrame) -> DataFrame:
 
 def order_totals(orders: DataFrame) -> DataFrame:
     """Items, subtotal, shipping (50 for express), total per order."""
-    return orders.select("order_id", F.size("items").alias("items"),
+    return orders.select("order_id", "items",
                          S.round_half("subtotal", 2).alias("subtotal"), "shipping",
                          S.round_half("total", 2).alias("total"), "delivery_speed")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalytics.functions.predicates import edit_is_valid
 from catalytics.operators.listings import LISTING_COLUMNS, listing_view
 
 CAT = "categoryName"
@@ -31,9 +32,9 @@ def _listing_key(df: DataFrame) -> DataFrame:
 
 
 def listing_updates(listings: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply the latest non-null value of each editable field per
+    """Apply the latest non-null value of each editable field of the valid requests per
     (id, owner); a request from a non-owner matches nothing."""
-    red = (_listing_key(updates).groupBy("id", "_owner")
+    red = (_listing_key(updates.where(edit_is_valid())).groupBy("id", "_owner")
            .agg(*[latest_non_null(f).alias(f"_new_{f}") for f in EDITABLE_LISTING_FIELDS],
                 F.max("ts").alias("_ts")))
     cur = _listing_key(listing_view(listings).select(*LISTING_COLUMNS))

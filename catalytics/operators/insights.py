@@ -22,7 +22,7 @@ T_PRICE_HIGH = "%s carries the highest median price (₹%d)."
 T_PRICE_LOW = "%s is the most affordable (median ₹%d)."
 T_PRICE_MEAN = "Catalog-wide mean price: ₹%d."
 T_HIGH_BUCKET = "%s products in the High-demand bucket (%s%%)."
-T_MEDIUM_TIER = "%s products sit at Medium demand — the largest tier."
+T_LARGEST_TIER = "%s products sit at %s demand — the largest tier."
 T_MEAN_SCORE = "Mean demand score across the catalog: %s."
 T_CORR = "Price ↔ Rating correlation: %+.3f (%s)."
 T_HIGH_RATED = "%s products carry a 4.5★+ rating."
@@ -53,11 +53,10 @@ def category_distribution_insights(scored: DataFrame, top: int = 12) -> DataFram
 
 
 def price_distribution_insights(scored: DataFrame, top: int = 10) -> DataFrame:
-    d = A.price_distribution(scored, top)
-    order = [F.col("median").desc(), F.col("category").asc()]
-    high = d.orderBy(*order).limit(1).select(F.col("category").alias("hi_cat"),
+    d = A.price_distribution(scored, top, ranked=True)
+    high = d.orderBy("rank").limit(1).select(F.col("category").alias("hi_cat"),
                                              S.round_half("median", 0).cast("bigint").alias("hi_med"))
-    low = (d.orderBy(F.col("median").asc(), F.col("category").desc()).limit(1)
+    low = (d.orderBy(F.col("rank").desc()).limit(1)
             .select(F.col("category").alias("lo_cat"), S.round_half("median", 0).cast("bigint").alias("lo_med")))
     mean = scored.agg(S.exact_avg("price", digits=0).cast("bigint").alias("mean_price"))
     return with_row(with_row(high, low), mean).select(
@@ -70,11 +69,12 @@ def demand_insights(scored: DataFrame) -> DataFrame:
     mix = A.demand_mix(scored)
     wide = mix.agg(F.max(F.when(F.col("level") == "High", F.col("count"))).alias("high"),
                    F.max(F.when(F.col("level") == "High", F.col("pct"))).alias("high_pct"),
-                   F.max(F.when(F.col("level") == "Medium", F.col("count"))).alias("medium"))
+                   F.max(F.struct("count", F.when(F.col("level") == "High", 2).when(F.col("level") == "Medium", 1).otherwise(0),
+                                  "level")).alias("largest"))
     mean = scored.agg(S.exact_avg("demand_score", digits=1).alias("mean_score"))
     return with_row(wide, mean).select(
         F.format_string(T_HIGH_BUCKET, _n("high"), _s("high_pct")).alias("insight_1"),
-        F.format_string(T_MEDIUM_TIER, _n("medium")).alias("insight_2"),
+        F.format_string(T_LARGEST_TIER, _n("largest.count"), "largest.level").alias("insight_2"),
         F.format_string(T_MEAN_SCORE, _s("mean_score")).alias("insight_3"))
 
 

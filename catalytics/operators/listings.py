@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalytics.functions.scalars import with_row
@@ -106,9 +106,9 @@ def training_union(catalog: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J3, J4
-def _first_listing_per_asin(listings: DataFrame) -> DataFrame:
-    """One listing per asin (lowest id): an aggregate, so duplicates combine map-side."""
-    v = listing_view(listings)
+def _first_listing_per_asin(listings: DataFrame, keys: DataFrame) -> DataFrame:
+    """One listing per wanted asin (lowest id): the keys are semi-joined first, and the aggregate combines map-side."""
+    v = listing_view(listings).join(keys, "asin", "left_semi")
     cols = [c for c in v.columns if c not in ("asin", "_valid")]
     return (v.groupBy("asin").agg(F.min_by(F.struct(*cols), F.col("id")).alias("l"))
              .select("asin", "l.*"))
@@ -117,11 +117,11 @@ def _first_listing_per_asin(listings: DataFrame) -> DataFrame:
 def product_lookup(scored: DataFrame, listings: DataFrame, keys: DataFrame) -> DataFrame:
     """Batch point lookup; a listing wins over a catalog row; unknown keys drop."""
     k = keys.select("asin").distinct()
-    lst = _first_listing_per_asin(listings).select(
+    lst = _first_listing_per_asin(listings, k).select(
         "asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",
         S.quick_score().alias("demand_score"))
-    cat = scored.select("asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",
-                        "demand_score")
+    cat = scored.join(k, "asin", "left_semi").select("asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",
+                                                     "demand_score")
     j = (k.join(lst.select("asin", F.struct(*[c for c in lst.columns if c != "asin"]).alias("l")), "asin", "left")
           .join(cat.select("asin", F.struct(*[c for c in cat.columns if c != "asin"]).alias("c")), "asin", "left")
           .where(F.col("l").isNotNull() | F.col("c").isNotNull()))
@@ -135,7 +135,7 @@ def demand_lookup(scored: DataFrame, catalog: DataFrame, listings: DataFrame, ke
     """Demand view per key; listings scored against catalog stats, clipped."""
     k = keys.select("asin").distinct()
     stats = catalog_stats(catalog)
-    lst = with_stats(_first_listing_per_asin(listings), stats).select(
+    lst = with_stats(_first_listing_per_asin(listings, k), stats).select(
         "asin", "title", "stars", "boughtInLastMonth",
         S.clipped_score("stars", "boughtInLastMonth", "isBestSeller", "price").alias("demand_score"))
     lst = lst.select("asin", "title", "demand_score", S.demand_level().alias("demand_level"),
@@ -199,11 +199,12 @@ def next_ids(catalog: DataFrame, listings: DataFrame) -> DataFrame:
 def listing_inserts(catalog: DataFrame, listings: DataFrame, batch: DataFrame,
                     added_on: dt.datetime = dt.datetime(2026, 5, 1, 12, 0),
                     buckets: int = 1024) -> DataFrame:
-    """Assign asin/id to a batch of new listings in arrival order (``seq``).
+    """Assign asin/id to the valid rows of a batch of new listings in arrival order (``seq``).
 
     The rank over the whole batch is computed bucket-wise (buckets of the seq
     range), so no single task sees the whole batch.
     """
+    batch = batch.where(reject_reason().isNull())
     rng = batch.agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
     b = with_row(batch, rng)
     width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / float(buckets), F.lit(1.0))
@@ -222,10 +223,9 @@ def listing_inserts(catalog: DataFrame, listings: DataFrame, batch: DataFrame,
 def user_orders(orders: DataFrame, email: str) -> DataFrame:
     """One user's orders, newest first, with the count on each row."""
     mine = orders.where(F.col("user_email") == email.lower())
-    n = mine.agg(F.count("*").alias("count"))
+    n = F.count("*").over(Window.partitionBy("user_email"))            # one user's orders
     return (mine.select("order_id", "created_at", F.size("items").alias("items"), S.round_half("total", 2).alias("total"),
-                        "status")
-                .transform(lambda d: with_row(d, n))
+                        "status", n.alias("count"))
                 .orderBy(F.col("created_at").desc(), F.col("order_id").desc()))
 
 

@@ -2,11 +2,15 @@
 segments (M9-M12, J9, A17).
 
 * The classifier is Spark ML's ``MultilayerPerceptronClassifier`` with the
-  reference's layer sizes (5-128-64-32-3); Spark's MLP uses sigmoid hidden
+  reference's hidden layers (128-64-32) and iteration limit; the last layer has
+  one unit per class seen in training.  Category codes, standardization and the
+  class names are stages of one pipeline, so a saved model scores a later
+  catalog exactly as the one it was trained on.  Spark's MLP uses sigmoid hidden
   units and L-BFGS, so results are compared by metrics, not weights.
 * KMeans for *every* category at once is written as Lloyd iterations over
-  DataFrames: a category with a third of the rows is spread over all tasks
-  (per-category sums are partial aggregates), never one pandas group.
+  DataFrames: a category with a third of the rows is spread over all tasks.  The
+  centers are a written table and a step returns one number, a fingerprint of
+  the assignment; the steps end when an assignment repeats.
 """
 
 from __future__ import annotations
@@ -14,47 +18,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalytics.functions.scalars import with_row
+from catalytics.functions.scalars import join_by_share, with_row
 from catalytics.functions import scores as S
 from catalytics.operators.catalog import catalog_stats, with_stats
-from catalytics.operators.sampling import (FEATURES, apply_label_codes, fit_label_codes, model_frame)
+from catalytics.operators.sampling import FEATURES, stratified_split
+from catalytics.session import scratch_path
 
 CAT = "categoryName"
-LAYERS = [5, 128, 64, 32, 3]
+HIDDEN_LAYERS = [128, 64, 32]
+MAX_ITER = 300                 # fixed value: the reference's limit of training passes
+UNKNOWN_CATEGORY = "Unknown"
 
 
 # ---------------------------------------------------------------- M9
-def train_demand_model(scored: DataFrame, max_iter: int = 100, seed: int = 42, block_size: int = 64):
-    """M9: fit scaler + MLP on the stratified train split.
+def _sql_name(c: str) -> str:
+    return f"z_{c}"
 
-    Returns (pipeline_model, frame) where frame holds features/label/split.
+
+def train_demand_model(scored: DataFrame, max_iter: int = MAX_ITER, seed: int = 42, block_size: int = 64):
+    """M9: fit codes, population z-scores and MLP on the stratified train split.
+
+    Returns (pipeline_model, frame); frame holds the raw features, the category,
+    demand_level and split.  Null or empty categories count as unknown, and a
+    category unseen in training gets code 0, as in the reference.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 
-    frame = model_frame(scored)
+    frame = stratified_split(scored.select("asin", CAT, "demand_level", *FEATURES[:-1]))
     train = frame.where(F.col("split") == "train")
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=FEATURES, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=LAYERS,
-                                       maxIter=max_iter, blockSize=block_size, seed=seed),
-    ])
-    return pipe.fit(train), frame
-
-
-def training_summary(scored: DataFrame, max_iter: int = 100) -> DataFrame:
+    named = SQLTransformer(statement=f"SELECT *, coalesce(nullif(trim({CAT}), ''), '{UNKNOWN_CATEGORY}') AS _category FROM __THIS__")
+    # the vocabulary is taken over the whole catalog, as the reference encodes before it splits
+    category = StringIndexer(inputCol="_category", outputCol="_code", stringOrderType="alphabetAsc",
+                             handleInvalid="keep").fit(named.transform(frame))
+    n = len(category.labels)
+    coded = SQLTransformer(statement=f"SELECT *, CASE WHEN _code >= {n} THEN 0.0D ELSE _code END AS cat_enc FROM __THIS__")
+    label = StringIndexer(inputCol="demand_level", outputCol="label", stringOrderType="alphabetAsc",
+                          handleInvalid="skip").fit(frame)
+    prepared = coded.transform(category.transform(named.transform(train)))
+    m = prepared.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
+    z = ", ".join(f"({c} - {m[f'm_{c}']!r}D) / {(m[f's_{c}'] or 1.0)!r}D AS {_sql_name(c)}" for c in FEATURES)
+    scaled = SQLTransformer(statement=f"SELECT *, {z} FROM __THIS__")
+    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, blockSize=block_size, seed=seed,
+                                         layers=[len(FEATURES), *HIDDEN_LAYERS, max(2, len(label.labels))])
+    fitted = Pipeline(stages=[scaled, VectorAssembler(inputCols=[_sql_name(c) for c in FEATURES], outputCol="features"), mlp]).fit(
+        label.transform(prepared))
+    back = IndexToString(inputCol="prediction", outputCol="predicted_level", labels=_class_names(label.labels))
+    return PipelineModel([named, category, coded, *fitted.stages, back]), frame
+
+
+def _class_names(labels: list[str]) -> list[str]:
+    """One name per output unit (a one-class catalog still needs two units)."""
+    return list(labels) if len(labels) > 1 else [*labels, "none"]
+
+
+def model_classes(model) -> list[str]:
+    """The class names of a fitted (or loaded) pipeline, in the order of its outputs."""
+    return list(model.stages[-1].getLabels())
+
+
+def training_summary(scored: DataFrame, max_iter: int = MAX_ITER) -> DataFrame:
     """M9 report: sample counts per split, layer sizes and iterations run."""
     model, frame = train_demand_model(scored, max_iter=max_iter)
-    mlp = model.stages[-1]
+    return _training_row(model, frame)
+
+
+def _training_row(model, frame: DataFrame) -> DataFrame:
+    mlp = model.stages[-2]
     summ = mlp.summary() if callable(mlp.summary) else mlp.summary
-    iters = len(summ.objectiveHistory)
     counts = frame.agg(F.count("*").alias("total_samples"),
                        F.count_if(F.col("split") == "train").alias("train_samples"),
                        F.count_if(F.col("split") == "test").alias("test_samples"))
-    return counts.select("*", F.lit("-".join(map(str, LAYERS))).alias("layers"),
-                         F.lit(iters).cast("int").alias("iterations_run"))
+    return counts.select("*", F.lit("-".join(map(str, mlp.getLayers()))).alias("layers"),
+                         F.lit(len(summ.objectiveHistory)).cast("int").alias("iterations_run"))
 
 
 # ---------------------------------------------------------------- M10
@@ -77,17 +114,12 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
                     S.round_half(F.col("correct") / F.col("total") * 100, 2).alias("accuracy"))
 
 
-def model_stats(scored: DataFrame, max_iter: int = 100) -> DataFrame:
-    """M10 for the trained MLP on the test split (labels mapped back to names)."""
+def model_stats(scored: DataFrame, max_iter: int = MAX_ITER) -> DataFrame:
+    """M10 for the trained MLP on the test split, with the sample counts, classes and iterations of the training."""
     model, frame = train_demand_model(scored, max_iter=max_iter)
-    test = frame.where(F.col("split") == "test")
-    pred = model.transform(test).select(F.col("label").cast("int").alias("code"),
-                                        F.col("prediction").cast("int").alias("pcode"))
-    names = frame.select(F.col("label").cast("int").alias("code"), "demand_level").distinct()  # one row per class
-    named = (pred.join(F.broadcast(names), "code")
-                 .join(F.broadcast(names.select(F.col("code").alias("pcode"),
-                                                F.col("demand_level").alias("predicted_level"))), "pcode", "left"))
-    return classification_metrics(named, "demand_level", "predicted_level")
+    pred = model.transform(frame.where(F.col("split") == "test")).select("demand_level", "predicted_level")
+    metrics = classification_metrics(pred, "demand_level", "predicted_level")
+    return with_row(metrics, _training_row(model, frame)).withColumn("classes", F.lit(", ".join(model_classes(model))))
 
 
 def quick_score_metrics(scored: DataFrame) -> DataFrame:
@@ -110,108 +142,124 @@ def listing_features(listings_view: DataFrame, catalog: DataFrame) -> DataFrame:
                     S.bs_norm().alias("bs_norm"), pn.alias("price_norm"))
 
 
-def predict_demand(model, scored: DataFrame, catalog: DataFrame, listings_view: DataFrame) -> DataFrame:
+def request_features(listings_view: DataFrame, catalog: DataFrame) -> DataFrame:
+    """P4 features, category code of the catalog (0 if unseen or empty) and display score of each listing."""
+    feats = listing_features(listings_view, catalog)
+    codes = category_codes(catalog)
+    name = F.coalesce(F.nullif(F.trim(F.col(CAT)), F.lit("")), F.lit(UNKNOWN_CATEGORY))
+    j = feats.withColumn("_category", name).join(codes, "_category", "left")
+    return j.select("asin", CAT, *FEATURES[:-1], F.coalesce("cat_enc", F.lit(0)).alias("cat_enc"), _display_score().alias("demand_score"))
+
+
+def category_codes(catalog: DataFrame) -> DataFrame:
+    """Alphabetical code of each category (one row per category)."""
+    name = F.coalesce(F.nullif(F.trim(F.col(CAT)), F.lit("")), F.lit(UNKNOWN_CATEGORY))
+    cats = catalog.select(name.alias("_category")).distinct()
+    return cats.withColumn("cat_enc", (F.row_number().over(Window.orderBy("_category")) - 1).cast("int"))
+
+
+def _display_score():
+    return S.round_half(F.col("stars_norm") * 0.25 + F.col("bought_norm") * 0.25 + F.col("bs_norm") * 0.25
+                        + F.col("price_norm") * 0.25, 2)
+
+
+def predict_demand(model, catalog: DataFrame, listings_view: DataFrame) -> DataFrame:
     """Class, confidence (max probability %), per-class probabilities and
-    the display score for a batch of listings; unseen categories encode to 0."""
+    the display score for a batch of listings.  Codes, scaling and classes all
+    come from the model."""
     from pyspark.ml.functions import vector_to_array
     feats = listing_features(listings_view, catalog)
-    cm = fit_label_codes(scored, CAT, unknown="Unknown")
-    feats = apply_label_codes(feats, cm, CAT, "cat_enc")
-    lm = fit_label_codes(scored, "demand_level")
-    classes = list(lm.labelsArray[0])
+    classes = F.array(*[F.lit(c) for c in model_classes(model)])
     p = model.transform(feats).withColumn("prob", vector_to_array("probability"))
     return p.select(
-        "asin",
-        F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1).alias("demand_level"),
+        "asin", F.col("predicted_level").alias("demand_level"),
         S.round_half(F.array_max("prob") * 100, 1).alias("confidence"),
-        F.map_from_arrays(F.array(*[F.lit(c) for c in classes]),
-                          F.transform("prob", lambda x: S.round_half(x * 100, 1))).alias("probabilities"),
-        S.round_half(F.col("stars_norm") * 0.25 + F.col("bought_norm") * 0.25 + F.col("bs_norm") * 0.25
-                     + F.col("price_norm") * 0.25, 2).alias("demand_score"))
+        F.map_from_arrays(classes, F.transform("prob", lambda x: S.round_half(x * 100, 1))).alias("probabilities"),
+        _display_score().alias("demand_score"))
 
 
 # ---------------------------------------------------------------- M12, J9, A17
-def _assign(points: DataFrame, centers) -> DataFrame:
-    """Nearest center per point (ties: lower cluster id).  ``centers`` is a
-    map column category -> array of (cid, cx, cy), a constant of k x
-    #categories entries, looked up per row (no join, no broadcast job)."""
-    d = F.transform(F.element_at(centers, F.col(CAT)),
-                    lambda c: F.struct(((F.col("x") - c["cx"]) ** 2 + (F.col("y") - c["cy"]) ** 2).alias("d"),
-                                       c["cid"].alias("cid")))
-    return points.withColumn("cid", F.array_min(d)["cid"])
-
-
-CENTERS_TYPE = "map<string,array<struct<cid:int,cx:double,cy:double>>>"
-
-
-def _centers_map(centers: list[tuple]):
-    """The center table as one constant map literal (folded at planning)."""
-    import json
-    by_cat: dict = {}
-    for c, i, x, y in centers:
-        by_cat.setdefault(c, []).append({"cid": int(i), "cx": float(x), "cy": float(y)})
-    return F.from_json(F.lit(json.dumps(by_cat)), CENTERS_TYPE)
-
-
-def category_segments(scored: DataFrame, k: int = 3, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
-    """KMeans on per-category standardized (price, demand_score), every
-    category at once; k = min(3, distinct points).  Then J9 maps clusters to
-    Hot/Warm/Cold by descending mean score.
-
-    The point table is checkpointed once to the shared checkpoint folder.
-    Each Lloyd step is one job: nearest center per point (centers joined as
-    a per-category array), then per-(category, cluster) means as a partial
-    aggregate.  Only the centers (k x #categories rows, like MLlib's KMeans)
-    come back to the driver, which cuts lineage.  A category stops once its
-    largest squared center move is <= ``tol``; later steps read only the
-    points of categories still moving.  Seeds are deterministic:
-    x = 0 and y at the (2i+1)/2k quantiles of the category's scores, so the
-    clusters start spread along demand; identical seeds collapse (k shrinks
-    when a category has fewer distinct scores).
+SCORE_RANGES = 1000            # ranges of the demand score in which the seed ranks are located
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's small table to the shared folder and read it back (cuts the lineage)."""
+    path = scratch_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _seeds(points: DataFrame, k: int) -> DataFrame:
+    """The points ranked (2i+1)/2k in each category by (score, price): CAT, cid, cx, cy; k = min(k, rows).
+
+    Ranks are located in two steps, counts per score range first and then the
+    equal points of the at most k ranges that hold a rank, so no task orders a category.
+    """
+    ranged = points.withColumn("_range", F.floor(F.col("y") / 100.0 * SCORE_RANGES))
+    counts = ranged.groupBy(CAT, "_range").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(CAT).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(Window.partitionBy(CAT)))
+    kk = F.least(F.col("rows"), F.lit(k))
+    ranks = counts.select(CAT, "_range", (F.col("upto") - F.col("n")).alias("before"), "upto", F.explode(F.transform(
+        F.sequence(F.lit(0).cast("bigint"), kk - 1),
+        lambda i: F.struct(i.cast("int").alias("cid"), (F.floor((2 * i + 1) * F.col("rows") / (2 * kk)) + 1).alias("rank")))).alias("r"))
+    ranks = ranks.where((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("upto"))).select(
+        F.col(CAT).alias("_cat"), F.col("_range").alias("_r"), "before", F.col("r.cid").alias("cid"), F.col("r.rank").alias("rank"))
+    held = ranks.groupBy("_cat", "_r").agg(F.first("before").alias("before"))
+    near = ranged.join(held, (F.col(CAT) == F.col("_cat")) & (F.col("_range") == F.col("_r"))).groupBy(
+        CAT, "_range", "before", "y", "x").agg(F.count("*").alias("m"))
+    upto = Window.partitionBy(CAT, "_range").orderBy("y", "x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("hi", F.col("before") + F.sum("m").over(upto)).withColumn("lo", F.col("hi") - F.col("m"))
+    hit = near.join(ranks.select("_cat", "_r", "cid", "rank"), (F.col(CAT) == F.col("_cat")) & (F.col("_range") == F.col("_r"))
+                    & (F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi")))
+    return hit.select(CAT, "cid", F.col("x").alias("cx"), F.col("y").alias("cy"))
+
+
+def _assign(points: DataFrame, centers: DataFrame, scale: DataFrame) -> DataFrame:
+    """Nearest center per point in standardized units (ties: lower cluster id); the centers are standardized, not the points."""
+    by_cat = centers.groupBy(CAT).agg(F.sort_array(F.collect_list(F.struct("cid", "cx", "cy"))).alias("cs")).join(scale, CAT)
+    j = join_by_share(points, by_cat, CAT, "asin")
+    unit = lambda d, s: F.when(F.col(s) > 0, d / F.col(s)).otherwise(F.lit(0.0))
+    d = F.transform("cs", lambda c: F.struct((F.pow(unit(F.col("x") - c["cx"], "sp"), F.lit(2)) + F.pow(unit(F.col("y") - c["cy"], "ss"), F.lit(2))).alias("d"),
+                                             c["cid"].alias("cid")))
+    return j.withColumn("cid", F.array_min(d)["cid"]).drop("cs", "sp", "ss")
+
+
+def category_clusters(scored: DataFrame, k: int = 3) -> DataFrame:
+    """KMeans on per-category standardized (price, demand_score), every category at once; k = min(3, rows).
+
+    Adds cid to the catalog's columns.  Each Lloyd step writes the new centers (an
+    emptied cluster keeps its center) with a hash sum of the assignment; it ends
+    when an assignment comes again.
     """
-    from catalytics.session import checkpoint_dir
-    spark = scored.sparkSession
-    checkpoint_dir(spark)         # the session's shared folder; a local one only if unset
-    pts = scored.where(F.col(CAT).isNotNull()).select("asin", CAT, "price", "demand_score")
-    st = pts.groupBy(CAT).agg(F.avg("price").alias("mp"), F.stddev_pop("price").alias("sp"),
-                              F.avg("demand_score").alias("ms"), F.stddev_pop("demand_score").alias("ss"))
-    z = (pts.join(st, CAT)
-            .select("asin", CAT, "demand_score",
-                    F.when(F.col("sp") > 0, (F.col("price") - F.col("mp")) / F.col("sp")).otherwise(0.0).alias("x"),
-                    F.when(F.col("ss") > 0, (F.col("demand_score") - F.col("ms")) / F.col("ss")).otherwise(0.0)
-                    .alias("y"))
-            .checkpoint())
-    qs = [(2 * i + 1) / (2 * k) for i in range(k)]
-    seeds = z.groupBy(CAT).agg(F.percentile_approx("y", qs, 10000).alias("q")).collect()
-    centers = []
-    for row in seeds:
-        seen = set()
-        for i, y in enumerate(row["q"]):
-            if y not in seen:
-                seen.add(y)
-                centers.append((row[CAT], i, 0.0, float(y)))
-    # each category stops on its own; a step only reads points of categories still moving
-    active = sorted({c for c, _, _, _ in centers})
-    for _ in range(max_iter):
-        moving = [t for t in centers if t[0] in set(active)]
-        step = [tuple(r) for r in _assign(z.where(F.col(CAT).isin(active)), _centers_map(moving))
-                .groupBy(CAT, "cid").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()]
-        old = {(c, i): (x, y) for c, i, x, y in moving}
-        shift: dict = {}
-        for c, i, x, y in step:
-            shift[c] = max(shift.get(c, 0.0), (x - old[(c, i)][0]) ** 2 + (y - old[(c, i)][1]) ** 2)
-        centers = [t for t in centers if t[0] not in set(active)] + step
-        active = sorted(c for c, m in shift.items() if m > tol)
-        if not active:
+    pts = _written(scored.where(F.col(CAT).isNotNull()).withColumn("x", F.col("price").cast("double"))
+                   .withColumn("y", F.col("demand_score").cast("double")), "kmeans-points")
+    scale = _written(pts.groupBy(CAT).agg(F.stddev_pop("x").alias("sp"), F.stddev_pop("y").alias("ss")), "kmeans-scale")
+    centers = _written(_seeds(pts, k), "kmeans-centers")
+    seen = set()
+    while True:
+        means = _assign(pts.select("asin", CAT, "x", "y"), centers, scale).groupBy(CAT, "cid").agg(
+            F.avg("x").alias("mx"), F.avg("y").alias("my"), F.sum(F.xxhash64("asin", "cid").cast("decimal(20,0)")).alias("sign"))
+        step = _written(centers.join(means, [CAT, "cid"], "left").select(
+            CAT, "cid", F.coalesce("mx", "cx").alias("cx"), F.coalesce("my", "cy").alias("cy"), "sign"), "kmeans-centers")
+        sign = step.agg(F.sum("sign")).first()[0]
+        if sign in seen:
             break
-    final = _assign(z, _centers_map(centers))
-    return label_segments(final)
+        seen.add(sign)
+        centers = step.drop("sign")
+    return _assign(pts, centers, scale).drop("x", "y")
+
+
+def category_segments(scored: DataFrame, k: int = 3) -> DataFrame:
+    """M12 + J9: cluster and Hot/Warm/Cold segment of every product."""
+    return label_segments(category_clusters(scored, k)).select("asin", CAT, F.col("cid").alias("cluster"), "segment")
 
 
 def label_segments(assigned: DataFrame) -> DataFrame:
-    """Per category, clusters by descending mean score -> Hot, Warm, Cold."""
-    means = assigned.groupBy(CAT, "cid").agg(F.avg("demand_score").alias("m"))
+    """Per category, clusters by descending mean score -> Hot, Warm, Cold; adds segment to all columns."""
+    means = assigned.groupBy(CAT, "cid").agg(F.avg(F.col("demand_score").cast("decimal(20,4)")).alias("m"))
     w = Window.partitionBy(CAT).orderBy(F.col("m").desc(), F.col("cid"))
     names = F.array(*[F.lit(s) for s in S.SEGMENTS])
-    lab = means.withColumn("segment", F.element_at(names, F.row_number().over(w).cast("int"))).drop("m")
-    return assigned.join(lab, [CAT, "cid"]).select("asin", CAT, F.col("cid").alias("cluster"), "segment")
+    lab = means.select(CAT, "cid", F.element_at(names, F.row_number().over(w).cast("int")).alias("segment"))
+    return assigned.join(lab, [CAT, "cid"])

@@ -132,17 +132,32 @@ def product_listing_meta(scored: DataFrame, listings: DataFrame, page: int = 1,
         F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("total") / limit)).alias("pages"))
 
 
-def product_listing_after(scored: DataFrame, after_value, after_asin: int, sort_by: str,
-                          limit: int = 20) -> DataFrame:
-    """Keyset page of catalog rows strictly after (sort value, asin).
+def product_listing_after(scored: DataFrame, listings: DataFrame, after: tuple, sort_by: str | None = None,
+                          limit: int = 20, **filters) -> DataFrame:
+    """The page of ``product_listing`` rows strictly after the row with key ``after``.
 
-    A deep page costs one filtered top-k instead of an offset scan.
+    ``after`` is (is_user_product, listing id, sort value, asin) of the last row seen.
+    The order is the list's own, nulls last, so rows without a sort value and all
+    listings are reached.  A deep page costs one filtered top-k instead of an offset scan.
     """
-    c, asc = SORT_OPTIONS[sort_by]
-    v = F.col(c)
-    cond = ((v > after_value) | ((v == after_value) & (F.col("asin") > after_asin))) if asc else \
-           ((v < after_value) | ((v == after_value) & (F.col("asin") > after_asin)))
-    return scored.where(cond).orderBy(v.asc() if asc else v.desc(), F.col("asin").asc()).limit(limit)
+    user, lid, value, asin = after
+    column, asc = SORT_OPTIONS.get(sort_by, (None, True))
+
+    def past(c, v, up=True):
+        if v is None:
+            return F.lit(False)
+        return F.coalesce((F.col(c) > v) if up else (F.col(c) < v), F.lit(False)) | F.col(c).isNull()
+
+    def same(c, v):
+        return F.col(c).isNull() if v is None else F.coalesce(F.col(c) == v, F.lit(False))
+    tail = F.col("asin") > asin
+    if column:
+        tail = past(column, value, asc) | (same(column, value) & tail)
+    src = 0 if user else 1
+    cond = (F.col("_src") > src) | ((F.col("_src") == src) & (past("_lid", lid) | (same("_lid", lid) & tail)))
+    union = listing_union(scored, listings, **filters)
+    return union.where(cond).orderBy(*listing_order(sort_by)).limit(limit).drop("_src").withColumnRenamed("_lid", "listing_id")
+
 
 
 # ---------------------------------------------------------------- T2..T5
@@ -245,5 +260,6 @@ def trends_resort(trend_rows: DataFrame, by: str = "total_bought", n: int = 10)
     """Trend rows re-sorted by units or count (stable), first n for the chart."""
     if by not in ("total_bought", "product_count"):
         by = "avg_demand_score"
-    return trend_rows.orderBy(F.col(by).desc(), F.col("avg_demand_score").desc(),
-                              F.col("category").asc()).limit(n)
+    first = F.col("rank").asc() if by != "avg_demand_score" else None
+    order = [F.col("rank").asc()] if first is None else [F.col(by).desc(), first]
+    return trend_rows.orderBy(*order).limit(n).drop("rank")

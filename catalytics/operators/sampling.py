@@ -9,10 +9,10 @@ still ranked by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalytics.functions.scalars import with_row
+from catalytics.functions.scalars import JOIN_SHARES, with_row
 from catalytics.functions import scores as S
 from catalytics.operators.aggregates import price_keep
 from catalytics.operators.listings import TRAINING_COLUMNS
@@ -20,6 +20,7 @@ from catalytics.operators.ranking import bucketed_row_number, md5_bucket, md5_ke
 
 CAT = "categoryName"
 SPLIT_TRAIN_FRACTION = 0.8
+COPY_CHUNK = 1000          # copies of one row made at a time
 RANK_BUCKET_HEX = 3        # 16**3 = 4096 buckets per class for exact ranks
 
 
@@ -65,10 +66,13 @@ def balance_classes(training: DataFrame, label: str = "demand_level") -> DataFra
     mx = counts.agg(F.max("_n").alias("_max"))
     sizes = F.broadcast(with_row(counts, mx))           # one row per class
     r = class_rank(training, label).join(sizes, label)
-    copies = (F.floor(F.col("_max") / F.col("_n")).cast("int")
-              + F.when(F.col("r") <= F.col("_max") % F.col("_n"), 1).otherwise(0))
-    return (r.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-             .select(*TRAINING_COLUMNS, "copy"))
+    copies = F.expr("_max div _n") + F.when(F.col("r") <= F.col("_max") % F.col("_n"), 1).otherwise(0)
+    # two levels, so that no row carries an array as long as the ratio of the class sizes
+    chunk = F.lit(COPY_CHUNK).cast("bigint")
+    r = r.withColumn("_copies", copies).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {COPY_CHUNK}"))))
+    first = F.col("_part") * chunk
+    return (r.withColumn("copy", F.explode(F.sequence(first + 1, F.least(first + chunk, F.col("_copies")))))
+             .select(*TRAINING_COLUMNS, F.col("copy").cast("int").alias("copy")))
 
 
 def stratified_split(df: DataFrame, label: str = "demand_level", train_fraction: float = SPLIT_TRAIN_FRACTION
@@ -81,30 +85,32 @@ def stratified_split(df: DataFrame, label: str = "demand_level", train_fraction:
              .drop("r", "_n"))
 
 
-def fit_label_codes(df: DataFrame, col: str, unknown: str | None = None):
-    """Sorted-order codes 0..k-1 for the distinct values of ``col`` (StringIndexer,
-    alphabetical).  The vocabulary is part of the fitted model."""
-    from pyspark.ml.feature import StringIndexer
-    src = df.select(F.coalesce(F.col(col), F.lit(unknown)).alias(col)) if unknown else df.select(col)
-    return StringIndexer(inputCol=col, outputCol=f"{col}_idx", stringOrderType="alphabetAsc",
-                         handleInvalid="keep").fit(src)
+def label_codes(df: DataFrame, col: str, unknown: str | None = None) -> DataFrame:
+    """Sorted-order codes 0..k-1 of the distinct values of ``col``: one row per value, (value, code)."""
+    value = F.coalesce(F.col(col), F.lit(unknown)) if unknown else F.col(col)
+    names = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+    return names.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
 
 
-def apply_label_codes(df: DataFrame, model, col: str, out: str, unknown: str | None = None) -> DataFrame:
-    """Codes from a fitted indexer; a value unseen at fit time gets code 0."""
-    src = df.withColumn(col, F.coalesce(F.col(col), F.lit(unknown))) if unknown else df
-    n = len(model.labelsArray[0])
-    t = model.setInputCol(col).setOutputCol("_code").transform(src)
-    return t.withColumn(out, F.when(F.col("_code") >= n, 0).otherwise(F.col("_code")).cast("int")).drop("_code")
+def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str, key: str = "asin", unknown: str | None = None) -> DataFrame:
+    """Add the codes; a value without one gets 0."""
+    value = F.coalesce(F.col(col), F.lit(unknown)) if unknown else F.col(col)
+    share = F.pmod(F.xxhash64(key), F.lit(JOIN_SHARES)).cast("int")
+    named = codes.select(F.col("value").alias("_value"), F.col("code").alias(out),
+                         F.explode(F.sequence(F.lit(0), F.lit(JOIN_SHARES - 1))).alias("_s"))
+    j = df.join(named, (value == F.col("_value")) & (share == F.col("_s")), "left").drop("_value", "_s")
+    return j.withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def encoded(scored: DataFrame) -> DataFrame:
+    """M7 on all columns: cat_enc (null category -> 'Unknown') and label, alphabetical codes."""
+    t = apply_label_codes(scored, label_codes(scored, CAT, "Unknown"), CAT, "cat_enc", unknown="Unknown")
+    return apply_label_codes(t, label_codes(scored, "demand_level"), "demand_level", "label")
 
 
 def label_encode(scored: DataFrame) -> DataFrame:
     """M7: category code (null -> 'Unknown') and level code, alphabetical."""
-    cm = fit_label_codes(scored, CAT, unknown="Unknown")
-    lm = fit_label_codes(scored, "demand_level")
-    t = apply_label_codes(scored, cm, CAT, "cat_enc", unknown="Unknown")
-    t = apply_label_codes(t, lm, "demand_level", "label")
-    return t.select("asin", CAT, "cat_enc", "demand_level", "label")
+    return encoded(scored).select("asin", CAT, "cat_enc", "demand_level", "label")
 
 
 FEATURES = ["stars_norm", "bought_norm", "bs_norm", "price_norm", "cat_enc"]
@@ -128,6 +134,4 @@ def standardize(df: DataFrame, features=tuple(FEATURES), fit_on: str = "train")
 
 def model_frame(scored: DataFrame) -> DataFrame:
     """Features + label + split for the demand classifier (M6 + M7)."""
-    enc = label_encode(scored).select("asin", "cat_enc", "label")
-    base = scored.select("asin", "demand_level", "stars_norm", "bought_norm", "bs_norm", "price_norm")
-    return stratified_split(base.join(enc, "asin"))
+    return stratified_split(encoded(scored).select("asin", "demand_level", *FEATURES, "label"))

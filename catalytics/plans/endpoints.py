@@ -92,8 +92,8 @@ def dataset_stats(ctx: Context) -> DataFrame:
 
 def demand_trends(ctx: Context, top: int = 20, sort_by: str = "avg_demand_score") -> dict[str, DataFrame]:
     _check("top", top, 1, 126)
-    t = A.trends(ctx.scored, top)
-    return {"data": t, "cards": A.trend_cards(t), "recommendation": A.trend_recommendation(t),
+    t = A.trends(ctx.scored, top, ranked=True)
+    return {"data": t.drop("rank"), "cards": A.trend_cards(t), "recommendation": A.trend_recommendation(t),
             "texts": IN.trend_texts(t), "chart": R.trends_resort(t, sort_by)}
 
 
@@ -114,22 +114,21 @@ def rf_predict(ctx: Context, model, requests: DataFrame) -> dict[str, DataFrame]
     """Batch of prediction requests (price, stars, boughtInLastMonth,
     isBestSeller, categoryName); invalid rows come back with their reason."""
     req = requests.withColumn("asin", F.monotonically_increasing_id()) if "asin" not in requests.columns else requests
-    from catalytics.functions.predicates import reject_reason
-    checked = req.withColumn("title", F.lit("request")).withColumn("reject_reason", reject_reason())
-    valid = checked.where(F.col("reject_reason").isNull()).drop("title", "reject_reason")
-    return {"predictions": M.predict_demand(model, ctx.scored, ctx.catalog, valid),
-            "rejected": checked.where(F.col("reject_reason").isNotNull()).drop("title")}
+    from catalytics.functions.predicates import request_reason
+    checked = req.withColumn("reject_reason", request_reason())
+    return {"predictions": M.predict_demand(model, ctx.catalog, checked.where(F.col("reject_reason").isNull()).drop("reject_reason")),
+            "rejected": checked.where(F.col("reject_reason").isNotNull())}
 
 
-def model_stats(ctx: Context, max_iter: int = 100) -> DataFrame:
+def model_stats(ctx: Context, max_iter: int = M.MAX_ITER) -> DataFrame:
     return M.model_stats(ctx.scored, max_iter)
 
 
 def category_analysis(ctx: Context, category: str | None = None) -> dict[str, DataFrame]:
     """All blocks of the category view, for every category (or one)."""
     s = ctx.scored if category is None else ctx.scored.where(F.col("categoryName") == category)
-    seg = M.category_segments(s)
-    with_seg = seg.join(s.drop("categoryName"), "asin")
+    with_seg = M.label_segments(M.category_clusters(s))
+    seg = with_seg.select("asin", "segment")
     return {"stats": A.category_stats(s), "cluster_summary": A.segment_summary(with_seg),
             "top_products": R.category_top(s, 10).join(seg.select("asin", "segment"), "asin", "left"),
             "bottom_products": R.category_bottom(s, 5).join(seg.select("asin", "segment"), "asin", "left"),
@@ -186,7 +185,7 @@ def user_products(ctx: Context, email: str) -> dict[str, DataFrame]:
 
 
 def get_orders(ctx: Context, email: str) -> DataFrame:
-    return L.user_orders(X.orders(ctx.spark, ctx.sf_dir), email)
+    return L.user_orders(X.orders(ctx.spark, ctx.sf_dir, email), email)
 
 
 def build_dataset(ctx: Context, save_path: str | None = None) -> dict[str, DataFrame]:

@@ -52,13 +52,12 @@ scored AS (SELECT *, {_LEVEL} AS demand_level FROM scored0)"""
 _CTE["listings"] = f"""n_sup AS (SELECT count(*) AS n_supp FROM supplier),
 pmaxk AS (SELECT max(p_partkey) AS max_key FROM part),
 lrows AS (
-  SELECT p_partkey, p_partkey + 1 + max_key AS asin, p_partkey // 20 + 1 AS id, lower(s_name) AS owner_email,
+  SELECT p_partkey, p_partkey + 1 + max_key AS asin, p_partkey + 1 AS id, lower(s_name) AS owner_email,
          p_name AS title, p_brand AS categoryName, p_retailprice * 1.25{D} AS price, {_STARS} AS stars,
          CAST(coalesce(units, 0) AS BIGINT) AS boughtInLastMonth, p_type AS description, s_name
   FROM part CROSS JOIN n_sup CROSS JOIN pmaxk
        LEFT JOIN supplier ON s_suppkey = p_partkey % n_supp
-       LEFT JOIN sold ON l_partkey = p_partkey
-  WHERE p_partkey % 20 = 0),
+       LEFT JOIN sold ON l_partkey = p_partkey),
 lview AS (
   SELECT asin, id, owner_email, title, categoryName, price, stars, boughtInLastMonth,
          stars > 4.5 AS isBestSeller, description,
@@ -105,7 +104,9 @@ def sql(body: str, *needs: str) -> str:
 
 
 def ex_avg(c: str, scale: int = 4) -> str:
-    return f"CAST(round(avg(CAST({c} AS DECIMAL(20,{scale}))), 2) AS DOUBLE)"
+    """Mean rounded half up to 2 places, in whole units (an average of decimals is a double in DuckDB)."""
+    unit = 10 ** scale
+    return f"(CAST((sum(CAST(round({c} * {unit}) AS HUGEINT)) * 2 + count({c}) * {unit // 100}) // (count({c}) * {unit // 50}) AS DOUBLE) / 100.0{D})"
 
 
 _ROLLUP = f"""rollup AS (SELECT categoryName, count(asin) AS product_count,
@@ -120,6 +121,7 @@ _TREND = ("CASE WHEN avg_score_exact >= 60 THEN 'Surging' WHEN avg_score_exact >
 _TRENDS = f"""{_ROLLUP},
 trends AS (SELECT categoryName AS category, product_count, avg_demand_score, avg_stars, total_bought, best_sellers,
                   {_TREND} AS trend
+                  , row_number() OVER (ORDER BY avg_score_exact DESC, categoryName) AS rk
            FROM rollup ORDER BY avg_score_exact DESC, categoryName LIMIT 20)"""
 
 
@@ -177,7 +179,7 @@ O["summary"] = sql(f"""SELECT count(*) AS total_products, count(DISTINCT categor
   {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, {ex_avg('demand_score')} AS avg_demand,
   CAST(coalesce(sum(boughtInLastMonth), 0) AS BIGINT) AS total_units_month FROM scored""", "scored")
 
-O["trends"] = _with(_TRENDS, "SELECT * FROM trends", "scored")
+O["trends"] = _with(_TRENDS, "SELECT * EXCLUDE (rk) FROM trends", "scored")
 
 O["trend_cards"] = _with(_TRENDS, f"""SELECT count_if(trend = 'Surging') AS surging, count_if(trend = 'Rising') AS rising,
   CAST(coalesce(sum(total_bought), 0) AS BIGINT) AS total_units, {ex_avg('avg_demand_score')} AS avg_score FROM trends""", "scored")
@@ -185,9 +187,9 @@ O["trend_cards"] = _with(_TRENDS, f"""SELECT count_if(trend = 'Surging') AS surg
 O["trend_recommendation"] = _with(_TRENDS + f""",
 comp AS (SELECT *, avg_demand_score * 0.7{D} + total_bought * 0.0003{D} AS composite FROM trends),
 top1 AS (SELECT category AS recommended, rnd(composite, 4) AS composite FROM comp
-         ORDER BY composite DESC, avg_demand_score DESC, category LIMIT 1),
-top5 AS (SELECT string_agg(category, ', ' ORDER BY avg_demand_score DESC, category) AS top5
-         FROM (SELECT * FROM comp ORDER BY avg_demand_score DESC, category LIMIT 5))""",
+         ORDER BY composite DESC, rk LIMIT 1),
+top5 AS (SELECT string_agg(category, ', ' ORDER BY rk) AS top5
+         FROM (SELECT * FROM comp ORDER BY rk LIMIT 5))""",
                                   "SELECT * FROM top1, top5", "scored")
 
 _CATCOUNT = """cc AS (SELECT categoryName, count(*) AS count FROM scored WHERE categoryName IS NOT NULL GROUP BY 1),
@@ -302,7 +304,7 @@ _PRED = f"""pred AS (SELECT asin, title, categoryName AS category, rnd(price, 2)
   FROM scored ORDER BY demand_score DESC, asin LIMIT 50)"""
 
 O["predictions"] = _with(_PRED, "SELECT * FROM pred", "scored")
-O["predictions_level"] = _with(_PRED, "SELECT * FROM pred WHERE demand_level = 'Medium'", "scored")
+O["predictions_level"] = _with(_PRED, "SELECT * FROM pred WHERE demand_level = 'High'", "scored")
 O["predictions_summary"] = _with(_PRED, f"""SELECT count_if(demand_level = 'High') AS "High",
   count_if(demand_level = 'Medium') AS "Medium", count_if(demand_level = 'Low') AS "Low",
   {ex_avg('demand_score')} AS avg_score FROM pred""", "scored")
@@ -376,12 +378,14 @@ O["hero_rotation"] = _with(_UNION, """SELECT asin, title, categoryName, price, s
         LIMIT 20) WHERE NOT is_user_product ORDER BY src, lid NULLS LAST, demand_score DESC NULLS LAST, asin
   LIMIT 10""", "scored", "listings")
 
+O["hero_rotation_seller"] = O["hero_rotation"].replace("WHERE isBestSeller ORDER",
+                                                      "WHERE isBestSeller AND (src = 1 OR owner_email = 'supplier#000000001') ORDER")
 O["search_suggest"] = _with(_UNION, """SELECT asin, title, categoryName, price FROM lunion
   WHERE (src = 1 AND regexp_matches(title, 'red', 'i')) OR (src = 0 AND contains(lower(title), 'red'))
   ORDER BY src, lid NULLS LAST, asin LIMIT 6""", "scored", "listings")
 
-O["trends_resort"] = _with(_TRENDS, """SELECT * FROM trends
-  ORDER BY total_bought DESC, avg_demand_score DESC, category LIMIT 10""", "scored")
+O["trends_resort"] = _with(_TRENDS, """SELECT * EXCLUDE (rk) FROM trends
+  ORDER BY total_bought DESC, rk LIMIT 10""", "scored")
 
 O["next_ids"] = sql("""SELECT greatest(coalesce((SELECT max(asin) FROM catalog), 0),
                                   coalesce((SELECT max(asin) FROM lview), 0)) + 1 AS next_asin,
@@ -394,7 +398,7 @@ O["user_orders"] = sql("""SELECT order_id, created_at, CAST(n_items AS INTEGER)
 _LCOLS = ("asin, id, owner_email, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, description, "
           "image_filename, added_on")
 O["user_listings"] = sql(f"SELECT {_LCOLS} FROM lview WHERE lower(owner_email) = 'supplier#000000001'", "listings")
-O["scan_seller_listings"] = sql(f"SELECT {_LCOLS} FROM lview", "listings")
+O["scan_seller_listings"] = sql(f"SELECT {_LCOLS} FROM lview WHERE id % 11 <> 0 AND id % 13 <> 0", "listings")
 
 O["validate_listings"] = sql("""SELECT asin, id, owner_email, price, stars, boughtInLastMonth,
   CASE WHEN title IS NULL OR trim(title) = '' THEN 'title required'
@@ -402,7 +406,9 @@ O["validate_listings"] = sql("""SELECT asin, id, owner_email, price, stars, boug
        WHEN price IS NULL OR price <= 0 THEN 'price must be > 0'
        WHEN stars IS NULL OR stars < 1.0 OR stars > 5.0 THEN 'stars must be between 1 and 5'
        WHEN boughtInLastMonth < 0 THEN 'boughtInLastMonth must be >= 0' END AS reject_reason
-  FROM lview""", "listings")
+  FROM (SELECT * REPLACE (CASE id % 17 WHEN 3 THEN 0.0::DOUBLE ELSE price END AS price,
+                          CASE id % 19 WHEN 4 THEN 0.0::DOUBLE WHEN 5 THEN 6.0::DOUBLE ELSE stars END AS stars,
+                          CASE id % 23 WHEN 6 THEN ' ' ELSE title END AS title) FROM lview)""", "listings")
 
 O["catalog_union_listings"] = _with(_UNION, """SELECT asin, title, categoryName, price, stars, boughtInLastMonth,
   isBestSeller, demand_score, is_user_product, image_filename, owner_email, description, added_on,
@@ -461,8 +467,7 @@ O["listing_inserts"] = sql(f"""SELECT
   {_STARS} AS stars, CAST(coalesce(units, 0) AS BIGINT) AS boughtInLastMonth, {_STARS} > 4.5 AS isBestSeller,
   p_type AS description, '' AS image_filename, '2026-05-01 12:00' AS added_on
   FROM part CROSS JOIN n_sup LEFT JOIN supplier ON s_suppkey = p_partkey % n_supp
-       LEFT JOIN sold ON l_partkey = p_partkey
-  WHERE p_partkey % 20 = 10""", "catalog", "listings")
+       LEFT JOIN sold ON l_partkey = p_partkey""", "catalog", "listings")
 
 
 # ---------------------------------------------------------------- sources, functions, sampling, ML, changes
@@ -513,8 +518,9 @@ O["scan_catalog_documents"] = sql("""SELECT asin, title, categoryName, price, st
   CAST(boughtInLastMonth AS INTEGER) AS boughtInLastMonth, isBestSeller FROM catalog""", "catalog")
 O["scan_with_fallback"] = sql("SELECT * FROM catalog", "catalog")
 O["normalize_raw_feed"] = "SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand AS categoryName FROM part"
-O["filter_excluded_terms"] = r"""SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand AS categoryName
-  FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND NOT regexp_matches(p_name, '\bbra\b', 'i')"""
+O["filter_excluded_terms"] = r"""SELECT CAST(p_partkey AS VARCHAR) AS asin,
+    CASE p_partkey % 9 WHEN 5 THEN p_name || ' Bracelet' ELSE p_name END AS title, p_brand AS categoryName
+  FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL AND p_partkey % 9 <> 4 AND NOT regexp_matches(p_name, '\bbra\b', 'i')"""
 O["migrate_products_dedup"] = sql("""SELECT asin, title, categoryName, price, stars, boughtInLastMonth,
   isBestSeller, demand_score, demand_level, stars_norm, bought_norm, bs_norm, price_norm, false AS is_user_product
   FROM train""", "train")
@@ -573,7 +579,7 @@ O["filter_range"] = sql("""SELECT asin, price, stars FROM scored WHERE price >=
   AND stars >= 3.5""", "scored")
 O["reorder_predicate"] = sql("""SELECT asin, demand_score, boughtInLastMonth FROM scored
   WHERE demand_score < 35 AND boughtInLastMonth < 100""", "scored")
-O["skip_malformed_rows"] = sql("SELECT asin, price, stars, boughtInLastMonth FROM lview", "listings")
+O["skip_malformed_rows"] = sql("SELECT asin, price, stars, boughtInLastMonth FROM lview WHERE id % 13 <> 0", "listings")
 O["safe_projection"] = sql("SELECT email, name, phone, department, city, role, joined FROM users", "users")
 def _u(tag: str) -> str:
     return (f"(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '42' || '{tag}'), 1, 8))::BIGINT "
@@ -586,7 +592,7 @@ O["synthesize_fields"] = f"""SELECT asin, title, categoryName, price, boughtInLa
                CAST(50 + floor({_u('bought')} * 950.0{D}) AS BIGINT) AS boughtInLastMonth,
                rnd(3.5{D} + {_u('stars')} * 1.5{D}, 1) AS stars FROM part)"""
 O["title_truncate"] = sql("""SELECT asin, substr(title, 1, 45) AS title_45, substr(title, 1, 30) AS title_30
-  FROM catalog""", "catalog")
+  FROM (SELECT asin, title || repeat(' ' || categoryName, CAST(asin % 8 AS INTEGER)) AS title FROM catalog)""", "catalog")
 
 O["scatter_sample"] = sql("""SELECT asin, rnd(price, 2) AS price, stars, categoryName AS category,
   rnd(demand_score, 1) AS demand FROM scored ORDER BY md5(CAST(asin AS VARCHAR)), asin LIMIT 1200""", "scored")
@@ -599,6 +605,9 @@ O["category_scatter"] = sql("""SELECT categoryName AS category, asin, rnd(price,
   FROM scored WHERE categoryName IS NOT NULL) WHERE rk <= 300""", "scored")
 O["catalog_downsample"] = sql("""SELECT * FROM catalog ORDER BY md5(CAST(asin AS VARCHAR)), asin LIMIT 10000""",
                               "catalog")
+for _q, _n, _small in (("category_price_samples", "rk <= 400", "rk <= 20"), ("category_scatter", "rk <= 300", "rk <= 10"),
+                       ("catalog_downsample", "LIMIT 10000", "LIMIT 100")):
+    O[f"{_q}_small"] = O[_q].replace(_n, _small)
 O["stratified_split"] = sql("SELECT asin, demand_level, split FROM split", "split")
 O["label_encode"] = sql("SELECT asin, categoryName, cat_enc, demand_level, label FROM enc", "split")
 _ZF = ["stars_norm", "bought_norm", "bs_norm", "price_norm", "cat_enc"]
@@ -632,7 +641,7 @@ O["listing_updates"] = _with("""upd AS (SELECT listing_id AS id, lower(trim(acto
     value AS price,
     CASE WHEN event_id % 4 = 0 THEN round(1.0::DOUBLE + (event_id % 41) / 10.0::DOUBLE, 1) END AS stars,
     CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS description
-  FROM clog2 WHERE event_type = 'click'),
+  FROM clog2 WHERE event_type = 'click' AND NOT coalesce(value <= 0, false)),
 red AS (SELECT id, own, arg_max(price, ts) FILTER (WHERE price IS NOT NULL) AS n_price,
                arg_max(stars, ts) FILTER (WHERE stars IS NOT NULL) AS n_stars,
                arg_max(description, ts) FILTER (WHERE description IS NOT NULL) AS n_desc, max(ts) AS mts
@@ -708,8 +717,8 @@ ms AS (SELECT CAST(round(avg(CAST(demand_score AS DECIMAL(20,4))), 1) AS DOUBLE)
     f"""SELECT printf('%s products in the High-demand bucket (%s%%).',
          {_num("(SELECT count FROM mix WHERE level = 'High')")},
          CAST((SELECT pct FROM mix WHERE level = 'High') AS VARCHAR)) AS insight_1,
-  printf('%s products sit at Medium demand — the largest tier.',
-         {_num("(SELECT count FROM mix WHERE level = 'Medium')")}) AS insight_2,
+  (SELECT printf('%s products sit at %s demand — the largest tier.', {_num('count')}, level) FROM mix
+   ORDER BY count DESC, CASE level WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END LIMIT 1) AS insight_2,
   printf('Mean demand score across the catalog: %s.', CAST(mean_score AS VARCHAR)) AS insight_3 FROM ms""",
     "scored")
 
@@ -811,4 +820,34 @@ def expand_count_if(s: str) -> str:
         i = k
 
 
+
+
+# J9, A17 over a fixed assignment: cluster = asin % 3
+_SEGMENTED = """means AS (SELECT categoryName, CAST(asin % 3 AS INTEGER) AS cid, sum(CAST(demand_score AS DECIMAL(20,4))) / count(*) AS m
+  FROM scored WHERE categoryName IS NOT NULL GROUP BY 1, 2),
+lab AS (SELECT categoryName, cid, CASE row_number() OVER (PARTITION BY categoryName ORDER BY m DESC, cid)
+          WHEN 1 THEN 'Hot' WHEN 2 THEN 'Warm' ELSE 'Cold' END AS segment FROM means),
+segmented AS (SELECT s.*, l.cid, l.segment FROM scored s JOIN lab l ON l.categoryName = s.categoryName AND l.cid = s.asin % 3)"""
+O["segment_label_map"] = _with(_SEGMENTED, "SELECT categoryName, cid AS cluster, segment, count(*) AS n FROM segmented GROUP BY 1, 2, 3", "scored")
+O["segment_summary"] = _with(_SEGMENTED, f"""SELECT categoryName, segment, count(*) AS count, {ex_avg('demand_score')} AS avg_demand_score,
+  {ex_avg('price')} AS avg_price, {ex_avg('stars')} AS avg_stars, CAST(sum(boughtInLastMonth) AS BIGINT) AS total_bought,
+  CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers FROM segmented GROUP BY 1, 2""", "scored")
+
+# M11 inputs: clipped features, category code of the catalog, display score
+O["request_features"] = _with(f"""codes AS (SELECT categoryName, CAST(row_number() OVER (ORDER BY categoryName) - 1 AS INTEGER) AS code
+    FROM (SELECT DISTINCT coalesce(nullif(trim(categoryName), ''), 'Unknown') AS categoryName FROM scored)),
+  lc AS (SELECT l.asin, l.categoryName,
+     greatest(0.0{D}, least(100.0{D}, ((l.stars - 1.0{D}) / 4.0{D}) * 100.0{D})) AS stars_norm,
+     CASE WHEN bought_max > 0 THEN greatest(0.0{D}, least(100.0{D}, (l.boughtInLastMonth / bought_max) * 100.0{D}))
+          ELSE 0.0{D} END AS bought_norm,
+     CASE WHEN l.isBestSeller THEN 100.0{D} ELSE 0.0{D} END AS bs_norm,
+     CASE WHEN price_max > price_min THEN greatest(0.0{D}, least(100.0{D},
+          (1.0{D} - (l.price - price_min) / (price_max - price_min)) * 100.0{D})) ELSE 50.0{D} END AS price_norm
+   FROM (SELECT * REPLACE (CASE id % 7 WHEN 2 THEN '' WHEN 3 THEN 'zz new' ELSE categoryName END AS categoryName) FROM lview) l, cstats)""",
+   f"""SELECT asin, lc.categoryName, stars_norm, bought_norm, bs_norm, price_norm, coalesce(code, 0) AS cat_enc,
+     rnd(stars_norm*0.25{D} + bought_norm*0.25{D} + bs_norm*0.25{D} + price_norm*0.25{D}, 2) AS demand_score
+   FROM lc LEFT JOIN codes ON codes.categoryName = coalesce(nullif(trim(lc.categoryName), ''), 'Unknown')""", "scored", "listings")
+O["order_ingest_stream"] = O["order_ingest"]
+O["stream_units_stream"] = O["stream_units_tumbling"]
+
 ORACLES.update({k: expand_count_if(expand_rnd(v)) for k, v in ORACLES.items()})

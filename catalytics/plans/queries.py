@@ -54,7 +54,7 @@ QUERIES: dict[str, Query] = {
     "summary": lambda s, d: A.summary(scored(s, d)),
     "trends": lambda s, d: A.trends(scored(s, d), 20),
     "trend_cards": lambda s, d: A.trend_cards(A.trends(scored(s, d), 20)),
-    "trend_recommendation": lambda s, d: A.trend_recommendation(A.trends(scored(s, d), 20)),
+    "trend_recommendation": lambda s, d: A.trend_recommendation(A.trends(scored(s, d), 20, ranked=True)),
     "category_distribution": lambda s, d: A.category_distribution(scored(s, d), 12),
     "category_distribution_summary": lambda s, d: A.category_distribution_summary(scored(s, d), 12),
     "price_distribution": lambda s, d: A.price_distribution(scored(s, d), 10),
@@ -73,7 +73,7 @@ QUERIES: dict[str, Query] = {
     "monthly_units": lambda s, d: A.monthly_units(s, d),
     "monthly_insights": lambda s, d: A.monthly_insights(A.monthly_units(s, d)),
     "seasonal_allocation": lambda s, d: A.seasonal_allocation(scored(s, d)),
-    "order_totals": lambda s, d: A.order_totals(X.orders(s, d)),
+    "order_totals": lambda s, d: A.order_totals(X.order_amounts(s, d)),
     # ---- ranking
     "product_listing": lambda s, d: R.product_listing(scored(s, d), listings(s, d), page=2, limit=20,
                                                       sort_by="price_asc", min_stars=3.0),
@@ -81,7 +81,7 @@ QUERIES: dict[str, Query] = {
                                                                 min_stars=3.0),
     "recommended": lambda s, d: R.recommended(scored(s, d), 10),
     "predictions": lambda s, d: R.predictions(scored(s, d), 50),
-    "predictions_level": lambda s, d: R.predictions(scored(s, d), 50, level="Medium"),
+    "predictions_level": lambda s, d: R.predictions(scored(s, d), 50, level="High"),
     "reorder_alerts": lambda s, d: R.reorder_alerts(scored(s, d), 30),
     "top_movers": lambda s, d: R.top_movers(scored(s, d), 30),
     "category_top": lambda s, d: R.category_top(scored(s, d), 10),
@@ -89,14 +89,16 @@ QUERIES: dict[str, Query] = {
     "category_bought_top": lambda s, d: R.category_bought_top(scored(s, d), 10),
     "categories": lambda s, d: R.categories(scored(s, d)),
     "hero_rotation": lambda s, d: R.hero_rotation(scored(s, d), listings(s, d)),
+    "hero_rotation_seller": lambda s, d: R.hero_rotation(
+        scored(s, d), listings(s, d).where(F.lower("owner_email") == LISTING_OWNER.lower())),
     "search_suggest": lambda s, d: R.search_suggest(scored(s, d), listings(s, d), SEARCH_WORD),
-    "trends_resort": lambda s, d: R.trends_resort(A.trends(scored(s, d), 20), "total_bought"),
+    "trends_resort": lambda s, d: R.trends_resort(A.trends(scored(s, d), 20, ranked=True), "total_bought"),
     "next_ids": lambda s, d: L.next_ids(catalog(s, d), listings(s, d)),
-    "user_orders": lambda s, d: L.user_orders(X.orders(s, d), ORDER_USER),
+    "user_orders": lambda s, d: L.user_orders(X.orders(s, d, ORDER_USER), ORDER_USER),
     "user_listings": lambda s, d: L.user_listings(listings(s, d), LISTING_OWNER),
     # ---- listings, joins
-    "scan_seller_listings": lambda s, d: L.scan_seller_listings(listings(s, d)),
-    "validate_listings": lambda s, d: L.validate_listings(listings(s, d)),
+    "scan_seller_listings": lambda s, d: L.scan_seller_listings(malformed(s, d, blank_ids=True)),
+    "validate_listings": lambda s, d: L.validate_listings(invalid(s, d)),
     "catalog_union_listings": lambda s, d: L.catalog_union_listings(scored(s, d), listings(s, d)),
     "training_union": lambda s, d: L.training_union(catalog(s, d), listings(s, d)),
     "product_lookup": lambda s, d: L.product_lookup(scored(s, d), listings(s, d),
@@ -170,6 +172,69 @@ def purchases(spark, d):
     return X.purchases_log(spark, d)
 
 
+def _stream_files(spark, d):
+    """The purchases as Parquet files for a stream to read, in the shared folder."""
+    from catalytics.session import scratch_path
+    source = scratch_path(spark, "purchases")
+    purchases(spark, d).select(*ST.PURCHASE_SCHEMA.names).write.parquet(source)
+    return source, scratch_path(spark, "sink"), scratch_path(spark, "stream")
+
+
+def order_ingest_stream(spark, d):
+    """U6 as a stream run to the end of its input (availableNow); the sink read back."""
+    source, sink, state = _stream_files(spark, d)
+    ST.start_order_ingest(spark, source, sink, state).awaitTermination()
+    return ST.read_orders(spark, sink).drop("ts")
+
+
+def stream_units_stream(spark, d):
+    """2.7 as a stream run to the end of its input; the sink's partial sums added up."""
+    source, sink, state = _stream_files(spark, d)
+    ST.start_units_per_day(spark, source, sink, state).awaitTermination()
+    return ST.read_units(spark, sink)
+
+
+def malformed(spark, d, blank_ids=False):
+    """The listings with unreadable prices (id % 13 = 0) and, if asked, blank ids (id % 11 = 0)."""
+    raw, n = listings(spark, d), F.col("id").cast("bigint")
+    raw = raw.withColumn("price", F.when(n % 13 == 0, F.lit("N/A")).otherwise(F.col("price")))
+    return raw.withColumn("id", F.when(n % 11 == 0, F.lit(" ")).otherwise(F.col("id"))) if blank_ids else raw
+
+
+def invalid(spark, d):
+    """The listings with some prices, stars and titles that break a rule."""
+    n = F.col("id").cast("bigint")
+    return listings(spark, d).withColumns({
+        "price": F.when(n % 17 == 3, F.lit("0.0")).otherwise(F.col("price")),
+        "stars": F.when(n % 19 == 4, F.lit("0.0")).when(n % 19 == 5, F.lit("6.0")).otherwise(F.col("stars")),
+        "title": F.when(n % 23 == 6, F.lit(" ")).otherwise(F.col("title"))})
+
+
+def requests(spark, d):
+    """The listings as prediction requests, some with an empty or an unseen category."""
+    n = F.col("id")
+    return L.listing_view(listings(spark, d)).withColumn(
+        "categoryName", F.when(n % 7 == 2, F.lit("")).when(n % 7 == 3, F.lit("zz new")).otherwise(F.col("categoryName")))
+
+
+def raw_feed_with_terms(spark, d):
+    """The raw feed with the excluded word in some titles, and a longer word that holds it in others."""
+    key = F.regexp_extract("image", r"(\d+)", 1).cast("bigint")
+    return raw_feed(spark, d).withColumn("productDisplayName", F.when(key % 9 == 4, F.concat("productDisplayName", F.lit(" Bra red")))
+                                         .when(key % 9 == 5, F.concat("productDisplayName", F.lit(" Bracelet")))
+                                         .otherwise(F.col("productDisplayName")))
+
+
+def long_titles(spark, d):
+    """The catalog with titles of up to seven more words, so that some pass the display limits."""
+    return catalog(spark, d).withColumn("title", F.concat("title", F.expr("repeat(concat(' ', categoryName), cast(asin % 8 as int))")))
+
+
+def fixed_clusters(spark, d):
+    """The scored catalog with a fixed cluster (asin % 3), to check labels and summaries apart from the clustering."""
+    return scored(spark, d).where(F.col("categoryName").isNotNull()).withColumn("cid", (F.col("asin") % 3).cast("int"))
+
+
 def trend_labels(spark, d, cuts):
     g = A.category_rollup(scored(spark, d))
     return g.select(F.col("categoryName").alias("category"), "avg_demand_score",
@@ -215,13 +280,13 @@ QUERIES.update({
     "filter_range": lambda s, d: scored(s, d).where(P.catalog_filter(min_price=950.0, max_price=990.5,
                                                                      min_stars=3.5))
                                              .select("asin", "price", "stars"),
-    "filter_excluded_terms": lambda s, d: P.excluded_terms(RD.normalize_raw_feed(raw_feed(s, d))),
+    "filter_excluded_terms": lambda s, d: P.excluded_terms(RD.normalize_raw_feed(raw_feed_with_terms(s, d))),
     "reorder_predicate": lambda s, d: scored(s, d).where(P.reorder_predicate())
                                                   .select("asin", "demand_score", "boughtInLastMonth"),
-    "skip_malformed_rows": lambda s, d: L.listing_view(listings(s, d))
+    "skip_malformed_rows": lambda s, d: L.listing_view(malformed(s, d))
                                          .select("asin", "price", "stars", "boughtInLastMonth"),
     "safe_projection": lambda s, d: C.safe_projection(X.users(s, d)),
-    "title_truncate": lambda s, d: catalog(s, d).select("asin", F.substring("title", 1, 45).alias("title_45"),
+    "title_truncate": lambda s, d: long_titles(s, d).select("asin", F.substring("title", 1, 45).alias("title_45"),
                                                         F.substring("title", 1, 30).alias("title_30")),
     "synthesize_fields": lambda s, d: RD.synthesize_fields(RD.normalize_raw_feed(raw_feed(s, d))),
     # ---- sampling and ML
@@ -229,21 +294,25 @@ QUERIES.update({
     "category_price_samples": lambda s, d: SM.category_price_samples(scored(s, d), 10, 400),
     "category_scatter": lambda s, d: SM.category_scatter(scored(s, d), 300),
     "catalog_downsample": lambda s, d: SM.downsample(catalog(s, d), 10000),
+    "category_price_samples_small": lambda s, d: SM.category_price_samples(scored(s, d), 10, 20),
+    "category_scatter_small": lambda s, d: SM.category_scatter(scored(s, d), 10),
+    "catalog_downsample_small": lambda s, d: SM.downsample(catalog(s, d), 100),
     "balance_classes": balanced,
     "stratified_split": lambda s, d: split_frame(s, d).select("asin", "demand_level", "split"),
     "label_encode": lambda s, d: SM.label_encode(scored(s, d)),
     "standardize": standardized,
     "class_distribution": lambda s, d: A.class_distribution(training(s, d), balanced(s, d)),
     "quick_score_metrics": lambda s, d: M.quick_score_metrics(scored(s, d)),
-    "train_demand_model": lambda s, d: M.training_summary(scored(s, d), max_iter=60),
-    "model_stats": lambda s, d: M.model_stats(scored(s, d), max_iter=60),
-    "predict_demand": lambda s, d: M.predict_demand(M.train_demand_model(scored(s, d), max_iter=60)[0],
-                                                    scored(s, d), catalog(s, d), L.listing_view(listings(s, d))),
+    "train_demand_model": lambda s, d: M.training_summary(scored(s, d)),
+    "model_stats": lambda s, d: M.model_stats(scored(s, d)),
+    "predict_demand": lambda s, d: M.predict_demand(M.train_demand_model(scored(s, d))[0], catalog(s, d),
+                                                    L.listing_view(listings(s, d))),
+    "request_features": lambda s, d: M.request_features(requests(s, d), catalog(s, d)),
     "category_segments": lambda s, d: M.category_segments(scored(s, d)),
-    "segment_label_map": lambda s, d: M.category_segments(scored(s, d))
-                                        .groupBy("categoryName", "cluster", "segment").agg(F.count("*").alias("n")),
-    "segment_summary": lambda s, d: A.segment_summary(
-        M.category_segments(scored(s, d)).join(scored(s, d).drop("categoryName"), "asin")),
+    "segment_label_map": lambda s, d: M.label_segments(fixed_clusters(s, d))
+                                        .groupBy("categoryName", F.col("cid").alias("cluster"), "segment").agg(F.count("*").alias("n")),
+    "segment_summary": lambda s, d: A.segment_summary(M.label_segments(fixed_clusters(s, d))),
+    "category_segment_summary": lambda s, d: A.segment_summary(M.label_segments(M.category_clusters(scored(s, d)))),
     "seller_panel": lambda s, d: A.seller_panel(L.parse_listings(listings(s, d))),
     # ---- change logs and streams (batch form)
     "listing_updates": lambda s, d: C.listing_updates(listings(s, d), X.listing_updates_log(s, d)),
@@ -254,6 +323,8 @@ QUERIES.update({
     "seller_activity_merge": lambda s, d: C.seller_activity_merge(listings(s, d), X.image_uploads_log(s, d)),
     "order_ingest": lambda s, d: ST.ingest_orders(purchases(s, d)).drop("ts"),
     "stream_units_tumbling": lambda s, d: ST.units_per_day(purchases(s, d)),
+    "order_ingest_stream": order_ingest_stream,
+    "stream_units_stream": stream_units_stream,
 })
 
 
@@ -270,6 +341,6 @@ QUERIES.update({
 })
 
 QUERIES.update({
-    "trend_texts": lambda s, d: IN.trend_texts(A.trends(scored(s, d), 20)),
+    "trend_texts": lambda s, d: IN.trend_texts(A.trends(scored(s, d), 20, ranked=True)),
     "category_insights": lambda s, d: IN.category_insights(scored(s, d)),
 })

@@ -17,8 +17,6 @@ from catalytics.sources.tables import read_table
 
 # Fixed fixture parameters (FIXTURES.md).
 SALES_WINDOW_DAYS = 365          # boughtInLastMonth = units in the window before the last ship date
-LISTING_EVERY = 20               # listings are parts with p_partkey % 20 = 0
-INSERT_OFFSET = 10               # insert batch: parts with p_partkey % 20 = 10
 LISTING_PRICE_FACTOR = 1.25
 ASSET_SKIP_EVERY = 7             # parts with p_partkey % 7 = 0 have no image
 ORPHAN_EVERY = 10                # users with key % 10 = 0 get one unknown asin in the cart
@@ -32,33 +30,21 @@ def stars_expr(size="p_size", key="p_partkey"):
     return F.round(1.0 + ((F.col(size) * 7 + F.col(key) * 13) % 41) / 10.0, 1)
 
 
-def last_ship_date(spark: SparkSession, sf_dir: str):
-    """max(l_shipdate): a one-value job on one column.
-
-    Collected as a literal so the window filter is pushed into the Parquet
-    scan (row groups outside the window are skipped).
-    """
-    return read_table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]
-
-
-def ts_literal(value: dt.datetime, df: DataFrame, column: str):
-    """A timestamp literal of the column's own type (NTZ or session-zone), so
-    the comparison is pushed to Parquet without a cast on the column."""
-    typ = df.schema[column].dataType.simpleString()
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(typ)
-
-
 def units_by_part(spark: SparkSession, sf_dir: str, window_days: int = SALES_WINDOW_DAYS,
                   as_of: dt.datetime | None = None) -> DataFrame:
-    """Units per part shipped in (as_of - window, as_of]; partial aggregation map-side."""
-    if as_of is None:
-        as_of = last_ship_date(spark, sf_dir)
-    start = as_of - dt.timedelta(days=window_days)
+    """Units per part shipped in (as_of - window, as_of]; partial aggregation map-side.
+
+    Without ``as_of`` the window ends at the last ship date, a scalar subquery that
+    Spark runs with the query: building the plan reads no rows.
+    """
     li = read_table(spark, sf_dir, "lineitem")
-    lo, hi = ts_literal(start, li, "l_shipdate"), ts_literal(as_of, li, "l_shipdate")
-    return (li.where((F.col("l_shipdate") > lo) & (F.col("l_shipdate") <= hi))
-              .groupBy("l_partkey")
-              .agg(F.sum("l_quantity").alias("units")))
+    days = F.make_dt_interval(F.lit(window_days))
+    if as_of is None:                                     # no row lies after the last ship date
+        recent = F.col("l_shipdate") > li.agg((F.max("l_shipdate") - days).alias("start")).scalar()
+    else:
+        end = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(li.schema["l_shipdate"].dataType.simpleString())
+        recent = (F.col("l_shipdate") > end - days) & (F.col("l_shipdate") <= end)
+    return li.where(recent).groupBy("l_partkey").agg(F.sum("l_quantity").alias("units"))
 
 
 def catalog_base(spark: SparkSession, sf_dir: str, window_days: int = SALES_WINDOW_DAYS,
@@ -84,14 +70,13 @@ def _supplier_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup, n
 
 
-def _listing_rows(spark: SparkSession, sf_dir: str, offset: int, units: DataFrame | None = None) -> DataFrame:
-    """Part slice p_partkey % 20 = offset as all-string seller listings.
+def _listing_rows(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    """Every part as a seller listing.
 
     ``units`` (l_partkey, units) defaults to the F1 sales window; pass the
     catalog's column to avoid a second pass over lineitem."""
     part = (read_table(spark, sf_dir, "part")
-            .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-            .where(F.col("p_partkey") % LISTING_EVERY == offset))
+            .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
     sup, n = _supplier_owner(spark, sf_dir)
     pmax = read_table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("max_key"))
     sold = units if units is not None else units_by_part(spark, sf_dir)
@@ -102,7 +87,7 @@ def _listing_rows(spark: SparkSession, sf_dir: str, offset: int, units: DataFram
                  .select(
                      "p_partkey",
                      (F.col("p_partkey") + 1 + F.col("max_key")).alias("asin_num"),
-                     (F.col("p_partkey") / LISTING_EVERY).cast("bigint").alias("id_num"),
+                     F.col("p_partkey").cast("bigint").alias("id_num"),
                      F.lower(F.col("s_name")).alias("owner_email"),
                      F.col("p_name").alias("title"),
                      F.col("p_brand").alias("categoryName"),
@@ -118,7 +103,7 @@ def listings_raw(spark: SparkSession, sf_dir: str, catalog: DataFrame | None = N
     With ``catalog`` given, units come from its boughtInLastMonth column."""
     units = None if catalog is None else catalog.select(F.col("asin").alias("l_partkey"),
                                                         F.col("boughtInLastMonth").alias("units"))
-    rows = _listing_rows(spark, sf_dir, 0, units)
+    rows = _listing_rows(spark, sf_dir, units)
     return rows.select(
         F.col("asin_num").cast("string").alias("asin"),
         (F.col("id_num") + 1).cast("string").alias("id"),
@@ -136,11 +121,11 @@ def listings_raw(spark: SparkSession, sf_dir: str, catalog: DataFrame | None = N
 
 
 def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New listings to insert (no asin/id yet): parts p_partkey % 20 = 10.
+    """New listings to insert (no asin/id yet), one per part.
 
     ``seq`` is the arrival order; owner emails keep their original case.
     """
-    rows = _listing_rows(spark, sf_dir, INSERT_OFFSET)
+    rows = _listing_rows(spark, sf_dir)
     return rows.select(
         F.col("p_partkey").alias("seq"),
         F.when(F.col("p_partkey") % 40 == 10, F.upper(F.col("owner_email")))
@@ -193,10 +178,37 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order documents (items array, nested address struct)."""
+def order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 amounts only: order_id, items (count), subtotal, shipping, total, delivery_speed.
+
+    Grouped by (order, part) and then by order: two hash aggregates, no item array,
+    and neither customer nor nation is read.
+    """
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100.0).cast("bigint")).alias("cents")
+    per_part = order_lines(spark, sf_dir).groupBy("l_orderkey", "l_partkey").agg(cents)
+    per_order = per_part.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("items"), F.sum("cents").alias("subtotal_cents"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    express = F.col("o_orderpriority") == EXPRESS_PRIORITY
+    shipping = F.when(express, F.lit(EXPRESS_SHIPPING)).otherwise(F.lit(0.0))
+    return o.join(per_order, o.o_orderkey == per_order.l_orderkey).select(
+        F.col("o_orderkey").alias("order_id"), "items", (F.col("subtotal_cents") / 100.0).alias("subtotal"), shipping.alias("shipping"),
+        ((F.col("subtotal_cents") + (shipping * 100.0).cast("bigint")) / 100.0).alias("total"),
+        F.when(express, F.lit("express")).otherwise(F.lit("standard")).alias("delivery_speed"))
+
+
+def orders(spark: SparkSession, sf_dir: str, user_email: str | None = None) -> DataFrame:
+    """order documents (items array, nested address struct), of one user if given.
+
+    A user's filter is applied to customers first; orders and then order lines are
+    semi-joined with what is left before anything is grouped.
+    """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    per_order = (order_lines(spark, sf_dir)
+    lines = order_lines(spark, sf_dir)
+    if user_email is not None:
+        who = read_table(spark, sf_dir, "customer").where(F.lower("c_name") == user_email.lower()).select("c_custkey")
+        o = o.join(who, o.o_custkey == who.c_custkey, "left_semi")
+        lines = lines.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    per_order = (lines
                  .groupBy("l_orderkey")
                  .agg(F.array_sort(F.collect_set("l_partkey")).alias("items"),
                       F.sum(F.round(F.col("l_extendedprice") * 100.0).cast("bigint")).alias("subtotal_cents")))
@@ -252,11 +264,11 @@ def asset_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, owner_email) of the F2 listings, without their sales columns."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") % LISTING_EVERY == 0)
+    part = read_table(spark, sf_dir, "part").select("p_partkey")
     sup, n = _supplier_owner(spark, sf_dir)
     owned = with_row(part, n).withColumn("owner_key", F.col("p_partkey") % F.col("n_supp"))
     return owned.join(sup, owned.owner_key == sup.s_suppkey, "left").select(
-        ((F.col("p_partkey") / LISTING_EVERY).cast("bigint") + 1).alias("lid"),
+        (F.col("p_partkey").cast("bigint") + 1).alias("lid"),
         F.lower(F.col("s_name")).alias("owner_email"))
 
 

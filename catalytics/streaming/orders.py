@@ -9,6 +9,7 @@ lost executor or driver restart neither loses nor duplicates orders.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,6 @@ PURCHASE_SCHEMA = T.StructType([
     T.StructField("amount", T.DoubleType()),
 ])
 
-ORDER_WATERMARK = "1 hour"      # how late a duplicate of an order may arrive
-UNITS_WATERMARK = "1 day"       # how late a purchase may arrive for its day
-
-
 def order_documents(purchases: DataFrame) -> DataFrame:
     """Order rows: lower-case email, status, ISO created_at."""
     return purchases.select("order_id", F.lower(F.trim("user_email")).alias("user_email"), "asin", "units",
@@ -36,21 +33,16 @@ def order_documents(purchases: DataFrame) -> DataFrame:
 
 
 def ingest_orders(purchases: DataFrame) -> DataFrame:
-    """U6 as a batch job: order documents, one per order id."""
-    return order_documents(purchases).dropDuplicates(["order_id"])
-
+    """U6 as a batch job: order documents, one per order id, the earliest (by time, then the other fields)."""
+    docs = order_documents(purchases)
+    rest = [c for c in docs.columns if c != "order_id"]
+    first = F.min(F.struct("ts", *[c for c in rest if c != "ts"])).alias("d")
+    return docs.groupBy("order_id").agg(first).select("order_id", *[F.col(f"d.{c}").alias(c) for c in rest])
 
-def ingest_orders_stream(purchases: DataFrame, watermark: str = ORDER_WATERMARK) -> DataFrame:
-    """U6 on a stream: duplicates of an order arriving within the watermark
-    are dropped; state older than the watermark is evicted."""
-    return order_documents(purchases).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["order_id"])
 
-
-def units_per_day(purchases: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Units per asin per day (tumbling 1-day windows); with a watermark on a
-    stream, a day is emitted once no purchase for it can still arrive."""
-    df = purchases.withWatermark("ts", watermark) if watermark else purchases
-    return (df.groupBy(F.window("ts", "1 day").alias("w"), "asin")
+def units_per_day(purchases: DataFrame) -> DataFrame:
+    """Units and orders per asin per day (tumbling 1-day windows)."""
+    return (purchases.groupBy(F.window("ts", "1 day").alias("w"), "asin")
               .agg(F.sum("units").alias("units"), F.count("*").alias("orders"))
               .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "asin", "units", "orders"))
 
@@ -62,21 +54,64 @@ def _source(spark: SparkSession, source_dir: str, max_files_per_trigger: int | N
     return r.parquet(source_dir)
 
 
+def _run(source: DataFrame, write_batch, checkpoint: str, available_now: bool, every: str):
+    w = source.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)).start()
+
+
+def _sink(spark: SparkSession, sink_dir: str, schema: T.StructType) -> DataFrame:
+    """The sink's rows; empty before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(f"{sink_dir}/batch=*")
+    except AnalysisException as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def start_order_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                        available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Run U6 from Parquet files landing in ``source_dir`` into a Parquet sink."""
+    """U6 on a stream, from Parquet files in ``source_dir`` into one folder per micro-batch.
+
+    An order id is compared with the whole sink, so a repetition is recognized however late it
+    comes; a batch that runs again overwrites its own folder.
+    """
     src = _source(spark, source_dir, max_files_per_trigger)
-    w = (ingest_orders_stream(src).writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    schema = ingest_orders(spark.createDataFrame([], PURCHASE_SCHEMA)).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        earlier = _sink(here, sink_dir, schema).where(~F.input_file_name().contains(f"/batch={number}/")).select("order_id")
+        ingest_orders(batch).join(earlier, "order_id", "left_anti").write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+    return _run(src, write, checkpoint, available_now, "30 seconds")
+
+
+def read_orders(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return _sink(spark, sink_dir, ingest_orders(spark.createDataFrame([], PURCHASE_SCHEMA)).schema)
 
 
 def start_units_per_day(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                         available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Units per asin per day into a Parquet sink (append: closed days only)."""
+    """2.7 on a stream: every micro-batch writes its partial sums per (day, asin).
+
+    Sums add up, so a purchase that comes late counts for its own day: nothing is dropped and
+    no state is kept.  ``read_units`` adds the partial sums.
+    """
     src = _source(spark, source_dir, max_files_per_trigger)
-    w = (units_per_day(src, UNITS_WATERMARK).writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        units_per_day(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+    return _run(src, write, checkpoint, available_now, "1 minute")
+
+
+def read_units(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Units per asin per day over all batches so far."""
+    parts = _sink(spark, sink_dir, units_per_day(spark.createDataFrame([], PURCHASE_SCHEMA)).schema)
+    return parts.groupBy("day", "asin").agg(F.sum("units").alias("units"), F.sum("orders").alias("orders"))
+
+
+def with_streamed_units(catalog: DataFrame, units: DataFrame, since_day: str) -> DataFrame:
+    """The catalog with boughtInLastMonth raised by the streamed units from ``since_day`` on."""
+    sold = units.where(F.col("day") >= since_day).groupBy("asin").agg(F.sum("units").alias("_sold"))
+    return catalog.join(sold, "asin", "left").withColumn(
+        "boughtInLastMonth", F.col("boughtInLastMonth") + F.coalesce("_sold", F.lit(0).cast("bigint"))).drop("_sold")

@@ -1,5 +1,6 @@
 """Hand-made edge frames (FIXTURES.md): the quirks of the reference's semantics."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalytics.functions import predicates as P
@@ -201,3 +202,78 @@ def test_excluded_terms(spark):
     df = spark.createDataFrame([("1", "Sports Bra", "A"), ("2", "Brass lamp", "A"), ("3", None, "A"),
                                 ("4", "a bra.", "A")], "asin string, title string, categoryName string")
     assert {r["asin"] for r in rows(P.excluded_terms(df))} == {"2"}
+
+
+def test_means_keep_small_values(spark):
+    df = spark.createDataFrame([(0.004,)] * 3 + [(None,)], "v double")
+    got = df.agg(S.exact_mean("v").alias("m"), S.exact_avg("v", digits=4).alias("a")).first()
+    assert float(got["m"]) == 0.004 and got["a"] == 0.004
+
+
+def test_exact_quantiles_equal_pandas(spark):
+    import random
+    import pandas as pd
+    from catalytics.operators.quantiles import exact_quantiles
+    rng = random.Random(2)
+    data = [(i, "ab"[i % 2], rng.choice([1.0, 2.5, 2.5, 9.0, rng.random() * 100])) for i in range(501)]
+    data += [(900, "c", 7.0), (901, "d", 1.0), (902, "d", 1.0), (903, "e", None), (904, None, 1.0)]
+    df = spark.createDataFrame(data, "asin long, k string, v double")
+    qs = (0.25, 0.5, 0.75, 0.0, 1.0)
+    got = {r["k"]: r["q"] for r in rows(exact_quantiles(df, "k", "v", qs, ranges=7))}
+    expected = pd.DataFrame(data, columns=["i", "k", "v"]).dropna().groupby("k")["v"].quantile(list(qs))
+    assert set(got) == {"a", "b", "c", "d"}
+    for k, q in got.items():
+        assert q == pytest.approx(expected[k].tolist())
+
+
+def test_pages_by_key_reach_every_row(spark):
+    """Null prices, listings and filters: the keyset pages put together are the whole list."""
+    from catalytics.operators import ranking as R
+    data = [(i, f"t{i}", "A", None if i % 4 == 0 else float(i % 5), 3, 3.0, False) for i in range(30)]
+    s = score_catalog(cat(spark, data))
+    raw = lst(spark, [{"asin": str(50 + i), "id": str(i), "owner_email": "x@x", "title": "l", "categoryName": "A", "price": "1",
+                       "stars": "3", "boughtInLastMonth": "0", "isBestSeller": "FALSE"} for i in range(5)])
+    for sort_by in ("price_asc", "price_desc", None):
+        whole = [r["asin"] for r in rows(R.product_listing(s, raw, limit=100, sort_by=sort_by, category="A"))]
+        page, seen = rows(R.product_listing(s, raw, limit=7, sort_by=sort_by, category="A")), []
+        last_id = {50 + i: i for i in range(5)}
+        while page:
+            seen += [r["asin"] for r in page]
+            r = page[-1]
+            key = (r["is_user_product"], last_id.get(r["asin"]) if r["is_user_product"] else None, r["price"], r["asin"])
+            page = rows(R.product_listing_after(s, raw, key, sort_by=sort_by, limit=7, category="A"))
+        assert seen == whole and len(seen) == 35
+
+
+def test_invalid_edits_and_inserts_are_refused(spark):
+    import datetime as dt
+    from catalytics.operators import changes as C
+    raw = lst(spark, [{"asin": "50", "id": "1", "owner_email": "x@x", "title": "t", "categoryName": "A", "price": "10",
+                       "stars": "3", "boughtInLastMonth": "0", "isBestSeller": "FALSE"}])
+    t = dt.datetime(2024, 1, 1)
+    edits = spark.createDataFrame([(1, "x@x", t, None, None, 0.0, None, None, None, None), (1, "x@x", t + dt.timedelta(1), None, None, 12.0, None, None, None, None),
+                                   (1, "x@x", t + dt.timedelta(2), " ", None, 99.0, None, None, None, None), (1, "x@x", t + dt.timedelta(3), None, None, 99.0, 7.0, None, None, None)],
+                                  "id long, owner_email string, ts timestamp, title string, categoryName string, price double, stars double, "
+                                  "boughtInLastMonth long, isBestSeller boolean, description string")
+    assert [(r["price"], r["title"], r["stars"]) for r in rows(C.listing_updates(raw, edits))] == [(12.0, "t", 3.0)]
+    batch = spark.createDataFrame([(1, "o@x", "t", "A", 5.0, 3.0, 1, False, "d"), (2, "o@x", "t", "A", 0.0, 3.0, 1, False, "d"), (3, "o@x", "t", "A", 6.0, 3.0, 1, False, "d")],
+                                  "seq long, owner_email string, title string, categoryName string, price double, stars double, "
+                                  "boughtInLastMonth long, isBestSeller boolean, description string")
+    got = rows(L.listing_inserts(cat(spark, BASE), raw, batch))
+    assert sorted((r["id"], r["price"]) for r in got) == [(2, 5.0), (3, 6.0)]
+
+
+def test_trend_order_is_kept_among_equal_rounded_means(spark):
+    """Z is ahead of A by an exact mean that rounds to the same two decimals."""
+    df = spark.createDataFrame([(1, "Z", 50.004), (2, "A", 50.001), (3, "B", 10.0)], "asin long, categoryName string, demand_score double")
+    s = df.select("*", F.lit(3.0).alias("stars"), F.lit(1.0).alias("price"), F.lit(5).cast("bigint").alias("boughtInLastMonth"), F.lit(False).alias("isBestSeller"))
+    t = A.trends(s, 20, ranked=True)
+    assert rows(A.trend_recommendation(t))[0] == {"recommended": "Z", "composite": 35.0015, "top5": "Z, A, B"}
+    from catalytics.operators import ranking as R
+    assert [r["category"] for r in rows(R.trends_resort(t, "total_bought"))] == ["Z", "A", "B"]
+
+
+def test_requests_without_a_category_are_accepted(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 0), (0.0, 3.0, 0), (1.0, 6.0, 0), (1.0, 3.0, -1)], "price double, stars double, boughtInLastMonth long")
+    assert [r["x"] for r in rows(df.select(P.request_reason().alias("x")))] == [
+        None, "price must be > 0", "stars must be between 1 and 5", "boughtInLastMonth must be >= 0"]

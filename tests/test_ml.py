@@ -38,10 +38,11 @@ def test_class_rank_is_dense_and_exact(spark):
 
 def test_label_encode_unseen_category_is_zero(spark):
     s = scored(spark, SF_SMALL)
-    model = SM.fit_label_codes(s, "categoryName", unknown="Unknown")
-    df = spark.createDataFrame([("Brand#1",), ("never seen",)], "categoryName string")
-    got = {r["categoryName"]: r["c"] for r in rows(SM.apply_label_codes(df, model, "categoryName", "c"))}
-    assert got["never seen"] == 0
+    codes = SM.label_codes(s, "categoryName", unknown="Unknown")
+    df = spark.createDataFrame([(1, "Brand#2"), (2, "never seen")], "asin long, categoryName string")
+    got = {r["categoryName"]: r["c"] for r in rows(SM.apply_label_codes(df, codes, "categoryName", "c"))}
+    names = sorted(r["categoryName"] for r in rows(s.select("categoryName").distinct()))
+    assert got == {"never seen": 0, "Brand#2": names.index("Brand#2")}
 
 
 def test_standardize_train_moments(spark):
@@ -55,10 +56,10 @@ def test_mlp_trains_and_predicts(spark):
     s = scored(spark, SF_SMALL)
     model, frame = M.train_demand_model(s, max_iter=40)
     stats = rows(M.classification_metrics(model.transform(frame.where(F.col("split") == "test")),
-                                          "label", "prediction"))
+                                          "demand_level", "predicted_level"))
     assert stats and 0 <= stats[0]["accuracy"] <= 100
     from catalytics.operators.listings import listing_view
-    pred = rows(M.predict_demand(model, s, catalog(spark, SF_SMALL), listing_view(listings(spark, SF_SMALL))))
+    pred = rows(M.predict_demand(model, catalog(spark, SF_SMALL), listing_view(listings(spark, SF_SMALL))))
     assert pred
     for p in pred:
         assert p["demand_level"] in ("High", "Medium", "Low")
@@ -86,3 +87,60 @@ def test_training_summary_counts(spark):
     t = rows(M.training_summary(scored(spark, SF_SMALL), max_iter=5))[0]
     assert t["train_samples"] + t["test_samples"] == t["total_samples"] == 200
     assert t["layers"] == "5-128-64-32-3" and t["iterations_run"] >= 1
+
+
+PRODUCTS = "asin long, title string, categoryName string, price double, stars double, boughtInLastMonth long, isBestSeller boolean"
+
+
+def _score(spark, rows_):
+    from catalytics.operators.catalog import score_catalog
+    return score_catalog(spark.createDataFrame(rows_, PRODUCTS))
+
+
+def test_two_level_catalog_and_a_saved_model(spark, tmp_path):
+    """Without High products the model has two outputs; loaded again, it scores a grown catalog's requests the same way."""
+    from pyspark.ml import PipelineModel
+    data = [(i, f"t{i}", f"C{i % 3 + 1}", 10.0 + i, 1.5 + (i % 5) / 2, i * 3, False) for i in range(60)]
+    s = _score(spark, data)
+    assert {r["demand_level"] for r in rows(s)} == {"Medium", "Low"}
+    model, _ = M.train_demand_model(s, max_iter=30)
+    assert M.model_classes(model) == ["Low", "Medium"]
+    plain = s.select("asin", "title", "categoryName", "price", "stars", "boughtInLastMonth", "isBestSeller")
+    req = plain.limit(10).union(spark.createDataFrame([(900, "x", "", 20.0, 3.0, 5, True), (901, "x", "unseen", 20.0, 3.0, 5, True)], PRODUCTS))
+    before = {r["asin"]: r for r in rows(M.predict_demand(model, plain, req))}
+    assert len(before) == 12 and all(set(r["probabilities"]) == {"Low", "Medium"} for r in before.values())
+    model.write().overwrite().save(f"{tmp_path}/model")
+    loaded = PipelineModel.load(f"{tmp_path}/model")
+    grown = plain.union(spark.createDataFrame([(950, "x", "A new first category", 20.0, 3.0, 5, True)], PRODUCTS))
+    assert {r["asin"]: r for r in rows(M.predict_demand(loaded, grown, req))} == before
+
+
+def _clusters(spark, points):
+    df = spark.createDataFrame([(i, c, float(p), float(y)) for i, (c, p, y) in enumerate(points)],
+                               "asin long, categoryName string, price double, demand_score double")
+    return {r["asin"]: r for r in rows(M.category_segments(df))}
+
+
+def test_kmeans_of_equal_scores_and_few_rows(spark):
+    got = _clusters(spark, [("a", 10, 50), ("a", 500, 50), ("a", 1000, 50), ("b", 1, 1), ("c", 5, 9), ("c", 6, 90), ("d", 3, 3), ("d", 3, 3), ("d", 3, 3)])
+    assert len({got[i]["cluster"] for i in (0, 1, 2)}) == 3 and len({got[i]["segment"] for i in (0, 1, 2)}) == 3
+    assert got[3]["segment"] == "Hot"
+    assert (got[4]["segment"], got[5]["segment"]) == ("Warm", "Hot")
+    assert {got[i]["segment"] for i in (6, 7, 8)} == {"Hot"}
+
+
+def test_kmeans_ends_at_a_fixed_point(spark):
+    """Every point is nearest to its own cluster's mean, in units of the category's standard deviations."""
+    import random
+    rng = random.Random(3)
+    points = [("a", rng.gauss(100 * g, 20), 20 + 30 * g + rng.gauss(0, 4)) for g in range(3) for _ in range(60)]
+    got = _clusters(spark, points)
+    mean = lambda v: sum(v) / len(v)
+    sd = [(mean([p[k] ** 2 for p in points]) - mean([p[k] for p in points]) ** 2) ** 0.5 for k in (1, 2)]
+    by = {}
+    for i, p in enumerate(points):
+        by.setdefault(got[i]["cluster"], []).append(p)
+    centers = {c: (mean([p[1] for p in v]), mean([p[2] for p in v])) for c, v in by.items()}
+    for i, p in enumerate(points):
+        d = {c: ((p[1] - x) / sd[0]) ** 2 + ((p[2] - y) / sd[1]) ** 2 for c, (x, y) in centers.items()}
+        assert d[got[i]["cluster"]] <= min(d.values()) + 1e-9

@@ -11,9 +11,13 @@ def plan(df) -> str:
 
 
 def test_sales_window_filter_pushed_to_parquet(spark):
+    """The start of the window is a scalar subquery (no job while the plan is built) and is pushed into the scan as its value."""
     from catalytics.sources.fixtures import units_by_part
-    p = units_by_part(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThan(l_shipdate" in p
+    df = units_by_part(spark, SF_SMALL)
+    assert "l_shipdate" in plan(df) and "ubquery" in plan(df)
+    fixed = units_by_part(spark, SF_SMALL, as_of=df.sparkSession.read.parquet(f"{SF_SMALL}/lineitem.parquet").selectExpr("max(l_shipdate)").first()[0])
+    assert "GreaterThan(l_shipdate" in plan(fixed)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, fixed.collect()))
 
 
 def test_scan_prunes_columns(spark):
@@ -33,7 +37,7 @@ def test_global_top_k_is_take_ordered(spark):
 
 def test_no_python_udfs_in_registered_queries(spark):
     skip = {"model_stats", "predict_demand", "train_demand_model", "category_segments", "segment_label_map", "segment_summary",
-            "write_training_csv", "scan_with_fallback"}
+            "write_training_csv", "scan_with_fallback", "category_segment_summary", "order_ingest_stream", "stream_units_stream"}
     for name, fn in QUERIES.items():
         if name in skip:
             continue
@@ -58,3 +62,30 @@ def test_with_row_fails_on_more_than_one_row(spark):
     assert [r["answer"] for r in ok.collect()] == [42, 42, 42]
     with pytest.raises(Exception, match="(?i)more than one row|SCALAR_SUBQUERY_TOO_MANY_ROWS"):
         with_row(base, spark.range(2).selectExpr("id AS answer")).collect()
+
+
+def test_no_raw_rows_are_dealt_by_category_alone(spark):
+    """With static broadcast off, as at scale, every exchange by the category alone carries aggregates."""
+    import re
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("price_buckets", "price_distribution", "label_encode", "standardize"):
+            text = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            lines = text.splitlines()
+            for k, line in enumerate(lines):
+                if re.search(r"Exchange hashpartitioning\(categoryName#\d+, \d+\)", line):
+                    below = " ".join(lines[k + 1:k + 3])
+                    assert re.search("HashAggregate|SortAggregate|TakeOrdered", below), (name, line, below)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_users_orders_are_found_before_lines_are_grouped(spark):
+    p = plan(QUERIES["user_orders"](spark, SF_SMALL))
+    assert "LeftSemi" in p
+
+
+def test_order_amounts_read_no_customers(spark):
+    p = plan(QUERIES["order_totals"](spark, SF_SMALL))
+    assert "customer" not in p and "collect_set" not in p

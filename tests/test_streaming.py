@@ -26,41 +26,36 @@ def _write(spark, src):
     return spark.createDataFrame(FIRST + SECOND, ST.PURCHASE_SCHEMA)
 
 
-def test_order_ingest_stream_drops_duplicates(spark):
+def test_order_ingest_stream_equals_batch(spark):
     src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
     df = _write(spark, src)
-    q = ST.start_order_ingest(spark, src, f"{base}/orders", f"{base}/ck", max_files_per_trigger=1)
-    q.awaitTermination()
-    got = rows(spark.read.parquet(f"{base}/orders"))
-    assert sorted(r["order_id"] for r in got) == [1, 2, 3, 4, 5]
+    ST.start_order_ingest(spark, src, f"{base}/orders", f"{base}/ck", max_files_per_trigger=1).awaitTermination()
+    got = {r["order_id"]: r for r in rows(ST.read_orders(spark, f"{base}/orders"))}
     batch = {r["order_id"]: r for r in rows(ST.ingest_orders(df))}
-    for r in got:
-        assert r["user_email"] == batch[r["order_id"]]["user_email"] == r["user_email"].lower()
+    assert sorted(got) == [1, 2, 3, 4, 5] and got == batch
+    assert got[1]["ts"] == T0                                        # the earliest of the repeated rows
 
 
-def test_units_per_day_stream_equals_batch(spark):
+def test_order_repeated_much_later_is_recognized(spark):
+    """The same order id comes again days later and after a restart: the sink keeps one row."""
     src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
-    df = _write(spark, src)
-    q = ST.start_units_per_day(spark, src, f"{base}/units", f"{base}/ck", max_files_per_trigger=1)
-    q.awaitTermination()
-    stream = {(r["day"], r["asin"]): r["units"] for r in rows(spark.read.parquet(f"{base}/units"))}
-    batch = {(r["day"], r["asin"]): r["units"] for r in rows(ST.units_per_day(df))}
-    # closed days are emitted once, with the late row included; the open day is not yet emitted
-    closed = {k: v for k, v in batch.items() if k[0] < "2024-01-04"}
-    assert stream == closed
-    assert stream[("2024-01-01", 7)] == 2 + 2 + 1 + 1
+    for part in ([FIRST[0]], [(1, 7, 2, T0 + dt.timedelta(days=9), "a@x.com", 10.0), FIRST[2]]):
+        spark.createDataFrame(part, ST.PURCHASE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.start_order_ingest(spark, src, f"{base}/orders", f"{base}/ck").awaitTermination()
+    assert sorted((r["order_id"], r["ts"]) for r in rows(ST.read_orders(spark, f"{base}/orders"))) == [(1, T0), (2, FIRST[2][3])]
 
 
-def test_units_stream_ignores_rows_later_than_the_watermark(spark):
-    """Run, append a file with a too-late purchase, restart from the same
-    checkpoint: the watermark is kept in the checkpoint, the late row is
-    dropped and the closed day keeps its emitted value."""
+def test_units_per_day_stream_equals_batch_with_late_rows(spark):
     src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
-    first = [(1, 7, 2, T0, "a@x.com", 1.0), (2, 7, 1, T0 + dt.timedelta(days=3), "b@x.com", 1.0)]
-    late = [(3, 7, 5, T0 + dt.timedelta(hours=2), "c@x.com", 1.0), (4, 8, 1, T0 + dt.timedelta(days=5), "d@x.com", 1.0)]
-    for part in (first, late):
-        spark.createDataFrame(part, ST.PURCHASE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        ST.start_units_per_day(spark, src, f"{base}/units", f"{base}/ck").awaitTermination()
-    got = {(r["day"], r["asin"]): r["units"] for r in rows(spark.read.parquet(f"{base}/units"))}
-    assert got[("2024-01-01", 7)] == 2          # the late 5 units are not added to a closed day
-    assert ("2024-01-04", 7) in got             # day 4 closed by the day-6 purchase
+    df = _write(spark, src)
+    ST.start_units_per_day(spark, src, f"{base}/units", f"{base}/ck", max_files_per_trigger=1).awaitTermination()
+    late = spark.createDataFrame([(9, 7, 5, T0 + dt.timedelta(hours=2), "c@x.com", 1.0)], ST.PURCHASE_SCHEMA)
+    late.coalesce(1).write.mode("append").parquet(src)
+    ST.start_units_per_day(spark, src, f"{base}/units", f"{base}/ck").awaitTermination()
+    key = lambda d: {(r["day"], r["asin"]): (r["units"], r["orders"]) for r in rows(d)}
+    stream = key(ST.read_units(spark, f"{base}/units"))
+    assert stream == key(ST.units_per_day(df.union(late)))
+    assert stream["2024-01-01", 7] == (2 + 2 + 1 + 1 + 5, 5)          # the late purchase counts for its own day
+    catalog = spark.createDataFrame([(7, 10), (8, 0), (1, 4)], "asin long, boughtInLastMonth long")
+    fed = {r["asin"]: r["boughtInLastMonth"] for r in rows(ST.with_streamed_units(catalog, ST.read_units(spark, f"{base}/units"), "2024-01-01"))}
+    assert fed == {7: 21, 8: 3, 1: 4}
