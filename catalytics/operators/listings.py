@@ -88,6 +88,7 @@ def catalog_union_listings(scored: DataFrame, listings: DataFrame) -> DataFrame:
                                           .withColumnRenamed("_lid", "listing_id")
 
 
+# The columns of the stored training set.
 TRAINING_COLUMNS = ["asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller",
                     "demand_score", "demand_level", "stars_norm", "bought_norm", "bs_norm", "price_norm",
                     "is_user_product"]

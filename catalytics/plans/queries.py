@@ -45,7 +45,7 @@ def _features(spark, d):
 
 QUERIES: dict[str, Query] = {
     # ---- sources / scalar features
-    "scan_catalog": catalog,
+    "scan_catalog": lambda s, d: scan_catalog_csv(s, d),
     "demand_features": lambda s, d: _features(s, d).select("asin", "stars_norm", "bought_norm", "bs_norm", "price_norm"),
     "demand_score": lambda s, d: _features(s, d).select("asin", "demand_score"),
     "demand_level": lambda s, d: scored(s, d).select("asin", "demand_score", "demand_level"),
@@ -172,6 +172,26 @@ def purchases(spark, d):
     return X.purchases_log(spark, d)
 
 
+def _stored(spark, df, name, fmt):
+    """Write a table in the shared folder in the given format; its path."""
+    from catalytics.session import scratch_path
+    path = scratch_path(spark, name)
+    RD.write_table(df, path, fmt=fmt)
+    return path
+
+
+def scan_catalog_csv(spark, d):
+    """The catalog written as CSV with a header, read back by header name with its types."""
+    return RD.read_catalog(spark, _stored(spark, catalog(spark, d), "catalog", "csv"))
+
+
+def csv_to_json(spark, d):
+    """The listing CSV read as strings, written as JSON lines, the lines read back."""
+    raw = RD.read_listings_csv(spark, _stored(spark, listings(spark, d), "listings", "csv"))
+    path = _stored(spark, RD.csv_records_as_json(raw), "listings-json", "text")
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
 def _stream_files(spark, d):
     """The purchases as Parquet files for a stream to read, in the shared folder."""
     from catalytics.session import scratch_path
@@ -243,7 +263,7 @@ def trend_labels(spark, d, cuts):
 
 QUERIES.update({
     # ---- sources and sinks
-    "scan_catalog_documents": lambda s, d: RD.documents_to_catalog(catalog_documents(s, d)),
+    "scan_catalog_documents": lambda s, d: RD.read_catalog_documents(s, _stored(s, catalog_documents(s, d), "documents", "json")),
     "scan_with_fallback": lambda s, d: RD.with_fallback(catalog(s, d).where(F.col("asin") < 0),
                                                         lambda: catalog(s, d)),
     "normalize_raw_feed": lambda s, d: RD.normalize_raw_feed(raw_feed(s, d)),
@@ -252,7 +272,7 @@ QUERIES.update({
     "migrate_users_clean": lambda s, d: RD.clean_users(X.users_raw(s, d)),
     "asset_manifest": lambda s, d: L.asset_asins(X.asset_manifest_rows(s, d)),
     "write_training_csv": write_training_csv,
-    "csv_to_json": lambda s, d: RD.csv_records_as_json(listings(s, d)),
+    "csv_to_json": csv_to_json,
     "collection_counts": lambda s, d: RD.collection_counts({
         "products": catalog(s, d), "users": X.users(s, d), "user_products": L.listing_view(listings(s, d)),
         "orders": X.orders(s, d), "gridfs_files": X.asset_manifest_rows(s, d)}),

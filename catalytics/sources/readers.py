@@ -27,6 +27,7 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("isBestSeller", T.BooleanType()),
 ])
 
+# The columns of the seller, user and document sources, and the numeric fields of documents.
 LISTING_FIELDS = ["asin", "id", "owner_email", "title", CAT, "price", "stars", "boughtInLastMonth",
                   "isBestSeller", "description", "image_filename", "added_on"]
 LISTING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LISTING_FIELDS])
@@ -73,8 +74,9 @@ def with_fallback(primary: DataFrame, fallback: Callable[[], DataFrame]) -> Data
 
 
 def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Seller listings CSV, every field as a string (parsed later with try_cast)."""
-    return spark.read.schema(LISTING_SCHEMA).option("header", True).csv(path)
+    """Seller listings CSV, every field as a string (parsed later with try_cast); an empty field is an empty string."""
+    raw = spark.read.schema(LISTING_SCHEMA).option("header", True).csv(path)
+    return raw.fillna("")
 
 
 def read_users_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +146,7 @@ def read_assets(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> Dat
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    """Write a result (CSV with header, JSON lines or Parquet)."""
+    """Write a result (CSV with header, JSON lines, plain lines of one string column, or Parquet)."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -152,6 +154,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.option("header", True).csv(path)
     elif fmt == "json":
         w.json(path)
+    elif fmt == "text":
+        w.text(path)
     else:
         w.parquet(path)
 
