@@ -208,7 +208,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, shar
     shares = max(1, -(-size.n // (SHARE_ROWS << forest.value.depth)))
     indexed = distinct.mapInArrow(_index_batches(forest, width, top, shares), _MET)
     probes = queries.select("vec_id", "vector").distinct().mapInArrow(_probe_batches(forest, width, share, shares), _MET)
-    met = indexed.union(probes).repartition("tree", "leaf", "share").sortWithinPartitions("tree", "leaf", "share", "kind")
+    # leaves go round the partitions, so every task scores nearly as many leaves as any other
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.shiftleft(F.col("tree").cast("long"), forest.value.depth) + F.col("leaf")) * shares + F.col("share")
+    met = indexed.union(probes).withColumn("part", (place % parts).cast("int")).repartitionById(parts, "part").drop("part").sortWithinPartitions(
+        "tree", "leaf", "share", "kind")
     # k + 1 distinct vectors, for one of them may hold the query's own id only
     found = met.mapInArrow(_score_batches(k + 1), "query_id long, rep long, score double").groupBy("query_id", "rep").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
