@@ -22,7 +22,9 @@ the capacity unless its length is a power of two; only the last few of each kind
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ CAPACITY = 4096
 UNIT = 16
 END_ID = 2
 RANGE_ROWS = 50_000          # pieces of one length ranked in one task
-_CACHE = 400_000             # distinct words a worker remembers
+_CACHE = 1_000_000             # distinct words a worker remembers
 
 Pattern = tuple[dict[int, int], int]      # pieces by length in one sequence; number of sequences
 
@@ -48,35 +50,84 @@ def tokenizer_path() -> str:
 
 # ---- ids ----
 
+#: The text steps for which words can be coded one by one, as the tokenizer's file names them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of one code point whose lower case is one code point and which no normalization changes: ASCII to Latin Extended-B.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[{_LATIN}!-~]+")
+_RUN = re.compile(f"[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter a byte-level tokenizer writes for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
 class WordCoder:
-    """Ids of texts through a memory of words: the tokenizer drops white space and never joins across it."""
+    """Ids of texts through a memory of words.
+
+    The tokenizer drops white space and never joins across it, so a word's ids do not depend on
+    its neighbours.  A word of Latin letters, digits and ASCII marks is cut as the tokenizer's own
+    pattern cuts it and each run goes straight to its merge model; any other word, and one that may
+    hold an apostrophe form or a special token, goes through the whole tokenizer.  A tokenizer
+    with other text steps codes whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = steps.get("normalizer") == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self._forget()
 
     def _forget(self):
         self.known: dict[bytes, int] = {}
+        self.runs: dict[str, list[int]] = {}
         self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _run(self, run: str) -> list[int]:
+        found = self.runs.get(run)
+        if found is None:
+            inner = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
+            found = self.runs[run] = [t.id for t in self.model.tokenize(inner)]
+        return found
+
+    def word(self, word: bytes) -> list[int]:
+        if word.isalpha():                                  # ASCII letters only
+            return self._run(word.decode().lower())
+        if word[:-1].isalpha() and word[-1:] in (b".", b","):
+            return self._run(word[:-1].decode().lower()) + self._run(word[-1:].decode())
+        body = word.decode()
+        if _PLAIN.fullmatch(body) and "'" not in body and "<|" not in body:
+            return [i for run in _RUN.findall(body.lower()) for i in self._run(run)]
+        return self.tokenizer.encode(body, add_special_tokens=False).ids
+
     def _learn(self, words: list[bytes]):
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, got in zip(words, found):
-            ids, n = got.ids, len(self.known)
-            if n == len(self.first):
-                self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-            self.first[n], self.size[n] = self.used, len(ids)
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[word] = n
+        coded = [self.word(w) for w in words]
+        n, size = len(self.known), np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(size.sum()))
+        if n + len(words) > len(self.first):
+            self.first, self.size = (np.resize(x, 2 * (n + len(words))) for x in (self.first, self.size))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
+        self.size[n:n + len(words)], self.first[n:n + len(words)] = size, self.used + np.cumsum(size) - size
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known.update(zip(words, range(n, n + len(words))))
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the offsets of the texts in them."""
+        if not self.by_word:
+            whole = [e.ids for e in self.tokenizer.encode_batch_fast([b.decode() for b in bodies], add_special_tokens=False)]
+            return np.array([i for ids in whole for i in ids], np.uint32), np.cumsum([0, *map(len, whole)])
         split = [b.split() for b in bodies]
         words = [w for s in split for w in s]
         at = list(map(self.known.get, words))

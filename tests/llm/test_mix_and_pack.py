@@ -121,5 +121,19 @@ def test_column_generation_reaches_the_linear_optimum():
     assert (use @ rows >= np.array([10, 20, 10]) - 1e-9).all() and use.sum() == pytest.approx(20)
 
 
+def test_words_are_coded_as_the_whole_tokenizer_codes_texts():
+    from tokenizers import Tokenizer
+    tokenizer, coder = Tokenizer.from_file(packing.tokenizer_path()), packing.WordCoder(packing.tokenizer_path())
+    assert coder.by_word
+    texts = ["It's 'S we'LL <|endoftext|> a<|startoftext|>b", "ÉÀÜß straße Ça-va? İstanbul ΣΑΣ ŉ ǅ ǰ ß", "a1b22 3.14 x_y --!!** &&&", "e\u0301 n\u0303o \u1e9e",
+             "日本語 ２３ ½ ²", "tab\tnew\nline\x0bv\x0cf nb\u00a0sp \u2028 z\x1cq \x85 w", "ĳ ŀ Ŀ ǆ Ǆ Ʒ ȡ ɏ × ÷ a×b", "", "'", "''s <| |>", "a" * 300]
+    texts += [" ".join(words(40, i)) for i in range(20)]
+    rng = np.random.default_rng(2)
+    texts += ["".join(chr(c) for c in rng.integers(33, 0x260, 60)) for _ in range(200)]
+    flat, offsets = coder.encode([t.encode() for t in texts])
+    for t, b, e in zip(texts, offsets[:-1], offsets[1:]):
+        assert flat[b:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_of_an_empty_table(spark, tmp_path):
     assert packing.op5_packing(spark, write(frame(spark, []), tmp_path)).collect() == []
