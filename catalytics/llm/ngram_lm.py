@@ -13,10 +13,12 @@ buffers that are viewed in place: as Arrow columns inside a job, or memory-mappe
 (``Trie.save`` and ``Trie.map_file``).
 
 Jobs.  Texts become blocks of about ``BLOCK_TOKENS`` tokens.  A block sends every shard its distinct
-words and bigrams once (with counts to build, without to ask), so the shuffles carry packed hashes
-and a frequent word costs one entry per block.  A context's successors are spread over shards by
-their own hash, so a context that a third of all bigrams share is never in one task.  The number
-of shards follows the number of tokens.  Answers return to the block, which adds up its texts.
+words and bigrams once, with their training counts; the shard builds its trie from all blocks and
+answers each block's words and bigrams from it, so hashes are shuffled once and a frequent word costs
+one entry per block.  A bigram goes to its context's shard.  The successors of a hot context (at
+least ``HOT_SHARE`` of all tokens, so their number is bounded) are spread by their own hash, so a
+context that a third of all bigrams share is never in one task.  The number of shards follows the
+number of tokens.  Answers return to the block, which adds up its texts.
 
 Special cases: a null or empty text is its end token; repeated rows are separate rows (and train
 as often as they occur); without training rows every probability is the smoothed zero count; an empty
@@ -41,15 +43,16 @@ SHARD_TOKENS = 2_500_000
 ADD = 0.1
 MU = 2.0
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-_SPREAD = 60                   # a context's successors go to 16 slices by their hash's top bits
-_SUCCESSOR_BYTES = 5           # of a successor's hash, within its context
+HOT_SHARE = 1 / 1000           # of all tokens: a context from here on is spread
+_SPREAD = 58                   # its successors go to 64 slices by their hash's top bits
+_SUCCESSOR_BYTES = 4           # of a successor's hash, within its context
 _STEP = 1 / 4096               # of quantised logarithms: codes 0 to 65535 span 0.1 to 10^15
 
 
 # ---- compact sequences ----
 
 def quantise(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((np.log10(x) + 1) / _STEP), 0, 65535).astype("<u2")
+    return np.clip(np.rint((np.log10(x) + 1) / _STEP), 0, 65534).astype("<u2")
 
 
 def restore(code: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ class Trie:
 
 # ---- blocks ----
 
-_BLOCK = "block long, ids array<{id}>, held array<boolean>, sizes array<long>, vocabulary binary, tokens binary"
+_BLOCK = "block long, ids array<{id}>, held array<boolean>, sizes array<long>, vocabulary binary, tokens binary, hot array<long>, hot_n array<long>"
 
 
 def _block_batches(id_type: pa.DataType, block_tokens: int):
@@ -174,11 +177,14 @@ def _block_batches(id_type: pa.DataType, block_tokens: int):
 
         def flush():
             vocabulary, tokens = np.unique(np.concatenate([np.array([BEGIN, END]), *hashes]), return_inverse=True)
+            count = np.bincount(tokens[2:], minlength=len(vocabulary))
+            hot = np.flatnonzero(count > len(tokens) * HOT_SHARE / 2)      # candidates: at most 2 / HOT_SHARE
             planes = np.ascontiguousarray(tokens[2:].astype("<u4").view(np.uint8).reshape(-1, 4).T)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
                  pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()),
-                 pa.array([planes.tobytes()], pa.binary())], ["block", "ids", "held", "sizes", "vocabulary", "tokens"])
+                 pa.array([planes.tobytes()], pa.binary()), pa.array([vocabulary[hot].view(np.int64)], pa.list_(pa.int64())),
+                 pa.array([count[hot]], pa.list_(pa.int64()))], ["block", "ids", "held", "sizes", "vocabulary", "tokens", "hot", "hot_n"])
 
         for batch in batches:
             for part in text.slices(batch, "text"):
@@ -203,9 +209,8 @@ def _planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _shard(first: np.ndarray, second: np.ndarray | None, shards: int) -> np.ndarray:
-    mixed = first if second is None else first + (second >> np.uint64(_SPREAD)) * np.uint64(0x9E3779B97F4A7C15)
-    return (text.mix(mixed) % np.uint64(shards)).astype(np.int64)
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (text.mix(hashes) % np.uint64(shards)).astype(np.int64)
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -223,47 +228,52 @@ def _split(pair: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nda
     return context, word, word >> np.uint64(64 - 8 * _SUCCESSOR_BYTES)
 
 
-_ENTRIES = "shard int, block long, words binary, word_counts binary, before binary, fan binary, after binary, pair_counts binary"
-_ENTRY_NAMES = ["shard", "block", "words", "word_counts", "before", "fan", "after", "pair_counts"]
-
-
-def _entries(block: int, vocabulary: np.ndarray, words: np.ndarray, counts: np.ndarray, pair: np.ndarray, pair_counts: np.ndarray,
-             shards: int) -> pa.RecordBatch:
-    """A row per shard: its words and bigrams of this block, sorted; counts empty when asking."""
-    context, word, successor = _split(pair, vocabulary)
-    word_shard, pair_shard = _shard(vocabulary[words], None, shards), _shard(context, word, shards)
-    word_order, pair_order = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
-    w = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-    p = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
-    out: list[list] = [[] for _ in range(7)]
-    for s in np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0)).tolist():
-        i, j = word_order[w[s]:w[s + 1]], pair_order[p[s]:p[s + 1]]
-        own, first = np.unique(context[j], return_index=True)
-        fan = np.diff(np.append(first, len(j)))
-        for column, value in zip(out, (s, vocabulary[words[i]].tobytes(), counts[i].astype("<u4").tobytes() if len(counts) else b"", own.tobytes(),
-                                       fan.astype("<u4").tobytes(), _low_bytes(successor[j], _SUCCESSOR_BYTES),
-                                       pair_counts[j].astype("<u4").tobytes() if len(pair_counts) else b"")):
-            column.append(value)
-    binary = [pa.array(c, pa.binary()) for c in out[1:]]
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(np.full(len(out[0]), block, np.int64)), *binary], _ENTRY_NAMES)
-
-
-def _entry_batches(shards: int, build: bool):
+class Layout:
+    """Which words and bigrams of a block go to which shard, and in which order: the same when asking and when answered."""
+
+    def __init__(self, vocabulary: np.ndarray, pair: np.ndarray, shards: int, hot: np.ndarray):
+        context, word, self.successor = _split(pair, vocabulary)
+        self.context = pair >> 32
+        spread = np.isin(context, hot)
+        slices = ((word >> np.uint64(_SPREAD)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        pair_shard = _shard(np.where(spread, context + slices, context), shards)
+        self.own_shard = _shard(vocabulary, shards)
+        away = np.flatnonzero(pair_shard != self.own_shard[self.context])          # contexts are sent along
+        places = np.unique(np.concatenate([self.own_shard << 32 | np.arange(len(vocabulary)), pair_shard[away] << 32 | self.context[away]]))
+        self.words, self.pairs = places & 0xFFFFFFFF, np.argsort(pair_shard, kind="stable")
+        self.word_cuts = np.searchsorted(places >> 32, np.arange(shards + 1))
+        self.pair_cuts = np.searchsorted(pair_shard[self.pairs], np.arange(shards + 1))
+
+    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary and numbers of the bigrams of one shard."""
+        return (self.words[self.word_cuts[shard]:self.word_cuts[shard + 1]], self.pairs[self.pair_cuts[shard]:self.pair_cuts[shard + 1]])
+
+
+_ENTRIES = "shard int, block long, words binary, word_counts binary, fan binary, after binary, pair_counts binary"
+_ENTRY_NAMES = ["shard", "block", "words", "word_counts", "fan", "after", "pair_counts"]
+
+
+def _entry_batches(shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
                 value = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                sizes, vocabulary = np.array(value("sizes"), np.int64), np.frombuffer(value("vocabulary"), np.uint64)
-                tokens = _planes(value("tokens"))
-                pair = _pairs(tokens, sizes, vocabulary)
-                if build:
-                    train = np.repeat(~np.array(value("held"), bool), sizes)
-                    words, counts = np.unique(tokens[train], return_counts=True)
-                    pair, pair_counts = np.unique(pair[train], return_counts=True)
-                    yield _entries(value("block"), vocabulary, words, counts, pair, pair_counts, shards)
-                else:
-                    none = np.zeros(0, np.int64)
-                    yield _entries(value("block"), vocabulary, np.arange(len(vocabulary)), none, np.unique(pair), none, shards)
+                sizes, vocabulary, tokens = np.array(value("sizes"), np.int64), np.frombuffer(value("vocabulary"), np.uint64), _planes(value("tokens"))
+                pair, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
+                train = np.repeat(~np.array(value("held"), bool), sizes)
+                counts, pair_counts = np.bincount(tokens[train], minlength=len(vocabulary)), np.bincount(which[train], minlength=len(pair))
+                layout, out = Layout(vocabulary, pair, shards, hot), [[] for _ in range(6)]
+                for s in range(shards):
+                    words, pairs = layout.of(s)
+                    if not len(words):
+                        continue
+                    fan = np.bincount(np.searchsorted(words, layout.context[pairs]), minlength=len(words))
+                    for column, x in zip(out, (s, vocabulary[words].tobytes(), (counts[words] * (layout.own_shard[words] == s)).astype("<u4").tobytes(),
+                                               fan.astype("<u4").tobytes(), _low_bytes(layout.successor[pairs], _SUCCESSOR_BYTES),
+                                               pair_counts[pairs].astype("<u4").tobytes())):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(np.full(len(out[0]), value("block"), np.int64)),
+                                                  *(pa.array(c, pa.binary()) for c in out[1:])], _ENTRY_NAMES)
     return run
 
 
@@ -276,65 +286,59 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, np.bincount(at, counts, len(own)).astype(np.int64)
 
 
-_MODEL = f"shard int, lows array<int>, distinct long, total long, {', '.join(f'{k} binary' for k in _LEVELS)}"
+_ANSWERS = "block long, shard int, counts binary, pairs binary, distinct long, total long"
+
 
+def _columns(a: np.ndarray, width: int) -> bytes:
+    """The bytes of the numbers, place by place: the high places are nearly all zero and compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, width).T).tobytes()
 
-def _build_shard(entries: pa.Table) -> pa.Table:
+
+def shard_trie(entries: pa.Table) -> Trie:
+    """The trie of one shard from the entries of all blocks."""
     words, counts = _totals(_joined(entries["words"], "<u8"), _joined(entries["word_counts"], "<u4"))
-    context = np.repeat(_joined(entries["before"], "<u8"), _joined(entries["fan"], "<u4"))
+    context = np.repeat(_joined(entries["words"], "<u8"), _joined(entries["fan"], "<u4"))
     successor = _from_low_bytes(b"".join(entries["after"].to_pylist()), _SUCCESSOR_BYTES)
-    own, at = np.unique(context, return_inverse=True)      # context and successor in one number: 24 and 40 bits
-    if len(own) >> (64 - 8 * _SUCCESSOR_BYTES):
-        raise ValueError("too many contexts in one shard; lower SHARD_TOKENS")
-    pair, pair_counts = _totals(at.astype(np.uint64) << np.uint64(8 * _SUCCESSOR_BYTES) | successor, _joined(entries["pair_counts"], "<u4"))
-    mask = np.uint64((1 << 8 * _SUCCESSOR_BYTES) - 1)
-    trie = Trie.build(words, counts, own[(pair >> np.uint64(8 * _SUCCESSOR_BYTES)).astype(np.int64)] if len(pair) else own[:0], pair & mask, pair_counts)
-    return pa.table({"shard": pa.array([entries["shard"][0].as_py()], pa.int32()), "lows": pa.array([list(trie.lows)], pa.list_(pa.int32())),
-                     "distinct": pa.array([len(words)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()),
-                     **{k: pa.array([trie.levels[k]], pa.binary()) for k in _LEVELS}})
-
-
-def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie, place = None, None
-    empty = Trie.build(*(np.zeros(0, np.uint64),) * 5)
-    for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for r in range(len(batch)):
-            value = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-            if value("kind") == 0:
-                trie, place = Trie({k: value(k) for k in _LEVELS}, tuple(value("lows"))), value("shard")
-                continue
-            shard = trie if place == value("shard") else empty
-            counts, codes = shard.word(np.frombuffer(value("words"), "<u8"))
-            context = np.repeat(np.frombuffer(value("before"), "<u8"), np.frombuffer(value("fan"), "<u4"))
-            pair = shard.bigram(context, _from_low_bytes(value("after"), _SUCCESSOR_BYTES))
-            planes = lambda a, n: np.ascontiguousarray(a.view(np.uint8).reshape(-1, n).T).tobytes()
-            for column, x in zip(out, (value("block"), place if shard is trie else value("shard"), planes(counts, 8), codes.tobytes(), planes(pair, 4))):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:])],
-                                         ["block", "shard", "counts", "codes", "pairs"])
-
-
-def _score_batches(shards: int, total: int, distinct: int, mu: float):
+    own, at = np.unique(context, return_inverse=True)      # place of the context and successor in one number
+    shift = np.uint64(8 * _SUCCESSOR_BYTES)
+    pair, pair_counts = _totals(at.astype(np.uint64) << shift | successor, _joined(entries["pair_counts"], "<u4"))
+    words, counts = words[counts > 0], counts[counts > 0]
+    pair, pair_counts = pair[pair_counts > 0], pair_counts[pair_counts > 0]
+    return Trie.build(words, counts, own[(pair >> shift).astype(np.int64)] if len(pair) else own[:0],
+                      pair & ((np.uint64(1) << shift) - np.uint64(1)), pair_counts)
+
+
+def _answer_shard(entries: pa.Table) -> pa.Table:
+    trie = shard_trie(entries)
+    counts, pairs = [], []
+    for words, fan, after in zip(*(entries[c].to_pylist() for c in ("words", "fan", "after"))):
+        words = np.frombuffer(words, "<u8")
+        counts.append(_columns(trie.word(words)[0].astype("<u8"), 8))
+        pairs.append(_columns(trie.bigram(np.repeat(words, np.frombuffer(fan, "<u4")), _from_low_bytes(after, _SUCCESSOR_BYTES)).astype("<u2"), 2))
+    once = np.zeros(len(counts), np.int64)
+    once[0] = 1                                            # the shard's totals stand in its first row
+    return pa.table({"block": entries["block"], "shard": entries["shard"], "counts": pa.array(counts, pa.binary()), "pairs": pa.array(pairs, pa.binary()),
+                     "distinct": pa.array(once * len(trie.words)), "total": pa.array(once * int(trie.counts.sum()))})
+
+
+def _score_batches(shards: int, hot: np.ndarray, total: int, distinct: int, mu: float):
     wide = total + ADD * (distinct + 1)
 
-    def score(block: dict, answers: dict[int, tuple[bytes, bytes, bytes]]):
+    def score(block: dict, answers: dict[int, tuple[bytes, bytes]]):
         sizes, vocabulary, tokens = np.array(block["sizes"], np.int64), np.frombuffer(block["vocabulary"], np.uint64), _planes(block["tokens"])
         pair, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
-        context, word, _ = _split(pair, vocabulary)
-        counts, codes, seen = np.zeros(len(vocabulary), np.uint64), np.zeros(len(vocabulary), "<u2"), np.zeros(len(pair), np.uint32)
-        word_shard, pair_shard = _shard(vocabulary, None, shards), _shard(context, word, shards)
-        word_order, pair_order = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
-        w = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-        p = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
+        layout, counts, seen = Layout(vocabulary, pair, shards, hot), np.zeros(len(vocabulary), np.uint64), np.zeros(len(pair), np.int64)
         whole = lambda data, n, kind: np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(n, -1).T).view(kind).ravel()
-        for s, (c, k, b) in answers.items():
-            counts[word_order[w[s]:w[s + 1]]], codes[word_order[w[s]:w[s + 1]]] = whole(c, 8, "<u8"), np.frombuffer(k, "<u2")
-            seen[pair_order[p[s]:p[s + 1]]] = whole(b, 4, "<u4")
+        for s, (c, b) in answers.items():
+            words, pairs = layout.of(s)
+            own = layout.own_shard[words] == s
+            counts[words[own]] = whole(c, 8, "<u8")[own]
+            seen[pairs] = whole(b, 2, "<u2")
+        codes = quantise(counts + ADD)                     # as the trie's first level holds them
         plain = restore(codes) / wide
         before = counts.astype(float)
         before[np.searchsorted(vocabulary, BEGIN)] = counts[np.searchsorted(vocabulary, END)]    # one begin per training text
-        found = np.where(seen > 0, restore(seen.astype(np.int64) - 1), 0.0)
+        found = np.where(seen > 0, restore(seen - 1), 0.0)
         model = np.log10((found + mu * plain[pair & 0xFFFFFFFF]) / (before[pair >> 32] + mu))
         base = np.log10((counts + ADD) / wide)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -360,7 +364,7 @@ def _score_batches(shards: int, total: int, distinct: int, mu: float):
                         yield flush(kind)
                     block, answers = {c: value(c) for c in ("ids", "held", "sizes", "vocabulary", "tokens")}, {}
                 else:
-                    answers[value("shard")] = (value("counts"), value("codes"), value("pairs"))
+                    answers[value("shard")] = (value("counts"), value("pairs"))
         if block is not None:
             yield flush(kind)
     return run
@@ -380,16 +384,13 @@ def train_and_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     blocks = frames.cut(rows.mapInArrow(_block_batches(arrow_id, block_tokens), _BLOCK.format(id=kind.simpleString())), "blocks")
     n_tokens = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(1, -(-n_tokens // shard_tokens))
-    model = frames.cut(blocks.mapInArrow(_entry_batches(shards, True), _ENTRIES).groupBy("shard").applyInArrow(_build_shard, _MODEL), "trie")
-    sums = model.agg(F.sum("total"), F.sum("distinct")).first()
+    often = blocks.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_n").alias("n"))
+    hot = np.array([r.hot for r in often.where(F.col("n") >= n_tokens * HOT_SHARE).collect()], np.int64).view(np.uint64)   # at most 1 / HOT_SHARE
+    answers = frames.cut(blocks.mapInArrow(_entry_batches(shards, hot), _ENTRIES).groupBy("shard").applyInArrow(_answer_shard, _ANSWERS), "answers")
+    sums = answers.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = sums[0] or 0, sums[1] or 0
-
-    asked = blocks.mapInArrow(_entry_batches(shards, False), _ENTRIES).drop("word_counts", "pair_counts")
-    met = _aligned(model.drop("distinct", "total"), asked)
-    met = met.repartition("shard").sortWithinPartitions("shard", "kind", "block")
-    answers = frames.cut(met.mapInArrow(_answer_batches, "block long, shard int, counts binary, codes binary, pairs binary"), "answers")
-    back = _aligned(blocks, answers).repartition("block").sortWithinPartitions("block", "kind", "shard")
-    return back.mapInArrow(_score_batches(shards, total, distinct, mu), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, "
+    back = _aligned(blocks.drop("hot", "hot_n"), answers.drop("distinct", "total")).repartition("block").sortWithinPartitions("block", "kind", "shard")
+    return back.mapInArrow(_score_batches(shards, hot, total, distinct, mu), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, "
                            "train_tokens long, base_score double, score double")
 
 
