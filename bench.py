@@ -104,7 +104,7 @@ def main() -> None:
         "order_totals": lambda: A.order_totals(X.order_amounts(spark, sf_dir)),
         "listing_updates": lambda: C.listing_updates(listings, X.listing_updates_log(spark, sf_dir)),
         "stream_units_tumbling": lambda: ST.units_per_day(X.purchases_log(spark, sf_dir)),
-        "category_segments": lambda: M.category_segments(scored),
+        "segment_label_map": lambda: M.label_segments(scored.where("categoryName is not null").selectExpr("*", "cast(asin % 3 as int) as cid")),
     }
     for name, q in end_to_end.items():
         timed(name, lambda q=q: run(q()))
