@@ -54,8 +54,10 @@ def tokenizer_path() -> str:
 _NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters of one code point whose lower case is one code point and which no normalization changes: ASCII to Latin Extended-B.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Letters from ASCII to Latin Extended-B that no normalization changes and whose lower case is one of them.  A letter with a
+#: lower case beyond that range (as in U+0181 or U+018F) is none: its word goes through the whole tokenizer.
+_RANGE = {*map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)))}
+_LATIN = "".join(sorted(c for c in _RANGE if c.lower() in _RANGE))
 _PLAIN = re.compile(f"[{_LATIN}!-~]+")
 _RUN = re.compile(f"[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 

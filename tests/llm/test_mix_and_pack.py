@@ -135,5 +135,14 @@ def test_words_are_coded_as_the_whole_tokenizer_codes_texts():
         assert flat[b:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_every_letter_of_the_plain_range_is_coded_as_the_tokenizer_codes_it():
+    from tokenizers import Tokenizer
+    tokenizer, coder = Tokenizer.from_file(packing.tokenizer_path()), packing.WordCoder(packing.tokenizer_path())
+    texts = [t for c in map(chr, range(0xA1, 0x270)) for t in (f"x{c}liyev", f"{c}an", f"KW{c}", f"a{c}{c}1{c}!", f"{c}")]
+    flat, offsets = coder.encode([t.encode() for t in texts])
+    wrong = [t for t, b, e in zip(texts, offsets[:-1], offsets[1:]) if flat[b:e].tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def test_packing_of_an_empty_table(spark, tmp_path):
     assert packing.op5_packing(spark, write(frame(spark, []), tmp_path)).collect() == []
