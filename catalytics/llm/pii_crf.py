@@ -5,12 +5,14 @@ reads the text around every digit and ``@`` as a sequence of atoms (letter runs,
 single other characters), scores every candidate segment of at most ``MAX_ATOMS`` atoms and every
 type with features of the whole segment (digit counts, separators, octets, check digit, edges),
 and a dynamic program bounded by that length chooses boundaries and types jointly.  A candidate
-must hold a digit or ``@``, so text without either is one run of outside atoms and is skipped
-without changing the optimum; the rest falls into independent zones of neighbouring chunks.
+must hold a digit or ``@``, so an atom from which none lies within ``MAX_ATOMS`` atoms is outside and
+skipped.  Triggers closer together than two segments can reach share a zone, and a zone holds every
+segment around its triggers and the atom beside it, so the zones are independent and the cut
+changes neither the candidates nor the optimum.
 
 The weights are trained here by maximum likelihood (forward-backward over segments, AdaGrad) on a
-bounded sample of zones labelled by the base patterns: at most ``ZONES_PER_LABEL`` zones of each
-label, the ones with the smallest hash of their text.  Added spans never overlap base spans.
+bounded sample of zones labelled by the base patterns (zones of more than 400 characters in parts):
+at most ``ZONES_PER_LABEL`` of each label, the ones with the smallest hash of their text.  Added spans never overlap base spans.
 
 Special cases: a null or empty text has no spans; repeated rows are separate rows; a corpus
 without any zone trains no field and keeps the base spans; an empty table gives an empty result;
@@ -46,8 +48,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _TRIGGER = re.compile(r"[0-9@]")
-_CHUNK = re.compile(r"\S+")
+_HELD = re.compile(r"[0-9]+|@")
+_PART = re.compile(r"(?<!\S)\S(?:.{0,398}\S)?(?!\S)", re.DOTALL)      # at most 400 characters, cut at white space
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
+_FREE = r"(?:[A-Za-z]++|[^A-Za-z0-9@]){0,%d}+"                       # atoms without a trigger
+_REACH = re.compile(_FREE % MAX_ATOMS)                              # a segment's other atoms and the one beside it
+_JOINED = re.compile(_FREE % (2 * (MAX_ATOMS - 1) - 1))            # fewer than two segments reach across
 
 
 def luhn(digits: str) -> bool:
@@ -97,19 +103,16 @@ def base_spans(body: str) -> list[Span]:
 # ---- zones, candidate segments, whole-span features ----
 
 def zones(body: str) -> Iterator[tuple[int, str]]:
-    """Start and text of each maximal run of neighbouring chunks that hold a digit or ``@``."""
-    begin = stop = -1
-    for m in _CHUNK.finditer(body):
-        if not _TRIGGER.search(m.group()):
-            continue
-        if begin >= 0 and m.start() == stop + 1:
-            stop = m.end()
-            continue
-        if begin >= 0:
-            yield begin, body[begin:stop]
-        begin, stop = m.span()
+    """Start and text of each maximal stretch whose segments may meet, with one atom more on both sides."""
+    begin, stop = -1, 0
+    for m in _HELD.finditer(body):
+        if begin < 0 or _JOINED.match(body, stop, m.start()).end() < m.start():
+            if begin >= 0:
+                yield begin, body[begin:_REACH.match(body, stop).end()]
+            begin = m.start() - _REACH.match(body[stop:m.start()][::-1]).end()
+        stop = m.end()
     if begin >= 0:
-        yield begin, body[begin:stop]
+        yield begin, body[begin:_REACH.match(body, stop).end()]
 
 
 _GROUPS = ((0, 1, 4, 8, 12, 16, 20), (0, 1, 2), (0, 1, 2, 3, 4), (1, 2, 4, 7, 8, 11))
@@ -175,14 +178,15 @@ class Field:
     def decode(self, zone: str) -> list[Span]:
         """Best segmentation of a zone: spans relative to its start."""
         atoms = _ATOM.findall(zone)
-        held = np.cumsum([0, *("0" <= a[0] <= "9" or a == "@" for a in atoms)]).tolist()
-        best, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
+        best, back, last = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1), -1
         for j in range(1, len(atoms) + 1):
             best[j] = best[j - 1]
+            if "0" <= atoms[j - 1][0] <= "9" or atoms[j - 1] == "@":
+                last = j - 1
             if atoms[j - 1].isspace():
                 continue
-            for i in range(max(0, j - MAX_ATOMS), j):      # the same segments as candidates(), without a list of them
-                if held[j] > held[i] and not atoms[i].isspace():
+            for i in range(max(0, j - MAX_ATOMS), last + 1):      # the same segments as candidates(), without a list of them
+                if not atoms[i].isspace():
                     s = self.score(_segment_features(atoms, i, j))
                     k = int(s.argmax())
                     if best[i] + float(s[k]) > best[j]:    # an outside reading of an atom scores 0
@@ -250,8 +254,8 @@ def _zone_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = []
         for body in batch.column("text"):
             for _, zone in zones(body.as_py()):
-                if len(zone) <= 400:                       # training zones only; every zone is decoded
-                    found.append((zone, "+".join(sorted({k for k, _, _ in base_spans(zone)}))))
+                for part in [zone] if len(zone) <= 400 else _PART.findall(zone):      # for training only; every zone is decoded whole
+                    found.append((part, "+".join(sorted({k for k, _, _ in base_spans(part)}))))
         yield pa.RecordBatch.from_arrays([pa.array([z for z, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], ["zone", "label"])
 
 

@@ -232,6 +232,30 @@ def test_decoding_is_the_best_segmentation():
         assert got == pytest.approx(best(0))
 
 
+def test_zones_keep_every_candidate_and_the_optimum_of_the_uncut_text():
+    """Decoding zone by zone against a dynamic program over all candidates of the whole text, under random weights."""
+    rng = np.random.default_rng(9)
+    parts = ["555 - 123 - 4567", "4111  1111  1111  1111", "a@b.c", "x", "some word", "...", "(", "12", "\n\n", "é", "a - b", "+1", "q " * 14, "w " * 17, "z " * 40]
+    bodies = [*PERSONAL, *parts, *("".join(rng.choice(parts) + " " * int(rng.integers(0, 3)) for _ in range(12)) for _ in range(60))]
+    for body in bodies:
+        atoms = pii_crf._ATOM.findall(body)
+        at, zoned = np.cumsum([0, *map(len, atoms)]), list(pii_crf.zones(body))
+        segments = pii_crf.candidates(atoms)
+        for i, j in segments:
+            assert any(b <= at[i] and at[j] <= b + len(z) for b, z in zoned), (body, atoms[i:j])
+        field = pii_crf.Field(rng.integers(-64, 40, (pii_crf.N_FEATURES, len(pii_crf.KINDS))) / 64)      # sums without rounding
+        score = lambda i, j: field.score(pii_crf._segment_features(atoms, i, j))  # noqa: B023, E731
+        best = [0.0] * (len(atoms) + 1)
+        for j in range(1, len(atoms) + 1):
+            best[j] = max([best[j - 1], *(best[i] + float(score(i, e).max()) for i, e in segments if e == j)])
+        place, found = {int(p): n for n, p in enumerate(at)}, 0.0
+        spans = [(k, s + b, e + b) for b, z in zoned for k, s, e in field.decode(z)]
+        assert all(e <= s for (_, _, e), (_, s, _) in zip(spans, spans[1:]))
+        for kind, s, e in spans:
+            found += float(score(place[s], place[e])[pii_crf.KINDS.index(kind)])
+        assert found == best[-1], body
+
+
 def test_field_learns_the_kinds():
     zones = [z for z in PERSONAL[:1] + PERSONAL[3:5] + [f"{i}.{i + 1}.77.{i}" for i in range(20)] + [f"+1 (3{i}) 555-98{i}" for i in range(10, 30)]
              + [f"u{i}@mail.example.com" for i in range(20)] + [f"{i}.0." for i in range(20)]]
