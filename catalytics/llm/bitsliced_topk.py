@@ -18,7 +18,8 @@ QUERIES_PER_TASK)`` tasks, each holding one block and streaming its queries.
 Special cases: rows with a null id or a null, empty or non-finite vector take no part; vectors of
 other lengths than the longest are padded with zeros; components are held to +-2^24 after
 quantisation; rows that share the query's id are its own and no candidates; repeated rows with
-another id are candidates of their own; fewer candidates than k give them all; an empty table gives
+another id are candidates of their own; a repeated query row is searched once; a query id with several
+different vectors is one query, and a candidate's score is the best over them; fewer candidates than k give them all; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -113,12 +114,12 @@ class Block:
         return out
 
     def top(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, best first."""
+        """Places in the block and scores of the k best rows, best first."""
         valid = self.valid.copy()
         valid[:len(self.ids)] &= self.ids != query_id
         allowed = np.packbits(valid, bitorder="little").view(np.uint64)
         if not allowed.any():
-            return self.ids[:0], self.ids[:0]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not weights.any():
             rows = np.flatnonzero(valid)
         else:
@@ -143,24 +144,26 @@ class Block:
         values = (picked.astype(np.int64) << np.arange(self.bits)[None, :, None]).sum(axis=1) + self.low[:, None]
         scores = weights @ values
         order = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][order], scores[order]
+        return rows[order], scores[order]
 
 
 def _search_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
-            query, row, score = [], [], []
-            for kind, key, ids, low, bits, body in zip(*(batch.column(c) for c in ("kind", "key", "ids", "low", "bits", "body"))):
+            query, row, place, score = [], [], [], []
+            for number, kind, key, ids, low, bits, body in zip(*(batch.column(c) for c in ("block", "kind", "key", "ids", "low", "bits", "body"))):
                 if kind.as_py() == 0:
                     block = Block(ids.as_py(), low.as_py(), bits.as_py(), body.as_py())
                     continue
                 found, scores = block.top(key.as_py(), np.frombuffer(body.as_py(), np.int64), k)
                 query.append(np.full(len(found), key.as_py(), np.int64))
-                row.append(found)
+                row.append(block.ids[found])
+                place.append(found | number.as_py() << 32)
                 score.append(scores)
             empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (query, row, score)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (query, row, place, score)],
+                                             ["query_id", "vec_id", "place", "score"])
     return run
 
 
@@ -176,8 +179,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: float = 1024.0, b
            queries_per_task: int = QUERIES_PER_TASK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every query.  Both inputs have vec_id (long) and vector, all usable."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
-    n_queries = queries.count()
-    schema = "query_id long, vec_id long, score long"
+    queries = queries.select("vec_id", "vector").distinct()
+    n_queries, named = queries.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first()
+    schema = "query_id long, vec_id long, place long, score long"
     if not size.n or not n_queries:
         found = rows.sparkSession.createDataFrame([], schema)
     else:
@@ -195,6 +199,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: float = 1024.0, b
         asked = asked.join(index.select("block"), "block", "left_semi")
         met = blocks.union(asked).repartition("block", "share").sortWithinPartitions("block", "share", "kind")
         found = met.mapInArrow(_search_batches(k), schema)
+        if named < n_queries:                               # several vectors of one id may have found the same row
+            found = found.groupBy("query_id", "vec_id", "place").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -54,6 +54,20 @@ def test_topk_over_blocks_and_shares(spark, block_rows, queries_per_task):
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
 
 
+@pytest.mark.parametrize("block_rows", [64, 1 << 14])
+def test_topk_of_repeated_query_rows(spark, block_rows):
+    """A repeated query row is searched once; several vectors of one query id give each candidate row its best score."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-9, 10, 5) / 2).tolist(), 0) for i in range(300)]
+    rows += rows[:1] + rows[10:11] * 9 + [(20, [4.0, -3.0, 2.0, 0.5, 1.0], 0), (20, [-4.0, 3.0, 2.0, 0.5, 1.0], 0)]
+    df = bitsliced_topk.usable_rows(spark.createDataFrame(rows, VECTORS)).repartition(3)
+    got = bitsliced_topk.search(df, df.where("vec_id % 10 = 0"), 10, 2.0, block_rows, 7).collect()
+    q = [(i, np.floor(2 * np.array(v)).astype(int)) for i, v, _ in rows]
+    for i in range(0, 300, 10):
+        best = sorted((-max(int(a @ b) for n, a in q if n == i), j) for j, b in q if j != i)[:10]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 def test_topk_of_few_rows_and_of_an_empty_table(spark, tmp_path):
     assert bitsliced_topk.op4_bitsliced_topk(spark, write(spark, [], tmp_path / "a")).collect() == []
     got = bitsliced_topk.op4_bitsliced_topk(spark, write(spark, [(0, [1.0, 2.0], 0), (1, [1.0], 0)], tmp_path / "b")).collect()
