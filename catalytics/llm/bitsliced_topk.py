@@ -16,8 +16,8 @@ Queries and blocks meet by an equi-join key: every block is read by ``ceil(queri
 QUERIES_PER_TASK)`` tasks, each holding one block and streaming its queries.
 
 Special cases: rows with a null id or a null, empty or non-finite vector take no part; vectors of
-other lengths than the longest are padded with zeros; components are held to +-2^24 after
-quantisation; rows that share the query's id are its own and no candidates; repeated rows with
+other lengths than the longest are padded with zeros; components take as many slices as
+they need, and a quantised component, or a score among the k best of a block, that does not fit a long raises an error; rows that share the query's id are its own and no candidates; repeated rows with
 another id are candidates of their own; a repeated query row is searched once; a query id with several
 different vectors is one query, and a candidate's score is the best over them; fewer candidates than k give them all; an empty table gives
 an empty result; other columns are ignored.
@@ -38,11 +38,14 @@ from catalytics.llm.vectors import dense, usable
 BLOCK_ROWS = 1 << 14
 QUERIES_PER_TASK = 256
 LOW_BITS = 3
-_LIMIT = 1 << 24
+_LIMIT = 2.0 ** 63
 
 
 def _quantised(column: pa.Array, width: int, scale: float) -> np.ndarray:
-    return np.clip(np.floor(dense(column, width) * scale), -_LIMIT, _LIMIT).astype(np.int64)
+    values = np.floor(dense(column, width) * scale)
+    if not (np.abs(values) < _LIMIT).all():
+        raise OverflowError("a quantised component does not fit a long")
+    return values.astype(np.int64)
 
 
 def _index_block(width: int, scale: float):
@@ -50,12 +53,12 @@ def _index_block(width: int, scale: float):
         block = block.combine_chunks()
         values = _quantised(block.column("vector").chunk(0), width, scale)
         low = values.min(axis=0)
-        values -= low
+        values = values.view(np.uint64) - low.view(np.uint64)      # below 2^64
         bits = max(1, int(values.max()).bit_length())
         words = -(-len(values) // 64)
         slices = np.zeros((width, bits, words * 8), np.uint8)
         for b in range(bits):
-            packed = np.packbits(((values >> b) & 1).astype(np.uint8).T, axis=1, bitorder="little")
+            packed = np.packbits(((values >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
             slices[:, b, :packed.shape[1]] = packed
         ids = block.column("vec_id").to_numpy()
         return pa.table({"block": block.column("block").slice(0, 1), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
@@ -131,7 +134,7 @@ class Block:
                     level, kth = both, kth | 1 << place
                 else:
                     above, level = above | both, level & ~sums[place]
-            slack = -(-int(np.abs(weights).sum()) * ((1 << self.cut) - 1) // (1 << self.cut))
+            slack = -(-sum(map(abs, weights.tolist())) * ((1 << self.cut) - 1) // (1 << self.cut))
             floor = max(0, kth - slack)                     # a lower sum cannot reach the k-th largest score
             above, level = np.zeros_like(allowed), allowed
             for place in range(len(sums) - 1, -1, -1):
@@ -141,10 +144,17 @@ class Block:
                     above, level = above | (level & sums[place]), level & ~sums[place]
             rows = np.flatnonzero(np.unpackbits((above | level).view(np.uint8), bitorder="little"))
         picked = (self.slices[:, :, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        values = (picked.astype(np.int64) << np.arange(self.bits)[None, :, None]).sum(axis=1) + self.low[:, None]
-        scores = weights @ values
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[order], scores[order]
+        values = (picked << np.arange(self.bits, dtype=np.uint64)[None, :, None]).sum(axis=1, dtype=np.uint64) + self.low.view(np.uint64)[:, None]
+        values = values.view(np.int64)
+        if np.abs(weights).astype(float) @ np.abs(values).max(axis=1).astype(float) < _LIMIT / 2:      # half for the rounding of the bound
+            scores = weights @ values
+            order = np.lexsort((self.ids[rows], -scores))[:k]
+            return rows[order], scores[order]
+        scores = (weights.astype(object) @ values.astype(object)).tolist()      # exact
+        order = sorted(range(len(rows)), key=lambda r: (-scores[r], self.ids[rows[r]]))[:k]
+        if any(not -1 << 63 <= scores[r] < 1 << 63 for r in order):
+            raise OverflowError("a score does not fit a long")
+        return rows[order], np.array([scores[r] for r in order], np.int64)
 
 
 def _search_batches(k: int):

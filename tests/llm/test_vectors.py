@@ -68,6 +68,37 @@ def test_topk_of_repeated_query_rows(spark, block_rows):
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6])
+def test_topk_of_large_components(spark, size):
+    """Components far beyond 2^24 after quantisation keep their values."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=5) * size).tolist(), 0) for i in range(200)] + [(300, [3e12, 0.0, 0.0, 0.0, 0.0], 0), (301, [-3e12, 1.0, 0.0, 0.0, 0.0], 0)]
+    rows = [(i, np.array(v, np.float32).tolist(), 0) for i, v, _ in rows]
+    df = bitsliced_topk.usable_rows(spark.createDataFrame(rows, VECTORS))
+    q = [(i, [int(x) for x in np.floor(1024 * np.array(v))]) for i, v, _ in rows]
+    asked = df.where("vec_id % 10 = 0 and vec_id < 300")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    fits = [(i, a) for i, a in q if i < 300]
+    got = bitsliced_topk.search(df.where("vec_id < 300"), asked, 7, block_rows=64).collect()
+    for i, a in fits[::10]:
+        best = sorted((-dot(a, b), j) for j, b in fits if j != i)[:7]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    with pytest.raises(Exception, match="fit a long"):
+        bitsliced_topk.search(df, asked, 7).collect()
+
+
+def test_block_scores_up_to_a_long():
+    import pyarrow as pa
+    values = [[2.0 ** 62, -(2.0 ** 62)], [-(2.0 ** 62), 2.0 ** 62], [2.0 ** 62, 0.0], [5.0, 7.0]]
+    table = pa.table({"block": [0] * 4, "vec_id": [4, 3, 2, 1], "vector": pa.array(values, pa.list_(pa.float64()))})
+    row = bitsliced_topk._index_block(2, 1.0)(table)
+    block = bitsliced_topk.Block(*(row.column(c)[0].as_py() for c in ("ids", "low", "bits", "slices")))
+    found, scores = block.top(9, np.array([1, 1], np.int64), 4)
+    assert block.ids[found].tolist() == [2, 1, 3, 4] and scores.tolist() == [2 ** 62, 12, 0, 0]
+    with pytest.raises(OverflowError):
+        block.top(9, np.array([3, 1], np.int64), 4)
+
+
 def test_topk_of_few_rows_and_of_an_empty_table(spark, tmp_path):
     assert bitsliced_topk.op4_bitsliced_topk(spark, write(spark, [], tmp_path / "a")).collect() == []
     got = bitsliced_topk.op4_bitsliced_topk(spark, write(spark, [(0, [1.0, 2.0], 0), (1, [1.0], 0)], tmp_path / "b")).collect()
