@@ -45,7 +45,7 @@ MU = 2.0
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 HOT_SHARE = 1 / 1000           # of all tokens: a context from here on is spread
 _SPREAD = 58                   # its successors go to 64 slices by their hash's top bits
-_SUCCESSOR_BYTES = 4           # of a successor's hash, within its context
+_SUCCESSOR_BYTES = 8           # of a successor's hash: the whole of it, whatever the size of its context
 _STEP = 1 / 4096               # of quantised logarithms: codes 0 to 65535 span 0.1 to 10^15
 
 
@@ -299,13 +299,12 @@ def shard_trie(entries: pa.Table) -> Trie:
     words, counts = _totals(_joined(entries["words"], "<u8"), _joined(entries["word_counts"], "<u4"))
     context = np.repeat(_joined(entries["words"], "<u8"), _joined(entries["fan"], "<u4"))
     successor = _from_low_bytes(b"".join(entries["after"].to_pylist()), _SUCCESSOR_BYTES)
-    own, at = np.unique(context, return_inverse=True)      # place of the context and successor in one number
-    shift = np.uint64(8 * _SUCCESSOR_BYTES)
-    pair, pair_counts = _totals(at.astype(np.uint64) << shift | successor, _joined(entries["pair_counts"], "<u4"))
+    own, at = np.unique(context, return_inverse=True)      # places of the context and of the successor in one number
+    followers, which = np.unique(successor, return_inverse=True)
+    pair, pair_counts = _totals(at << 32 | which, _joined(entries["pair_counts"], "<u4"))
     words, counts = words[counts > 0], counts[counts > 0]
     pair, pair_counts = pair[pair_counts > 0], pair_counts[pair_counts > 0]
-    return Trie.build(words, counts, own[(pair >> shift).astype(np.int64)] if len(pair) else own[:0],
-                      pair & ((np.uint64(1) << shift) - np.uint64(1)), pair_counts)
+    return Trie.build(words, counts, own[pair >> 32], followers[pair & 0xFFFFFFFF], pair_counts)
 
 
 def _answer_shard(entries: pa.Table) -> pa.Table:

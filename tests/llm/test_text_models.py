@@ -182,6 +182,16 @@ def test_trie_answers_from_a_mapped_file(tmp_path):
     assert np.array_equal(trie.word(hashes)[0], np.arange(1, len(hashes) + 1)) and not trie.word(hashes + np.uint64(1))[0].all()
 
 
+def test_successors_that_share_their_high_bits_stay_apart():
+    import pyarrow as pa
+    vocabulary = np.array([5 << 40, (7 << 40) + 1, (7 << 40) + 2, (7 << 40) + 3], np.uint64)      # a context, two seen words, one unseen
+    context, word, kept = ngram_lm._split(np.array([1, 2, 3]), vocabulary)                         # places: context 0, then the word
+    entries = pa.table({"words": [vocabulary[:1].tobytes()], "word_counts": [np.array([9], "<u4").tobytes()], "fan": [np.array([2], "<u4").tobytes()],
+                        "after": [ngram_lm._low_bytes(kept[:2], ngram_lm._SUCCESSOR_BYTES)], "pair_counts": [np.array([3, 6], "<u4").tobytes()]})
+    found = ngram_lm.shard_trie(entries).bigram(context, kept).astype(np.int64)
+    assert found[2] == 0 and np.allclose(ngram_lm.restore(found[:2] - 1), [3, 6], rtol=1e-3)
+
+
 # ---- personal data ----
 
 PERSONAL = ["write to a.b+c@mail.example.com or x@y", "a@b.c_x@d.e and @no.one", "10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.0004",
