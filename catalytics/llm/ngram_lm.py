@@ -7,10 +7,11 @@ Model.  Training tokens are lower-cased words (A-Z) and one end per text.  A wor
 Trie.  The trie is cut into shards.  A shard's first level holds its words' hashes as an Elias-Fano
 sequence with exact counts and 16-bit quantised logarithms of the smoothed counts; its second
 level holds, for each context of the shard, a monotone pointer (Elias-Fano) into successors kept
-in order within the context, each with a 16-bit quantised logarithm.  A lookup finds the context,
-reads two pointers, and searches the successor inside that range only.  The levels are flat
-buffers that are viewed in place: as Arrow columns inside a job, or memory-mapped from a file
-(``Trie.save`` and ``Trie.map_file``).
+in order within the context, each with the 16-bit quantised logarithm of its count; smoothing
+happens when texts are scored.  A lookup finds the context, reads two pointers, and searches the
+successor inside that range only.  The Elias-Fano sequences are decoded to plain arrays before they
+are asked; a job builds a shard's trie, asks it and drops it within one task, and stores no compact
+level.  ``Trie.save`` and ``Trie.map_file`` write and map the encoded levels; no job calls them.
 
 Jobs.  Texts become blocks of about ``BLOCK_TOKENS`` tokens.  A block sends every shard its distinct
 words and bigrams once, with their training counts; the shard builds its trie from all blocks and
