@@ -145,6 +145,23 @@ def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int):
     return query[keep], row[keep], score[keep]
 
 
+def _leaf_best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, row places and exact scores of each query's k best rows of a leaf, ties to the smaller id."""
+    near = queries @ rows.T
+    n = min(k, len(rows))
+    kth = np.partition(near, len(rows) - n, axis=1)[:, len(rows) - n]
+    # twice what two scores, each summed in another order, may lie off the true products
+    slack = 4 * rows.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+    q, r = np.nonzero(near >= (kth - slack)[:, None])
+    exact = np.empty(len(q))
+    for b in range(0, len(q), 1 << 14):
+        exact[b:b + (1 << 14)] = (rows[r[b:b + (1 << 14)]] * queries[q[b:b + (1 << 14)]]).sum(axis=1)      # one order of summation for all
+    order = np.lexsort((ids[r], -exact, q))
+    q, r, exact = q[order], r[order], exact[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], r[keep], exact[keep]
+
+
 def _score_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, place, ids, rows = [], 0, None, [], []
@@ -171,13 +188,9 @@ def _score_batches(k: int):
                     continue
                 ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
                 for at in range(0, len(own), 512):
-                    queries = values[at:at + 512]
-                    near = queries @ rows[0].T
-                    n = min(k, near.shape[1])
-                    top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                    exact = (rows[0][top] * queries[:, None, :]).sum(axis=2)      # one order of summation for all
-                    held.append((np.repeat(own[at:at + 512], n), ids[0][top].ravel(), exact.ravel()))
-                    size += len(queries) * n
+                    q, top, exact = _leaf_best(values[at:at + 512], ids[0], rows[0], k)
+                    held.append((own[at:at + 512][q], ids[0][top], exact))
+                    size += len(q)
                 if size > _HELD:
                     held = [_best(*(np.concatenate(x) for x in zip(*held)), k)]
                     size = len(held[0][0])

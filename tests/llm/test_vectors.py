@@ -127,6 +127,18 @@ def test_forest_query_recall_and_exact_scores(spark, tmp_path):
     assert [j for _, j, _ in sorted(got[100])] == list(range(700, 720))
 
 
+def test_forest_ties_of_distinct_vectors_go_to_the_smaller_ids(spark):
+    """Binary vectors: many equal products at the cut of a leaf; every leaf is searched, so the result is the brute force one."""
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.permutation(12) < 5).astype(float).tolist(), 0) for i in rng.permutation(600).tolist()]
+    df = ann_forest.usable_rows(spark.createDataFrame(rows, VECTORS))
+    got = ann_forest.search(df, df.where("vec_id % 20 = 0"), 10, trees=2, share=1.0, leaf_rows=64).collect()
+    v = {i: np.array(x) for i, x, _ in rows}
+    for i in range(0, 600, 20):
+        best = sorted((-float(v[i] @ v[j]), j) for j in v if j != i)[:10]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 def test_forest_of_few_rows_and_of_an_empty_table(spark, tmp_path):
     assert ann_forest.op8_ann_forest(spark, write(spark, [], tmp_path / "a")).collect() == []
     got = ann_forest.op8_ann_forest(spark, write(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (1, [0.5, 0.5], 0)], tmp_path / "b")).collect()
