@@ -329,6 +329,7 @@ QUERIES.update({
                                                     L.listing_view(listings(s, d))),
     "request_features": lambda s, d: M.request_features(requests(s, d), catalog(s, d)),
     "category_segments": lambda s, d: M.category_segments(scored(s, d)),
+    # segment_label_map and segment_summary are checks of labels and summary over a fixed assignment, not of the clustering
     "segment_label_map": lambda s, d: M.label_segments(fixed_clusters(s, d))
                                         .groupBy("categoryName", F.col("cid").alias("cluster"), "segment").agg(F.count("*").alias("n")),
     "segment_summary": lambda s, d: A.segment_summary(M.label_segments(fixed_clusters(s, d))),
