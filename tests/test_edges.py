@@ -10,7 +10,7 @@ from catalytics.operators import listings as L
 from catalytics.operators import ranking as R
 from catalytics.operators.catalog import score_catalog
 from catalytics.sources.readers import CATALOG_SCHEMA, LISTING_SCHEMA
-from conftest import rows
+from helpers import rows
 
 COLS = ["asin", "title", "categoryName", "price", "boughtInLastMonth", "stars", "isBestSeller"]
 

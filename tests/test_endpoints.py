@@ -3,7 +3,7 @@
 import pytest
 
 from catalytics.plans import endpoints as EP
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 @pytest.fixture(scope="module")

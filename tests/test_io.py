@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalytics.sources import readers as RD
 from catalytics.plans.queries import catalog, catalog_documents, listings
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 
 
 def test_catalog_csv_round_trip(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalytics.operators import ml as M
 from catalytics.operators import sampling as SM
 from catalytics.plans.queries import catalog, listings, scored, training
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 
 
 def test_balance_exact_counts(spark):

@@ -8,7 +8,7 @@ at sf0.01 (the driver's correctness scale).  Queries without an oracle
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from oracle_harness import compare
 
 QUERIES = E.queries()

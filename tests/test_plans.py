@@ -3,7 +3,7 @@
 from catalytics.operators import aggregates as A
 from catalytics.operators import ranking as R
 from catalytics.plans.queries import QUERIES, scored
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def plan(df) -> str:

@@ -11,7 +11,7 @@ from catalytics.operators import sampling as SM
 from catalytics.operators.catalog import score_catalog
 from catalytics.operators.listings import TRAINING_COLUMNS
 from catalytics.sources.readers import dedup_first
-from conftest import rows
+from helpers import rows
 
 N = 30000
 

@@ -5,7 +5,7 @@ import datetime as dt
 import tempfile
 
 from catalytics.streaming import orders as ST
-from conftest import rows
+from helpers import rows
 
 T0 = dt.datetime(2024, 1, 1, 10, 0)
 FIRST = [
