@@ -17,6 +17,7 @@ from catalytics.llm.pii_crf import op10_personal_data
 from catalytics.llm.secrets import op3_secret_scan
 from catalytics.llm.simhash import op7_simhash
 from catalytics.llm.substring_dedup import op2_substring_dedup
+from catalytics.llm.suffix_dedup import op12_suffix_dedup
 from catalytics.llm.token_alignment import op13_token_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_forest": op8_ann_forest,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_personal_data": op10_personal_data,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 

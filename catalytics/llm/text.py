@@ -99,6 +99,11 @@ def _table(seed: int, lower: bool) -> np.ndarray:
     return _TABLES[seed, lower]
 
 
+def byte_codes(data: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A random 64-bit number for each byte: what ``gram_hashes`` needs to hash runs of bytes."""
+    return _table(seed, False)[data]
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte span, from prefix sums of a random byte code times powers of a base."""
     out = np.empty(len(starts), np.uint64)
