@@ -14,6 +14,7 @@ from catalytics.llm.mixing import op6_source_mixing
 from catalytics.llm.ngram_lm import op9_ngram_lm
 from catalytics.llm.packing import op5_packing
 from catalytics.llm.pii_crf import op10_personal_data
+from catalytics.llm.prefix_trie import op11_prefix_trie
 from catalytics.llm.secrets import op3_secret_scan
 from catalytics.llm.simhash import op7_simhash
 from catalytics.llm.substring_dedup import op2_substring_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_forest": op8_ann_forest,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_personal_data": op10_personal_data,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
