@@ -11,8 +11,8 @@ leader (FTRL-proximal) makes ``epochs`` passes with an L1 and an L2 penalty, so
 exactly zero.  One document in ``calibration_every`` of the sample is held back, and a temperature
 is fitted to it by minimising the negative log-likelihood (golden-section search).
 
-Prediction runs on every whole text, in pieces of ``PIECE`` characters so that a very long text
-needs no more memory than a short one.  Only the text is an input.
+Prediction runs on every whole text.  Its n-grams are counted in pieces of ``PIECE`` characters that
+carry the last letters on, so a long text has the counts of one piece.  Only the text is an input.
 
 Special cases: a text that is null or has no letter gets ``und`` with score 0; without labelled
 training rows every text does; repeated rows are separate rows; ties go to the language that sorts
@@ -59,9 +59,9 @@ class Model:
     settings: Settings
 
 
-def _letters(body: str) -> np.ndarray:
-    """Code points of the lower-cased text; a run of other characters than letters becomes one space."""
-    codes = np.frombuffer(body.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _letters(low: str, after_letter: bool) -> tuple[np.ndarray, bool]:
+    """Code points of a lower-cased piece, a run of other characters than letters as one space; whether it ends in a letter."""
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     ascii_letter = (codes >= 97) & (codes <= 122)
     letter = ascii_letter.copy()
     other = np.flatnonzero(~ascii_letter & (codes >= 128))
@@ -70,25 +70,27 @@ def _letters(body: str) -> np.ndarray:
         letter[other] = np.fromiter((chr(c).isalpha() for c in kinds), bool, len(kinds))[which]
     keep = letter.copy()
     keep[1:] |= letter[:-1]                               # the first non-letter after a letter
-    return np.where(letter, codes, _SPACE)[keep]
+    keep[0] |= after_letter
+    return np.where(letter, codes, _SPACE)[keep], bool(letter[-1])
 
 
 def features(body: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their counts, over the whole text; nothing for a text without letters."""
     size = 1 << settings.feature_bits
     counts = np.zeros(size, np.int64)
-    reach, any_letter = max(settings.orders) - 1, False
-    for at in range(0, len(body), PIECE):
-        codes = _letters(body[at:at + PIECE + reach] if at + PIECE < len(body) else body[at:])
-        if not (codes != _SPACE).any():
-            continue
-        any_letter = True
-        codes = np.concatenate([[_SPACE], codes]).astype(np.uint64)
-        gram = np.zeros(len(codes), np.uint64)
-        for n in range(1, max(settings.orders) + 1):
-            gram = gram[:len(codes) - n + 1] * np.uint64(0x110000) + codes[n - 1:]
-            if n in settings.orders and len(gram):
+    low, tail, after_letter, any_letter = body.lower(), np.zeros(0, np.uint64), False, False
+    for at in range(0, len(low), PIECE):
+        codes, after_letter = _letters(low[at:at + PIECE], after_letter)
+        any_letter |= bool((codes != _SPACE).any())
+        codes = codes.astype(np.uint64) if at else np.concatenate([[_SPACE], codes]).astype(np.uint64)
+        for n in settings.orders:                         # grams that end in this piece
+            run = np.concatenate([tail[len(tail) - n + 1:] if 1 < n <= len(tail) else tail[:0] if n == 1 else tail, codes])
+            gram = np.zeros(max(0, len(run) - n + 1), np.uint64)
+            for k in range(n):
+                gram = gram * np.uint64(0x110000) + run[k:len(run) - n + 1 + k] if len(gram) else gram
+            if len(gram):
                 counts += np.bincount((mix(gram + np.uint64(n)) >> np.uint64(64 - settings.feature_bits)).astype(np.int64), minlength=size)
+        tail = np.concatenate([tail, codes])[-max(1, max(settings.orders) - 1):]
     used = np.flatnonzero(counts) if any_letter else np.zeros(0, np.int64)
     return used, counts[used]
 
@@ -169,8 +171,11 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
     hashed = rows.select("lang", F.xxhash64("text", F.lit("sample")).alias("__h"))
+    # the smallest hashes of a language lie under a share of all hashes that follows from their number: four times what is kept passes
+    several = hashed.groupBy("lang").agg(F.approx_count_distinct("__h").alias("__n"))
+    below = F.col("__h") <= F.least(F.lit(1.0), 4.0 * settings.rows_per_language / F.col("__n")) * 2.0 ** 64 - 2.0 ** 63
     rank = Window.partitionBy("lang").orderBy("__h")
-    chosen = hashed.distinct().withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= settings.rows_per_language)
+    chosen = hashed.join(several, "lang").where(below).select("lang", "__h").distinct().withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= settings.rows_per_language)
     sample = rows.withColumn("__h", F.xxhash64("text", F.lit("sample"))).join(chosen.select("lang", "__h"), ["lang", "__h"]).mapInArrow(
         _sample_batches(settings), "lang string, h long, used binary, counts binary").dropDuplicates(["lang", "h"]).collect()
     sample.sort(key=lambda r: (r.h, r.lang))

@@ -51,7 +51,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")           # a maximal run, as [0-9a-f]+ of 24 or more
 # Kinds beyond the base.
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----")
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _PROVIDER = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})")
 
 
@@ -75,7 +75,7 @@ def _plain(pattern: re.Pattern, *needs: str) -> Callable[[str], Spans]:
 
 
 BASE = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex))
-RULES = (*BASE, Rule("pem", 1, _plain(_PEM, "PRIVATE KEY-----")), Rule("jwt", 1, _plain(_JWT, "eyJ")),
+RULES = (*BASE, Rule("pem", 1, _plain(_PEM, "PRIVATE KEY-----")), Rule("jwt", 2, _plain(_JWT, "eyJ")),
          Rule("provider", 1, _plain(_PROVIDER, "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "AIza")))
 
 _SPANS = "array<struct<kind:string,start:long,stop:long>>"
@@ -109,25 +109,24 @@ def _scan_batches(rules: tuple[Rule, ...]):
     return run
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
     """Bring the ledger up to date and return (blob, spans) of every blob in ``docs``, by the given rule versions."""
     spark, names = docs.sparkSession, [r.name for r in rules]
-    key, blob = F.xxhash64(docs[id_column].cast("string")).alias("k"), blob_id(docs[text_column]).alias("blob")
-    blobs = frames.cut(docs.select(key, blob).groupBy("blob").agg(F.min("k").alias("k")), "blobs")
+    blob = blob_id(docs[text_column]).alias("blob")
+    # one row per blob, whatever its copies are called: each task keeps one before the shuffle
+    texts = docs.select(blob, docs[text_column].cast("string").alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     seen = read_ledger(spark, ledger).groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
     todo = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = blobs.join(seen, "blob", "left").select("k", "blob", todo.alias("todo")).where(F.size("todo") > 0)
-    # a shuffled hash join holds the hashes and streams the texts: no text is sorted
-    texts = docs.select(key, blob, docs[text_column].cast("string").alias("text")).join(unseen.hint("shuffle_hash"), ["k", "blob"])
-    texts.select("blob", "text", "todo").mapInArrow(_scan_batches(rules), _LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    unseen = texts.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
+    unseen.mapInArrow(_scan_batches(rules), _LEDGER).write.mode("append").parquet(ledger)
 
-    kinds = {r.kind: r.name for r in rules}
-    current = F.array(*map(F.lit, names))
-    rows = read_ledger(spark, ledger).where(F.arrays_overlap("rules", current)).join(blobs.select("blob"), "blob", "left_semi")
-    # of a kind scanned by several versions, only the findings of the given one count
-    rule_of = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
-    return rows.groupBy("blob").agg(F.flatten(F.collect_list(F.filter(
-        "spans", lambda s: F.array_contains("rules", rule_of[s["kind"]])))).alias("spans"))
+    # of a kind scanned by several versions only the findings of the given one count, and a pair of blob and rule on record twice counts once
+    kind_of = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.kind)))
+    rows = read_ledger(spark, ledger).select("blob", F.explode(F.array_distinct("rules")).alias("rule"), "spans").where(F.col("rule").isin(names))
+    rows = rows.select("blob", "rule", F.filter("spans", lambda s: s["kind"] == kind_of[F.col("rule")]).alias("spans"))
+    here = docs.select(blob).distinct()
+    return rows.groupBy("blob", "rule").agg(F.first("spans").alias("spans")).join(here, "blob", "left_semi").groupBy("blob").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def ordered_text(spans: Column, kinds: list[str]) -> Column:
@@ -138,10 +137,10 @@ def ordered_text(spans: Column, kinds: list[str]) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(sortable), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
 
 
-def findings(docs: DataFrame, ledger: str, keep: dict[str, Column], rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id",
+def findings(docs: DataFrame, ledger: str, keep: dict[str, Column], rules: tuple[Rule, ...] = RULES,
              text_column: str = "text") -> DataFrame:
     """The kept columns, blob and spans of every path."""
-    found = scan(docs, ledger, rules, id_column, text_column)
+    found = scan(docs, ledger, rules, text_column)
     paths = docs.select(*(c.alias(n) for n, c in keep.items()), blob_id(docs[text_column]).alias("blob"))
     return paths.join(found, "blob")
 

@@ -6,13 +6,14 @@
    carry the same anchor at the same place.  Anchors that occur once in the corpus are dropped.
 2. Join.  The documents are joined with their own repeated anchors only.
 3. Extend.  Each remaining anchor is extended both ways to every window that chose it; windows
-   whose words are equal meet by a fingerprint of all ``min_words`` words.  Occurrences are
-   counted, never paired, so a passage shared by n documents costs n rows.
+   whose words are equal meet by a 128-bit fingerprint of all ``min_words`` words.  Occurrences
+   are counted, never paired, so a passage shared by n documents costs n rows.
 4. Maximal repeats.  The windows that occur at least twice are merged per document into maximal
    intervals of repeated words, each at least ``min_words`` long.
 
-Shuffles carry 64-bit hashes (anchor and window fingerprints come from independent mixes) and
-twice the texts by row key.  A hot passage is pre-aggregated by the partial counts, and the joins
+A word enters all hashes by 128 bits of BLAKE2b under a key drawn for the run, so no choice of words
+makes two windows collide; two lanes of the window's hash stay apart.  An anchor is one 64-bit hash,
+which only decides which windows are looked at.  Shuffles carry hashes and twice the texts by row key.  A hot passage is pre-aggregated by the partial counts, and the joins
 on hashes are plain equi-joins whose skewed partitions Spark splits.
 
 Results in special cases: a null or empty text, or one under ``min_words`` words, has no repeats
@@ -23,6 +24,7 @@ table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,24 +53,23 @@ def _leftmost_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.nda
     return least, at
 
 
-def _windows(batch: pa.RecordBatch, column: str, min_words: int, anchor_words: int):
-    """Anchor hash, anchor position, first word, text number and word hashes for all windows inside one text."""
-    data, offsets = text.text_bytes(batch.column(column))
-    starts, ends, owner = text.word_spans(data, offsets)
-    words = text.hash_spans(data, starts, ends)
+def _windows(part: pa.RecordBatch, codes: text.WordCodes, min_words: int, anchor_words: int):
+    """Anchor hash, anchor position, first word, text number and word lanes for all windows inside one text."""
+    words, owner = codes.of(part.column("text"))
     if len(words) < min_words:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, owner, words
-    least, at = _leftmost_minima(text.gram_hashes(words, anchor_words), min_words - anchor_words + 1)
+    least, at = _leftmost_minima(text.gram_hashes(words[:, 0], anchor_words), min_words - anchor_words + 1)
     inside = np.flatnonzero(owner[:len(words) - min_words + 1] == owner[min_words - 1:])
     return least[inside], at[inside], inside, owner, words
 
 
-def _anchor_batches(min_words: int, anchor_words: int):
+def _anchor_batches(key: bytes, min_words: int, anchor_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = text.WordCodes(key)
         for batch in batches:
             for part in text.slices(batch, "text"):
-                least, at, first, owner, _ = _windows(part, "text", min_words, anchor_words)
+                least, at, first, owner, _ = _windows(part, codes, min_words, anchor_words)
                 _, one = np.unique(at, return_index=True)          # every selected position once
                 pair = np.empty(len(one), [("doc", np.int64), ("anchor", np.uint64)])
                 pair["doc"], pair["anchor"] = owner[first[one]], least[one]
@@ -81,25 +82,26 @@ def _anchor_batches(min_words: int, anchor_words: int):
     return run
 
 
-def _window_batches(min_words: int, anchor_words: int):
+def _window_batches(key: bytes, min_words: int, anchor_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = text.WordCodes(key)
         for batch in batches:
             for part in text.slices(batch, "text"):
-                least, _, first, owner, words = _windows(part, "text", min_words, anchor_words)
+                least, _, first, owner, words = _windows(part, codes, min_words, anchor_words)
                 seeds = part.column("anchors")
                 seed_doc = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
                 seed = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                # (text, anchor) membership: both sides mixed into one key
+                # (text, anchor) membership: both sides mixed into one key; a false hit only sends a window more
                 wanted = text.mix(seed + seed_doc.astype(np.uint64) * _SALT)
                 doc = owner[first]
                 first = first[np.isin(text.mix(least + doc.astype(np.uint64) * _SALT), wanted)]
                 doc = owner[first]
-                print_of = text.gram_hashes(text.mix(words + _SALT), min_words)[first] if len(first) else np.zeros(0, np.uint64)
+                prints = [text.gram_hashes(text.mix(words[:, k] + _SALT), min_words)[first] if len(first) else np.zeros(0, np.uint64) for k in (0, 1)]
                 start = first - np.searchsorted(owner, np.arange(len(part)))[doc]
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__k1").take(at), part.column("__k2").take(at), pa.array(print_of.view(np.int64)),
-                     pa.array(start.astype(np.int32))], ["k1", "k2", "window", "start"])
+                    [part.column("__k1").take(at), part.column("__k2").take(at), *(pa.array(x.view(np.int64)) for x in prints),
+                     pa.array(start.astype(np.int32))], ["k1", "k2", "w1", "w2", "start"])
     return run
 
 
@@ -123,14 +125,15 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """Maximal repeated word intervals per text: k1, k2 (``frames.row_key``), begins, stops (word numbers, stop exclusive)."""
     k1, k2 = frames.row_key(docs, id_column, text_column)
     rows = docs.select(k1, k2, docs[text_column].cast("string").alias("text")).where("text is not null")
-    anchors = frames.cut(rows.mapInArrow(_anchor_batches(min_words, anchor_words), "k1 long, k2 long, anchor long, n int"), "anchors")
+    key = os.urandom(16)
+    anchors = frames.cut(rows.mapInArrow(_anchor_batches(key, min_words, anchor_words), "k1 long, k2 long, anchor long, n int"), "anchors")
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     seeds = frames.cut(anchors.join(twice, "anchor").select("k1", "k2", "anchor").distinct()
                        .groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors")), "seeds")
     seeded = rows.join(seeds, (rows["__k1"] == seeds["k1"]) & (rows["__k2"] == seeds["k2"])).select("__k1", "__k2", "text", "anchors")
-    windows = frames.cut(seeded.mapInArrow(_window_batches(min_words, anchor_words), "k1 long, k2 long, window long, start int"), "windows")
-    copied = frames.cut(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "copied")
-    starts = windows.join(copied, "window").groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"))
+    windows = frames.cut(seeded.mapInArrow(_window_batches(key, min_words, anchor_words), "k1 long, k2 long, w1 long, w2 long, start int"), "windows")
+    copied = frames.cut(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "copied")
+    starts = windows.join(copied, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
     return frames.cut(starts.mapInArrow(_merge(min_words), "k1 long, k2 long, begins array<long>, stops array<long>"), "repeats")
 
 

@@ -6,6 +6,7 @@ bytes, so words are found on the UTF-8 bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,3 +137,36 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         out[done:done + got] = mix((total[n:] - total[:-n]) * inverse[:got])
         done += got
     return out
+
+
+class WordCodes:
+    """128 bits of keyed BLAKE2b for every word, in two 64-bit lanes.
+
+    The key is drawn for each run, so nobody can choose words whose codes collide.
+    """
+
+    def __init__(self, key: bytes, remembered: int = 1 << 20):
+        self.key, self.remembered = key, remembered
+        self.number: dict[bytes, int] = {}
+        self.lanes = np.zeros((1024, 2), np.uint64)
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes of all words of a column of texts, and the number of the text that each word is in."""
+        if len(self.number) > self.remembered:
+            self.number.clear()
+        data, offsets = text_bytes(column)
+        raw, known, number = data.tobytes(), len(self.number), self.number
+        places, sizes = [], np.zeros(len(offsets) - 1, np.int64)
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            words = raw[a:b].split()
+            sizes[k] = len(words)
+            places += [number.setdefault(w, len(number)) for w in words]
+        if len(number) > len(self.lanes):
+            more = np.zeros((max(len(number), 2 * len(self.lanes)), 2), np.uint64)
+            more[:known] = self.lanes[:known]
+            self.lanes = more
+        if len(number) > known:
+            new = list(number)[known:]
+            codes = b"".join(hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in new)
+            self.lanes[known:known + len(new)] = np.frombuffer(codes, "<u8").reshape(-1, 2)
+        return self.lanes[np.array(places, np.int64)], np.repeat(np.arange(len(sizes)), sizes)

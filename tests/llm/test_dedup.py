@@ -44,6 +44,22 @@ def test_substring_dedup_equals_brute_force(spark, width):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows, width)
 
 
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out = out + out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_words_that_collide_under_powers_of_any_base_stay_apart(spark):
+    """Two words of 1,024 letters whose hashes by powers of a base modulo 2^64 are equal for every base and byte table."""
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    tail = words(40, 3)
+    rows = [(1, " ".join([one, *tail[:34]]), "en", "a", 1), (2, " ".join([two, *tail[:34]]), "en", "a", 1)]
+    got = substring_dedup.remove_repeats(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows, 35)
+
+
 def test_substring_dedup_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).collect() == []
 

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -56,14 +57,60 @@ def test_language_without_labels_or_rows(spark, tmp_path):
     assert langid.op1_language_id(spark, write(frame(spark, []), tmp_path / "b")).collect() == []
 
 
-def test_language_features_of_a_long_text_in_pieces(monkeypatch):
-    """Pieces overlap by the longest n-gram less one, so nothing is missed and at most a few n-grams a piece count twice."""
-    body = " ".join(words(2000, 5)) + " É!! x"
-    used, counts = langid.features(body, langid.Settings())
-    monkeypatch.setattr(langid, "PIECE", 1000)
-    pieces_used, pieces_counts = langid.features(body, langid.Settings())
-    assert set(used) <= set(pieces_used)
-    assert counts.sum() <= pieces_counts.sum() <= counts.sum() + 6 * (len(body) // 1000 + 1)
+def plain_features(body, settings):
+    """Counts of hashed n-grams of the whole text, letter by letter."""
+    codes = [32]
+    for c in body.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif codes[-1] != 32:
+            codes.append(32)
+    count = collections.Counter()
+    for n in settings.orders if any(c != 32 for c in codes) else ():
+        for i in range(len(codes) - n + 1):
+            gram = 0
+            for c in codes[i:i + n]:
+                gram = (gram * 0x110000 + c) % 2**64
+            count[int(langid.mix(np.array([(gram + n) % 2**64], np.uint64))[0]) >> (64 - settings.feature_bits)] += 1
+    return count
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1000, 1 << 18])
+def test_language_features_do_not_depend_on_pieces(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for body in (" ".join(words(200, 5)) + " É!! xΣ İ", "ab", "!", "  a  b", "x" * 40, "1a2bc3"):
+        used, counts = langid.features(body, langid.Settings())
+        assert dict(zip(used.tolist(), counts.tolist())) == plain_features(body, langid.Settings()), body
+
+
+def test_language_weights_and_predictions_equal_a_plain_follow_the_leader():
+    """FTRL coordinate by coordinate, as the update is written in the paper, against the sparse vector form."""
+    rng, s = np.random.default_rng(3), langid.Settings(feature_bits=4, l1=0.05)
+    rows = [(np.append(np.sort(rng.choice(16, 5, replace=False)), 16), np.append(rng.random(5), 1.0)) for _ in range(30)]
+    labels = rng.integers(0, 3, 30)
+    z, n = np.zeros((17, 3)), np.zeros((17, 3))
+
+    def weight(i, k):
+        if i < 16 and abs(z[i, k]) <= s.l1:
+            return 0.0
+        shrink = np.sign(z[i, k]) * s.l1 if i < 16 else 0.0
+        return -(z[i, k] - shrink) / ((s.beta + n[i, k] ** 0.5) / s.alpha + s.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for r in order.permutation(30):
+            i, x = rows[r]
+            w = [[weight(j, k) for k in range(3)] for j in i]
+            logit = [sum(x[a] * w[a][k] for a in range(len(i))) for k in range(3)]
+            p = np.exp(logit) / np.exp(logit).sum()
+            for a, j in enumerate(i):
+                for k in range(3):
+                    g = x[a] * (p[k] - (labels[r] == k))
+                    z[j, k] += g - ((n[j, k] + g * g) ** 0.5 - n[j, k] ** 0.5) / s.alpha * w[a][k]
+                    n[j, k] += g * g
+    plain = np.array([[weight(i, k) for k in range(3)] for i in range(17)])
+    got = langid.fit_ftrl(rows, labels, 3, 16, s)
+    assert np.allclose(got, plain) and (got[:16] == 0).any()
 
 
 def test_temperature_is_the_likeliest():
@@ -128,6 +175,33 @@ def test_secrets_of_an_empty_table(spark, tmp_path):
     assert secrets.op3_secret_scan(spark, write(frame(spark, []), tmp_path)).collect() == []
 
 
+def test_copies_under_one_id_are_scanned_once_and_a_ledger_written_twice_counts_once(spark, tmp_path):
+    body = "password = hunter22hunter " + "AKIA" + "Q" * 20
+    rows = [(1, body, "en", "a", 1)] * 50 + [(None, body, "en", "a", 1)] * 50 + [(2, "nothing", "en", "a", 1)] * 50
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return secrets.BASE[0].find(text)
+
+    ledger, rules = f"{tmp_path}/ledger", (secrets.Rule("assign", 1, counted), secrets.BASE[1])
+    df = frame(spark, rows).repartition(6)
+    first = {r.blob: sorted(map(tuple, r.spans)) for r in secrets.scan(df, ledger, rules).collect()}
+    assert seen.value == 2 and sorted(map(len, first.values())) == [0, 2]
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-again")
+    spark.read.parquet(ledger + "-again").write.mode("append").parquet(ledger)
+    assert {r.blob: sorted(map(tuple, r.spans)) for r in secrets.scan(df, ledger, rules).collect()} == first
+
+
+def test_rules_are_linear_in_the_text():
+    n = 10_000_000
+    for part in ("eyJabcdefghij-", "eyJabcdefgh.", "-----BEGIN A PRIVATE KEY-----\n", "password  ", "ghp_", "AKIA", "0a1b", "secret="):
+        body, began = part * (n // len(part)), time.perf_counter()
+        for rule in secrets.RULES:
+            rule.find(body)
+        assert time.perf_counter() - began < 30, part
+
+
 # ---- language model ----
 
 def plain_model(rows, mu=ngram_lm.MU):
