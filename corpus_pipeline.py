@@ -18,6 +18,7 @@ have names of their own, so none can clash.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,15 +65,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _shown(kept.dropDuplicates(["__k1", "__k2"]), docs)
 
 
-def _masked(body, spans):
-    """The text with one mask for each run of overlapping spans."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop"))))
-    piece = lambda at, n: F.substring(body, at + 1, F.greatest(n, F.lit(0)))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(
-        F.concat(a["out"], piece(a["at"], s["start"] - a["at"]), F.when(s["start"] >= a["at"], MASK).otherwise("")).alias("out"),
-        F.greatest(a["at"], s["stop"]).alias("at"))
-    return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], piece(a["at"], F.length(body) - a["at"])))
+@F.pandas_udf("string")
+def _masked(bodies: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """Texts with one mask for each run of overlapping spans, cut once; a text without spans stays."""
+    def mask(body, start, stop):
+        if body is None or start is None or not len(start):
+            return body
+        out, at = [], 0
+        for s, e in sorted(zip(start, stop)):
+            if s >= at:
+                out += [body[at:s], MASK]
+            at = max(at, e)
+        return "".join([*out, body[at:]])
+    return pd.Series([mask(*x) for x in zip(bodies, starts, stops)], dtype=object)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _hidden(docs)
     body = F.col(_name(docs, "text"))
     rows = rows.withColumn("__blob", secrets.blob_id(body)).join(found.select(F.col("blob").alias("__blob"), "spans"), "__blob", "left")
-    rows = rows.withColumn("__text", F.when(F.col("spans").isNull(), body).otherwise(_masked(body, F.col("spans"))))
+    rows = rows.withColumn("__text", F.when(F.col("spans").isNull(), body).otherwise(_masked(body, F.col("spans.start"), F.col("spans.stop"))))
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         n = F.col(_name(docs, "n_chars"))
