@@ -686,6 +686,35 @@ pe AS (SELECT email_norm, count(*) AS n, email_norm IN (SELECT lower(trim(email)
 O["order_ingest"] = sql("""SELECT order_id, lower(trim(user_email)) AS user_email, asin, units,
   rnd(amount, 2) AS total, 'confirmed' AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM purchases""", "purchases")
+O["order_documents"] = """WITH per_order AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS items, sum(cents) AS cents
+  FROM (SELECT l_orderkey, l_partkey, sum(CAST(l_extendedprice AS DECIMAL(22,2))) AS cents FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+SELECT o_orderkey AS order_id, lower(c_name) AS user_email, items, CAST(cents AS DOUBLE) AS subtotal,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS shipping,
+  CAST(cents + CASE WHEN o_orderpriority = '1-URGENT' THEN 50 ELSE 0 END AS DOUBLE) AS total,
+  CASE o_orderkey % 3 WHEN 0 THEN 'card' WHEN 1 THEN 'upi' ELSE 'cod' END AS payment_method,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'express' ELSE 'standard' END AS delivery_speed,
+  c_name AS address_name, printf('%d Market Road', o_custkey) AS address_address, n_name AS address_city,
+  printf('%06d', (o_custkey * 37) % 1000000) AS address_pin, printf('+91 %010d', o_custkey) AS address_phone,
+  'confirmed' AS status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at
+FROM orders JOIN per_order ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"""
+O["order_documents_stream"] = O["order_documents"]
+
+# first run without the purchases of order_id % 3 = 0; a day closes two days after its end has passed in what has come
+_CLOSING = """pday AS (SELECT *, date_trunc('day', ts) AS d, order_id % 3 = 0 AS second FROM purchases),
+marks AS (SELECT (SELECT max(ts) FROM pday WHERE NOT second) - INTERVAL 2 DAY AS w1, (SELECT max(ts) FROM pday) - INTERVAL 2 DAY AS w2),
+stage AS (SELECT pday.*, d + INTERVAL 1 DAY <= w1 AS shut, d + INTERVAL 1 DAY <= w2 AS shut_later FROM pday, marks),
+closed AS (SELECT strftime(d, '%Y-%m-%d') AS day, asin, CAST(sum(units) AS BIGINT) AS units, count(*) AS orders FROM stage
+           WHERE (shut AND NOT second) OR (shut_later AND NOT shut) GROUP BY 1, 2),
+late AS (SELECT strftime(d, '%Y-%m-%d') AS day, asin, CAST(sum(units) AS BIGINT) AS units, count(*) AS orders FROM stage
+         WHERE shut AND second GROUP BY 1, 2)"""
+O["stream_units_closed"] = _with(_CLOSING, "SELECT * FROM closed", "purchases")
+O["stream_units_late"] = _with(_CLOSING, "SELECT * FROM late", "purchases")
+O["stream_units_reconciled"] = _with(_CLOSING, """SELECT strftime(d, '%Y-%m-%d') AS day, asin, CAST(sum(units) AS BIGINT) AS units,
+  count(*) AS orders FROM stage WHERE shut OR shut_later GROUP BY 1, 2""", "purchases")
+O["catalog_with_streamed_units"] = _with("""fed AS (SELECT asin, sum(units) AS fed FROM purchases
+  WHERE strftime(date_trunc('day', ts), '%Y-%m-%d') >= '2024-01-15' GROUP BY 1)""", """SELECT c.asin, title, categoryName, price, stars,
+  CAST(boughtInLastMonth + coalesce(fed, 0) AS BIGINT) AS boughtInLastMonth, isBestSeller FROM catalog c LEFT JOIN fed f ON f.asin = c.asin""",
+                                         "catalog", "purchases")
 O["stream_units_tumbling"] = sql("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, asin,
   CAST(sum(units) AS BIGINT) AS units, count(*) AS orders FROM purchases GROUP BY 1, 2""", "purchases")
 

@@ -124,6 +124,7 @@ from catalytics.streaming import orders as ST  # noqa: E402
 REGEX_PATTERN = "^(red|blue) "
 LITERAL_WORD = "GIZMO"
 EQ_CATEGORY = "Brand#1"
+FEED_SINCE = "2024-01-15"       # first day of the streamed units that feed the catalog
 
 
 def raw_feed(spark, d):
@@ -192,28 +193,71 @@ def csv_to_json(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "json")
 
 
-def _stream_files(spark, d):
-    """The purchases as Parquet files for a stream to read, in the shared folder."""
+def _stream_files(spark, rows, name="purchases"):
+    """Rows as Parquet files for a stream to read, a sink and a checkpoint, all in the shared folder."""
     from catalytics.session import scratch_path
-    source = scratch_path(spark, "purchases")
-    purchases(spark, d).select(*ST.PURCHASE_SCHEMA.names).write.parquet(source)
+    source = scratch_path(spark, name)
+    rows.write.parquet(source)
     return source, scratch_path(spark, "sink"), scratch_path(spark, "stream")
 
 
 def order_ingest_stream(spark, d):
     """U6 as a stream run to the end of its input (availableNow); the sink read back."""
-    source, sink, state = _stream_files(spark, d)
+    source, sink, state = _stream_files(spark, purchases(spark, d).select(*ST.PURCHASE_SCHEMA.names))
     ST.start_order_ingest(spark, source, sink, state).awaitTermination()
     return ST.read_orders(spark, sink).drop("ts")
 
 
+def flat_orders(docs):
+    """Order documents with the items as one text and the address in columns of its own."""
+    return docs.select("order_id", "user_email", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "subtotal",
+                       "shipping", "total", "payment_method", "delivery_speed", *[F.col(f"address.{c}").alias(f"address_{c}") for c in ST.ADDRESS_SCHEMA.names],
+                       "status", "created_at")
+
+
+def order_documents_stream(spark, d):
+    """U6 over whole order requests, in two runs of the stream: the repeated requests come after a restart."""
+    posted = X.order_requests(spark, d)
+    repeated = F.col("payment_method") == "repeat"
+    source, sink, state = _stream_files(spark, posted.where(~repeated), "requests")
+    ST.start_order_documents(spark, source, sink, state).awaitTermination()
+    posted.where(repeated).write.mode("append").parquet(source)
+    ST.start_order_documents(spark, source, sink, state).awaitTermination()
+    return flat_orders(ST.read_order_documents(spark, sink))
+
+
 def stream_units_stream(spark, d):
     """2.7 as a stream run to the end of its input; the sink's partial sums added up."""
-    source, sink, state = _stream_files(spark, d)
+    source, sink, state = _stream_files(spark, purchases(spark, d).select(*ST.PURCHASE_SCHEMA.names))
     ST.start_units_per_day(spark, source, sink, state).awaitTermination()
     return ST.read_units(spark, sink)
 
 
+def two_arrivals(spark, d):
+    """2.7 with event time over two runs: every third purchase (order_id % 3 = 0) comes in the second one, most of them late.
+
+    Gives (closed days, sums of all purchases)."""
+    rows, late = purchases(spark, d).select(*ST.PURCHASE_SCHEMA.names), F.col("order_id") % 3 == 0
+    source, sink, state = _stream_files(spark, rows.where(~late))
+    parts, parts_state = f"{sink}-parts", f"{state}-parts"
+    for more in (None, rows.where(late)):
+        if more is not None:
+            more.write.mode("append").parquet(source)
+        ST.start_closed_days(spark, source, sink, state).awaitTermination()
+        ST.start_units_per_day(spark, source, parts, parts_state).awaitTermination()
+    return ST.read_closed_days(spark, sink), ST.read_units(spark, parts)
+
+
+def stream_units_reconciled(spark, d):
+    closed, all_units = two_arrivals(spark, d)
+    return ST.reconciled_days(closed, ST.late_units(closed, all_units))
+
+
+def catalog_with_streamed_units(spark, d):
+    """The catalog fed by the streamed units of the days from the middle of the log on."""
+    return ST.with_streamed_units(catalog(spark, d), stream_units_stream(spark, d), FEED_SINCE)
+
+
 def malformed(spark, d, blank_ids=False):
     """The listings with unreadable prices (id % 13 = 0) and, if asked, blank ids (id % 11 = 0)."""
     raw, n = listings(spark, d), F.col("id").cast("bigint")
@@ -346,6 +390,12 @@ QUERIES.update({
     "stream_units_tumbling": lambda s, d: ST.units_per_day(purchases(s, d)),
     "order_ingest_stream": order_ingest_stream,
     "stream_units_stream": stream_units_stream,
+    "order_documents": lambda s, d: flat_orders(ST.ingest_order_requests(X.order_requests(s, d))),
+    "order_documents_stream": order_documents_stream,
+    "stream_units_closed": lambda s, d: two_arrivals(s, d)[0],
+    "stream_units_late": lambda s, d: ST.late_units(*two_arrivals(s, d)),
+    "stream_units_reconciled": stream_units_reconciled,
+    "catalog_with_streamed_units": catalog_with_streamed_units,
 })
 
 

@@ -354,3 +354,18 @@ def purchases_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3 + 1).cast("bigint").alias("units"), "ts",
         F.format_string("Customer#%09d", F.col("user_id")).alias("user_email"),
         F.col("value").alias("amount"))
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order requests as they are posted: the F3 orders with their time, some posted again later.
+
+    Every seventh order (key % 7 = 3) is posted a second time a day later, with an upper-case
+    email, another payment method and express delivery: the first request is the order.
+    """
+    first = orders(spark, sf_dir).select(
+        "order_id", F.to_timestamp("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "user_email", "items", "subtotal", "shipping",
+        "total", "payment_method", "delivery_speed", "address")
+    again = first.where(F.col("order_id") % 7 == 3).withColumns({
+        "ts": F.col("ts") + F.make_dt_interval(F.lit(1)), "user_email": F.upper("user_email"), "payment_method": F.lit("repeat"),
+        "delivery_speed": F.lit("express")})
+    return first.unionByName(again)

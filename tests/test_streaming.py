@@ -59,3 +59,54 @@ def test_units_per_day_stream_equals_batch_with_late_rows(spark):
     catalog = spark.createDataFrame([(7, 10), (8, 0), (1, 4)], "asin long, boughtInLastMonth long")
     fed = {r["asin"]: r["boughtInLastMonth"] for r in rows(ST.with_streamed_units(catalog, ST.read_units(spark, f"{base}/units"), "2024-01-01"))}
     assert fed == {7: 21, 8: 3, 1: 4}
+
+
+def _order(order_id, at, email="A@x.com", pay="card"):
+    return (order_id, at, email, [7, 9], 20.0, 50.0, 70.0, pay, "express", ("Ann", "1 Road", "Pune", "000001", "+91 1"))
+
+
+def test_order_documents_are_whole_and_survive_repeats_and_a_restart(spark):
+    src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
+    early, late = T0, T0 + dt.timedelta(days=40)
+    parts = ([_order(1, early), _order(1, early + dt.timedelta(minutes=1), pay="again"), _order(2, late)],
+             [_order(1, late, pay="much later"), _order(2, early, " B@X.com "), _order(3, early)])
+    for part in parts:
+        spark.createDataFrame(part, ST.ORDER_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.start_order_documents(spark, src, f"{base}/orders", f"{base}/ck").awaitTermination()
+    got = {r["order_id"]: r for r in rows(ST.read_order_documents(spark, f"{base}/orders"))}
+    assert got == {r["order_id"]: r for r in rows(ST.ingest_order_requests(spark.createDataFrame(parts[0] + parts[1], ST.ORDER_SCHEMA)))}
+    assert got[1]["payment_method"] == "card" and got[2]["user_email"] == "b@x.com" and got[2]["created_at"] == "2024-01-01T10:00:00"
+    assert got[3] == {"order_id": 3, "ts": early, "user_email": "a@x.com", "items": [7, 9], "subtotal": 20.0, "shipping": 50.0, "total": 70.0,
+                      "payment_method": "card", "delivery_speed": "express", "status": "confirmed", "created_at": "2024-01-01T10:00:00",
+                      "address": {"name": "Ann", "address": "1 Road", "city": "Pune", "pin": "000001", "phone": "+91 1"}}
+
+
+def test_a_batch_writes_the_orders_it_touches(spark):
+    """The second batch repeats an old order and brings a new one: only the new one is written."""
+    src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
+    for part in ([_order(i, T0) for i in range(50)], [_order(3, T0 + dt.timedelta(days=1)), _order(99, T0)]):
+        spark.createDataFrame(part, ST.ORDER_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.start_order_documents(spark, src, f"{base}/orders", f"{base}/ck").awaitTermination()
+    batches = {r["batch"]: r["n"] for r in rows(spark.read.option("basePath", f"{base}/orders").parquet(f"{base}/orders/batch=*").groupBy("batch").count()
+                                                .withColumnRenamed("count", "n"))}
+    assert batches[0] == 50 and sum(batches.values()) <= 52           # update mode gives the touched order 3 out as it was
+    assert ST.read_order_documents(spark, f"{base}/orders").count() == 51
+
+
+def test_closed_days_come_once_and_late_purchases_are_reconciled(spark):
+    src, base = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
+    day = dt.timedelta(days=1)
+    first = [(1, 7, 2, T0, "a", 1.0), (2, 8, 1, T0 + day, "a", 1.0), (3, 7, 5, T0 + 4 * day, "a", 1.0)]
+    second = [(4, 7, 3, T0 + dt.timedelta(hours=1), "a", 1.0), (5, 9, 1, T0, "a", 1.0), (6, 7, 1, T0 + 2 * day, "a", 1.0), (7, 7, 1, T0 + 9 * day, "a", 1.0)]
+    for part in (first, second):
+        spark.createDataFrame(part, ST.PURCHASE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.start_closed_days(spark, src, f"{base}/closed", f"{base}/ck").awaitTermination()
+    key = lambda d: {(r["day"], r["asin"]): (r["units"], r["orders"]) for r in rows(d)}
+    closed = ST.read_closed_days(spark, f"{base}/closed")
+    assert closed.count() == len(key(closed)) == 4                    # one row a day and asin
+    assert key(closed) == {("2024-01-01", 7): (2, 1), ("2024-01-02", 8): (1, 1), ("2024-01-03", 7): (1, 1), ("2024-01-05", 7): (5, 1)}
+    everything = ST.units_per_day(spark.createDataFrame(first + second, ST.PURCHASE_SCHEMA))
+    late = ST.late_units(closed, everything)
+    assert key(late) == {("2024-01-01", 7): (3, 1), ("2024-01-01", 9): (1, 1)}
+    shut = closed.select("day").distinct()
+    assert key(ST.reconciled_days(closed, late)) == key(everything.join(shut, "day", "left_semi"))
