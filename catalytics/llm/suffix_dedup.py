@@ -298,7 +298,8 @@ def repeated_pieces(shapes: DataFrame, min_bytes: int, gram: int, group: int) ->
 def repeated_starts(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """blob, starts (array of first and last): windows that start anywhere else too, for different texts (blob, text)."""
     anchors = frames.cut(texts.mapInArrow(_anchor_batches(min_bytes, gram), "blob binary, anchor long, at int, lo int, hi int"), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that both sides of the join are plain exchanges, of which Spark splits the large partitions
+    twice = frames.cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     seeds = anchors.join(twice, "anchor").groupBy("blob").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("seeds"))
     pieces = frames.cut(texts.join(seeds, "blob").select("blob", "text", "seeds").mapInArrow(
         _piece_batches(min_bytes), "blob binary, key binary, piece binary, body binary, at int, lo int"), "pieces")
