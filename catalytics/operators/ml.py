@@ -7,10 +7,8 @@ segments (M9-M12, J9, A17).
   class names are stages of one pipeline, so a saved model scores a later
   catalog exactly as the one it was trained on.  Spark's MLP uses sigmoid hidden
   units and L-BFGS, so results are compared by metrics, not weights.
-* KMeans for *every* category at once is written as Lloyd iterations over
-  DataFrames: a category with a third of the rows is spread over all tasks.  The
-  centers are a written table and a step returns one number, a fingerprint of
-  the assignment; the steps end when an assignment repeats.
+* KMeans for every category at once is in ``operators/clusters.py``; the segment
+  labels are here.
 """
 
 from __future__ import annotations
@@ -18,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalytics.functions.scalars import join_by_share, with_row
+from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.operators.catalog import catalog_stats, with_stats
+from catalytics.operators.clusters import category_clusters
 from catalytics.operators.sampling import FEATURES, stratified_split
-from catalytics.session import scratch_path
 
 CAT = "categoryName"
 HIDDEN_LAYERS = [128, 64, 32]
@@ -179,78 +177,6 @@ def predict_demand(model, catalog: DataFrame, listings_view: DataFrame) -> DataF
 
 
 # ---------------------------------------------------------------- M12, J9, A17
-SCORE_RANGES = 1000            # ranges of the demand score in which the seed ranks are located
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's small table to the shared folder and read it back (cuts the lineage)."""
-    path = scratch_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def _seeds(points: DataFrame, k: int) -> DataFrame:
-    """The points ranked (2i+1)/2k in each category by (score, price): CAT, cid, cx, cy; k = min(k, rows).
-
-    Ranks are located in two steps, counts per score range first and then the
-    equal points of the at most k ranges that hold a rank, so no task orders a category.
-    """
-    ranged = points.withColumn("_range", F.floor(F.col("y") / 100.0 * SCORE_RANGES))
-    counts = ranged.groupBy(CAT, "_range").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(CAT).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(Window.partitionBy(CAT)))
-    kk = F.least(F.col("rows"), F.lit(k))
-    ranks = counts.select(CAT, "_range", (F.col("upto") - F.col("n")).alias("before"), "upto", F.explode(F.transform(
-        F.sequence(F.lit(0).cast("bigint"), kk - 1),
-        lambda i: F.struct(i.cast("int").alias("cid"), (F.floor((2 * i + 1) * F.col("rows") / (2 * kk)) + 1).alias("rank")))).alias("r"))
-    ranks = ranks.where((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("upto"))).select(
-        F.col(CAT).alias("_cat"), F.col("_range").alias("_r"), "before", F.col("r.cid").alias("cid"), F.col("r.rank").alias("rank"))
-    held = ranks.groupBy("_cat", "_r").agg(F.first("before").alias("before"))
-    near = ranged.join(held, (F.col(CAT) == F.col("_cat")) & (F.col("_range") == F.col("_r"))).groupBy(
-        CAT, "_range", "before", "y", "x").agg(F.count("*").alias("m"))
-    upto = Window.partitionBy(CAT, "_range").orderBy("y", "x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("hi", F.col("before") + F.sum("m").over(upto)).withColumn("lo", F.col("hi") - F.col("m"))
-    hit = near.join(ranks.select("_cat", "_r", "cid", "rank"), (F.col(CAT) == F.col("_cat")) & (F.col("_range") == F.col("_r"))
-                    & (F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi")))
-    return hit.select(CAT, "cid", F.col("x").alias("cx"), F.col("y").alias("cy"))
-
-
-def _assign(points: DataFrame, centers: DataFrame, scale: DataFrame) -> DataFrame:
-    """Nearest center per point in standardized units (ties: lower cluster id); the centers are standardized, not the points."""
-    by_cat = centers.groupBy(CAT).agg(F.sort_array(F.collect_list(F.struct("cid", "cx", "cy"))).alias("cs")).join(scale, CAT)
-    j = join_by_share(points, by_cat, CAT, "asin")
-    unit = lambda d, s: F.when(F.col(s) > 0, d / F.col(s)).otherwise(F.lit(0.0))
-    d = F.transform("cs", lambda c: F.struct((F.pow(unit(F.col("x") - c["cx"], "sp"), F.lit(2)) + F.pow(unit(F.col("y") - c["cy"], "ss"), F.lit(2))).alias("d"),
-                                             c["cid"].alias("cid")))
-    return j.withColumn("cid", F.array_min(d)["cid"]).drop("cs", "sp", "ss")
-
-
-def category_clusters(scored: DataFrame, k: int = 3) -> DataFrame:
-    """KMeans on per-category standardized (price, demand_score), every category at once; k = min(3, rows).
-
-    Adds cid to the catalog's columns.  Each Lloyd step writes the new centers (an
-    emptied cluster keeps its center) with a hash sum of the assignment; it ends
-    when an assignment comes again.
-    """
-    pts = _written(scored.where(F.col(CAT).isNotNull()).withColumn("x", F.col("price").cast("double"))
-                   .withColumn("y", F.col("demand_score").cast("double")), "kmeans-points")
-    scale = _written(pts.groupBy(CAT).agg(F.stddev_pop("x").alias("sp"), F.stddev_pop("y").alias("ss")), "kmeans-scale")
-    centers = _written(_seeds(pts, k), "kmeans-centers")
-    seen = set()
-    while True:
-        means = _assign(pts.select("asin", CAT, "x", "y"), centers, scale).groupBy(CAT, "cid").agg(
-            F.avg("x").alias("mx"), F.avg("y").alias("my"), F.sum(F.xxhash64("asin", "cid").cast("decimal(20,0)")).alias("sign"))
-        step = _written(centers.join(means, [CAT, "cid"], "left").select(
-            CAT, "cid", F.coalesce("mx", "cx").alias("cx"), F.coalesce("my", "cy").alias("cy"), "sign"), "kmeans-centers")
-        sign = step.agg(F.sum("sign")).first()[0]
-        if sign in seen:
-            break
-        seen.add(sign)
-        centers = step.drop("sign")
-    return _assign(pts, centers, scale).drop("x", "y")
-
-
 def category_segments(scored: DataFrame, k: int = 3) -> DataFrame:
     """M12 + J9: cluster and Hot/Warm/Cold segment of every product."""
     return label_segments(category_clusters(scored, k)).select("asin", CAT, F.col("cid").alias("cluster"), "segment")

@@ -144,3 +144,60 @@ def test_kmeans_ends_at_a_fixed_point(spark):
     for i, p in enumerate(points):
         d = {c: ((p[1] - x) / sd[0]) ** 2 + ((p[2] - y) / sd[1]) ** 2 for c, (x, y) in centers.items()}
         assert d[got[i]["cluster"]] <= min(d.values()) + 1e-9
+
+
+def _points(spark, seed=5):
+    """Two categories of many and two of few points; half of the points occur several times."""
+    import random
+    rng = random.Random(seed)
+    data = [(c, round(rng.gauss(g * 80, 25), 2), round(min(100.0, max(0.0, 20 + 25 * g + rng.gauss(0, 9))), 2))
+            for c, n in (("a", 90), ("b", 60)) for g in range(3) for _ in range(n)]
+    data += data[::2] + [("c", 1.0, 2.0), ("c", 1.0, 2.0), ("d", 4.0, 5.0), ("d", 6.0, 7.0), ("e", 4.0, 5.0)]
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(data)], "asin long, categoryName string, price double, demand_score double")
+
+
+def _centers(spark, starts, in_task):
+    from pyspark.sql import functions as F
+    from catalytics.operators import clusters as K
+    df = _points(spark).withColumns({"x": F.col("price"), "y": F.col("demand_score")})
+    pts = df.groupBy("categoryName", "x", "y").agg(F.count("*").alias("m"))
+    scale = df.groupBy("categoryName").agg(F.stddev_pop("x").alias("sp"), F.stddev_pop("y").alias("ss"))
+    out = {}
+    for r in rows(K.category_centers(pts, scale, 3, starts, in_task)):
+        out.setdefault(r["categoryName"], {})[r["cid"]] = (round(r["cx"], 9), round(r["cy"], 9), round(r["inertia"], 6), round(r["first"], 6))
+    return out
+
+
+def test_kmeans_over_tasks_equals_kmeans_in_a_task_and_more_starts_never_lose(spark):
+    inside, spread = _centers(spark, 10, 10_000), _centers(spark, 10, 20)     # a and b are over 20 points
+    assert inside == spread and {c: len(v) for c, v in inside.items()} == {"a": 3, "b": 3, "c": 2, "d": 2, "e": 1}
+    one = _centers(spark, 1, 10_000)
+    for c, v in inside.items():
+        assert all(x[2] <= x[3] == one[c][0][2] for x in v.values())           # inertia kept <= inertia of the first start
+
+
+def test_kmeans_loop_reads_fewer_starts_at_every_step(spark, monkeypatch):
+    from catalytics.operators import clusters as K
+    seen, written = [], K._written
+
+    def counting(df, name):
+        out = written(df, name)
+        if name == "kmeans-centers" and "start" in out.columns:
+            seen.append(out.select("c", "start").distinct().count())
+        return out
+
+    monkeypatch.setattr(K, "_written", counting)
+    _centers(spark, 4, 20)
+    assert seen == sorted(seen, reverse=True) and seen[-1] < seen[0] == 8
+
+
+def test_drawn_seeds_follow_the_squared_distance():
+    """Of three places the far one is drawn second with the chance that its squared distance has."""
+    import numpy as np
+    from catalytics.operators.clusters import drawn_seeds
+    x, y, m = np.array([0.0, 1.0, 3.0]), np.zeros(3), np.array([1e9, 1.0, 1.0])
+    rng, far = np.random.default_rng(1), 0
+    for _ in range(2000):
+        centers = drawn_seeds(x, y, m, 1 - rng.random((2, 3)), 2, 1.0, 1.0)
+        far += centers[1, 0] == 3
+    assert abs(far / 2000 - 0.9) < 0.03
