@@ -112,20 +112,23 @@ def confidence(score="demand_score", divisor: float = 100.0, floor_zero: bool =
     return round_half(c, 1)
 
 
-def clipped_score(stars, bought, bs, price) -> Column:
-    """Score of one listing against catalog stats, each part clipped to [0,100].
+def clipped_features(stars="stars", bought="boughtInLastMonth", bs="isBestSeller", price="price") -> dict[str, Column]:
+    """The four features of one listing against catalog stats, each clipped to [0, 100].
 
-    Needs columns bought_max, price_min, price_max (the broadcast stats row).
+    Needs columns bought_max, price_min, price_max (the one stats row).
     """
-    sn = clip(stars_norm(stars))
-    bn = F.when(F.col("bought_max") > 0, clip((col_(bought) / F.col("bought_max")) * 100.0)
-                ).otherwise(F.lit(0.0))
-    bsn = bs_norm(bs)
-    pn = F.when(F.col("price_max") > F.col("price_min"),
-                clip((1.0 - (col_(price) - F.col("price_min"))
-                      / (F.col("price_max") - F.col("price_min"))) * 100.0)
-                ).otherwise(F.lit(50.0))
-    return round_half(clip((sn + bn + bsn + pn) * FEATURE_WEIGHT), 2)
+    spread = F.col("price_max") - F.col("price_min")
+    return {"stars_norm": clip(stars_norm(stars)),
+            "bought_norm": F.when(F.col("bought_max") > 0, clip((col_(bought) / F.col("bought_max")) * 100.0)).otherwise(F.lit(0.0)),
+            "bs_norm": bs_norm(bs),
+            "price_norm": F.when(F.col("price_max") > F.col("price_min"), clip((1.0 - (col_(price) - F.col("price_min")) / spread) * 100.0)
+                                 ).otherwise(F.lit(50.0))}
+
+
+def clipped_score(stars, bought, bs, price) -> Column:
+    """Score of one listing: the clipped mean of its ``clipped_features``."""
+    f = clipped_features(stars, bought, bs, price)
+    return round_half(clip((f["stars_norm"] + f["bought_norm"] + f["bs_norm"] + f["price_norm"]) * FEATURE_WEIGHT), 2)
 
 
 def quick_score(stars="stars", bought="boughtInLastMonth", bs="isBestSeller") -> Column:
@@ -149,30 +152,30 @@ def legacy_score(stars="stars", bought="boughtInLastMonth") -> Column:
     return col_(stars) * LEGACY_STARS_WEIGHT + col_(bought) * LEGACY_BOUGHT_WEIGHT
 
 
-def scaled_units(c, scale: int = 2) -> Column:
-    """A column with at most ``scale`` decimals as an exact bigint of 10^-scale units."""
-    return F.round(col_(c) * float(10 ** scale)).cast("bigint")
+_EXACT = "decimal(38,12)"          # of a value in a sum: any double to 12 decimals, sums below 10^26
+_FAR = 1e15                       # a value from here on is added as a double: it has no decimals left
 
 
-MEAN_SCALE = 6                    # decimals that a mean keeps of every value
+def exact_total(c) -> Column:
+    """Sum of a column as a decimal of 12 places, exact and independent of how partitions are merged.
 
+    Values of ``_FAR`` and more are added apart; a total beyond the decimal is null, never an error.
+    """
+    x = col_(c).cast("double")
+    near = F.sum(F.when(F.abs(x) >= _FAR, F.lit(0).cast(_EXACT)).otherwise(x.cast(_EXACT)))
+    return near + F.coalesce(F.sum(F.when(F.abs(x) >= _FAR, x)), F.lit(0.0)).try_cast(_EXACT)
 
-def exact_mean(c, scale: int = MEAN_SCALE) -> Column:
-    """Exact mean of a column to ``scale`` decimals per value, as a decimal.
 
-    Rows are summed as whole units in a decimal (exact, cannot overflow, and
-    independent of how partitions are merged); only the one value per group is divided.
-    """
-    total = F.sum(scaled_units(c, scale).cast("decimal(15,0)")).cast("decimal(25,0)")
-    n = (F.count(col_(c)) * (10 ** scale)).cast("decimal(20,0)")
-    return total / n
+def exact_mean(c) -> Column:
+    """Mean of a column as a decimal of 12 places; only the one value per group is divided."""
+    return exact_total(c) / F.nullif(F.count(col_(c)), F.lit(0)).cast("decimal(20,0)")
 
 
-def exact_avg(c, scale: int = MEAN_SCALE, digits: int = 2) -> Column:
+def exact_avg(c, digits: int = 2) -> Column:
     """``exact_mean`` rounded half up to ``digits`` places, as a double."""
-    return F.round(exact_mean(c, scale), digits).cast("double")
+    return F.round(exact_mean(c), digits).cast("double")
 
 
-def exact_sum(c, scale: int = 2) -> Column:
-    """Exact sum of a column with at most ``scale`` decimals, as a double."""
-    return F.sum(scaled_units(c, scale)) / float(10 ** scale)
+def exact_sum(c) -> Column:
+    """``exact_total`` as a double."""
+    return exact_total(c).cast("double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalytics.functions.scalars import join_by_share, with_row
-from catalytics.operators.quantiles import exact_quantiles
+from catalytics.operators.quantiles import counted_values, value_quantiles
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import reorder_predicate
 
@@ -152,14 +152,16 @@ def price_keep(scored: DataFrame, top: int = 10) -> DataFrame:
 def price_distribution(scored: DataFrame, top: int = 10, ranked: bool = False) -> DataFrame:
     """Price five-number summary + mean per top-N category, by median desc.
 
-    The quartiles are exact (linear interpolation) and distributed, see ``exact_quantiles``.
+    Equal prices are counted once and written; the quartiles are exact (linear interpolation)
+    and distributed, see ``value_quantiles``.
     ``ranked`` adds the place by the exact median.
     """
-    sub = price_keep(scored, top)
-    g = sub.groupBy(CAT).agg(F.min("price").alias("min"), F.max("price").alias("max"),
-                             S.exact_avg("price").alias("mean"), F.count("price").alias("count"))
-    q = exact_quantiles(sub.select("asin", CAT, "price"), CAT, "price", (0.25, 0.5, 0.75))
-    out = g.join(q, CAT).select(F.col(CAT).alias("category"), S.round_half("min", 2).alias("min"), S.round_half(F.col("q")[0], 2).alias("q1"),
+    values = counted_values(price_keep(scored, top), CAT, "price")
+    times = F.col("m").cast("decimal(20,0)")
+    mean = F.sum((F.col("v").cast("decimal(18,6)") * times).cast("decimal(38,6)")) / F.sum(times)
+    g = values.groupBy(CAT).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(mean, 2).cast("double").alias("mean"), F.sum("m").alias("count"))
+    q = value_quantiles(values, CAT, (0.25, 0.5, 0.75), few_keys=True)
+    out = g.join(F.broadcast(q), CAT).select(F.col(CAT).alias("category"), S.round_half("min", 2).alias("min"), S.round_half(F.col("q")[0], 2).alias("q1"),
                                 S.round_half(F.col("q")[1], 2).alias("median"), S.round_half(F.col("q")[2], 2).alias("q3"),
                                 S.round_half("max", 2).alias("max"), "mean", "count", F.col("q")[1].alias("_median"))
     order = [F.col("_median").desc(), F.col("category").asc()]
@@ -355,19 +357,22 @@ def seller_panel(listings_parsed: DataFrame) -> DataFrame:
                                      .alias("medium"),
                                      F.count_if(F.col("panel_score") < 35).alias("low"),
                                      F.sum("panel_score").alias("score_sum"),
-                                     F.sum(S.scaled_units("price_num", 4)).alias("price_units"))
+                                     S.exact_mean("price_num").alias("mean_price"))
     return g.select("owner_email", F.col("n").alias("listings"), F.col("high").alias("high_count"),
                     F.col("medium").alias("medium_count"), F.col("low").alias("low_count"),
                     F.floor(F.col("score_sum") / F.col("n") + 0.5).alias("avg_score"),
-                    F.floor(F.col("price_units").cast("decimal(20,0)") / (F.col("n") * 10000).cast("decimal(20,0)"))
-                    .cast("bigint").alias("avg_price"))
+                    F.floor("mean_price").cast("bigint").alias("avg_price"))
 
 
-def class_distribution(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Level counts before and after balancing."""
-    b = before.groupBy("demand_level").agg(F.count("*").alias("count")).withColumn("stage", F.lit("before"))
-    a = after.groupBy("demand_level").agg(F.count("*").alias("count")).withColumn("stage", F.lit("after"))
-    return b.unionByName(a).select("stage", "demand_level", "count")
+def class_distribution(training: DataFrame) -> DataFrame:
+    """Level counts before and after balancing, from one count per level.
+
+    Balancing brings every level that has rows to the largest count (M5), so no copy is made to count it.
+    """
+    sizes = training.groupBy("demand_level").agg(F.count("*").alias("n"))
+    both = with_row(sizes, sizes.agg(F.max("n").alias("most")))
+    stages = F.array(F.struct(F.lit("before").alias("stage"), F.col("n").alias("count")), F.struct(F.lit("after").alias("stage"), F.col("most").alias("count")))
+    return both.select("demand_level", F.inline(stages)).select("stage", "demand_level", "count")
 
 
 def monthly_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,16 +68,21 @@ def safe_projection(users: DataFrame) -> DataFrame:
 
 
 def profile_updates(users: DataFrame, updates: DataFrame) -> DataFrame:
-    """U4: merge the latest non-empty value of each allowed field per email."""
+    """U4: merge the latest non-empty value of each allowed field per email; the hash is never given out."""
+    return safe_projection(merged_profiles(users, updates))
+
+
+def merged_profiles(users: DataFrame, updates: DataFrame) -> DataFrame:
+    """U4 with the stored password hash: a ``new_password`` in the log replaces it by its SHA-256."""
     # an empty string means "not supplied"
     u = updates.select(F.lower(F.trim("email")).alias("_email"), "ts",
-                       *[F.when(F.col(f) != "", F.col(f)).alias(f) for f in EDITABLE_PROFILE_FIELDS])
-    red = u.groupBy("_email").agg(*[latest_non_null(f).alias(f"_new_{f}") for f in EDITABLE_PROFILE_FIELDS])
+                       *[F.when(F.col(f) != "", F.col(f)).alias(f) for f in EDITABLE_PROFILE_FIELDS],
+                       (F.when(F.col("new_password") != "", F.sha2("new_password", 256)) if "new_password" in updates.columns
+                        else F.lit(None).cast("string")).alias("password_hash"))
+    fields = (*EDITABLE_PROFILE_FIELDS, "password_hash")
+    red = u.groupBy("_email").agg(*[latest_non_null(f).alias(f"_new_{f}") for f in fields])
     cur = users.withColumn("_email", F.lower(F.trim("email")))
-    j = cur.join(red, "_email", "left")
-    return safe_projection(j.select("email", "password_hash",
-                                    *[F.coalesce(F.col(f"_new_{f}"), F.col(f)).alias(f)
-                                      for f in EDITABLE_PROFILE_FIELDS], "joined"))
+    return cur.join(red, "_email", "left").select("email", *[F.coalesce(F.col(f"_new_{f}"), F.col(f)).alias(f) for f in fields], "joined")
 
 
 def duplicate_registration(users: DataFrame, registrations: DataFrame) -> DataFrame:

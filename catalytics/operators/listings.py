@@ -17,7 +17,7 @@ from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.functions.predicates import parse_bool, reject_reason
 from catalytics.operators.catalog import catalog_stats, normalize, with_stats
-from catalytics.operators.ranking import bucketed_row_number
+from catalytics.operators.ranking import range_row_number
 
 CAT = "categoryName"
 LISTING_COLUMNS = ["asin", "id", "owner_email", "title", CAT, "price", "stars", "boughtInLastMonth",
@@ -142,7 +142,7 @@ def demand_lookup(scored: DataFrame, catalog: DataFrame, listings: DataFrame, ke
     lst = lst.select("asin", "title", "demand_score", S.demand_level().alias("demand_level"),
                      S.confidence(floor_zero=True).alias("confidence_score"), "stars",
                      F.col("boughtInLastMonth").alias("bought_last_month"), F.lit(True).alias("is_user_product"))
-    cat = scored.select("asin", "title", S.round_half("demand_score", 2).alias("demand_score"),
+    cat = scored.join(k, "asin", "left_semi").select("asin", "title", S.round_half("demand_score", 2).alias("demand_score"),
                         S.demand_level().alias("demand_level"), S.confidence().alias("confidence_score"),
                         "stars", F.col("boughtInLastMonth").alias("bought_last_month"),
                         F.lit(False).alias("is_user_product"))
@@ -163,7 +163,7 @@ def cart_resolve(scored: DataFrame, listings: DataFrame, carts: DataFrame) -> Da
     return (items.join(found.select("asin", "price"), "asin", "inner")
                  .groupBy("user_email")
                  .agg(F.count("*").alias("items"),
-                      F.round((F.sum(S.scaled_units("price", 4)).cast("decimal(20,0)") / 10000), 2)
+                      F.round(S.exact_total("price"), 2)
                       .cast("double").alias("subtotal")))
 
 
@@ -198,19 +198,13 @@ def next_ids(catalog: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def listing_inserts(catalog: DataFrame, listings: DataFrame, batch: DataFrame,
-                    added_on: dt.datetime = dt.datetime(2026, 5, 1, 12, 0),
-                    buckets: int = 1024) -> DataFrame:
+                    added_on: dt.datetime = dt.datetime(2026, 5, 1, 12, 0)) -> DataFrame:
     """Assign asin/id to the valid rows of a batch of new listings in arrival order (``seq``).
 
-    The rank over the whole batch is computed bucket-wise (buckets of the seq
-    range), so no single task sees the whole batch.
+    The rank over the whole batch comes from ranges of equal numbers of rows, whatever the
+    gaps in ``seq``, so no single task sees the whole batch.
     """
-    batch = batch.where(reject_reason().isNull())
-    rng = batch.agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
-    b = with_row(batch, rng)
-    width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / float(buckets), F.lit(1.0))
-    ranked = bucketed_row_number(b, [], F.floor((F.col("seq") - F.col("_lo")) / width), [F.col("seq").asc()],
-                                 out="rn", bucket_bound=buckets + 1)
+    ranked = range_row_number(batch.where(reject_reason().isNull()), ["seq"], out="rn")
     ids = next_ids(catalog, listings)
     return (with_row(ranked, ids)
                   .select((F.col("next_asin") + F.col("rn") - 1).alias("asin"),

@@ -131,13 +131,7 @@ def quick_score_metrics(scored: DataFrame) -> DataFrame:
 def listing_features(listings_view: DataFrame, catalog: DataFrame) -> DataFrame:
     """P4 features of listings against catalog stats, each clipped to [0, 100]."""
     j = with_stats(listings_view, catalog_stats(catalog))
-    bn = F.when(F.col("bought_max") > 0, S.clip((F.col("boughtInLastMonth") / F.col("bought_max")) * 100.0)
-                ).otherwise(F.lit(0.0))
-    pn = F.when(F.col("price_max") > F.col("price_min"),
-                S.clip((1.0 - (F.col("price") - F.col("price_min")) / (F.col("price_max") - F.col("price_min")))
-                       * 100.0)).otherwise(F.lit(50.0))
-    return j.select("asin", CAT, S.clip(S.stars_norm()).alias("stars_norm"), bn.alias("bought_norm"),
-                    S.bs_norm().alias("bs_norm"), pn.alias("price_norm"))
+    return j.select("asin", CAT, *[c.alias(name) for name, c in S.clipped_features().items()])
 
 
 def request_features(listings_view: DataFrame, catalog: DataFrame) -> DataFrame:

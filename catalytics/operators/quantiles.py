@@ -5,39 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalytics.functions.scalars import join_by_share
+from catalytics.session import scratch_path
 
 RANGES = 1000                  # equal-width value ranges in which the wanted ranks are located
 
 
-def exact_quantiles(rows: DataFrame, key: str, value: str, probabilities: tuple[float, ...], ranges: int = RANGES,
-                    row_id: str = "asin") -> DataFrame:
-    """key, q (array of doubles): linear interpolation between the two nearest ranks, as pandas does.
+def counted_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, v (double), m: how often each value occurs in each group, written in the shared folder.
 
-    Rows are counted per value range first.  Only the ranges that hold a wanted rank
-    are looked into, and there equal values are counted before they are ordered.
+    The one shuffle of the rows; it combines before the shuffle, so a hot group is no hot task.
     """
-    v = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(row_id, key, F.col(value).cast("double").alias("v"))
-    span = v.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    v = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    counts = v.groupBy(key, "v").agg(F.count("*").alias("m"))
+    path, schema = scratch_path(rows.sparkSession, "values"), counts.schema
+    counts.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def value_quantiles(values: DataFrame, key: str, probabilities: tuple[float, ...], ranges: int = RANGES, few_keys: bool = False) -> DataFrame:
+    """key, q (array of doubles) of counted values: linear interpolation between the two nearest ranks, as pandas does.
+
+    Counts per value range locate the wanted ranks; only the ranges that hold one are ordered.
+    ``few_keys`` promises a small fixed number of groups, whose spans and ranks are then broadcast.
+    """
+    small = F.broadcast if few_keys else (lambda d: d)
+    span = values.groupBy(key).agg(F.sum("m").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges),
                                                       F.lit(ranges - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
-    dealt = join_by_share(v, span, key, row_id).select(key, "v", place.alias("place"))
-    values = dealt.groupBy(key, "place", "v").agg(F.count("*").alias("m"))
+    placed = values.join(small(span), key).select(key, "v", "m", "n", place.alias("place"))
     upto = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    counts = values.groupBy(key, "place").agg(F.sum("m").alias("m")).withColumn("upto", F.sum("m").over(upto))
+    counts = placed.groupBy(key, "n", "place").agg(F.sum("m").alias("m")).withColumn("upto", F.sum("m").over(upto))
     # both neighbours of every wanted position, as ranks from 1
-    at = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probabilities])
-    wanted = span.select(F.col(key).alias("_key"), F.posexplode(at).alias("i", "at")).select(
-        "_key", "i", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("r0")).select("_key", "i", "at", (F.col("r0") + 1).alias("rank")).distinct()
-    spot = wanted.join(counts.select(key, "place", "m", "upto"), (F.col("_key") == F.col(key)) & (F.col("rank") > F.col("upto") - F.col("m"))
-                       & (F.col("rank") <= F.col("upto"))).select("_key", "i", "at", "rank", F.col("place").alias("_place"),
-                                                                  (F.col("upto") - F.col("m")).alias("before"))
-    held = spot.groupBy("_key", "_place").agg(F.first("before").alias("before"))
-    inner = values.join(held, (F.col(key) == F.col("_key")) & (F.col("place") == F.col("_place")))
-    upto = Window.partitionBy("_key", "_place").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inner = inner.withColumn("top", F.col("before") + F.sum("m").over(upto)).select(
-        F.col("_key").alias("k"), F.col("_place").alias("p"), "v", "top", (F.col("top") - F.col("m")).alias("under"))
-    hit = spot.join(inner, (F.col("_key") == F.col("k")) & (F.col("_place") == F.col("p")) & (F.col("rank") > F.col("under")) & (F.col("rank") <= F.col("top")))
+    at = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probabilities)])
+    held = counts.select(F.col(key).alias("_key"), F.col("place").alias("_place"), (F.col("upto") - F.col("m")).alias("before"), F.filter(
+        F.flatten(F.transform(at, lambda a: F.array(
+            F.struct(a["i"].alias("i"), a["at"].alias("at"), (F.floor(a["at"]) + 1).alias("rank")),
+            F.struct(a["i"].alias("i"), a["at"].alias("at"), (F.ceil(a["at"]) + 1).alias("rank"))))),
+        lambda w: (w["rank"] > F.col("upto") - F.col("m")) & (w["rank"] <= F.col("upto"))).alias("wanted")).where(F.size("wanted") > 0)
+    inner = placed.join(small(held), (F.col(key) == F.col("_key")) & (F.col("place") == F.col("_place")))
+    upto = Window.partitionBy(key, "place").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = inner.withColumn("top", F.col("before") + F.sum("m").over(upto))
+    hit = inner.select(key, "v", F.inline(F.array_distinct(F.filter(
+        "wanted", lambda w: (w["rank"] > F.col("top") - F.col("m")) & (w["rank"] <= F.col("top"))))))
     share = F.when(F.col("rank") == F.floor("at") + 1, 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
-    each = hit.groupBy("_key", "i").agg(F.sum(F.col("v") * share).alias("q"))
-    return each.groupBy(F.col("_key").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+    each = hit.groupBy(key, "i").agg(F.sum(F.col("v") * share).alias("q"))
+    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, probabilities: tuple[float, ...], ranges: int = RANGES) -> DataFrame:
+    """key, q of rows: ``value_quantiles`` of their counted values."""
+    return value_quantiles(counted_values(rows, key, value), key, probabilities, ranges)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
+from catalytics.session import scratch_path
 from catalytics.functions.predicates import catalog_filter, reorder_predicate
 
 CAT = "categoryName"
@@ -66,6 +67,24 @@ def bucketed_row_number(df: DataFrame, group: list[str], bucket: Column, order:
              .drop("_bkt", "_local", "_off"))
 
 
+def range_row_number(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
+    """Row number over the whole frame in the order of the given columns (together unique).
+
+    Rows are range-partitioned by sampled quantiles and written, so that the ranges stay as
+    they are; each range is numbered by itself, behind the rows of the ranges before it.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    path, schema = scratch_path(spark, "ranges"), ranged.schema
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(schema).parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_off")))      # one row per range
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_local", local).join(offsets, "_range").withColumn(out, F.col("_off") + F.col("_local")).drop("_range", "_local", "_off")
+
+
 def md5_bucket(c="asin", hex_digits: int = 3) -> Column:
     """First hex digits of md5(asin): 16**hex_digits buckets, monotone in md5 order."""
     return F.substring(md5_key(c), 1, hex_digits)

@@ -21,7 +21,7 @@ from catalytics.operators.ranking import bucketed_row_number, md5_bucket, md5_ke
 CAT = "categoryName"
 SPLIT_TRAIN_FRACTION = 0.8
 COPY_CHUNK = 1000          # copies of one row made at a time
-RANK_BUCKET_HEX = 3        # 16**3 = 4096 buckets per class for exact ranks
+RANK_BUCKET_HEX = 4        # 16**4 = 65,536 buckets per class for exact ranks: 1.5 million rows each in 10^11
 
 
 def scatter_sample(scored: DataFrame, n: int = 1200) -> DataFrame:
@@ -44,6 +44,11 @@ def category_scatter(scored: DataFrame, cap: int = 300) -> DataFrame:
                     S.round_half("demand_score", 2).alias("y"), F.substring("title", 1, 45).alias("title"))
 
 
+def with_segments(block: DataFrame, segments: DataFrame) -> DataFrame:
+    """A block of products (by asin) with the segment of each; no segment where a product was not clustered."""
+    return block.join(segments.select("asin", "segment"), "asin", "left")
+
+
 def downsample(df: DataFrame, n: int = 10000, key: str = "asin") -> DataFrame:
     """M4: keep n rows when larger (md5 order of the key)."""
     return df.orderBy(md5_key(key), F.col(key)).limit(n)

@@ -193,7 +193,7 @@ def build_dataset(ctx: Context, save_path: str | None = None) -> dict[str, DataF
     balanced = SM.balance_classes(training).drop("copy")
     if save_path:
         RD.write_table(balanced, save_path, fmt="csv")
-    return {"data": balanced, "distribution": A.class_distribution(training, balanced),
+    return {"data": balanced, "distribution": A.class_distribution(training),
             "info": RD.dataset_info(balanced)}
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 D = "::DOUBLE"
 
 from catalytics.operators.aggregates import SEASONAL_WEIGHTS
+from catalytics.operators.ranking import SORT_OPTIONS
 
 _W_TOTAL = sum(SEASONAL_WEIGHTS)
 
@@ -304,7 +305,8 @@ _PRED = f"""pred AS (SELECT asin, title, categoryName AS category, rnd(price, 2)
   FROM scored ORDER BY demand_score DESC, asin LIMIT 50)"""
 
 O["predictions"] = _with(_PRED, "SELECT * FROM pred", "scored")
-O["predictions_level"] = _with(_PRED, "SELECT * FROM pred WHERE demand_level = 'High'", "scored")
+O["predictions_level"] = _with(_PRED.replace("FROM scored ORDER", "FROM scored WHERE categoryName = 'Brand#1' ORDER"),
+                               "SELECT * FROM pred WHERE demand_level = 'Medium'", "scored")
 O["predictions_summary"] = _with(_PRED, f"""SELECT count_if(demand_level = 'High') AS "High",
   count_if(demand_level = 'Medium') AS "Medium", count_if(demand_level = 'Low') AS "Low",
   {ex_avg('demand_score')} AS avg_score FROM pred""", "scored")
@@ -378,8 +380,17 @@ O["hero_rotation"] = _with(_UNION, """SELECT asin, title, categoryName, price, s
         LIMIT 20) WHERE NOT is_user_product ORDER BY src, lid NULLS LAST, demand_score DESC NULLS LAST, asin
   LIMIT 10""", "scored", "listings")
 
-O["hero_rotation_seller"] = O["hero_rotation"].replace("WHERE isBestSeller ORDER",
-                                                      "WHERE isBestSeller AND (src = 1 OR owner_email = 'supplier#000000001') ORDER")
+for _q, _owner in (("hero_rotation_seller", 1), ("hero_rotation", 2)):
+    O[_q] = O["hero_rotation"].replace("WHERE isBestSeller ORDER", f"WHERE isBestSeller AND (src = 1 OR owner_email = 'supplier#{_owner:09d}') ORDER")
+_MINE = "(src = 1 OR owner_email = 'supplier#000000001')"
+for _by, (_col, _up) in SORT_OPTIONS.items():
+    O[f"product_listing_{_by}"] = O["product_listing"].replace("WHERE stars >= 3.0", f"WHERE stars >= 3.0 AND {_MINE}").replace(
+        "price ASC NULLS LAST", f"{_col} {'ASC' if _up else 'DESC'} NULLS LAST")
+O["product_listing_after"] = O["product_listing_price_desc"].replace("WHERE stars >= 3.0", "WHERE price <= 990.0 AND src = 1 AND stars >= 3.0").replace(
+    "LIMIT 20 OFFSET 20", "LIMIT 20")
+O["search_suggest_seller"] = _with(_UNION, f"""SELECT asin, title, categoryName, price FROM lunion
+  WHERE {_MINE} AND ((src = 1 AND regexp_matches(title, 'r.d', 'i')) OR (src = 0 AND contains(lower(title), 'r.d')))
+  ORDER BY src, lid NULLS LAST, asin LIMIT 6""", "scored", "listings")
 O["search_suggest"] = _with(_UNION, """SELECT asin, title, categoryName, price FROM lunion
   WHERE (src = 1 AND regexp_matches(title, 'red', 'i')) OR (src = 0 AND contains(lower(title), 'red'))
   ORDER BY src, lid NULLS LAST, asin LIMIT 6""", "scored", "listings")
@@ -461,13 +472,15 @@ O["missing_assets"] = sql("SELECT asin, title, categoryName FROM scored WHERE as
 
 O["listing_inserts"] = sql(f"""SELECT
   (SELECT greatest(coalesce((SELECT max(asin) FROM catalog), 0), coalesce((SELECT max(asin) FROM lview), 0)) + 1)
-    + row_number() OVER (ORDER BY p_partkey) - 1 AS asin,
-  (SELECT coalesce(max(id), 0) + 1 FROM lview) + row_number() OVER (ORDER BY p_partkey) - 1 AS id,
+    + row_number() OVER (ORDER BY seq) - 1 AS asin,
+  (SELECT coalesce(max(id), 0) + 1 FROM lview) + row_number() OVER (ORDER BY seq) - 1 AS id,
+  owner_email, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, description, image_filename, added_on
+  FROM (SELECT CASE WHEN p_partkey = 5 THEN p_partkey + 1000000000000 ELSE p_partkey END AS seq, p_partkey,
   lower(s_name) AS owner_email, p_name AS title, p_brand AS categoryName, p_retailprice * 1.25{D} AS price,
   {_STARS} AS stars, CAST(coalesce(units, 0) AS BIGINT) AS boughtInLastMonth, {_STARS} > 4.5 AS isBestSeller,
   p_type AS description, '' AS image_filename, '2026-05-01 12:00' AS added_on
   FROM part CROSS JOIN n_sup LEFT JOIN supplier ON s_suppkey = p_partkey % n_supp
-       LEFT JOIN sold ON l_partkey = p_partkey""", "catalog", "listings")
+       LEFT JOIN sold ON l_partkey = p_partkey) WHERE p_partkey % 29 <> 7 AND p_partkey % 31 <> 9""", "catalog", "listings")
 
 
 # ---------------------------------------------------------------- sources, functions, sampling, ML, changes
@@ -541,8 +554,10 @@ O["collection_counts"] = sql("""SELECT 'products' AS collection, count(*) AS row
   UNION ALL SELECT 'user_products', count(*) FROM lview
   UNION ALL SELECT 'orders', count(*) FROM orders_doc
   UNION ALL SELECT 'gridfs_files', count(*) FROM part WHERE p_partkey % 7 <> 0""", "catalog", "listings", "orders_doc")
-O["dataset_info"] = sql("""SELECT demand_level, count(*) AS count, (SELECT count(*) FROM balanced) AS total_rows,
-  14 AS n_columns FROM balanced GROUP BY demand_level""", "balanced")
+O["dataset_info"] = sql("""SELECT demand_level, count(*) AS count, (SELECT count(*) FROM balanced) AS total_rows, 14 AS n_columns,
+  'asin, title, categoryName, price, stars, boughtInLastMonth, isBestSeller, demand_score, demand_level, stars_norm, bought_norm, bs_norm, price_norm, '
+    || 'is_user_product' AS columns FROM balanced GROUP BY demand_level""", "balanced")
+O["scan_without_fallback"] = sql("SELECT * FROM catalog", "catalog")
 O["balance_classes"] = sql("SELECT * FROM balanced", "balanced")
 O["write_training_csv"] = O["balance_classes"]
 O["class_distribution"] = sql("""SELECT 'before' AS stage, demand_level, count(*) AS count FROM train GROUP BY 2
@@ -670,6 +685,11 @@ red AS (SELECT em, arg_max(phone, ts) FILTER (WHERE phone IS NOT NULL) AS n_phon
         FROM pu2 GROUP BY em)""", """SELECT email, name, coalesce(n_phone, phone) AS phone, department,
   coalesce(n_city, city) AS city, coalesce(n_role, role) AS role, joined
   FROM users LEFT JOIN red ON red.em = lower(trim(email))""", "users")
+O["profile_passwords"] = _with("""pu AS (SELECT printf('customer#%09d', user_id % (SELECT count(*) FROM customer)) AS em, ts,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+    WHERE event_type = 'view' AND user_id % 2 = 0),
+red AS (SELECT em, arg_max(sha256(printf('secret-%d', k)), ts) AS h FROM pu WHERE k % 11 = 0 GROUP BY em)""",
+                               "SELECT email, coalesce(h, password_hash) AS password_hash FROM users LEFT JOIN red ON red.em = lower(trim(email))", "users")
 _REG = """reg AS (SELECT event_id, ts, lower(trim(CASE WHEN user_id % 3 = 0
              THEN printf('Customer#%09d', user_id % (SELECT count(*) FROM customer))
              ELSE printf('New.User%d@Example.com', user_id) END)) AS email_norm,
@@ -863,6 +883,9 @@ O["segment_summary"] = _with(_SEGMENTED, f"""SELECT categoryName, segment, count
   CAST(sum(CAST(isBestSeller AS INTEGER)) AS BIGINT) AS best_sellers FROM segmented GROUP BY 1, 2""", "scored")
 
 # M11 inputs: clipped features, category code of the catalog, display score
+O["category_scatter_fixed_segments"] = _with(_SEGMENTED, """SELECT categoryName AS category, asin, rnd(price, 2) AS x, rnd(demand_score, 2) AS y,
+  substr(title, 1, 45) AS title, segment FROM (SELECT *, row_number() OVER (PARTITION BY categoryName ORDER BY md5(CAST(asin AS VARCHAR)), asin) AS rk
+  FROM segmented) WHERE rk <= 300""", "scored")
 O["request_features"] = _with(f"""codes AS (SELECT categoryName, CAST(row_number() OVER (ORDER BY categoryName) - 1 AS INTEGER) AS code
     FROM (SELECT DISTINCT coalesce(nullif(trim(categoryName), ''), 'Unknown') AS categoryName FROM scored)),
   lc AS (SELECT l.asin, l.categoryName,
@@ -876,6 +899,8 @@ O["request_features"] = _with(f"""codes AS (SELECT categoryName, CAST(row_number
    f"""SELECT asin, lc.categoryName, stars_norm, bought_norm, bs_norm, price_norm, coalesce(code, 0) AS cat_enc,
      rnd(stars_norm*0.25{D} + bought_norm*0.25{D} + bs_norm*0.25{D} + price_norm*0.25{D}, 2) AS demand_score
    FROM lc LEFT JOIN codes ON codes.categoryName = coalesce(nullif(trim(lc.categoryName), ''), 'Unknown')""", "scored", "listings")
+for _q, _is in (("listings_accepted", "IS NULL"), ("listings_rejected", "IS NOT NULL")):
+    O[_q] = O["validate_listings"].replace("SELECT asin, id, owner_email, price, stars", "SELECT * FROM (SELECT asin, id, owner_email, price, stars") + f") WHERE reject_reason {_is}"
 O["order_ingest_stream"] = O["order_ingest"]
 O["stream_units_stream"] = O["stream_units_tumbling"]
 

@@ -22,8 +22,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed query parameters (the reference's defaults, and fixture picks).
 SEARCH_WORD = "red"             # a word present in generated part names
+SEARCH_PATTERN = "r.d"          # found by the catalog's regular expression, not in the listings' plain text
 LISTING_OWNER = "Supplier#000000001"   # mixed case on purpose
 ORDER_USER = "Customer#000000001"
+AFTER_PRICE = 990.0             # the keyset page starts below this price
 
 
 def catalog(spark, d):
@@ -38,6 +40,26 @@ def listings(spark, d):
     return X.listings_raw(spark, d)
 
 
+def owned(spark, d, owner=None):
+    """One seller's listings: few, so that pages reach the catalog rows."""
+    return listings(spark, d).where(F.lower("owner_email") == (owner or LISTING_OWNER).lower())
+
+
+def cart_keys(spark, d):
+    """The products in all carts, once each."""
+    return X.carts(spark, d).select(F.explode("cart").alias("asin")).distinct()
+
+
+def sorted_page(sort_by):
+    return lambda s, d: R.product_listing(scored(s, d), owned(s, d), page=2, limit=20, sort_by=sort_by, min_stars=3.0)
+
+
+def page_after(spark, d):
+    """The catalog rows that follow a given place of the list by falling price, found by key instead of by offset."""
+    return R.product_listing_after(scored(spark, d), owned(spark, d), (False, None, AFTER_PRICE, 0), sort_by="price_desc", limit=20,
+                                   min_stars=3.0).drop("listing_id")
+
+
 def _features(spark, d):
     c = X.catalog_base(spark, d)
     return normalize(c, catalog_stats(c), round_norms=True, level=False)
@@ -77,21 +99,23 @@ QUERIES: dict[str, Query] = {
     # ---- ranking
     "product_listing": lambda s, d: R.product_listing(scored(s, d), listings(s, d), page=2, limit=20,
                                                       sort_by="price_asc", min_stars=3.0),
+    **{f"product_listing_{by}": sorted_page(by) for by in R.SORT_OPTIONS},
+    "product_listing_after": page_after,
     "product_listing_meta": lambda s, d: R.product_listing_meta(scored(s, d), listings(s, d), page=2, limit=20,
                                                                 min_stars=3.0),
     "recommended": lambda s, d: R.recommended(scored(s, d), 10),
     "predictions": lambda s, d: R.predictions(scored(s, d), 50),
-    "predictions_level": lambda s, d: R.predictions(scored(s, d), 50, level="High"),
+    "predictions_level": lambda s, d: R.predictions(scored(s, d), 50, category=EQ_CATEGORY, level="Medium"),
     "reorder_alerts": lambda s, d: R.reorder_alerts(scored(s, d), 30),
     "top_movers": lambda s, d: R.top_movers(scored(s, d), 30),
     "category_top": lambda s, d: R.category_top(scored(s, d), 10),
     "category_bottom": lambda s, d: R.category_bottom(scored(s, d), 5),
     "category_bought_top": lambda s, d: R.category_bought_top(scored(s, d), 10),
     "categories": lambda s, d: R.categories(scored(s, d)),
-    "hero_rotation": lambda s, d: R.hero_rotation(scored(s, d), listings(s, d)),
-    "hero_rotation_seller": lambda s, d: R.hero_rotation(
-        scored(s, d), listings(s, d).where(F.lower("owner_email") == LISTING_OWNER.lower())),
+    "hero_rotation": lambda s, d: R.hero_rotation(scored(s, d), owned(s, d, "Supplier#000000002")),
+    "hero_rotation_seller": lambda s, d: R.hero_rotation(scored(s, d), owned(s, d)),
     "search_suggest": lambda s, d: R.search_suggest(scored(s, d), listings(s, d), SEARCH_WORD),
+    "search_suggest_seller": lambda s, d: R.search_suggest(scored(s, d), owned(s, d), SEARCH_PATTERN),
     "trends_resort": lambda s, d: R.trends_resort(A.trends(scored(s, d), 20, ranked=True), "total_bought"),
     "next_ids": lambda s, d: L.next_ids(catalog(s, d), listings(s, d)),
     "user_orders": lambda s, d: L.user_orders(X.orders(s, d, ORDER_USER), ORDER_USER),
@@ -99,16 +123,16 @@ QUERIES: dict[str, Query] = {
     # ---- listings, joins
     "scan_seller_listings": lambda s, d: L.scan_seller_listings(malformed(s, d, blank_ids=True)),
     "validate_listings": lambda s, d: L.validate_listings(invalid(s, d)),
+    "listings_accepted": lambda s, d: L.split_valid(invalid(s, d))[0],
+    "listings_rejected": lambda s, d: L.split_valid(invalid(s, d))[1],
     "catalog_union_listings": lambda s, d: L.catalog_union_listings(scored(s, d), listings(s, d)),
     "training_union": lambda s, d: L.training_union(catalog(s, d), listings(s, d)),
-    "product_lookup": lambda s, d: L.product_lookup(scored(s, d), listings(s, d),
-                                                    X.carts(s, d).select(F.explode("cart").alias("asin"))),
-    "demand_lookup": lambda s, d: L.demand_lookup(scored(s, d), catalog(s, d), listings(s, d),
-                                                  X.carts(s, d).select(F.explode("cart").alias("asin"))),
+    "product_lookup": lambda s, d: L.product_lookup(scored(s, d), X.listings_raw(s, d, catalog(s, d)), cart_keys(s, d)),
+    "demand_lookup": lambda s, d: L.demand_lookup(scored(s, d), catalog(s, d), X.listings_raw(s, d, catalog(s, d)), cart_keys(s, d)),
     "cart_resolve": lambda s, d: L.cart_resolve(scored(s, d), listings(s, d), X.carts(s, d)),
     "cart_orphans": lambda s, d: L.cart_orphans(scored(s, d), listings(s, d), X.carts(s, d)),
     "missing_assets": lambda s, d: L.missing_assets(scored(s, d), X.asset_manifest_rows(s, d)),
-    "listing_inserts": lambda s, d: L.listing_inserts(catalog(s, d), listings(s, d), X.insert_batch(s, d)),
+    "listing_inserts": lambda s, d: L.listing_inserts(catalog(s, d), listings(s, d), insert_requests(s, d)),
 }
 
 
@@ -127,6 +151,14 @@ EQ_CATEGORY = "Brand#1"
 FEED_SINCE = "2024-01-15"       # first day of the streamed units that feed the catalog
 
 
+def insert_requests(spark, d):
+    """The insert batch with some invalid rows, and one that arrives far behind all others."""
+    seq = F.col("seq")
+    return X.insert_batch(spark, d).withColumns({
+        "price": F.when(seq % 29 == 7, F.lit(0.0)).otherwise(F.col("price")), "title": F.when(seq % 31 == 9, F.lit(" ")).otherwise(F.col("title")),
+        "seq": F.when(seq == 5, seq + 10 ** 12).otherwise(seq)})
+
+
 def raw_feed(spark, d):
     """A raw product feed with the second set of source column names."""
     p = read_table(spark, d, "part")
@@ -299,6 +331,18 @@ def fixed_clusters(spark, d):
     return scored(spark, d).where(F.col("categoryName").isNotNull()).withColumn("cid", (F.col("asin") % 3).cast("int"))
 
 
+def segmented(spark, d, block):
+    """A block of the category view with the segment of each of its products."""
+    c = scored(spark, d)
+    return SM.with_segments(block(c), M.label_segments(M.category_clusters(c)))
+
+
+def category_insights_segments(spark, d):
+    """The category sentence with its clause on the Hot segment."""
+    c = scored(spark, d)
+    return IN.with_hot_segment(IN.category_insights(c), A.segment_summary(M.label_segments(M.category_clusters(c))))
+
+
 def trend_labels(spark, d, cuts):
     g = A.category_rollup(scored(spark, d))
     return g.select(F.col("categoryName").alias("category"), "avg_demand_score",
@@ -308,8 +352,8 @@ def trend_labels(spark, d, cuts):
 QUERIES.update({
     # ---- sources and sinks
     "scan_catalog_documents": lambda s, d: RD.read_catalog_documents(s, _stored(s, catalog_documents(s, d), "documents", "json")),
-    "scan_with_fallback": lambda s, d: RD.with_fallback(catalog(s, d).where(F.col("asin") < 0),
-                                                        lambda: catalog(s, d)),
+    "scan_with_fallback": lambda s, d: RD.with_fallback(catalog(s, d).where(F.col("asin") < 0), catalog(s, d)),
+    "scan_without_fallback": lambda s, d: RD.with_fallback(catalog(s, d), catalog(s, d).withColumn("asin", -F.col("asin"))),
     "normalize_raw_feed": lambda s, d: RD.normalize_raw_feed(raw_feed(s, d)),
     "migrate_products_dedup": lambda s, d: RD.dedup_first(balanced(s, d), "asin", "copy")
                                              .withColumn("is_user_product", F.lit(False)).drop("copy"),
@@ -319,8 +363,8 @@ QUERIES.update({
     "csv_to_json": csv_to_json,
     "collection_counts": lambda s, d: RD.collection_counts({
         "products": catalog(s, d), "users": X.users(s, d), "user_products": L.listing_view(listings(s, d)),
-        "orders": X.orders(s, d), "gridfs_files": X.asset_manifest_rows(s, d)}),
-    "dataset_info": lambda s, d: RD.dataset_info(balanced(s, d).drop("copy")),
+        "orders": X.stored_orders(s, d), "gridfs_files": X.asset_manifest_rows(s, d)}),
+    "dataset_info": lambda s, d: RD.stored_dataset_info(s, _stored(s, balanced(s, d).drop("copy"), "training", "csv")),
     # ---- scalar functions and predicates
     "demand_score_clipped": lambda s, d: M.listing_features(L.listing_view(listings(s, d)), catalog(s, d))
                                            .select("asin", S.round_half(S.clip(S.composite(
@@ -365,7 +409,7 @@ QUERIES.update({
     "stratified_split": lambda s, d: split_frame(s, d).select("asin", "demand_level", "split"),
     "label_encode": lambda s, d: SM.label_encode(scored(s, d)),
     "standardize": standardized,
-    "class_distribution": lambda s, d: A.class_distribution(training(s, d), balanced(s, d)),
+    "class_distribution": lambda s, d: A.class_distribution(training(s, d)),
     "quick_score_metrics": lambda s, d: M.quick_score_metrics(scored(s, d)),
     "train_demand_model": lambda s, d: M.training_summary(scored(s, d)),
     "model_stats": lambda s, d: M.model_stats(scored(s, d)),
@@ -377,12 +421,19 @@ QUERIES.update({
     "segment_label_map": lambda s, d: M.label_segments(fixed_clusters(s, d))
                                         .groupBy("categoryName", F.col("cid").alias("cluster"), "segment").agg(F.count("*").alias("n")),
     "segment_summary": lambda s, d: A.segment_summary(M.label_segments(fixed_clusters(s, d))),
+    "category_top_segments": lambda s, d: segmented(s, d, lambda c: R.category_top(c, 10)),
+    "category_bottom_segments": lambda s, d: segmented(s, d, lambda c: R.category_bottom(c, 5)),
+    "category_scatter_segments": lambda s, d: segmented(s, d, lambda c: SM.category_scatter(c, 300)),
+    "category_insights_segments": category_insights_segments,
+    # the same joins over a fixed assignment, which SQL can follow
+    "category_scatter_fixed_segments": lambda s, d: SM.with_segments(SM.category_scatter(scored(s, d), 300), M.label_segments(fixed_clusters(s, d))),
     "category_segment_summary": lambda s, d: A.segment_summary(M.label_segments(M.category_clusters(scored(s, d)))),
     "seller_panel": lambda s, d: A.seller_panel(L.parse_listings(listings(s, d))),
     # ---- change logs and streams (batch form)
     "listing_updates": lambda s, d: C.listing_updates(listings(s, d), X.listing_updates_log(s, d)),
     "listing_deletes": lambda s, d: C.listing_deletes(listings(s, d), X.listing_deletes_log(s, d)),
     "profile_updates": lambda s, d: C.profile_updates(X.users(s, d), X.profile_updates_log(s, d)),
+    "profile_passwords": lambda s, d: C.merged_profiles(X.users(s, d), X.profile_updates_log(s, d)).select("email", "password_hash"),
     "duplicate_registration": lambda s, d: C.duplicate_registration(X.users(s, d), X.registrations_log(s, d)),
     "registration_outcomes": lambda s, d: C.registration_outcomes(X.users(s, d), X.registrations_log(s, d)),
     "seller_activity_merge": lambda s, d: C.seller_activity_merge(listings(s, d), X.image_uploads_log(s, d)),

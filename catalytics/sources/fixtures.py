@@ -237,6 +237,13 @@ def orders(spark: SparkSession, sf_dir: str, user_email: str | None = None) -> D
                      F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at")))
 
 
+def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that are stored (F3): those with a line.  Only keys are read, and lines are met by a semi join."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.join(lines, o.o_orderkey == lines.l_orderkey, "left_semi")
+
+
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """per user, the distinct parts of the newest order (+1 unknown asin
     for users with key % 10 = 0).  Columns: user_email, cart (array<bigint>)."""
@@ -335,7 +342,8 @@ def profile_updates_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(k % 2 == 0, F.format_string("+91 %05d", k)).otherwise(F.lit("")).alias("phone"),
                     F.lit("").alias("department"),
                     F.format_string("City-%d", k).alias("city"),
-                    F.when(k % 7 == 0, F.lit("Manager")).otherwise(F.lit("")).alias("role"))
+                    F.when(k % 7 == 0, F.lit("Manager")).otherwise(F.lit("")).alias("role"),
+                    F.when(k % 11 == 0, F.format_string("secret-%d", k)).otherwise(F.lit("")).alias("new_password"))
 
 
 def image_uploads_log(spark: SparkSession, sf_dir: str) -> DataFrame:

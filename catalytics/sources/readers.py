@@ -60,17 +60,24 @@ def documents_to_catalog(docs: DataFrame) -> DataFrame:
                       for c in d.columns])
 
 
-def read_catalog_documents(spark: SparkSession, path: str) -> DataFrame:
-    """S2 from JSON-lines exports of the collection."""
-    return documents_to_catalog(spark.read.json(path))
+# The fields of an exported product document; numbers are read as text and cast.
+DOCUMENT_SCHEMA = T.StructType([T.StructField(c, T.BooleanType() if c == "isBestSeller" else T.StringType())
+                                for c in ("_id", "asin", "title", CAT, "price", "stars", "boughtInLastMonth", "isBestSeller")])
 
 
-def with_fallback(primary: DataFrame, fallback: Callable[[], DataFrame]) -> DataFrame:
-    """S3: use ``fallback()`` only when the primary source is empty.
+def read_catalog_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_SCHEMA) -> DataFrame:
+    """S2 from JSON-lines exports of the collection, read once: the schema is given, not inferred."""
+    return documents_to_catalog(spark.read.schema(schema).json(path))
 
-    ``isEmpty`` runs a LIMIT 1 job, so the check costs one small task.
+
+def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """S3: the rows of ``fallback`` only where the primary source is empty.
+
+    Building the plan reads nothing.  The check is a scalar subquery over one row of the primary
+    source; where it finds one, the filter on the fallback is false before its scan starts.
     """
-    return fallback() if primary.isEmpty() else primary
+    empty = primary.limit(1).agg((F.count("*") == 0).alias("empty")).scalar()
+    return primary.unionByName(fallback.select(*primary.columns).where(empty))
 
 
 def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -177,8 +184,14 @@ def collection_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def dataset_info(training: DataFrame) -> DataFrame:
-    """Stored training set: rows per level, total rows, column count."""
-    total = training.agg(F.count("*").alias("total_rows"))
-    return (training.groupBy("demand_level").agg(F.count("*").alias("count"))
-                    .transform(lambda d: with_row(d, total))
-                    .withColumn("n_columns", F.lit(len(training.columns))))
+    """Training set: rows per level, total rows, number and names of the columns."""
+    sizes = training.groupBy("demand_level").agg(F.count("*").alias("count"))
+    return (with_row(sizes, sizes.agg(F.sum("count").alias("total_rows")))
+            .withColumn("n_columns", F.lit(len(training.columns)))
+            .withColumn("columns", F.lit(", ".join(training.columns))))
+
+
+def stored_dataset_info(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """S12 from what was written: the columns are those of the stored header or schema, the rows are counted from the level column alone."""
+    stored = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    return dataset_info(stored)

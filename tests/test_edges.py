@@ -210,6 +210,31 @@ def test_means_keep_small_values(spark):
     assert float(got["m"]) == 0.004 and got["a"] == 0.004
 
 
+def test_means_of_huge_and_tiny_values(spark):
+    """Against fractions: prices of 10^12 beside 10^-9, values that a decimal cannot hold, and no value at all."""
+    import random
+    from fractions import Fraction
+    rng = random.Random(4)
+    data = [("big", 1e12 + rng.randint(0, 99) / 100) for _ in range(500)] + [("small", rng.randint(1, 9) * 1e-9) for _ in range(50)]
+    data += [("two", 2e9), ("two", 1.0), ("far", 1e18), ("far", 3e18), ("none", None), ("nan", float("nan")), ("beyond", 1e300)]
+    data += [("half", 0.005), ("half", 0.005)]
+    got = {r["k"]: r for r in rows(spark.createDataFrame(data, "k string, v double").repartition(7).groupBy("k").agg(
+        S.exact_mean("v").alias("m"), S.exact_avg("v").alias("a"), S.exact_sum("v").alias("s")))}
+    for k in ("big", "small", "two", "half"):
+        values = [Fraction(str(v)) for key, v in data if key == k]
+        assert abs(Fraction(got[k]["m"]) - sum(values) / len(values)) <= Fraction(1, 10 ** 12)
+    assert got["half"]["a"] == 0.01 and got["two"]["a"] == 1000000000.5 and got["far"]["a"] == 2e18 and got["far"]["s"] == 4e18
+    assert got["none"]["m"] is None and got["nan"]["a"] is None and got["beyond"]["a"] is None
+
+
+def test_range_row_number_with_an_outlier(spark):
+    from catalytics.operators.ranking import range_row_number
+    seqs = [*range(0, 400, 3), 10 ** 15, -7]
+    got = rows(range_row_number(spark.createDataFrame([(s, "x") for s in seqs], "seq long, t string").repartition(5), ["seq"]))
+    assert {r["seq"]: r["rn"] for r in got} == {s: i + 1 for i, s in enumerate(sorted(seqs))}
+    assert rows(range_row_number(spark.createDataFrame([], "seq long, t string"), ["seq"])) == []
+
+
 def test_exact_quantiles_equal_pandas(spark):
     import random
     import pandas as pd

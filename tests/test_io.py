@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from catalytics.sources import readers as RD
@@ -29,8 +31,26 @@ def test_documents_json(spark):
 
 def test_fallback_only_when_empty(spark):
     c = catalog(spark, SF_SMALL)
-    assert RD.with_fallback(c.where(F.col("asin") < 0), lambda: c).count() == c.count()
-    assert RD.with_fallback(c.limit(3), lambda: c).count() == 3
+    assert RD.with_fallback(c.where(F.col("asin") < 0), c).count() == c.count()
+    assert RD.with_fallback(c.limit(3), c).count() == 3
+
+
+def test_fallback_is_decided_when_the_query_runs(spark):
+    """A fallback that fails when it is read is not read while the primary source has rows."""
+    c = spark.range(5).toDF("asin")
+    broken = spark.range(5).select(F.raise_error(F.lit("the fallback was read")).cast("long").alias("asin"))
+    assert RD.with_fallback(c, broken).count() == 5
+    with pytest.raises(Exception, match="the fallback was read"):
+        RD.with_fallback(c.where("asin < 0"), broken).collect()
+
+
+def test_stored_dataset_information_names_the_stored_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "High"), (2, "Low"), (3, "Low")], "asin long, demand_level string")
+    for fmt in ("csv", "parquet"):
+        RD.write_table(df, f"{tmp_path}/{fmt}", fmt=fmt)
+        got = rows(RD.stored_dataset_info(spark, f"{tmp_path}/{fmt}", fmt))
+        assert {(r["demand_level"], r["count"], r["total_rows"], r["n_columns"], r["columns"]) for r in got} == {
+            ("High", 1, 3, 2, "asin, demand_level"), ("Low", 2, 3, 2, "asin, demand_level")}
 
 
 def test_raw_feed_column_variants(spark):

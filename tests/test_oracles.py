@@ -21,6 +21,7 @@ HEAVY = {"model_stats", "predict_demand", "train_demand_model", "pipeline"} | {n
 def test_query_matches_oracle(spark, duck_small, name):
     r = compare(QUERIES[name](spark, SF_SMALL), duck_small, ORACLES[name])
     assert r["ok"], r
+    assert r["oracle_rows"] > 0, "an empty result shows nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - HEAVY))
