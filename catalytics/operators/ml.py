@@ -20,7 +20,8 @@ from catalytics.functions.scalars import with_row
 from catalytics.functions import scores as S
 from catalytics.operators.catalog import catalog_stats, with_stats
 from catalytics.operators.clusters import category_clusters
-from catalytics.operators.sampling import FEATURES, stratified_split
+from catalytics.operators import mlp as T
+from catalytics.operators.sampling import FEATURES, model_frame, standardize, stratified_split
 
 CAT = "categoryName"
 HIDDEN_LAYERS = [128, 64, 32]
@@ -183,3 +184,28 @@ def label_segments(assigned: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(s) for s in S.SEGMENTS])
     lab = means.select(CAT, "cid", F.element_at(names, F.row_number().over(w).cast("int")).alias("segment"))
     return assigned.join(lab, [CAT, "cid"])
+
+
+# ---------------------------------------------------------------- M9, M10 by mini-batch Adam
+def train_adam_model(scored: DataFrame, training: T.Training = T.Training()):
+    """M9 as the reference trains it: (network, class names, frame); frame holds the standardized features, the level, its label and the split."""
+    frame = standardize(model_frame(scored))
+    names = [r[0] for r in frame.select("demand_level").distinct().orderBy("demand_level").collect()]       # at most the three levels
+    z = [f"z_{f}" for f in FEATURES]
+    net = T.train_network(frame.where(F.col("split") == "train"), z, "label", "asin", max(2, len(names)), training)
+    return net, _class_names(names), frame
+
+
+def adam_model_stats(scored: DataFrame, training: T.Training = T.Training()) -> DataFrame:
+    """M10 of the Adam network on the test split, with sample counts, layers, passes run and first and last loss."""
+    net, names, frame = train_adam_model(scored, training)
+    z = [f"z_{f}" for f in FEATURES]
+    pred = T.predict_network(frame.where(F.col("split") == "test"), net, z)
+    pred = pred.withColumn("predicted_level", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("predicted") + 1))
+    counts = frame.agg(F.count("*").alias("total_samples"), F.count_if(F.col("split") == "train").alias("train_samples"),
+                       F.count_if(F.col("split") == "test").alias("test_samples"))
+    widths = [len(FEATURES), *training.hidden, len(names)]
+    return with_row(classification_metrics(pred, "demand_level", "predicted_level"), counts).withColumns({
+        "layers": F.lit("-".join(map(str, widths))), "passes_run": F.lit(net.passes_run),
+        "first_loss": F.lit(float(net.losses[0]) if net.losses else None).cast("double"),
+        "last_loss": F.lit(float(net.losses[-1]) if net.losses else None).cast("double")})

@@ -413,6 +413,7 @@ QUERIES.update({
     "quick_score_metrics": lambda s, d: M.quick_score_metrics(scored(s, d)),
     "train_demand_model": lambda s, d: M.training_summary(scored(s, d)),
     "model_stats": lambda s, d: M.model_stats(scored(s, d)),
+    "adam_model_stats": lambda s, d: M.adam_model_stats(scored(s, d)),
     "predict_demand": lambda s, d: M.predict_demand(M.train_demand_model(scored(s, d))[0], catalog(s, d),
                                                     L.listing_view(listings(s, d))),
     "request_features": lambda s, d: M.request_features(requests(s, d), catalog(s, d)),

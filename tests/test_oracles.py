@@ -14,7 +14,7 @@ from oracle_harness import compare
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 #: Training is covered in test_ml.py; the training-data queries have their own tests beside them.
-HEAVY = {"model_stats", "predict_demand", "train_demand_model", "pipeline"} | {n for n in QUERIES if n[:2] == "op" and n[2].isdigit()}
+HEAVY = {"model_stats", "adam_model_stats", "predict_demand", "train_demand_model", "pipeline"} | {n for n in QUERIES if n[:2] == "op" and n[2].isdigit()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

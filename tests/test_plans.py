@@ -36,8 +36,9 @@ def test_global_top_k_is_take_ordered(spark):
 
 
 def test_no_python_udfs_in_registered_queries(spark):
-    skip = {"model_stats", "predict_demand", "train_demand_model", "category_segments", "segment_label_map", "segment_summary",
-            "write_training_csv", "scan_with_fallback", "category_segment_summary", "order_ingest_stream", "stream_units_stream"}
+    # jobs that run while they are built, and those with a model in Python inside (network, one category's clustering)
+    skip = {"model_stats", "predict_demand", "train_demand_model", "adam_model_stats", "write_training_csv", "dataset_info"} | {
+        n for n in QUERIES if "segment" in n or n.endswith("_stream") or n.startswith("stream_units")}
     for name, fn in QUERIES.items():
         if name in skip:
             continue
