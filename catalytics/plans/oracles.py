@@ -543,6 +543,11 @@ O["migrate_users_clean"] = sql("""SELECT * FROM (
          password_hash, name, phone, department, city,
          coalesce(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE role END, 'Analyst') AS role, joined
   FROM users0) WHERE email IS NOT NULL AND email <> ''""", "users")
+O["image_manifest"] = f"""WITH files AS (SELECT p_partkey AS asin, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 + 1 ELSE 0 END AS BIGINT) AS version, p_name
+  FROM part WHERE {_STARS} > 4.5),
+bodies AS (SELECT asin, version, concat('image ', asin, ' ', p_name, ' v ', version, chr(10)) AS body FROM files)
+SELECT asin, version, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256, version + 1 AS versions FROM bodies"""
+O["image_manifest_stream"] = O["image_manifest"]
 O["asset_manifest"] = "SELECT p_partkey AS asin FROM part WHERE p_partkey % 7 <> 0"
 O["csv_to_json"] = sql("""SELECT to_json(struct_pack(asin := CAST(asin AS VARCHAR), id := CAST(id AS VARCHAR),
   owner_email := owner_email, title := title, categoryName := categoryName, price := CAST(price AS VARCHAR),
@@ -901,6 +906,12 @@ O["request_features"] = _with(f"""codes AS (SELECT categoryName, CAST(row_number
    FROM lc LEFT JOIN codes ON codes.categoryName = coalesce(nullif(trim(lc.categoryName), ''), 'Unknown')""", "scored", "listings")
 for _q, _is in (("listings_accepted", "IS NULL"), ("listings_rejected", "IS NOT NULL")):
     O[_q] = O["validate_listings"].replace("SELECT asin, id, owner_email, price, stars", "SELECT * FROM (SELECT asin, id, owner_email, price, stars") + f") WHERE reject_reason {_is}"
+O["image_uploads"] = _with("""up AS (SELECT listing_id AS id, actor_email || '@shop.example' AS owner_email, printf('photo %d', event_id)
+    || CASE event_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.webp' WHEN 3 THEN '.gif' WHEN 4 THEN '.jpeg' WHEN 5 THEN '' ELSE '.jpg.exe' END AS filename,
+    CASE event_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.webp' WHEN 4 THEN '.jpeg' END AS ext FROM clog2 WHERE event_type = 'view')""",
+    """SELECT id, owner_email, filename, printf('up_%s_%d%s', split_part(trim(owner_email), '@', 1), id, ext) AS image_filename,
+  CASE ext WHEN '.png' THEN 'image/png' WHEN '.webp' THEN 'image/webp' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' END AS content_type,
+  CASE WHEN ext IS NULL THEN 'Only jpg/png/webp allowed' END AS reject_reason FROM up""", "listings", "changes")
 O["order_ingest_stream"] = O["order_ingest"]
 O["stream_units_stream"] = O["stream_units_tumbling"]
 

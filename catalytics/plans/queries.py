@@ -142,6 +142,7 @@ from catalytics.functions import scores as S  # noqa: E402
 from catalytics.operators import changes as C  # noqa: E402
 from catalytics.operators import ml as M  # noqa: E402
 from catalytics.operators import sampling as SM  # noqa: E402
+from catalytics.sources import images as IM  # noqa: E402
 from catalytics.sources import readers as RD  # noqa: E402
 from catalytics.streaming import orders as ST  # noqa: E402
 
@@ -290,6 +291,25 @@ def catalog_with_streamed_units(spark, d):
     return ST.with_streamed_units(catalog(spark, d), stream_units_stream(spark, d), FEED_SINCE)
 
 
+def image_folder(spark, d):
+    """The image files of the fixture, written in the shared folder."""
+    from catalytics.session import scratch_path
+    folder = scratch_path(spark, "images")
+    IM.write_images(X.image_files(spark, d), folder)
+    return folder
+
+
+def image_manifest_stream(spark, d):
+    """The manifest of a stream that meets the first versions in one run and their replacements in the next."""
+    from catalytics.session import scratch_path
+    folder, sink, state = (scratch_path(spark, n) for n in ("images", "sink", "stream"))
+    files = X.image_files(spark, d)
+    for part in (files.where("version = 0"), files.where("version > 0")):
+        IM.write_images(part, folder)
+        IM.start_manifest(spark, folder, sink, state).awaitTermination()
+    return IM.read_manifest(spark, sink)
+
+
 def malformed(spark, d, blank_ids=False):
     """The listings with unreadable prices (id % 13 = 0) and, if asked, blank ids (id % 11 = 0)."""
     raw, n = listings(spark, d), F.col("id").cast("bigint")
@@ -359,6 +379,9 @@ QUERIES.update({
                                              .withColumn("is_user_product", F.lit(False)).drop("copy"),
     "migrate_users_clean": lambda s, d: RD.clean_users(X.users_raw(s, d)),
     "asset_manifest": lambda s, d: L.asset_asins(X.asset_manifest_rows(s, d)),
+    "image_manifest": lambda s, d: IM.manifest(IM.read_images(s, image_folder(s, d))),
+    "image_manifest_stream": image_manifest_stream,
+    "image_uploads": lambda s, d: IM.upload_requests(X.upload_files(s, d)).select("id", "owner_email", "filename", "image_filename", "content_type", "reject_reason"),
     "write_training_csv": write_training_csv,
     "csv_to_json": csv_to_json,
     "collection_counts": lambda s, d: RD.collection_counts({

@@ -377,3 +377,19 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts": F.col("ts") + F.make_dt_interval(F.lit(1)), "user_email": F.upper("user_email"), "payment_method": F.lit("repeat"),
         "delivery_speed": F.lit("express")})
     return first.unionByName(again)
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image contents (asin, version, body) of the bestsellers: version 0, and for every third product one or two uploads that replace it."""
+    part = read_table(spark, sf_dir, "part").where(stars_expr() > BESTSELLER_STARS).select(F.col("p_partkey").alias("asin"), "p_name")
+    last = F.when(F.col("asin") % 3 == 0, F.col("asin") % 2 + 1).otherwise(F.lit(0))
+    each = part.withColumn("version", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+    return each.select("asin", "version", F.concat_ws(" ", F.lit("image"), F.col("asin").cast("string"), "p_name", F.lit("v") , F.col("version").cast("string")).alias("body"))
+
+
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload requests (id, owner_email, ts, filename) with accepted, upper-case, wrong and missing extensions."""
+    c = change_log(spark, sf_dir, "view")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".webp", ".gif", ".jpeg", "", ".jpg.exe")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return c.select(F.col("listing_id").alias("id"), F.concat(F.col("actor_email"), F.lit("@shop.example")).alias("owner_email"), "ts",
+                    F.concat(F.lit("photo "), F.col("event_id").cast("string"), ext).alias("filename"))
