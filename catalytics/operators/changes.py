@@ -34,11 +34,15 @@ def _listing_key(df: DataFrame) -> DataFrame:
 def listing_updates(listings: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply the latest non-null value of each editable field of the valid requests per
     (id, owner); a request from a non-owner matches nothing."""
+    return updated_rows(listing_view(listings).select(*LISTING_COLUMNS), updates)
+
+
+def updated_rows(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """U2 over typed listing rows."""
     red = (_listing_key(updates.where(edit_is_valid())).groupBy("id", "_owner")
            .agg(*[latest_non_null(f).alias(f"_new_{f}") for f in EDITABLE_LISTING_FIELDS],
                 F.max("ts").alias("_ts")))
-    cur = _listing_key(listing_view(listings).select(*LISTING_COLUMNS))
-    j = cur.join(red, ["id", "_owner"], "left")
+    j = _listing_key(rows).join(red, ["id", "_owner"], "left")
     return j.select("asin", "id", "owner_email",
                     *[F.coalesce(F.col(f"_new_{f}"), F.col(f)).alias(f) for f in EDITABLE_LISTING_FIELDS],
                     "image_filename", "added_on", F.date_format("_ts", TS_FORMAT).alias("updated_on"))
@@ -51,6 +55,18 @@ def listing_deletes(listings: DataFrame, deletes: DataFrame) -> DataFrame:
     return cur.join(keys, ["id", "_owner"], "left_anti").drop("_owner")
 
 
+def stored_updates(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """U2 over stored rows: as ``updated_rows``, and a row that nothing changes keeps its time of change."""
+    new = updated_rows(rows.drop("updated_on"), updates).withColumnRenamed("updated_on", "_new_time")
+    return new.join(rows.select("id", "updated_on"), "id").withColumn("updated_on", F.coalesce("_new_time", "updated_on")).drop("_new_time")
+
+
+def stored_deletes(rows: DataFrame, deletes: DataFrame) -> DataFrame:
+    """U3 over stored rows."""
+    keys = _listing_key(deletes).select("id", "_owner").distinct()
+    return _listing_key(rows).join(keys, ["id", "_owner"], "left_anti").drop("_owner")
+
+
 def seller_activity_merge(listings: DataFrame, uploads: DataFrame) -> DataFrame:
     """Newest uploaded image per (id, owner) sets image_filename/updated_on."""
     red = (_listing_key(uploads).groupBy("id", "_owner")

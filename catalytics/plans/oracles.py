@@ -912,6 +912,14 @@ O["image_uploads"] = _with("""up AS (SELECT listing_id AS id, actor_email || '@s
     """SELECT id, owner_email, filename, printf('up_%s_%d%s', split_part(trim(owner_email), '@', 1), id, ext) AS image_filename,
   CASE ext WHEN '.png' THEN 'image/png' WHEN '.webp' THEN 'image/webp' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' END AS content_type,
   CASE WHEN ext IS NULL THEN 'Only jpg/png/webp allowed' END AS reject_reason FROM up""", "listings", "changes")
+O["stored_listing_updates"] = O["listing_updates"]
+O["stored_listing_deletes"] = O["listing_deletes"]
+O["product_listing_deep"] = O["product_listing_price_desc"].replace("WHERE stars >= 3.0 AND", "WHERE").replace("LIMIT 20 OFFSET 20", "LIMIT 5 OFFSET 150")
+_DAMAGED = """CASE WHEN id % 37 = 5 AND id % 11 <> 0 THEN 'wrong number of columns' WHEN id % 11 = 0 THEN 'id required' WHEN id % 13 = 0 THEN 'price is no double' END"""
+O["quarantine_accepted"] = sql(f"SELECT asin, id, owner_email, price, stars, boughtInLastMonth FROM lview WHERE {_DAMAGED} IS NULL", "listings")
+O["quarantine_reasons"] = sql(f"SELECT reject_reason, count(*) AS count FROM (SELECT {_DAMAGED} AS reject_reason FROM lview) WHERE reject_reason IS NOT NULL GROUP BY 1", "listings")
+O["period_price_quantiles_checked"] = """SELECT p_brand AS category, count(*) AS count, true AS within_error FROM lineitem JOIN part ON p_partkey = l_partkey
+  WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '1994-02' AND '1996-07' GROUP BY 1"""
 O["order_ingest_stream"] = O["order_ingest"]
 O["stream_units_stream"] = O["stream_units_tumbling"]
 

@@ -142,13 +142,18 @@ from catalytics.functions import scores as S  # noqa: E402
 from catalytics.operators import changes as C  # noqa: E402
 from catalytics.operators import ml as M  # noqa: E402
 from catalytics.operators import sampling as SM  # noqa: E402
+from catalytics.operators import sketches as SK  # noqa: E402
 from catalytics.sources import images as IM  # noqa: E402
+from catalytics.sources import quarantine as Q  # noqa: E402
 from catalytics.sources import readers as RD  # noqa: E402
+from catalytics.sources import stored as SD  # noqa: E402
 from catalytics.streaming import orders as ST  # noqa: E402
 
 REGEX_PATTERN = "^(red|blue) "
 LITERAL_WORD = "GIZMO"
 EQ_CATEGORY = "Brand#1"
+DEEP_PAGE = 31
+SKETCH_MONTHS = ("1994-02", "1996-07")   # the period whose quartiles come from monthly sketches
 FEED_SINCE = "2024-01-15"       # first day of the streamed units that feed the catalog
 
 
@@ -310,6 +315,56 @@ def image_manifest_stream(spark, d):
     return IM.read_manifest(spark, sink)
 
 
+def stored_merge(spark, d, changes, job):
+    """A change log merged into a stored listing table; the table read back."""
+    from catalytics.session import scratch_path
+    path = scratch_path(spark, "listing-store")
+    SD.write_store(L.listing_view(listings(spark, d)).select(*L.LISTING_COLUMNS, F.lit(None).cast("string").alias("updated_on")), path)
+    SD.merge(spark, path, changes, job)
+    return SD.read_store(spark, path)
+
+
+def period_quantiles(spark, d):
+    """Price quartiles per category over some months, from stored monthly sketches; (quantiles, the exact rows of these months)."""
+    lines = X.sold_lines(spark, d)
+    stored = spark.read.parquet(_stored(spark, SK.period_sketches(lines, "categoryName", F.col("month"), "price"), "sketches", "parquet"))
+    return SK.merged_quantiles(stored, "categoryName", *SKETCH_MONTHS), lines.where(F.col("month").between(*SKETCH_MONTHS))
+
+
+def period_quantiles_checked(spark, d):
+    """Rows of each category in the period, and whether every quartile's rank is within the stated error."""
+    q, lines = period_quantiles(spark, d)
+    return SK.rank_errors(lines, q, "categoryName", "price").select(
+        F.col("categoryName").alias("category"), F.col("n").alias("count"), (F.col("worst") <= SK.RANK_ERROR).alias("within_error"))
+
+
+def deep_page(spark, d):
+    """Page 31 of the whole list by falling price, read from a page directory."""
+    from catalytics.session import scratch_path
+    path = scratch_path(spark, "product-list")
+    SD.write_pages(R.listing_union(scored(spark, d), owned(spark, d)), R.listing_order("price_desc"), path)
+    return SD.read_page(spark, path, SD.directory(spark, path), page=DEEP_PAGE, limit=5).drop("_src", "_lid")
+
+
+def damaged_csv(spark, d):
+    """The listings as a CSV file with unreadable prices, blank ids and lines that are cut short (id % 37 = 5)."""
+    from catalytics.session import scratch_path
+    rows = malformed(spark, d, blank_ids=True)
+    line = F.to_csv(F.struct(*RD.LISTING_FIELDS))
+    short = F.col("id").try_cast("bigint") % 37 == 5
+    path = scratch_path(spark, "damaged")
+    rows.select(F.when(short, F.substring_index(line, ",", 5)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def quarantine(spark, d):
+    """(accepted, rejected) of the damaged file, both read back from their sinks."""
+    from catalytics.session import scratch_path
+    good, bad = scratch_path(spark, "accepted"), scratch_path(spark, "rejected")
+    Q.load(spark, damaged_csv(spark, d), good, bad, RD.LISTING_FIELDS, Q.LISTING_TYPES, Q.LISTING_REQUIRED, header=False)
+    return spark.read.parquet(good), spark.read.schema("reject_reason string, record string").json(bad)
+
+
 def malformed(spark, d, blank_ids=False):
     """The listings with unreadable prices (id % 13 = 0) and, if asked, blank ids (id % 11 = 0)."""
     raw, n = listings(spark, d), F.col("id").cast("bigint")
@@ -379,6 +434,14 @@ QUERIES.update({
                                              .withColumn("is_user_product", F.lit(False)).drop("copy"),
     "migrate_users_clean": lambda s, d: RD.clean_users(X.users_raw(s, d)),
     "asset_manifest": lambda s, d: L.asset_asins(X.asset_manifest_rows(s, d)),
+    "quarantine_accepted": lambda s, d: quarantine(s, d)[0].select("asin", "id", "owner_email", "price", "stars", "boughtInLastMonth"),
+    "quarantine_reasons": lambda s, d: quarantine(s, d)[1].groupBy("reject_reason").agg(F.count("*").alias("count")),
+    "stored_listing_updates": lambda s, d: stored_merge(s, d, X.listing_updates_log(s, d), C.stored_updates),
+    "stored_listing_deletes": lambda s, d: stored_merge(s, d, X.listing_deletes_log(s, d), C.stored_deletes).drop("updated_on"),
+    "product_listing_deep": deep_page,
+    "period_price_quantiles": lambda s, d: period_quantiles(s, d)[0].select(
+        F.col("categoryName").alias("category"), "n", *[S.round_half(F.col("q")[i], 2).alias(c) for i, c in enumerate(("q1", "median", "q3"))]),
+    "period_price_quantiles_checked": period_quantiles_checked,
     "image_manifest": lambda s, d: IM.manifest(IM.read_images(s, image_folder(s, d))),
     "image_manifest_stream": image_manifest_stream,
     "image_uploads": lambda s, d: IM.upload_requests(X.upload_files(s, d)).select("id", "owner_email", "filename", "image_filename", "content_type", "reject_reason"),

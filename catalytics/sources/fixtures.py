@@ -393,3 +393,11 @@ def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".webp", ".gif", ".jpeg", "", ".jpg.exe")]), (F.col("event_id") % 7 + 1).cast("int"))
     return c.select(F.col("listing_id").alias("id"), F.concat(F.col("actor_email"), F.lit("@shop.example")).alias("owner_email"), "ts",
                     F.concat(F.lit("photo "), F.col("event_id").cast("string"), ext).alias("filename"))
+
+
+def sold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with the category of their product, the month and the price: categoryName, month (yyyy-MM), price."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("categoryName"))
+    return lines.join(part, lines.l_partkey == part.p_partkey).select("categoryName", F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+                                                                       F.col("l_extendedprice").alias("price"))
