@@ -1,23 +1,25 @@
-"""Approximate nearest neighbours: a forest of random-projection trees and one shared priority queue.
+"""Approximate nearest neighbours: forests of random-projection trees, one shared priority queue, exact reranking.
 
-Fit.  ``trees`` trees are grown on at most ``SAMPLE_ROWS`` distinct vectors (those with the smallest
-hash): a node splits at the median projection on the line between two random members, down to
-leaves of about ``LEAF_ROWS`` sample rows.  Largest inner product becomes nearest direction by one
-more component sqrt(max norm^2 - norm^2), which is 0 for queries; for unit vectors it vanishes.
+Shares.  Distinct vectors are dealt once, by hash, into shares of about ``SHARE_ROWS``; a vector
+carries the smallest ids of its copies, as many as a result can need.  Queries go to every share in
+blocks, so a vector is shuffled once for each group of query blocks and a query once for each share.
 
-Index.  Every distinct vector is routed to its leaf in every tree; it carries the smallest ids of
-its copies, as many as a result can need, so copies of one vector cost one entry.
+Fit.  The task that holds a share grows ``TREES`` trees over all its rows: a node splits at the
+median projection on the line between two random members, down to leaves of about ``LEAF_ROWS``
+rows.  Largest inner product becomes nearest direction by one more component sqrt(max norm^2 -
+norm^2), which is 0 for queries; for unit vectors it vanishes.
 
-Search.  A query keeps one queue over the nodes of all trees, ordered by the smallest margin on the
-way down, and pops leaves until they hold ``search`` of the forest's entries.  Popped leaves and
-indexed rows meet by (tree, leaf, share), where shares bound a leaf's rows in one task.  Every
-candidate is scored exactly on the original vectors in double precision, the best are kept per
-query, and ties go to the smaller id.
+Search.  A query keeps one queue over the nodes of all trees of a share, ordered by the smallest
+margin on the way down, and pops leaves until they hold ``SEARCH`` of the forest's entries.  Leaves
+of several trees that hold one row unite: a pair of query and row has one place in the block's score
+table.  The best rows of a share are scored again on the original vectors in double precision, in
+one order of summation; ties go to the smaller id.
 
 Special cases: rows with a null id or a null, empty, zero or non-finite vector take no part; other
 lengths than the longest are padded with zeros; the query's own id is no candidate, an equal vector
-under another id is; an id is taken to name one vector (repeated rows count once); fewer candidates than k
-give them all that were found; an empty table gives an empty result; other columns are ignored.
+under another id is; repeated rows count once; an id with several vectors counts, as query and as
+candidate, with the largest product of any of them; fewer candidates than k give them all that were
+found; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +37,10 @@ from catalytics.llm import frames
 from catalytics.llm.vectors import dense, usable
 
 TREES = 8
-SAMPLE_ROWS = 1 << 16
-LEAF_ROWS = 256
-SEARCH = 0.2            # share of the forest's entries that a query's leaves hold
-SHARE_ROWS = 1 << 13     # indexed rows of a leaf in one task
-_HELD = 1 << 20          # results a task holds before it cuts them to the best
+LEAF_ROWS = 128
+SEARCH = 0.16            # share of a forest's entries that a query's leaves hold
+SHARE_ROWS = 1 << 13     # distinct vectors of a share
+BLOCK_QUERIES = 256      # of a block: its score table has BLOCK_QUERIES x SHARE_ROWS places (16 MB)
 
 
 class Forest:
@@ -73,21 +75,25 @@ class Forest:
             node = 2 * node + 1 + (along > self.cuts[tree, node])
         return node - ((1 << self.depth) - 1)
 
-    def probe(self, query: np.ndarray, search: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order in which the shared queue gives them, until their sizes reach the share."""
+    def probe(self, queries: np.ndarray, search: float) -> list[list[tuple[int, int]]]:
+        """For each query (tree, leaf) in the order in which its shared queue gives them, until their sizes reach the share."""
         inner, wanted = (1 << self.depth) - 1, search * self.sizes.sum()
-        margins = (self.normals @ query - self.cuts).tolist() if inner else []
-        queue = [(-np.inf, t, 0) for t in range(len(self.sizes))]
-        out, held = [], 0
-        while queue and (held < wanted or not out):
-            priority, t, i = heapq.heappop(queue)
-            if i >= inner:
-                out.append((t, i - inner))
-                held += int(self.sizes[t, i - inner])
-                continue
-            m = margins[t][i]
-            heapq.heappush(queue, (max(priority, -m), t, 2 * i + 2))
-            heapq.heappush(queue, (max(priority, m), t, 2 * i + 1))
+        sizes = self.sizes.tolist()
+        trees = len(sizes)
+        margins = (queries @ self.normals.reshape(trees * inner, -1).T - self.cuts.ravel()).tolist() if inner else [[]] * len(queries)
+        out = []
+        for own in margins:
+            queue, found, held = [(-np.inf, t, 0) for t in range(trees)], [], 0
+            while queue and (held < wanted or not found):
+                priority, t, i = heapq.heappop(queue)
+                while i < inner:                          # down the nearer side; the other one waits in the queue
+                    m = own[t * inner + i]
+                    near, far = (2 * i + 2, 2 * i + 1) if m > 0 else (2 * i + 1, 2 * i + 2)
+                    heapq.heappush(queue, (max(priority, abs(m)), t, far))
+                    i = near
+                found.append((t, i - inner))
+                held += sizes[t][i - inner]
+            out.append(found)
         return out
 
 
@@ -97,142 +103,166 @@ def _lifted(rows: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([rows, rest[:, None]], axis=1).astype(np.float32)
 
 
-_MET = "tree int, leaf int, share int, kind int, id long, body binary"
+_MET = "place int, kind int, ids binary, body binary"
+
+
+def _met(places: list[int], kind: int, ids: list[bytes], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array([kind] * len(places), pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())],
+                                      ["place", "kind", "ids", "body"])
 
 
-def _index_batches(broadcast, width: int, top: float, shares: int):
+def _share_batches(width: int, groups: int):
+    """Vectors packed by share, once for each group of query blocks: numbers of ids, then the ids; the vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest: Forest = broadcast.value
         for batch in batches:
-            rows, ids = dense(batch.column("vector"), width), batch.column("vec_id")
-            share = pa.array((ids.to_numpy() % shares).astype(np.int32))
-            body, lifted = pa.array([r.tobytes() for r in rows], pa.binary()), _lifted(rows, top)
-            for t in range(len(forest.sizes)):
-                leaf = forest.leaves(lifted, t).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(leaf), share,
-                                                  pa.array(np.zeros(len(rows), np.int32)), ids, body],
-                                                 ["tree", "leaf", "share", "kind", "id", "body"])
+            if not len(batch):
+                continue
+            rows, names, share = dense(batch.column("vector"), width), batch.column("ids"), batch.column("share").to_numpy()
+            edges, flat = names.offsets.to_numpy(), names.values.to_numpy()
+            places, ids, bodies = [], [], []
+            for s in np.unique(share):
+                own = np.flatnonzero(share == s)
+                packed = np.concatenate([edges[own + 1] - edges[own], *(flat[edges[i]:edges[i + 1]] for i in own)]).astype(np.int64).tobytes()
+                places += [int(s) * groups + g for g in range(groups)]
+                ids += [packed] * groups
+                bodies += [rows[own].tobytes()] * groups
+            yield _met(places, 0, ids, bodies)
     return run
 
 
-def _probe_batches(broadcast, width: int, search: float, shares: int):
+def _query_batches(width: int, shares: int, groups: int):
+    """Blocks of queries, once for each share; blocks go round the groups."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest: Forest = broadcast.value
+        number = TaskContext.get().partitionId()
         for batch in batches:
-            rows = dense(batch.column("vector"), width)
-            for at in range(0, len(rows), 256):
-                out = []
-                for r, (vec_id, row) in enumerate(zip(batch.column("vec_id").slice(at, 256).to_numpy(), rows[at:at + 256])):
-                    query = np.append(row, 0.0).astype(np.float32)
-                    out += [(t, leaf, s, r, vec_id) for t, leaf in forest.probe(query, search) for s in range(shares)]
-                bodies = pa.array([r.tobytes() for r in rows[at:at + 256]], pa.binary())
-                t, leaf, s, r, ids = (np.array(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (t, leaf, s, np.ones(len(t)))),
-                                                  pa.array(ids.astype(np.int64)), bodies.take(pa.array(r))], ["tree", "leaf", "share", "kind", "id", "body"])
+            rows, ids = dense(batch.column("vector"), width), batch.column("vec_id").to_numpy()
+            for at in range(0, len(ids), BLOCK_QUERIES):
+                places = [s * groups + number % groups for s in range(shares)]
+                yield _met(places, 1, [ids[at:at + BLOCK_QUERIES].tobytes()] * shares, [rows[at:at + BLOCK_QUERIES].tobytes()] * shares)
+                number += 1
     return run
 
 
-def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int):
-    """The k best distinct rows of each query."""
-    order = np.lexsort((row, query))
-    query, row, score = query[order], row[order], score[order]
-    first = np.append(True, (query[1:] != query[:-1]) | (row[1:] != row[:-1])) if len(query) else np.zeros(0, bool)
-    query, row, score = query[first], row[first], score[first]
-    order = np.lexsort((row, -score, query))
-    query, row, score = query[order], row[order], score[order]
-    begin = np.searchsorted(query, query)
-    keep = np.arange(len(query)) - begin < k
-    return query[keep], row[keep], score[keep]
-
-
-def _leaf_best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, row places and exact scores of each query's k best rows of a leaf, ties to the smaller id."""
-    near = queries @ rows.T
-    n = min(k, len(rows))
-    kth = np.partition(near, len(rows) - n, axis=1)[:, len(rows) - n]
-    # twice what two scores, each summed in another order, may lie off the true products
-    slack = 4 * rows.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
-    q, r = np.nonzero(near >= (kth - slack)[:, None])
-    exact = np.empty(len(q))
-    for b in range(0, len(q), 1 << 14):
-        exact[b:b + (1 << 14)] = (rows[r[b:b + (1 << 14)]] * queries[q[b:b + (1 << 14)]]).sum(axis=1)      # one order of summation for all
-    order = np.lexsort((ids[r], -exact, q))
-    q, r, exact = q[order], r[order], exact[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[keep], r[keep], exact[keep]
-
-
-def _score_batches(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, place, ids, rows = [], 0, None, [], []
+def _ranked(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best ids, every id once with its largest score, ties to the smaller id."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])) if len(query) else np.zeros(0, bool)
+    query, ids, score = query[first], ids[first], score[first]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], score[keep]
+
+
+class Share:
+    """The vectors of one share, the ids of each, and their forest."""
+
+    def __init__(self, packed: list[tuple[np.ndarray, np.ndarray]], top: float, trees: int, leaf_rows: int):
+        self.rows = np.concatenate([r for _, r in packed])
+        self.n_ids = np.concatenate([i[:len(r)] for i, r in packed])
+        self.ids = np.concatenate([i[len(r):] for i, r in packed])
+        order = np.lexsort(self.rows.T)                   # the forest does not depend on how rows arrive
+        begin = np.cumsum(self.n_ids) - self.n_ids
+        self.ids = self.ids[_ranges(begin[order], self.n_ids[order])]
+        self.rows, self.n_ids = self.rows[order], self.n_ids[order]
+        self.begin = np.cumsum(self.n_ids) - self.n_ids
+        lifted = _lifted(self.rows, top)
+        self.forest = Forest(lifted, trees, leaf_rows)
+        self.members = []
+        for t in range(trees):
+            leaf = self.forest.leaves(lifted, t)
+            by_leaf = np.argsort(leaf, kind="stable")
+            self.members.append(np.split(by_leaf, np.searchsorted(leaf[by_leaf], np.arange(1, 1 << self.forest.depth))))
+        self.longest = np.linalg.norm(self.rows, axis=1).max()
+
+    def scores(self, queries: np.ndarray, search: float) -> np.ndarray:
+        """Queries x rows: the product where a popped leaf holds the row, else minus infinity."""
+        asked: dict[tuple[int, int], list[int]] = {}
+        lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        for q, leaves in enumerate(self.forest.probe(lifted, search)):
+            for leaf in leaves:
+                asked.setdefault(leaf, []).append(q)
+        table = np.full((len(queries), len(self.rows)), -np.inf)
+        for (t, leaf), own in asked.items():
+            member = self.members[t][leaf]
+            if len(member):
+                table[np.ix_(own, member)] = queries[own] @ self.rows[member].T
+        return table
+
+    def _exact(self, queries: np.ndarray, names: np.ndarray, q: np.ndarray, r: np.ndarray, k: int):
+        score = np.empty(len(q))
+        for b in range(0, len(q), 1 << 14):
+            score[b:b + (1 << 14)] = (self.rows[r[b:b + (1 << 14)]] * queries[q[b:b + (1 << 14)]]).sum(axis=1)      # one order of summation for all
+        n = self.n_ids[r]
+        query, ids, score = np.repeat(q, n), self.ids[_ranges(self.begin[r], n)], np.repeat(score, n)
+        other = ids != names[query]
+        return _ranked(query[other], ids[other], score[other], k)
+
+    def best(self, queries: np.ndarray, names: np.ndarray, k: int, search: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query places, ids and exact scores of each query's k best ids found."""
+        near = self.scores(queries, search)
+        found = near > -np.inf
+        n = min(k + 1, near.shape[1])
+        kth = np.partition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n]
+        # twice what two scores, each summed in another order, may lie off the true products
+        slack = 4 * self.rows.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * self.longest
+        out = self._exact(queries, names, *np.nonzero(found & (near >= (kth - slack)[:, None])), k)
+        # where ids name several vectors, k + 1 vectors may be fewer than k ids: those queries look at all they found
+        few = np.flatnonzero((np.bincount(out[0], minlength=len(queries)) < k) & (found.sum(axis=1) > n))
+        if len(few):
+            q, r = np.nonzero(found[few])
+            more = self._exact(queries, names, few[q], r, k)
+            keep = ~np.isin(out[0], few)
+            out = tuple(np.concatenate([a[keep], b]) for a, b in zip(out, more))
+        return out
+
 
-        def flush():
-            found = _best(*(np.concatenate(x) for x in zip(*held)), k) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "rep", "score"])
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. of every range, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
+
+def _search_batches(k: int, width: int, top: float, trees: int, leaf_rows: int, search: float):
+    """Rows sorted by place and kind: a share's vectors, then the query blocks that meet them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, packed, share = None, [], None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("tree", "leaf", "share", "kind")], axis=1)
-            bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]) if len(key) else [0]
-            for b, e in zip(bounds[:-1], bounds[1:]):
-                here, kind = tuple(key[b, :3]), key[b, 3]
-                body = batch.column("body").slice(b, e - b)
-                values = np.frombuffer(b"".join(body.to_pylist()), np.float64).reshape(e - b, -1)
-                own = batch.column("id").slice(b, e - b).to_numpy()
+            for here, kind, ids, body in zip(*(batch.column(c).to_pylist() for c in ("place", "kind", "ids", "body"))):
                 if here != place:
-                    place, ids, rows = here, [], []
+                    place, packed, share = here, [], None
+                ids, values = np.frombuffer(ids, np.int64), np.frombuffer(body, np.float64).reshape(-1, width)
                 if kind == 0:
-                    ids.append(own)
-                    rows.append(values)
-                    continue
-                if not ids:
-                    continue
-                ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
-                for at in range(0, len(own), 512):
-                    q, top, exact = _leaf_best(values[at:at + 512], ids[0], rows[0], k)
-                    held.append((own[at:at + 512][q], ids[0][top], exact))
-                    size += len(q)
-                if size > _HELD:
-                    held = [_best(*(np.concatenate(x) for x in zip(*held)), k)]
-                    size = len(held[0][0])
-                    if size > _HELD // 2:
-                        yield flush()
-                        held, size = [], 0
-        yield flush()
+                    packed.append((ids, values))
+                elif packed:
+                    share = share or Share(packed, top, trees, leaf_rows)
+                    q, found, exact = share.best(values, ids, k, search)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found), pa.array(exact)], ["query_id", "vec_id", "score"])
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, share: float = SEARCH, sample_rows: int = SAMPLE_ROWS,
+def search(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, share: float = SEARCH, share_rows: int = SHARE_ROWS,
            leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found per query.  Both inputs have vec_id (long) and vector, all usable."""
     spark = rows.sparkSession
     copies = Window.partitionBy("vector").orderBy("vec_id")
     # the smallest k + 1 ids of each distinct vector: one may be the query's own
-    kept = frames.cut(rows.distinct().withColumn("__r", F.row_number().over(copies)).where(F.col("__r") <= k + 1).withColumn(
-        "rep", F.first("vec_id").over(copies.rowsBetween(Window.unboundedPreceding, 0))), "copies")
-    distinct = kept.where("__r = 1").select("vec_id", "vector")
+    few = rows.distinct().withColumn("__r", F.row_number().over(copies)).where(F.col("__r") <= k + 1)
+    distinct = frames.cut(few.groupBy("vector").agg(F.collect_list("vec_id").alias("ids")), "vectors")
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"), F.max(norm).alias("top")).first()
     if not size.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, top = int(size.width), float(size.top)
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow().column("vector").combine_chunks()
-    sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
-    forest = spark.sparkContext.broadcast(Forest(_lifted(dense(sample, width), top), trees, leaf_rows))
-    shares = max(1, -(-size.n // (SHARE_ROWS << forest.value.depth)))
-    indexed = distinct.mapInArrow(_index_batches(forest, width, top, shares), _MET)
-    probes = queries.select("vec_id", "vector").distinct().mapInArrow(_probe_batches(forest, width, share, shares), _MET)
-    # leaves go round the partitions, so every task scores nearly as many leaves as any other
+    width, top, shares = int(size.width), float(size.top), max(1, -(-size.n // share_rows))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = (F.shiftleft(F.col("tree").cast("long"), forest.value.depth) + F.col("leaf")) * shares + F.col("share")
-    met = indexed.union(probes).withColumn("part", (place % parts).cast("int")).repartitionById(parts, "part").drop("part").sortWithinPartitions(
-        "tree", "leaf", "share", "kind")
-    # k + 1 distinct vectors, for one of them may hold the query's own id only
-    found = met.mapInArrow(_score_batches(k + 1), "query_id long, rep long, score double").groupBy("query_id", "rep").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k + 1)
-    named = found.join(kept.select("rep", "vec_id"), "rep").where("vec_id != query_id")
+    groups = max(1, parts // shares)                      # few shares: their query blocks are dealt over as many tasks as there are
+    placed = distinct.withColumn("share", F.pmod(F.xxhash64("vector"), F.lit(shares)).cast("int")).mapInArrow(_share_batches(width, groups), _MET)
+    asked = queries.select("vec_id", "vector").distinct().mapInArrow(_query_batches(width, shares, groups), _MET)
+    met = placed.union(asked).withColumn("part", F.col("place") % parts).repartitionById(parts, "part").drop("part").sortWithinPartitions("place", "kind")
+    found = met.mapInArrow(_search_batches(k, width, top, trees, leaf_rows, share), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def usable_rows(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:

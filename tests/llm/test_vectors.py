@@ -139,6 +139,39 @@ def test_forest_ties_of_distinct_vectors_go_to_the_smaller_ids(spark):
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
 
 
+@pytest.mark.parametrize("share_rows", [50, 10_000])
+def test_forest_ids_with_several_vectors_count_once_with_the_best(spark, share_rows):
+    rng = np.random.default_rng(8)
+    rows = [(i % 90, np.round(rng.normal(size=6), 2).tolist(), 0) for i in range(400)] + [(7, [3.0, 0, 0, 0, 0, 0], 0)] * 30 + [(200, [3.0, 0, 0, 0, 0, 0], 0)]
+    df = ann_forest.usable_rows(spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v, _ in rows], VECTORS)).repartition(4)
+    got = ann_forest.search(df, df.where("vec_id % 20 = 0"), 10, trees=3, share=1.0, share_rows=share_rows, leaf_rows=16).collect()
+    v = [(i, np.array(x, float)) for i, x, _ in rows]
+    for i in sorted({n for n, _ in v if n % 20 == 0}):
+        best = {j: max(float((a * b).sum()) for n, a in v if n == i for m, b in v if m == j) for j, _ in v if j != i}
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i)
+        want = sorted((-s, j) for j, s in best.items())[:10]
+        assert [j for _, j, _ in mine] == [j for _, j in want] and np.allclose([s for *_, s in mine], [-s for s, _ in want], atol=1e-12)
+
+
+@pytest.mark.parametrize("n, least, most", [(2_000, 0.9, 0.8), (40_000, 0.9, 0.8)])
+def test_forest_scores_fewer_pairs_than_all_at_the_wanted_recall(n, least, most):
+    """Isotropic vectors of 64 components, the hardest for such trees, in shares as the job makes them: recall, and pairs scored per pair."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries, shares = x[:: n // 40][:40], max(1, -(-n // ann_forest.SHARE_ROWS))
+    pairs, found = 0, []
+    for s in range(shares):
+        own = np.arange(s, n, shares)
+        share = ann_forest.Share([(np.concatenate([np.ones(len(own), int), own]), x[own])], 1.0, ann_forest.TREES, ann_forest.LEAF_ROWS)
+        pairs += int((share.scores(queries, ann_forest.SEARCH) > -np.inf).sum())
+        found.append(share.best(queries, np.full(len(queries), -1), 20, ann_forest.SEARCH))
+    q, ids, _ = ann_forest._ranked(*(np.concatenate(c) for c in zip(*found)), 20)
+    near = queries @ x.T
+    hit = sum(len(set(np.argsort(-near[k])[:20]) & set(ids[q == k])) for k in range(len(queries)))
+    assert hit / (20 * len(queries)) >= least and pairs / (len(queries) * n) <= most
+
+
 def test_forest_of_few_rows_and_of_an_empty_table(spark, tmp_path):
     assert ann_forest.op8_ann_forest(spark, write(spark, [], tmp_path / "a")).collect() == []
     got = ann_forest.op8_ann_forest(spark, write(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (1, [0.5, 0.5], 0)], tmp_path / "b")).collect()
