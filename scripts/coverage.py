@@ -7,16 +7,16 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 ITEMS = [  # (id, survey query name, registered keys, where)
     ("S1", "scan_catalog", ["scan_catalog"], "sources/fixtures.catalog_base, sources/readers.read_catalog"),
     ("S2", "scan_catalog_documents", ["scan_catalog_documents"], "sources/readers.documents_to_catalog"),
-    ("S3", "scan_with_fallback", ["scan_with_fallback"], "sources/readers.with_fallback"),
-    ("S4", "scan_seller_listings", ["scan_seller_listings"], "operators/listings.scan_seller_listings"),
+    ("S3", "scan_with_fallback", ["scan_with_fallback", "scan_without_fallback"], "sources/readers.with_fallback"),
+    ("S4", "scan_seller_listings", ["scan_seller_listings", "quarantine_accepted", "quarantine_reasons"], "operators/listings.scan_seller_listings, sources/quarantine"),
     ("S5", "normalize_raw_feed", ["normalize_raw_feed"], "sources/readers.normalize_raw_feed"),
     ("S6", "migrate_products_dedup", ["migrate_products_dedup"], "sources/readers.dedup_first"),
     ("S7", "migrate_users_clean", ["migrate_users_clean"], "sources/readers.clean_users"),
-    ("S8", "asset_manifest", ["asset_manifest"], "sources/readers.read_assets, operators/listings.asset_asins"),
+    ("S8", "asset_manifest", ["asset_manifest", "image_manifest", "image_manifest_stream"], "sources/images, sources/readers.read_assets, operators/listings.asset_asins"),
     ("S9", "write_training_csv", ["write_training_csv"], "sources/readers.write_table"),
     ("S10", "csv_to_json", ["csv_to_json"], "sources/readers.csv_records_as_json"),
     ("S11", "collection_counts", ["collection_counts"], "sources/readers.collection_counts"),
-    ("S12", "dataset_info", ["dataset_info"], "sources/readers.dataset_info"),
+    ("S12", "dataset_info", ["dataset_info"], "sources/readers.stored_dataset_info"),
     ("P1", "demand_features", ["demand_features"], "operators/catalog.normalize"),
     ("P2", "demand_score", ["demand_score"], "functions/scores.demand_score"),
     ("P3", "demand_level", ["demand_level"], "functions/scores.demand_level"),
@@ -33,7 +33,7 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("P14", "filter_range", ["filter_range"], "functions/predicates.catalog_filter"),
     ("P15", "filter_excluded_terms", ["filter_excluded_terms"], "functions/predicates.excluded_terms"),
     ("P16", "reorder_predicate", ["reorder_predicate"], "functions/predicates.reorder_predicate"),
-    ("P17", "validate_listings", ["validate_listings"], "functions/predicates.reject_reason"),
+    ("P17", "validate_listings", ["validate_listings", "listings_accepted", "listings_rejected"], "functions/predicates.reject_reason"),
     ("P18", "skip_malformed_rows", ["skip_malformed_rows"], "operators/listings.parse_listings"),
     ("P19", "safe_projection", ["safe_projection"], "operators/changes.safe_projection"),
     ("P20", "title_truncate", ["title_truncate"], "plans/queries"),
@@ -54,14 +54,15 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A5", "trend_recommendation", ["trend_recommendation", "trend_texts"], "operators/aggregates.trend_recommendation"),
     ("A6", "category_distribution", ["category_distribution", "category_distribution_summary", "category_distribution_insights"],
      "operators/aggregates.category_distribution*"),
-    ("A7", "price_distribution", ["price_distribution", "price_distribution_insights"], "operators/aggregates.price_distribution"),
+    ("A7", "price_distribution", ["price_distribution", "price_distribution_insights", "period_price_quantiles_checked", "period_price_quantiles"],
+     "operators/aggregates.price_distribution, operators/quantiles, operators/sketches"),
     ("A8", "demand_mix", ["demand_mix"], "operators/aggregates.demand_mix"),
     ("A9", "demand_bubble", ["demand_bubble", "demand_insights"], "operators/aggregates.demand_bubble"),
     ("A10", "correlation_matrix", ["correlation_matrix", "correlation_pairs", "correlation_insights"], "operators/aggregates.correlation_*"),
     ("A11", "price_rating_corr", ["price_rating_corr", "ratings_insights"], "operators/aggregates.price_rating_corr"),
     ("A12", "inventory_metrics", ["inventory_metrics"], "operators/aggregates.inventory_metrics"),
     ("A13", "inventory_categories", ["inventory_categories"], "operators/aggregates.inventory_categories"),
-    ("A14", "category_stats", ["category_stats", "category_insights"], "operators/aggregates.category_stats"),
+    ("A14", "category_stats", ["category_stats", "category_insights", "category_insights_segments"], "operators/aggregates.category_stats"),
     ("A15", "price_buckets", ["price_buckets"], "operators/aggregates.price_buckets"),
     ("A16", "stars_histogram", ["stars_histogram"], "operators/aggregates.stars_histogram"),
     ("A17", "segment_summary", ["segment_summary", "category_segment_summary"], "operators/aggregates.segment_summary"),
@@ -72,41 +73,43 @@ ITEMS = [  # (id, survey query name, registered keys, where)
     ("A22", "monthly_insights", ["monthly_insights", "monthly_insights_text"], "operators/aggregates.monthly_insights"),
     ("A23", "seasonal_allocation", ["seasonal_allocation"], "operators/aggregates.seasonal_allocation"),
     ("A24", "order_totals", ["order_totals"], "operators/aggregates.order_totals"),
-    ("T1", "product_listing", ["product_listing", "product_listing_meta"], "operators/ranking.product_listing*"),
+    ("T1", "product_listing", ["product_listing", "product_listing_meta", "product_listing_price_asc", "product_listing_price_desc", "product_listing_rating_desc",
+     "product_listing_demand_desc", "product_listing_popular_desc", "product_listing_after", "product_listing_deep"], "operators/ranking.product_listing*, sources/stored (page directory)"),
     ("T2", "recommended", ["recommended"], "operators/ranking.recommended"),
     ("T3", "predictions", ["predictions", "predictions_level"], "operators/ranking.predictions"),
     ("T4", "reorder_alerts", ["reorder_alerts"], "operators/ranking.reorder_alerts"),
     ("T5", "top_movers", ["top_movers"], "operators/ranking.top_movers"),
-    ("T6", "category_top / category_bottom", ["category_top", "category_bottom"], "operators/ranking.category_*"),
+    ("T6", "category_top / category_bottom", ["category_top", "category_bottom", "category_top_segments", "category_bottom_segments"], "operators/ranking.category_*, operators/sampling.with_segments"),
     ("T7", "category_bought_top", ["category_bought_top"], "operators/ranking.category_bought_top"),
     ("T8", "categories", ["categories"], "operators/ranking.categories"),
     ("T9", "hero_rotation", ["hero_rotation", "hero_rotation_seller"], "operators/ranking.hero_rotation"),
-    ("T10", "search_suggest", ["search_suggest"], "operators/ranking.search_suggest"),
+    ("T10", "search_suggest", ["search_suggest", "search_suggest_seller"], "operators/ranking.search_suggest"),
     ("T11", "trends_resort", ["trends_resort"], "operators/ranking.trends_resort"),
     ("T12", "next_ids", ["next_ids"], "operators/listings.next_ids"),
     ("T13", "user_orders", ["user_orders"], "operators/listings.user_orders"),
     ("T14", "user_listings", ["user_listings"], "operators/listings.user_listings"),
     ("M1", "scatter_sample", ["scatter_sample"], "operators/sampling.scatter_sample"),
     ("M2", "category_price_samples", ["category_price_samples", "category_price_samples_small"], "operators/sampling.category_price_samples"),
-    ("M3", "category_scatter", ["category_scatter", "category_scatter_small"], "operators/sampling.category_scatter"),
+    ("M3", "category_scatter", ["category_scatter", "category_scatter_small", "category_scatter_fixed_segments", "category_scatter_segments"], "operators/sampling.category_scatter, with_segments"),
     ("M4", "catalog_downsample", ["catalog_downsample", "catalog_downsample_small"], "operators/sampling.downsample"),
     ("M5", "balance_classes", ["balance_classes"], "operators/sampling.balance_classes"),
     ("M6", "stratified_split", ["stratified_split"], "operators/sampling.stratified_split"),
     ("M7", "label_encode", ["label_encode"], "operators/sampling.label_encode"),
     ("M8", "standardize", ["standardize"], "operators/sampling.standardize"),
-    ("M9", "train_demand_model", ["train_demand_model"], "operators/ml.train_demand_model"),
+    ("M9", "train_demand_model", ["train_demand_model", "adam_model_stats"], "operators/ml.train_demand_model, operators/mlp"),
     ("M10", "model_stats", ["model_stats", "quick_score_metrics"], "operators/ml.classification_metrics"),
     ("M11", "predict_demand", ["request_features", "predict_demand"], "operators/ml.request_features, predict_demand"),
-    ("M12", "category_segments", ["category_segments"], "operators/ml.category_segments"),
+    ("M12", "category_segments", ["category_segments"], "operators/clusters, operators/ml.category_segments"),
     ("U1", "listing_inserts", ["listing_inserts"], "operators/listings.listing_inserts"),
-    ("U2", "listing_updates", ["listing_updates"], "operators/changes.listing_updates"),
-    ("U3", "listing_deletes", ["listing_deletes"], "operators/changes.listing_deletes"),
-    ("U4", "profile_updates", ["profile_updates"], "operators/changes.profile_updates"),
+    ("U2", "listing_updates", ["listing_updates", "stored_listing_updates"], "operators/changes.listing_updates, sources/stored.merge"),
+    ("U3", "listing_deletes", ["listing_deletes", "stored_listing_deletes"], "operators/changes.listing_deletes, sources/stored.merge"),
+    ("U4", "profile_updates", ["profile_updates", "profile_passwords"], "operators/changes.profile_updates, merged_profiles"),
     ("U5", "duplicate_registration", ["duplicate_registration", "registration_outcomes"],
      "operators/changes.duplicate_registration"),
-    ("U6", "order_ingest", ["order_ingest", "order_ingest_stream"], "streaming/orders.ingest_orders, start_order_ingest"),
-    ("U7", "seller_activity_merge", ["seller_activity_merge"], "operators/changes.seller_activity_merge"),
-    ("2.7", "stream_units_tumbling", ["stream_units_tumbling", "stream_units_stream"], "streaming/orders.units_per_day, start_units_per_day"),
+    ("U6", "order_ingest", ["order_ingest", "order_ingest_stream", "order_documents", "order_documents_stream"], "streaming/orders.ingest_order_requests, start_order_documents"),
+    ("U7", "seller_activity_merge", ["seller_activity_merge", "image_uploads"], "operators/changes.seller_activity_merge, sources/images"),
+    ("2.7", "stream_units_tumbling", ["stream_units_tumbling", "stream_units_stream", "stream_units_closed", "stream_units_late", "stream_units_reconciled",
+     "catalog_with_streamed_units"], "streaming/orders.start_closed_days, late_units, reconciled_days, with_streamed_units"),
 ]
 
 
