@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,8 +37,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()                                          # Python's handles on plans keep their shuffles, too
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*steps: DataFrame) -> None:
+    """Remove written steps that nothing reads any more: what was made of them is written too."""
+    for df in steps:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(df: DataFrame, id_column: str, text_column: str) -> tuple[Column, Column]:

@@ -303,6 +303,7 @@ def repeated_starts(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GR
     seeds = anchors.join(twice, "anchor").groupBy("blob").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("seeds"))
     pieces = frames.cut(texts.join(seeds, "blob").select("blob", "text", "seeds").mapInArrow(
         _piece_batches(min_bytes), "blob binary, key binary, piece binary, body binary, at int, lo int"), "pieces")
+    frames.drop(anchors, twice)
     shapes = frames.cut(pieces.groupBy("key", "piece").agg(F.first("body").alias("body"), F.first("at").alias("at"), F.count(F.lit(1)).alias("n")), "shapes")
     equal = shapes.where("n > 1").select("piece", F.lit(0).alias("first"), (F.length("body") - min_bytes).alias("last"))
     found = equal.unionByName(repeated_pieces(shapes, min_bytes, gram, group))
@@ -349,7 +350,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                                     F.size("begins").cast("long").alias("spans"), F.sha2("kept", 256).alias("sha")), "removed")
     rows = docs.select(docs[id_column].alias("id"), _blob(docs[text_column]).alias("blob"),
                        F.coalesce(F.octet_length(docs[text_column].cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    copies = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("blob", F.lit(True).alias("copied"))
+    copies = frames.cut(rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("blob", F.lit(True).alias("copied")), "copies")
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= min_bytes)
     zero = F.lit(0).cast("long")
     out = rows.join(copies, "blob", "left").join(found, "blob", "left")
