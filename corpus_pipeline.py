@@ -21,6 +21,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from catalytics.llm import frames, langid, mixing, packing, secrets, simhash
 from catalytics.llm.text import WORD
@@ -65,7 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _shown(kept.dropDuplicates(["__k1", "__k2"]), docs)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())          # a type, not its name: parsing a name needs a session
 def _masked(bodies: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
     """Texts with one mask for each run of overlapping spans, cut once; a text without spans stays."""
     def mask(body, start, stop):
