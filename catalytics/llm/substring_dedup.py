@@ -1,6 +1,6 @@
 """Substring dedup by seed and extend over winnowed anchors.
 
-1. Seeds.  Every text is cut into words; the hashes of its ``anchor_words``-grams are winnowed:
+1. Seeds.  A text is named by 128 bits of SHA-256.  Every text is cut into words; the hashes of its ``anchor_words``-grams are winnowed:
    of the grams inside each window of ``min_words`` words the smallest hash (leftmost on ties) is
    that window's anchor.  The choice depends on the window's words alone, so two equal windows
    carry the same anchor at the same place.  Anchors that occur once in the corpus are dropped.
@@ -13,7 +13,7 @@
 
 A word enters all hashes by 128 bits of BLAKE2b under a key drawn for the run, so no choice of words
 makes two windows collide; two lanes of the window's hash stay apart.  An anchor is one 64-bit hash,
-which only decides which windows are looked at.  Shuffles carry hashes and twice the texts by row key.  A hot passage is pre-aggregated by the partial counts, and the joins
+which only decides which windows are looked at.  Shuffles carry hashes and twice the texts by name.  A hot passage is pre-aggregated by the partial counts, and the joins
 on hashes are plain equi-joins whose skewed partitions Spark splits.
 
 Results in special cases: a null or empty text, or one under ``min_words`` words, has no repeats
@@ -76,9 +76,7 @@ def _anchor_batches(key: bytes, min_words: int, anchor_words: int):
                 pair, n = np.unique(pair, return_counts=True)
                 doc = pa.array(pair["doc"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__k1").take(doc), part.column("__k2").take(doc),
-                     pa.array(pair["anchor"].view(np.int64)), pa.array(n.astype(np.int32))],
-                    ["k1", "k2", "anchor", "n"])
+                    [part.column("blob").take(doc), pa.array(pair["anchor"].view(np.int64)), pa.array(n.astype(np.int32))], ["blob", "anchor", "n"])
     return run
 
 
@@ -98,10 +96,13 @@ def _window_batches(key: bytes, min_words: int, anchor_words: int):
                 doc = owner[first]
                 prints = [text.gram_hashes(text.mix(words[:, k] + _SALT), min_words)[first] if len(first) else np.zeros(0, np.uint64) for k in (0, 1)]
                 start = first - np.searchsorted(owner, np.arange(len(part)))[doc]
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__k1").take(at), part.column("__k2").take(at), *(pa.array(x.view(np.int64)) for x in prints),
-                     pa.array(start.astype(np.int32))], ["k1", "k2", "w1", "w2", "start"])
+                names, rows = ["blob", "copies", "doc", "w1", "w2", "start"], len(doc)
+                # a row for each text, then its windows, which know it by its number
+                long, none = pa.int64(), len(part)
+                yield pa.RecordBatch.from_arrays([part.column("blob"), part.column("copies"), part.column("doc"), pa.nulls(none, long), pa.nulls(none, long),
+                                                  pa.nulls(none, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.binary()), pa.nulls(rows, long), part.column("doc").take(pa.array(doc)),
+                                                  *(pa.array(x.view(np.int64)) for x in prints), pa.array(start.astype(np.int32))], names)
     return run
 
 
@@ -114,55 +115,70 @@ def _merge(min_words: int):
                 new = np.flatnonzero(np.diff(s, prepend=s[0] - min_words - 1) > min_words)
                 begins.append(s[new])
                 stops.append(s[np.append(new[1:], len(s)) - 1] + min_words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(begins, pa.list_(pa.int64())),
-                 pa.array(stops, pa.list_(pa.int64()))], ["k1", "k2", "begins", "stops"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(begins, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64()))],
+                                             ["doc", "begins", "stops"])
     return run
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS,
-            anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """Maximal repeated word intervals per text: k1, k2 (``frames.row_key``), begins, stops (word numbers, stop exclusive)."""
-    k1, k2 = frames.row_key(docs, id_column, text_column)
-    rows = docs.select(k1, k2, docs[text_column].cast("string").alias("text")).where("text is not null")
+def _blob(body):
+    """128 bits of SHA-256 name a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(body.cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def repeats(docs: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """blob, begins, stops of the maximal repeated word intervals (stop exclusive) of every text that other texts share words with;
+    copied: whether the text has several rows, and so is a repeat as a whole."""
+    rows = docs.select(_blob(docs[text_column]).alias("blob"), docs[text_column].cast("string").alias("text")).where("text is not null")
     key = os.urandom(16)
-    anchors = frames.cut(rows.mapInArrow(_anchor_batches(key, min_words, anchor_words), "k1 long, k2 long, anchor long, n int"), "anchors")
+    anchors = frames.cut(rows.mapInArrow(_anchor_batches(key, min_words, anchor_words), "blob binary, anchor long, n int"), "anchors")
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    seeds = frames.cut(anchors.join(twice, "anchor").select("k1", "k2", "anchor").distinct()
-                       .groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors")), "seeds")
-    seeded = rows.join(seeds, (rows["__k1"] == seeds["k1"]) & (rows["__k2"] == seeds["k2"])).select("__k1", "__k2", "text", "anchors")
-    windows = frames.cut(seeded.mapInArrow(_window_batches(key, min_words, anchor_words), "k1 long, k2 long, w1 long, w2 long, start int"), "windows")
-    copied = frames.cut(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "copied")
-    starts = windows.join(copied, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
-    return frames.cut(starts.mapInArrow(_merge(min_words), "k1 long, k2 long, begins array<long>, stops array<long>"), "repeats")
-
-
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text.slices(batch, "text"):
-            total, removed, kept = [], [], []
-            for body, begins, stops in zip(part.column("text"), part.column("begins"), part.column("stops")):
-                words = (body.as_py() or "").encode().split()
-                keep = np.ones(len(words), bool)
-                if begins.is_valid:
-                    for b, e in zip(begins.as_py(), stops.as_py()):
-                        keep[b:e] = False
-                total.append(len(words))
-                removed.append(len(words) - int(keep.sum()))
-                kept.append(b" ".join(words if not removed[-1] else [w for w, k in zip(words, keep) if k]).decode())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                                              pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+    seeds = frames.cut(anchors.join(twice, "anchor").select("blob", "anchor").distinct().groupBy("blob").agg(F.collect_list("anchor").alias("anchors")), "seeds")
+    frames.drop(anchors)
+    # copies of a text are one: each task keeps one of them before the shuffle
+    texts = rows.groupBy("blob").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    seeded = texts.join(seeds, "blob").withColumn("doc", F.monotonically_increasing_id()).select("doc", "blob", "copies", "text", "anchors")
+    windows = frames.cut(seeded.mapInArrow(_window_batches(key, min_words, anchor_words), "blob binary, copies long, doc long, w1 long, w2 long, start int"), "windows")
+    named = frames.cut(windows.where("blob is not null").select("doc", "blob", "copies"), "named")
+    windows_only = windows.where("blob is null").select("doc", "w1", "w2", "start")
+    copied = frames.cut(windows_only.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "copied")
+    starts = windows_only.join(copied, ["w1", "w2"]).groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    merged = frames.cut(starts.mapInArrow(_merge(min_words), "doc long, begins array<long>, stops array<long>"), "merged")
+    frames.drop(windows, copied)
+    found = named.join(merged, "doc", "left").where("begins is not null or copies > 1")
+    found = frames.cut(found.select("blob", "begins", "stops", (F.col("copies") > 1).alias("copied")), "repeats")
+    frames.drop(merged, seeds, named)
+    return found
+
+
+def _apply(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text.slices(batch, "text"):
+                total, removed, kept = [], [], []
+                for body, begins, stops, copied in zip(*(part.column(c) for c in ("text", "begins", "stops", "copied"))):
+                    words = (body.as_py() or "").encode().split()
+                    keep = np.ones(len(words), bool)
+                    if copied.as_py() and len(words) >= min_words:
+                        keep[:] = False
+                    elif begins.is_valid:
+                        for b, e in zip(begins.as_py(), stops.as_py()):
+                            keep[b:e] = False
+                    total.append(len(words))
+                    removed.append(len(words) - int(keep.sum()))
+                    kept.append(b" ".join(words if not removed[-1] else [w for w, k in zip(words, keep) if k]).decode())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+                                                  pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS,
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """id, n_words, n_removed, kept: every text without its repeated words, the kept words joined by one space."""
-    found = repeats(docs, id_column, text_column, min_words, anchor_words)
-    k1, k2 = frames.row_key(docs, id_column, text_column)
-    rows = docs.select(k1, k2, docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    joined = rows.join(found, (rows["__k1"] == found["k1"]) & (rows["__k2"] == found["k2"]), "left")
+    found = repeats(docs, text_column, min_words, anchor_words)
+    rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"), _blob(docs[text_column]).alias("blob"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return joined.select("id", "text", "begins", "stops").mapInArrow(_apply, f"id {kind}, n_words long, n_removed long, kept string")
+    return rows.join(found, "blob", "left").select("id", "text", "begins", "stops", "copied").mapInArrow(
+        _apply(min_words), f"id {kind}, n_words long, n_removed long, kept string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
