@@ -37,8 +37,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()                                          # Python's handles on plans keep their shuffles, too
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):                                    # Python's handles on plans keep their shuffles, too
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
     return out

@@ -1,34 +1,38 @@
-"""Language-model scoring with a sharded Elias-Fano bigram trie.
-
-Model.  Training tokens are lower-cased words (A-Z) and one end per text.  A word's probability is
-(c + 0.1) / (N + 0.1 (V + 1)); a bigram's is smoothed towards it, P(w | v) = (c(v w) + mu P(w)) /
-(c(v) + mu), where v is the word before, or a begin mark counted once per training text.
-
-Trie.  The trie is cut into shards.  A shard's first level holds its words' hashes as an Elias-Fano
-sequence with exact counts and 16-bit quantised logarithms of the smoothed counts; its second
-level holds, for each context of the shard, a monotone pointer (Elias-Fano) into successors kept
-in order within the context, each with the 16-bit quantised logarithm of its count; smoothing
-happens when texts are scored.  A lookup finds the context, reads two pointers, and searches the
-successor inside that range only.  The Elias-Fano sequences are decoded to plain arrays before they
-are asked; a job builds a shard's trie, asks it and drops it within one task, and stores no compact
-level.  ``Trie.save`` and ``Trie.map_file`` write and map the encoded levels; no job calls them.
-
-Jobs.  Texts become blocks of about ``BLOCK_TOKENS`` tokens.  A block sends every shard its distinct
-words and bigrams once, with their training counts; the shard builds its trie from all blocks and
-answers each block's words and bigrams from it, so hashes are shuffled once and a frequent word costs
-one entry per block.  A bigram goes to its context's shard.  The successors of a hot context (at
-least ``HOT_SHARE`` of all tokens, so their number is bounded) are spread by their own hash, so a
-context that a third of all bigrams share is never in one task.  The number of shards follows the
-number of tokens.  Answers return to the block, which adds up its texts.
-
-Special cases: a null or empty text is its end token; repeated rows are separate rows (and train
-as often as they occur); without training rows every probability is the smoothed zero count; an empty
-table gives an empty result; other columns are ignored.  Words are told apart by 64-bit hashes.
+"""Language-model scoring with a sharded Elias-Fano n-gram trie.
+
+Model.  Training tokens are lower-cased words (A-Z) and one end per text; a begin mark stands before
+each text.  With mu = ``MU`` the probabilities are smoothed order by order towards the shorter context:
+P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), P(w | v) = (c(v w) + mu P(w)) / (c(v) + mu) and
+P(w | u v) = (c(u v w) + mu P(w | v)) / (c(u v) + mu).  An entry of the trie keeps two quantised numbers:
+its own share c(.. w) / (c(..) + mu) and the weight mu / (c(.. w) + mu) with which it, as a context, passes
+on the shorter order.  Codes are 16-bit logarithms in steps of 1/4096 decade.
+
+Trie.  Words have dense numbers.  A level is one Elias-Fano sequence of (place of the parent, word number),
+monotone because children lie behind those of the parent before; a second Elias-Fano sequence holds a
+monotone pointer to each parent's first child.  A successor is searched relative to its context: select
+on the high bits finds the few entries that share its high part, the pointers say whether they are the
+context's own, and low bytes are compared in place.  Nothing is decoded but small directories of bit counts.
+``train`` writes the encoded levels of every shard (``levels``); they can be saved and memory-mapped
+(``Trie.save``, ``Trie.map_file``), and are asked in the form in which they are written.  The query, which scores
+within the job that trains, asks the same encoded levels in its shards' tasks and does not store them.
+
+Jobs.  1. Texts become blocks of about ``BLOCK_TOKENS`` tokens; a word is named by 128 bits of BLAKE2b
+under a key drawn for the run.  2. Words are shuffled once per block, counted exactly and numbered in shards.
+3. Every block sends each n-gram of known words once, in order, as variable-length gaps, to the shard
+of its first word; the shard builds its trie from the training counts of all blocks and answers each
+block's n-grams.  N-grams that start with a hot word (at least ``HOT_SHARE`` of all tokens, so the words are
+few) are spread by their second word, so a word with a third of all tokens is never in one task.  4. Answers
+return to the block, which adds up its texts.  The numbers of shards follow the number of tokens.
+
+Special cases: a null or empty text is its end token; repeated rows are separate rows (and train as
+often as they occur); ids may be of any type; without training rows every probability is the smoothed zero
+count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import mmap
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from catalytics.llm import frames, text
 
@@ -43,355 +48,575 @@ BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 2_500_000
 ADD = 0.1
 MU = 2.0
-BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-HOT_SHARE = 1 / 1000           # of all tokens: a context from here on is spread
-_SPREAD = 58                   # its successors go to 64 slices by their hash's top bits
-_SUCCESSOR_BYTES = 8           # of a successor's hash: the whole of it, whatever the size of its context
-_STEP = 1 / 4096               # of quantised logarithms: codes 0 to 65535 span 0.1 to 10^15
+BEGIN = 1                      # number of the begin mark; 0 is a word that training has not seen
+FIRST_WORD = 2
+HOT_SHARE = 1 / 1000           # of all tokens: n-grams of a first word from here on are spread
+_END = b" end"                 # no word holds a space
+_STEP = 1 / 4096               # decades between two codes
 
 
-# ---- compact sequences ----
+# ---- codes and varints ----
 
-def quantise(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((np.log10(x) + 1) / _STEP), 0, 65534).astype("<u2")
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes 1 to 65535 of probabilities from 1 down to 10^-16; 0 is left for none."""
+    with np.errstate(divide="ignore"):
+        return (1 + np.clip(np.rint(-np.log10(p) / _STEP), 0, 65534)).astype("<u2")
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code * _STEP - 1)
-
-
-def _low_bytes(values: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _from_low_bytes(data, n: int) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :n] = rows
-    return out.view("<u8").ravel()
-
-
-def elias_fano(values: np.ndarray, universe_bits: int) -> tuple[bytes, bytes, int]:
-    """High part (unary gaps), low bytes and their number, of a sorted sequence."""
-    n = len(values)
-    low = max(0, (universe_bits - max(1, n).bit_length()) // 8) if n else 0
-    if not n:
-        return b"", b"", 0
-    high = (values >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)
-    bits = np.zeros(int(high[-1]) + 1, np.uint8)
-    bits[high] = 1
-    return np.packbits(bits, bitorder="little").tobytes(), _low_bytes(values, low) if low else b"", low
+    return np.where(code > 0, 10.0 ** (-(code.astype(float) - 1) * _STEP), 0.0)
+
+
+def varint(values: np.ndarray) -> bytes:
+    """Seven bits a byte, low ones first; the last byte of a number is below 128."""
+    v = np.asarray(values, np.uint64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        size += v >= np.uint64(1) << np.uint64(7 * k)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        more = (size[own] > k + 1).astype(np.uint8) << 7
+        out[start[own] + k] = ((v[own] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def read_varint(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    last = b < 128
+    stop = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+    place = np.arange(len(b)) - np.repeat(start, stop - start)
+    part = (b & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
+    return np.add.reduceat(part, start).astype(np.int64) if len(start) else np.zeros(0, np.int64)
+
+
+def gaps(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Differences of numbers that rise within each group of neighbours; the first of a group as it is."""
+    out = np.diff(values, prepend=0)
+    first = np.diff(group, prepend=-1) != 0
+    out[first] = values[first]
+    return out
+
+
+def ungap(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers again, for groups of the given sizes."""
+    total = np.cumsum(steps)
+    start = np.cumsum(sizes) - sizes
+    held = sizes > 0
+    before = np.zeros(len(sizes), np.int64)
+    before[held] = total[start[held]] - steps[start[held]]
+    return total - np.repeat(before, sizes)
+
+
+# ---- Elias-Fano ----
+
+_PLACE_OF_ONE = np.zeros((256, 8), np.int8)
+for _b in range(256):
+    _at = [i for i in range(8) if _b >> i & 1]
+    _PLACE_OF_ONE[_b, :len(_at)] = _at
+_SUPER = 8                     # 64-bit words of high bits counted together
+_ASKED = 1 << 16               # numbers searched at a time
+
+
+class EliasFano:
+    """A sorted sequence of numbers: low bytes, and high parts as unary gaps in a bit string of whole superblocks."""
+
+    def __init__(self, high, lows, low: int, n: int):
+        self.words = np.frombuffer(high, "<u8").reshape(-1, _SUPER)
+        self.lows = np.frombuffer(lows, np.uint8).reshape(n, low) if low else None
+        self.low, self.n = low, n
+        ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
+        self.ones = np.concatenate([[0], np.cumsum(ones)])            # the directory: one number for 512 bits
+        self.zeros = np.arange(len(self.ones)) * (64 * _SUPER) - self.ones
+
+    @staticmethod
+    def encode(values: np.ndarray) -> tuple[bytes, bytes, int, int]:
+        n = len(values)
+        if not n:
+            return b"", b"", 0, 0
+        low = min(7, max(0, -(-(int(values[-1]).bit_length() - n.bit_length()) // 8)))
+        high = (values >> (8 * low)) + np.arange(n)
+        bits = np.zeros(-(-(int(high[-1]) + 2) // (64 * _SUPER)) * 64 * _SUPER, np.uint8)      # a zero behind the last one
+        bits[high] = 1
+        lows = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :low]).tobytes()
+        return np.packbits(bits, bitorder="little").tobytes(), lows, low, n
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Bit places of the k-th (from 0) ones or zeros."""
+        directory, row = self.ones if one else self.zeros, np.arange(len(k))
+        block = np.searchsorted(directory, k, "right") - 1
+        words = self.words[block] if one else ~self.words[block]
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        rest = k - directory[block]
+        w = (upto <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(w > 0, upto[row, np.maximum(w - 1, 0)], 0)
+        held = np.ascontiguousarray(words[row, w]).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(held), axis=1, dtype=np.int64)
+        byte = (upto <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
+        return (block * _SUPER + w) * 64 + byte * 8 + _PLACE_OF_ONE[held[row, byte], rest]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low:
+            return np.zeros(len(i), np.int64)
+        whole = np.zeros((len(i), 8), np.uint8)
+        whole[:, :self.low] = self.lows[i]
+        return whole.view("<i8").ravel()
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th numbers."""
+        out = np.empty(len(i), np.int64)
+        for b in range(0, len(i), _ASKED):
+            own = i[b:b + _ASKED]
+            out[b:b + _ASKED] = (self._select(own, True) - own) << (8 * self.low) | self._low(own)
+        return out
 
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Place of each number, or -1: select gives the run of entries with its high part, their low bytes are searched in place."""
+        out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
+        most = int(self.zeros[-1]) - 1
+        for b in range(0, len(values), _ASKED):
+            v = values[b:b + _ASKED]
+            own = np.flatnonzero((v >= 0) & (v >> (8 * self.low) <= most))
+            high, which = np.unique(v[own] >> (8 * self.low), return_inverse=True)
+            begin = np.zeros(len(high), np.int64)
+            later = high > 0
+            begin[later] = self._select(high[later] - 1, False) + 1 - high[later]
+            end = self._select(high, False) - high
+            low, stop, wanted = begin[which], end[which], v[own] & ((1 << (8 * self.low)) - 1)
+            top = stop.copy()
+            while len(open_ := np.flatnonzero(low < top)):                # binary search of all runs at once
+                middle = (low[open_] + top[open_]) >> 1
+                less = self._low(middle) < wanted[open_]
+                low[open_] = np.where(less, middle + 1, low[open_])
+                top[open_] = np.where(less, top[open_], middle)
+            inside = np.flatnonzero(low < stop)
+            inside = inside[self._low(low[inside]) == wanted[inside]]
+            out[b + own[inside]] = low[inside]
+        return out
 
-def read_elias_fano(high, lows, low: int) -> np.ndarray:
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))
-    top = (at - np.arange(len(at))).astype(np.uint64) << np.uint64(8 * low)
-    return top | _from_low_bytes(lows, low) if low else top
 
+# ---- one shard's trie ----
 
-_LEVELS = ("word_high", "word_low", "counts", "codes", "context_high", "context_low", "pointer_high", "pointer_low", "successors", "successor_codes")
+class Trie:
+    """Levels of one shard: contexts of one word, their successors, and the successors of those pairs."""
 
+    PARTS = ("words", "pairs", "triples")
 
-class Trie:
-    """One shard of the model."""
-
-    def __init__(self, levels: dict, lows: tuple[int, int, int]):
-        self.levels, self.lows = levels, lows
-        self.words = read_elias_fano(levels["word_high"], levels["word_low"], lows[0])
-        self.counts = np.frombuffer(levels["counts"], "<u8")
-        self.codes = np.frombuffer(levels["codes"], "<u2")
-        self.contexts = read_elias_fano(levels["context_high"], levels["context_low"], lows[1])
-        self.pointers = read_elias_fano(levels["pointer_high"], levels["pointer_low"], lows[2]).astype(np.int64)
-        self.successors = np.frombuffer(levels["successors"], np.uint8).reshape(-1, _SUCCESSOR_BYTES)
-        self.successor_codes = np.frombuffer(levels["successor_codes"], "<u2")
+    def __init__(self, levels: dict):
+        self.levels = levels
+        head = np.frombuffer(levels["head"], "<i8").tolist()
+        self.bits = head[0]
+        self.sequences = {}
+        for k, name in enumerate((*self.PARTS, "pair_pointers", "triple_pointers")):
+            self.sequences[name] = EliasFano(levels[f"{name}_high"], levels[f"{name}_low"], head[1 + 2 * k], head[2 + 2 * k])
+        self.pair_codes = np.frombuffer(levels["pair_codes"], "<u2")
+        self.pair_weights = np.frombuffer(levels["pair_weights"], "<u2")
+        self.triple_codes = np.frombuffer(levels["triple_codes"], "<u2")
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, successors: np.ndarray, pair_counts: np.ndarray) -> Trie:
-        """Words sorted and distinct; pairs (context hash, successor's top bytes) sorted and distinct."""
-        levels: dict[str, bytes] = {}
-        own, first = np.unique(contexts, return_index=True)
-        lows = []
-        pointers = np.append(first, len(contexts)).astype(np.uint64)
-        for name, values, bits in (("word", words, 64), ("context", own, 64), ("pointer", pointers, max(1, len(contexts)).bit_length())):
-            levels[f"{name}_high"], levels[f"{name}_low"], low = elias_fano(values, bits)
-            lows.append(low)
-        levels["counts"], levels["codes"] = counts.astype("<u8").tobytes(), quantise(counts + ADD).tobytes()
-        levels["successors"], levels["successor_codes"] = _low_bytes(successors, _SUCCESSOR_BYTES), quantise(np.maximum(pair_counts, 1)).tobytes()
-        return cls(levels, tuple(lows))
-
-    def word(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact counts and codes; an unknown word has count 0 and the code of ADD."""
-        counts, codes = np.zeros(len(hashes), np.uint64), np.full(len(hashes), quantise(np.array([ADD]))[0], "<u2")
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[at] == hashes
-            counts[hit], codes[hit] = self.counts[at[hit]], self.codes[at[hit]]
-        return counts, codes
-
-    def bigram(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes, one higher so that 0 tells an unseen pair: the context's range, then its successor inside that range."""
-        out = np.zeros(len(contexts), np.uint32)
-        if not len(self.contexts) or not len(contexts):
-            return out
-        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        known = np.flatnonzero(self.contexts[at] == contexts)
-        low, high, wanted = self.pointers[at[known]], self.pointers[at[known] + 1], successors[known]
-        end = high
-        while (open_ := low < high).any():                 # binary search of all ranges at once
-            middle = (low + high) >> 1
-            value = _from_low_bytes(self.successors[np.minimum(middle, len(self.successors) - 1)], _SUCCESSOR_BYTES)
-            less = open_ & (value < wanted)
-            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-        inside = low < end
-        same = np.flatnonzero(inside)
-        same = same[_from_low_bytes(self.successors[low[same]], _SUCCESSOR_BYTES) == wanted[same]]
-        out[known[same]] = self.successor_codes[low[same]].astype(np.uint32) + 1
+    def build(cls, first: np.ndarray, total: np.ndarray, parent: np.ndarray, second: np.ndarray, c2: np.ndarray, grand: np.ndarray, third: np.ndarray,
+              c3: np.ndarray, mu: float) -> Trie:
+        """first: contexts, sorted; total: their counts; (parent, second): sorted pairs with counts c2, parent a place in first;
+        (grand, third): sorted triples with counts c3, grand a place among the pairs."""
+        bits = max(1, int(max(second.max(initial=0), third.max(initial=0))).bit_length())
+        sequences = {"words": first, "pairs": parent << bits | second, "triples": grand << bits | third,
+                     "pair_pointers": np.searchsorted(parent, np.arange(len(first) + 1)), "triple_pointers": np.searchsorted(grand, np.arange(len(second) + 1))}
+        levels, head = {}, [bits]
+        for name, values in sequences.items():
+            levels[f"{name}_high"], levels[f"{name}_low"], low, n = EliasFano.encode(values.astype(np.int64))
+            head += [low, n]
+        levels["head"] = np.array(head, "<i8").tobytes()
+        levels["pair_codes"] = quantise(c2 / (total[parent] + mu)).tobytes()
+        levels["pair_weights"] = quantise(mu / (c2 + mu)).tobytes()
+        levels["triple_codes"] = quantise(c3 / (c2[grand] + mu)).tobytes()
+        return cls(levels)
+
+    def _children(self, level: str, pointers: str, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of (parent, word), or -1; the parent's pointers bound the search."""
+        out = np.full(len(parent), -1, np.int64)
+        known = np.flatnonzero(parent >= 0)
+        own, which = np.unique(parent[known], return_inverse=True)
+        begin, end = (self.sequences[pointers].get(own + k)[which] for k in (0, 1))
+        fits = (begin < end) & (word[known] < 1 << self.bits)
+        known, begin, end = known[fits], begin[fits], end[fits]
+        at = self.sequences[level].find(parent[known] << self.bits | word[known])
+        out[known] = np.where((at >= begin) & (at < end), at, -1)
         return out
 
+    def ask(self, first: np.ndarray, parent: np.ndarray, second: np.ndarray, grand: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and weights of pairs (parent a place in first), codes of triples (grand a place among the pairs); 0 where there is none."""
+        if not self.sequences["words"].n:
+            return np.zeros(len(second), "<u2"), np.zeros(len(second), "<u2"), np.zeros(len(third), "<u2")
+        pair = self._children("pairs", "pair_pointers", self.sequences["words"].find(first)[parent], second)
+        triple = self._children("triples", "triple_pointers", pair[grand], third)
+        pick = lambda codes, at: np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype("<u2") if len(codes) else np.zeros(len(at), "<u2")
+        return pick(self.pair_codes, pair), pick(self.pair_weights, pair), pick(self.triple_codes, triple)
+
     def save(self, path: str) -> None:
-        """Write the levels one after another behind a header of their sizes."""
+        """The levels one after another, behind a header of their names and sizes."""
+        names = sorted(self.levels)
         with open(path, "wb") as f:
-            f.write(np.array([*(len(self.levels[k]) for k in _LEVELS), *self.lows], "<i8").tobytes())
-            for k in _LEVELS:
+            head = ";".join(f"{k}:{len(self.levels[k])}" for k in names).encode()
+            f.write(len(head).to_bytes(8, "little") + head)
+            for k in names:
                 f.write(self.levels[k])
 
     @classmethod
     def map_file(cls, path: str) -> Trie:
+        """The levels as views of the memory-mapped file."""
         with open(path, "rb") as f:
             view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        head = np.frombuffer(view[:8 * (len(_LEVELS) + 3)], "<i8").tolist()
-        levels, at = {}, 8 * len(head)
-        for k, n in zip(_LEVELS, head):
-            levels[k], at = view[at:at + n], at + n
-        return cls(levels, tuple(head[len(_LEVELS):]))
+        size = int.from_bytes(view[:8], "little")
+        levels, at = {}, 8 + size
+        for part in bytes(view[8:at]).decode().split(";"):
+            name, n = part.split(":")
+            levels[name], at = view[at:at + int(n)], at + int(n)
+        return cls(levels)
 
 
-# ---- blocks ----
+# ---- 1. blocks ----
 
-_BLOCK = "block long, ids array<{id}>, held array<boolean>, sizes array<long>, vocabulary binary, tokens binary, hot array<long>, hot_n array<long>"
+def _distinct(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of lanes, and the place of each row among them."""
+    _, first, which = np.unique(lanes[:, 0], return_index=True, return_inverse=True)
+    if (lanes[first, 1][which] == lanes[:, 1]).all():
+        return lanes[first], which
+    whole, which = np.unique(lanes, axis=0, return_inverse=True)      # first lanes met by chance
+    return whole, which.ravel()
 
 
-def _block_batches(id_type: pa.DataType, block_tokens: int):
+def _block_batches(key: bytes, id_type: pa.DataType, block_tokens: int):
+    """Blocks of texts: tokens as places in the block's own words, and the words' codes with their training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids, held, sizes, hashes, n = [], [], [], [], 0
+        number, codes = TaskContext.get().partitionId() << 32, text.WordCodes(key, lower=True)
+        ids, held, sizes, places, n = [], [], [], [], 0
 
         def flush():
-            vocabulary, tokens = np.unique(np.concatenate([np.array([BEGIN, END]), *hashes]), return_inverse=True)
-            count = np.bincount(tokens[2:], minlength=len(vocabulary))
-            hot = np.flatnonzero(count > len(tokens) * HOT_SHARE / 2)      # candidates: at most 2 / HOT_SHARE
-            planes = np.ascontiguousarray(tokens[2:].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            held_out, size, place = np.array(held, bool), np.concatenate(sizes), np.concatenate(places) + 1      # 0 is the end
+            present = np.zeros(len(codes.number) + 1, np.int64)
+            present[place] = 1
+            own = np.flatnonzero(present)
+            tokens = (np.cumsum(present) - 1)[place]
+            words = np.concatenate([codes.one(_END), codes.lanes])[own]
+            train = np.bincount(tokens[np.repeat(~held_out, size)], minlength=len(words))
+            codes.forget()
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
-                 pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()),
-                 pa.array([planes.tobytes()], pa.binary()), pa.array([vocabulary[hot].view(np.int64)], pa.list_(pa.int64())),
-                 pa.array([count[hot]], pa.list_(pa.int64()))], ["block", "ids", "held", "sizes", "vocabulary", "tokens", "hot", "hot_n"])
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([size], pa.list_(pa.int64())),
+                 pa.array([_columns(tokens.astype("<u4"), 4)], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([varint(train)], pa.binary()),
+                 pa.array([_buckets(words).tobytes()], pa.binary())],
+                ["block", "ids", "held", "sizes", "tokens", "words", "counts", "buckets"])
 
         for batch in batches:
             for part in text.slices(batch, "text"):
-                data, offsets = text.text_bytes(part.column("text"))
-                starts, ends, owner = text.word_spans(data, offsets)
-                count = np.bincount(owner, minlength=len(part))
-                tokens = np.insert(text.hash_spans(data, starts, ends, lower=True), np.cumsum(count), END)
+                own, count = codes.numbers(part.column("text"))
+                places.append(np.insert(own, np.cumsum(count), -1))
                 ids += part.column("id").to_pylist()
                 held += part.column("held").to_pylist()
                 sizes.append(count + 1)
-                hashes.append(tokens)
-                n += len(tokens)
+                n += len(places[-1])
                 if n >= block_tokens:
                     yield flush()
-                    number, ids, held, sizes, hashes, n = number + 1, [], [], [], [], 0
+                    number, ids, held, sizes, places, n = number + 1, [], [], [], [], 0
         if ids:
             yield flush()
     return run
 
 
-def _planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _buckets(words: np.ndarray) -> np.ndarray:
+    """Two bytes of each code: all that a block needs of it to know the shard that answered."""
+    return (words[:, 0] & np.uint64(0xFFFF)).astype("<u2")
+
 
+def _columns(a: np.ndarray, width: int) -> bytes:
+    """The bytes of the numbers, place by place: the high places are nearly all zero and compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T).tobytes()
 
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (text.mix(hashes) % np.uint64(shards)).astype(np.int64)
 
+def _from_columns(data: bytes, width: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Context and word of every token as one number: places in the vocabulary, context first."""
-    begin = int(np.searchsorted(vocabulary, BEGIN))
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = begin
-    return before << 32 | tokens
 
+# ---- 2. words ----
 
-def _split(pair: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context hash, word hash, and the part of it by which a successor is kept."""
-    context, word = vocabulary[pair >> 32], vocabulary[pair & 0xFFFFFFFF]
-    return context, word, word >> np.uint64(64 - 8 * _SUCCESSOR_BYTES)
+def _word_batches(shards: int):
+    """Each block's words by shard (of their code's first bits), in the block's own order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
+                words, counts = np.frombuffer(words, "<u8").reshape(-1, 2), read_varint(counts)
+                shard = _buckets(words).astype(np.int32) % shards
+                own = np.unique(shard)
+                parts = [(words[shard == s].tobytes(), varint(counts[shard == s])) for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.int64()), pa.array([w for w, _ in parts], pa.binary()),
+                                                  pa.array([c for _, c in parts], pa.binary())], ["shard", "block", "words", "counts"])
+    return run
 
 
-class Layout:
-    """Which words and bigrams of a block go to which shard, and in which order: the same when asking and when answered."""
+def _numbered_words(shards: int, hot: float):
+    """Numbers and training counts of one shard's words, for every block; words that no training text holds get 0.
+
+    The first row of a shard also has its totals, and the words with at least ``hot`` tokens."""
+    def run(entries: pa.Table) -> pa.Table:
+        shard = entries["shard"][0].as_py()
+        words = [np.frombuffer(w, "<u8").reshape(-1, 2) for w in entries["words"].to_pylist()]
+        counts = [read_varint(c) for c in entries["counts"].to_pylist()]
+        own, which = _distinct(np.concatenate(words))
+        total = np.bincount(which, np.concatenate(counts), len(own)).astype(np.int64)
+        known = total > 0
+        number = np.where(known, FIRST_WORD + (np.cumsum(known) - 1) * shards + shard, 0)
+        often = np.flatnonzero(total >= hot)
+        hot_words = [number[often].tolist()] + [[]] * (len(words) - 1)
+        hot_totals = [total[often].tolist()] + [[]] * (len(words) - 1)
+        number, each = number[which], total[which]
+        if number.max(initial=0) >= 1 << 32:
+            raise OverflowError("more than 2^32 words")
+        cuts = np.cumsum([len(w) for w in words])[:-1]
+        once = np.zeros(len(words), np.int64)
+        once[0] = 1                                        # the shard's totals stand in its first row
+        return pa.table({"block": entries["block"], "shard": entries["shard"], "numbers": pa.array([_columns(x.astype("<u4"), 4) for x in np.split(number, cuts)], pa.binary()),
+                         "totals": pa.array([varint(x) for x in np.split(each, cuts)], pa.binary()), "distinct": pa.array(once * int(known.sum())), "total": pa.array(once * int(total.sum())),
+                         "hot": pa.array(hot_words, pa.list_(pa.int64())), "hot_n": pa.array(hot_totals, pa.list_(pa.int64()))})
+    return run
 
-    def __init__(self, vocabulary: np.ndarray, pair: np.ndarray, shards: int, hot: np.ndarray):
-        context, word, self.successor = _split(pair, vocabulary)
-        self.context = pair >> 32
-        spread = np.isin(context, hot)
-        slices = ((word >> np.uint64(_SPREAD)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        pair_shard = _shard(np.where(spread, context + slices, context), shards)
-        self.own_shard = _shard(vocabulary, shards)
-        away = np.flatnonzero(pair_shard != self.own_shard[self.context])          # contexts are sent along
-        places = np.unique(np.concatenate([self.own_shard << 32 | np.arange(len(vocabulary)), pair_shard[away] << 32 | self.context[away]]))
-        self.words, self.pairs = places & 0xFFFFFFFF, np.argsort(pair_shard, kind="stable")
-        self.word_cuts = np.searchsorted(places >> 32, np.arange(shards + 1))
-        self.pair_cuts = np.searchsorted(pair_shard[self.pairs], np.arange(shards + 1))
 
-    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary and numbers of the bigrams of one shard."""
-        return (self.words[self.word_cuts[shard]:self.word_cuts[shard + 1]], self.pairs[self.pair_cuts[shard]:self.pair_cuts[shard + 1]])
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
+    """Rows sorted by block and kind: the row of kind 0 and the rows of kind 1 of every block."""
+    head, rest = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == 0:
+                if head is not None:
+                    yield head, rest
+                head, rest = row, []
+            else:
+                rest.append(row)
+    if head is not None:
+        yield head, rest
 
 
-_ENTRIES = "shard int, block long, words binary, word_counts binary, fan binary, after binary, pair_counts binary"
-_ENTRY_NAMES = ["shard", "block", "words", "word_counts", "fan", "after", "pair_counts"]
+def _resolved_batches(id_type: pa.DataType, shards: int):
+    """Blocks with the numbers and training counts of their words in place of the codes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers in _grouped(batches):
+            shard = np.frombuffer(block["buckets"], "<u2").astype(int) % shards
+            numbers, totals = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+            for a in answers:
+                own = shard == a["shard"]
+                numbers[own], totals[own] = _from_columns(a["numbers"], 4, "<u4"), read_varint(a["totals"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block["block"]], pa.int64()), pa.array([block["ids"]], pa.list_(id_type)), pa.array([block["held"]], pa.list_(pa.bool_())),
+                 pa.array([block["sizes"]], pa.list_(pa.int64())), pa.array([block["tokens"]], pa.binary()), pa.array([_columns(numbers.astype("<u4"), 4)], pa.binary()),
+                 pa.array([varint(totals)], pa.binary())], ["block", "ids", "held", "sizes", "tokens", "numbers", "totals"])
+    return run
 
 
-def _entry_batches(shards: int, hot: np.ndarray):
+# ---- 3. n-grams ----
+
+class Grams:
+    """Distinct pairs and triples of known words of a block, by shard and in order: the same when asking and when answered."""
+
+    def __init__(self, block: dict, shards: int, hot: np.ndarray):
+        self.sizes = np.array(block["sizes"], np.int64)
+        self.numbers, self.totals = _from_columns(block["numbers"], 4, "<u4").astype(np.int64), read_varint(block["totals"])
+        self.tokens = _from_columns(block["tokens"], 4, "<u4").astype(np.int64)
+        self.train = np.repeat(~np.array(block["held"], bool), self.sizes)
+        word = self.numbers[self.tokens]
+        begin = np.zeros(len(word), bool)
+        begin[np.cumsum(self.sizes) - self.sizes] = True
+        before = np.concatenate([[0], word[:-1]])
+        before[begin] = BEGIN
+        has2 = (word > 0) & (before > 0)
+        self.at2 = np.flatnonzero(has2)                    # tokens with a pair
+        pair = before[self.at2] << 32 | word[self.at2]
+        spread = np.isin(before[self.at2], hot)
+        shard = text.mix((before[self.at2].astype(np.uint64) + spread * text.mix(word[self.at2].astype(np.uint64)))) % np.uint64(shards)
+        order = np.lexsort((pair, shard))
+        new = np.append(True, (pair[order][1:] != pair[order][:-1]) | (shard[order][1:] != shard[order][:-1])) if len(order) else np.zeros(0, bool)
+        self.which2 = np.empty(len(order), np.int64)       # number of a token's pair
+        self.which2[order] = np.cumsum(new) - 1
+        self.pair, self.shard = pair[order][new], shard[order][new].astype(np.int64)
+        # a triple's first pair is that of the token before, in the same text
+        place2 = np.full(len(word), -1, np.int64)
+        place2[self.at2] = self.which2
+        self.context = np.concatenate([[-1], place2[:-1]])
+        self.context[begin] = -1
+        self.at3 = np.flatnonzero((self.context >= 0) & (word > 0))
+        triple, self.which3 = np.unique(self.context[self.at3] << 32 | word[self.at3], return_inverse=True)
+        self.grand, self.third = triple >> 32, triple & 0xFFFFFFFF
+        self.cuts2 = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.cuts3 = np.searchsorted(self.grand, self.cuts2)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        return (np.bincount(self.which2[self.train[self.at2]], minlength=len(self.pair)), np.bincount(self.which3[self.train[self.at3]], minlength=len(self.grand)))
+
+
+_GRAMS = ["first", "fan", "second", "c2", "fan3", "third", "c3"]
+
+
+def _gram_batches(shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(len(batch)):
-                value = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                sizes, vocabulary, tokens = np.array(value("sizes"), np.int64), np.frombuffer(value("vocabulary"), np.uint64), _planes(value("tokens"))
-                pair, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
-                train = np.repeat(~np.array(value("held"), bool), sizes)
-                counts, pair_counts = np.bincount(tokens[train], minlength=len(vocabulary)), np.bincount(which[train], minlength=len(pair))
-                layout, out = Layout(vocabulary, pair, shards, hot), [[] for _ in range(6)]
+            for row in batch.to_pylist():
+                g = Grams(row, shards, hot)
+                c2, c3 = g.counts()
+                out = []
                 for s in range(shards):
-                    words, pairs = layout.of(s)
-                    if not len(words):
+                    a, b, e, f = g.cuts2[s], g.cuts2[s + 1], g.cuts3[s], g.cuts3[s + 1]
+                    if a == b:
                         continue
-                    fan = np.bincount(np.searchsorted(words, layout.context[pairs]), minlength=len(words))
-                    for column, x in zip(out, (s, vocabulary[words].tobytes(), (counts[words] * (layout.own_shard[words] == s)).astype("<u4").tobytes(),
-                                               fan.astype("<u4").tobytes(), _low_bytes(layout.successor[pairs], _SUCCESSOR_BYTES),
-                                               pair_counts[pairs].astype("<u4").tobytes())):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(np.full(len(out[0]), value("block"), np.int64)),
-                                                  *(pa.array(c, pa.binary()) for c in out[1:])], _ENTRY_NAMES)
+                    first, fan = np.unique(g.pair[a:b] >> 32, return_counts=True)
+                    out.append((s, varint(np.diff(first, prepend=0)), varint(fan), varint(gaps(g.pair[a:b] & 0xFFFFFFFF, g.pair[a:b] >> 32)), varint(c2[a:b]),
+                                varint(np.bincount(g.grand[e:f] - a, minlength=b - a)), varint(gaps(g.third[e:f], g.grand[e:f])), varint(c3[e:f])))
+                if out:
+                    cols = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()),
+                                                      *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "block", *_GRAMS])
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
+def _decoded(entry: dict) -> tuple[np.ndarray, ...]:
+    """first, parent, second, c2, grand, third, c3 of one block's n-grams in a shard."""
+    v = {c: read_varint(entry[c]) for c in _GRAMS}
+    first = np.cumsum(v["first"])
+    return (first, np.repeat(np.arange(len(first)), v["fan"]), ungap(v["second"], v["fan"]), v["c2"], np.repeat(np.arange(len(v["fan3"])), v["fan3"]),
+            ungap(v["third"], v["fan3"]), v["c3"])
+
+
+def merged_grams(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """first, parent, second, c2, grand, third, c3 of all blocks together; n-grams that no training text holds stay out."""
+    pairs = [f[p] << 32 | s for f, p, s, *_ in blocks]
+    own, which = np.unique(np.concatenate(pairs), return_inverse=True)
+    c2 = np.bincount(which, np.concatenate([b[3] for b in blocks]), len(own)).astype(np.int64)
+    kept = np.cumsum(c2 > 0) - 1
+    cuts = np.cumsum([0, *(len(p) for p in pairs)])
+    triples = [kept[which[a:b]][g] << 32 | t for a, b, (*_, g, t, _c) in zip(cuts, cuts[1:], blocks)]
+    c3 = np.concatenate([b[6] for b in blocks])
+    some = c3 > 0
+    triple, at = np.unique(np.concatenate(triples)[some], return_inverse=True)
+    c3 = np.bincount(at, c3[some], len(triple)).astype(np.int64)
+    own, c2 = own[c2 > 0], c2[c2 > 0]
+    first, parent = np.unique(own >> 32, return_inverse=True)
+    return first, parent, own & 0xFFFFFFFF, c2, triple >> 32, triple & 0xFFFFFFFF, c3
+
+
+def _answer_shard(mu: float, hot_total: dict[int, int], keep: bool):
+    def run(entries: pa.Table) -> pa.Table:
+        blocks = [_decoded(e) for e in entries.to_pylist()]
+        first, parent, second, c2, grand, third, c3 = merged_grams(blocks)
+        total = np.bincount(parent, c2, len(first)).astype(np.int64)
+        for word, n in hot_total.items():                  # a hot word's successors are spread: its count is not the sum of those here
+            total[first == word] = n
+        trie = Trie.build(first, total, parent, second, c2, grand, third, c3, mu)
+        codes, weights, triples = zip(*(trie.ask(f, p, s, g, t) for f, p, s, _, g, t, _ in blocks))
+        n = len(blocks)
+        shard = entries["shard"]
+        names = sorted(trie.levels) if keep else []
+        level = pa.array([None] * n + names, pa.string())
+        null = [None] * len(names)
+        cols = {"block": pa.array(entries["block"].to_pylist() + null, pa.int64()), "shard": pa.array(shard.to_pylist() + [shard[0].as_py()] * len(names), pa.int32()),
+                "level": level, "body": pa.array([None] * n + [bytes(trie.levels[k]) for k in names], pa.binary())}
+        for name, x in (("codes", codes), ("weights", weights), ("triples", triples)):
+            cols[name] = pa.array([_columns(a, 2) for a in x] + null, pa.binary())
+        return pa.table(cols)
+    return run
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, counts, len(own)).astype(np.int64)
 
+_ANSWERS = "block long, shard int, level string, body binary, codes binary, weights binary, triples binary"
 
-_ANSWERS = "block long, shard int, counts binary, pairs binary, distinct long, total long"
 
+# ---- 4. scores ----
 
-def _columns(a: np.ndarray, width: int) -> bytes:
-    """The bytes of the numbers, place by place: the high places are nearly all zero and compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, width).T).tobytes()
-
-
-def shard_trie(entries: pa.Table) -> Trie:
-    """The trie of one shard from the entries of all blocks."""
-    words, counts = _totals(_joined(entries["words"], "<u8"), _joined(entries["word_counts"], "<u4"))
-    context = np.repeat(_joined(entries["words"], "<u8"), _joined(entries["fan"], "<u4"))
-    successor = _from_low_bytes(b"".join(entries["after"].to_pylist()), _SUCCESSOR_BYTES)
-    own, at = np.unique(context, return_inverse=True)      # places of the context and of the successor in one number
-    followers, which = np.unique(successor, return_inverse=True)
-    pair, pair_counts = _totals(at << 32 | which, _joined(entries["pair_counts"], "<u4"))
-    words, counts = words[counts > 0], counts[counts > 0]
-    pair, pair_counts = pair[pair_counts > 0], pair_counts[pair_counts > 0]
-    return Trie.build(words, counts, own[pair >> 32], followers[pair & 0xFFFFFFFF], pair_counts)
-
-
-def _answer_shard(entries: pa.Table) -> pa.Table:
-    trie = shard_trie(entries)
-    counts, pairs = [], []
-    for words, fan, after in zip(*(entries[c].to_pylist() for c in ("words", "fan", "after"))):
-        words = np.frombuffer(words, "<u8")
-        counts.append(_columns(trie.word(words)[0].astype("<u8"), 8))
-        pairs.append(_columns(trie.bigram(np.repeat(words, np.frombuffer(fan, "<u4")), _from_low_bytes(after, _SUCCESSOR_BYTES)).astype("<u2"), 2))
-    once = np.zeros(len(counts), np.int64)
-    once[0] = 1                                            # the shard's totals stand in its first row
-    return pa.table({"block": entries["block"], "shard": entries["shard"], "counts": pa.array(counts, pa.binary()), "pairs": pa.array(pairs, pa.binary()),
-                     "distinct": pa.array(once * len(trie.words)), "total": pa.array(once * int(trie.counts.sum()))})
-
-
-def _score_batches(shards: int, hot: np.ndarray, total: int, distinct: int, mu: float):
+def _score_batches(id_type: pa.DataType, shards: int, hot: np.ndarray, total: int, distinct: int, begins: int, mu: float):
     wide = total + ADD * (distinct + 1)
 
-    def score(block: dict, answers: dict[int, tuple[bytes, bytes]]):
-        sizes, vocabulary, tokens = np.array(block["sizes"], np.int64), np.frombuffer(block["vocabulary"], np.uint64), _planes(block["tokens"])
-        pair, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
-        layout, counts, seen = Layout(vocabulary, pair, shards, hot), np.zeros(len(vocabulary), np.uint64), np.zeros(len(pair), np.int64)
-        whole = lambda data, n, kind: np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(n, -1).T).view(kind).ravel()
-        for s, (c, b) in answers.items():
-            words, pairs = layout.of(s)
-            own = layout.own_shard[words] == s
-            counts[words[own]] = whole(c, 8, "<u8")[own]
-            seen[pairs] = whole(b, 2, "<u2")
-        codes = quantise(counts + ADD)                     # as the trie's first level holds them
-        plain = restore(codes) / wide
-        before = counts.astype(float)
-        before[np.searchsorted(vocabulary, BEGIN)] = counts[np.searchsorted(vocabulary, END)]    # one begin per training text
-        found = np.where(seen > 0, restore(seen - 1), 0.0)
-        model = np.log10((found + mu * plain[pair & 0xFFFFFFFF]) / (before[pair >> 32] + mu))
-        base = np.log10((counts + ADD) / wide)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        total_of = lambda x: np.bincount(owner, x, len(sizes))
-        return sizes, total_of((counts > 0)[tokens]).astype(np.int64), total_of(base[tokens]), total_of(model[which])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers = None, {}
+        for block, answers in _grouped(batches):
+            g = Grams(block, shards, hot)
+            code2, weight2, code3 = np.zeros(len(g.pair), "<u2"), np.zeros(len(g.pair), "<u2"), np.zeros(len(g.grand), "<u2")
+            for a in answers:
+                s = a["shard"]
+                for out, cuts, c in ((code2, g.cuts2, "codes"), (weight2, g.cuts2, "weights"), (code3, g.cuts3, "triples")):
+                    out[cuts[s]:cuts[s + 1]] = _from_columns(a[c], 2, "<u2")
+            base = np.log10((g.totals + ADD) / wide)
+            plain = restore(quantise((g.totals + ADD) / wide))
+            # order by order: the weight of the context for what is below, and the own share
+            first = np.cumsum(g.sizes) - g.sizes
+            n_before = np.concatenate([[0], g.totals[g.tokens][:-1]])
+            n_before[first] = begins
+            p = plain[g.tokens] * restore(quantise(mu / (n_before + mu)))
+            p[g.at2] += restore(code2)[g.which2]
+            weight = restore(weight2)
+            later = np.flatnonzero(g.context >= 0)
+            later = later[weight[g.context[later]] > 0]      # a pair that training has not seen passes everything on
+            p[later] *= weight[g.context[later]]
+            p[g.at3] += restore(code3)[g.which3]
+            owner = np.repeat(np.arange(len(g.sizes)), g.sizes)
+            add = lambda x: np.bincount(owner, x, len(g.sizes))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(block["ids"], id_type), pa.array(block["held"], pa.bool_()), pa.array(g.sizes), pa.array(add(g.totals[g.tokens] > 0).astype(np.int64)),
+                                              pa.array(np.full(len(g.sizes), total, np.int64)), pa.array(add(base[g.tokens])), pa.array(add(np.log10(p)))],
+                                             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return run
 
-        def flush(ids: pa.DataType):
-            sizes, known, base, model = score(block, answers)
-            return pa.RecordBatch.from_arrays([pa.array(block["ids"], ids), pa.array(block["held"], pa.bool_()), pa.array(sizes), pa.array(known),
-                                               pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(model)],
-                                              ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field("ids").type.value_type
-            for r in range(len(batch)):
-                value = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                if value("kind") == 0:
-                    if block is not None:
-                        yield flush(kind)
-                    block, answers = {c: value(c) for c in ("ids", "held", "sizes", "vocabulary", "tokens")}, {}
-                else:
-                    answers[value("shard")] = (value("counts"), value("pairs"))
-        if block is not None:
-            yield flush(kind)
-    return run
+_BLOCK = "block long, ids array<{id}>, held array<boolean>, sizes array<long>, tokens binary"
 
 
-def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Union by name, with nulls of the right type for the columns of one side only; kind tells the sides apart."""
-    return left.withColumn("kind", F.lit(0)).unionByName(right.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+def _gathered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every block and what the shards answered to it, next to each other: kind 0, then kind 1 by shard."""
+    both = blocks.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "kind", "shard")
 
 
 def train_and_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", mu: float = MU,
                     block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from the rows that are not held out."""
-    kind = docs.schema[id_column].dataType
+    return score(*train(docs, held_out, id_column, text_column, mu, block_tokens, shard_tokens, keep=False))
+
+
+def train(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", mu: float = MU,
+          block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, keep: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+    """Written blocks, written answers, with ``keep`` beside the encoded levels of all shards (``levels``), and what scoring needs besides."""
+    id_type = docs.schema[id_column].dataType
+    arrow_id, block_ddl = to_arrow_type(id_type), _BLOCK.format(id=id_type.simpleString())
     rows = docs.select(docs[id_column].alias("id"), held_out.alias("held"), docs[text_column].cast("string").alias("text"))
-    arrow_id = pa.string() if kind.simpleString() == "string" else getattr(pa, {"bigint": "int64", "int": "int32"}[kind.simpleString()])()
-    blocks = frames.cut(rows.mapInArrow(_block_batches(arrow_id, block_tokens), _BLOCK.format(id=kind.simpleString())), "blocks")
-    n_tokens = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    shards = max(1, -(-n_tokens // shard_tokens))
-    often = blocks.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_n").alias("n"))
-    hot = np.array([r.hot for r in often.where(F.col("n") >= n_tokens * HOT_SHARE).collect()], np.int64).view(np.uint64)   # at most 1 / HOT_SHARE
-    answers = frames.cut(blocks.mapInArrow(_entry_batches(shards, hot), _ENTRIES).groupBy("shard").applyInArrow(_answer_shard, _ANSWERS), "answers")
-    sums = answers.agg(F.sum("total"), F.sum("distinct")).first()
-    total, distinct = sums[0] or 0, sums[1] or 0
-    back = _aligned(blocks.drop("hot", "hot_n"), answers.drop("distinct", "total")).repartition("block").sortWithinPartitions("block", "kind", "shard")
-    return back.mapInArrow(_score_batches(shards, hot, total, distinct, mu), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, "
-                           "train_tokens long, base_score double, score double")
+    blocks = frames.cut(rows.mapInArrow(_block_batches(os.urandom(16), arrow_id, block_tokens), f"{block_ddl}, words binary, counts binary, buckets binary"), "blocks")
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"),
+                      F.sum(F.size(F.filter("held", lambda h: ~h))).alias("texts")).first()
+    n_tokens, texts = size.n or 0, size.texts or 0
+    shards, hot_n = max(1, -(-n_tokens // shard_tokens)), max(1.0, n_tokens * HOT_SHARE)
+    word_shards = min(shards, 1 << 16)
+
+    words = blocks.select("block", "words", "counts").mapInArrow(_word_batches(word_shards), "shard int, block long, words binary, counts binary")
+    numbered = frames.cut(words.groupBy("shard").applyInArrow(
+        _numbered_words(word_shards, hot_n), "block long, shard int, numbers binary, totals binary, distinct long, total long, hot array<long>, hot_n array<long>"), "numbers")
+    sums = numbered.agg(F.sum("total"), F.sum("distinct")).first()
+    often = numbered.where(F.size("hot") > 0).select("hot", "hot_n").collect()              # at most 1 / HOT_SHARE words
+    hot = {w: n for r in often for w, n in zip(r.hot, r.hot_n)} | ({BEGIN: texts} if texts >= hot_n else {})
+    resolved = frames.cut(_gathered(blocks.drop("words", "counts"), numbered.select("block", "shard", "numbers", "totals")).mapInArrow(
+        _resolved_batches(arrow_id, word_shards), f"{block_ddl}, numbers binary, totals binary"), "resolved")
+    frames.drop(blocks, numbered)
+
+    spread = np.array(sorted(hot), np.int64)
+    grams = resolved.mapInArrow(_gram_batches(shards, spread), "shard int, block long, " + ", ".join(f"{c} binary" for c in _GRAMS))
+    answers = frames.cut(grams.groupBy("shard").applyInArrow(_answer_shard(mu, hot, keep), _ANSWERS), "answers")
+    return resolved, answers, {"id_type": id_type, "shards": shards, "hot": spread, "total": sums[0] or 0, "distinct": sums[1] or 0, "begins": texts, "mu": mu}
+
+
+def levels(answers: DataFrame) -> DataFrame:
+    """shard, level, body: the encoded model."""
+    return answers.where("level is not null").select("shard", "level", "body")
+
+
+def score(blocks: DataFrame, answers: DataFrame, model: dict) -> DataFrame:
+    kind = model["id_type"]
+    back = _gathered(blocks, answers.where("level is null").select("block", "shard", "codes", "weights", "triples"))
+    run = _score_batches(to_arrow_type(kind), model["shards"], model["hot"], model["total"], model["distinct"], model["begins"], model["mu"])
+    return back.mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:

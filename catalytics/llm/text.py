@@ -145,17 +145,16 @@ class WordCodes:
     The key is drawn for each run, so nobody can choose words whose codes collide.
     """
 
-    def __init__(self, key: bytes, remembered: int = 1 << 20):
-        self.key, self.remembered = key, remembered
+    def __init__(self, key: bytes, remembered: int = 1 << 20, lower: bool = False):
+        self.key, self.remembered, self.lower = key, remembered, lower
         self.number: dict[bytes, int] = {}
         self.lanes = np.zeros((1024, 2), np.uint64)
 
-    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Lanes of all words of a column of texts, and the number of the text that each word is in."""
-        if len(self.number) > self.remembered:
-            self.number.clear()
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of a column of texts, valid until ``forget``, and how many words each text has."""
         data, offsets = text_bytes(column)
         raw, known, number = data.tobytes(), len(self.number), self.number
+        raw = raw.translate(LOWER_BYTES) if self.lower else raw
         places, sizes = [], np.zeros(len(offsets) - 1, np.int64)
         for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             words = raw[a:b].split()
@@ -169,4 +168,18 @@ class WordCodes:
             new = list(number)[known:]
             codes = b"".join(hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in new)
             self.lanes[known:known + len(new)] = np.frombuffer(codes, "<u8").reshape(-1, 2)
-        return self.lanes[np.array(places, np.int64)], np.repeat(np.arange(len(sizes)), sizes)
+        return np.array(places, np.int64), sizes
+
+    def forget(self) -> None:
+        """Start anew where too many words are remembered."""
+        if len(self.number) > self.remembered:
+            self.number.clear()
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes of all words of a column of texts, and the number of the text that each word is in."""
+        self.forget()
+        places, sizes = self.numbers(column)
+        return self.lanes[places], np.repeat(np.arange(len(sizes)), sizes)
+
+    def one(self, word: bytes) -> np.ndarray:
+        return np.frombuffer(hashlib.blake2b(word, digest_size=16, key=self.key).digest(), "<u8").reshape(1, 2)

@@ -100,5 +100,5 @@ def test_stages_of_an_empty_table(spark):
 def test_pipeline_stage_names_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "secrets", "mixing", "packing"]
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert simhash.MAX_BITS == 2 and pii_crf.KINDS == ("email", "ip", "card", "phone")
