@@ -7,9 +7,9 @@ findings are then joined back to all paths.  A ledger folder outlives the run: g
 folder, a second run over unchanged rows scans nothing, and a new rule version rescans every blob
 with that rule alone.
 
-Only hashes are grouped; the text of one representative row per unseen blob is shuffled once.
-Copies of one blob are pre-aggregated by hash, and the join back to paths is an equi-join whose
-skewed partitions Spark splits.
+Texts are shuffled once, by blob, after each task has kept one row of every blob: copies, whatever
+their ids, are one.  A pair of blob and rule that is on record twice (two runs at once, a repeated
+append) counts once.  The join back to paths is an equi-join whose skewed partitions Spark splits.
 
 Special cases: a null text is the empty blob; repeated rows and null ids are paths of their own;
 an empty table gives an empty result and leaves an empty ledger; other columns are ignored.
