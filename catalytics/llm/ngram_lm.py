@@ -241,7 +241,9 @@ class Trie:
         out = np.full(len(parent), -1, np.int64)
         known = np.flatnonzero(parent >= 0)
         own, which = np.unique(parent[known], return_inverse=True)
-        begin, end = (self.sequences[pointers].get(own + k)[which] for k in (0, 1))
+        ends = np.unique(np.concatenate([own, own + 1]))               # neighbours share a pointer
+        at = self.sequences[pointers].get(ends)
+        begin, end = (at[np.searchsorted(ends, own + k)][which] for k in (0, 1))
         fits = (begin < end) & (word[known] < 1 << self.bits)
         known, begin, end = known[fits], begin[fits], end[fits]
         at = self.sequences[level].find(parent[known] << self.bits | word[known])
