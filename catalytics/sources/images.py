@@ -1,12 +1,20 @@
 """Product images: files scanned with ``binaryFile``, a manifest of the newest version of each product, uploads.
 
-Images lie as files under ``image=<asin>.<version>/`` in one folder of a shared file system.  An upload never overwrites a file: it adds a version, and the manifest says which version
-is served.  The scan reads path and length of every file and hashes the content in the task that
-reads it; contents are not shuffled.  On a stream only files that are new are read.
+Images lie as files ``part-<asin>.<version>-<call>.txt`` in the shares of one folder of a shared file system.  An upload never overwrites a file: it adds a version, and the manifest says which version
+is served.  A listing meets as many folders as there are shares, however many images there are.  Files under
+``image=<asin>.<version>/``, as Spark's own writer lays them out, are read too.  The scan reads path and length
+of every file and hashes the content in the task that reads it; contents are not shuffled.  On a stream only
+files that are new are read.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as PF
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +23,7 @@ from catalytics.streaming.orders import _run, _sink
 
 # The accepted extensions and their content types.
 CONTENT_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp"}
+SHARES = 64                    # tasks that write images, and folders they write to
 BAD_EXTENSION = "Only jpg/png/webp allowed"
 IMAGE_SCHEMA = T.StructType([T.StructField("asin", T.LongType()), T.StructField("version", T.LongType()), T.StructField("length", T.LongType()),
                              T.StructField("sha256", T.StringType())])
@@ -44,15 +53,66 @@ def split_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where(F.col("reject_reason").isNull()).drop("reject_reason"), r.where(F.col("reject_reason").isNotNull())
 
 
+def _arrow_folder(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a URI that Arrow opens too; None where only Spark knows the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() == "file":
+        return f"file://{uri.getRawPath()}"
+    try:
+        PF.FileSystem.from_uri(uri.toString())
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    return uri.toString()
+
+
+def _write_files(uri: str, call: str):
+    """Write rows (image, value), sorted by image, as one file per image: aside first, then under its name, which a repeated task gives again."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = PF.FileSystem.from_uri(uri)
+        share = f"{root}/share={TaskContext.get().partitionId()}"
+        image, out, written = None, None, 0
+        aside = f"{share}/_{uuid.uuid4().hex}"
+
+        def close() -> int:
+            if out is None:
+                return 0
+            out.close()
+            store.move(aside, f"{share}/part-{image}-{call}.txt")
+            return 1
+
+        for part in parts:
+            for name, value in zip(part.column("image").to_pylist(), part.column("value").to_pylist()):
+                if name != image or out is None:
+                    if out is None:
+                        store.create_dir(share)
+                    written += close()
+                    image, out = name, store.open_output_stream(aside, compression=None)
+                out.write((value or "").encode() + b"\n")
+        written += close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["files"])
+    return run
+
+
 def write_images(images: DataFrame, folder: str) -> None:
-    """Store rows (asin, version, body) as one file each; a task writes one file after the other."""
+    """Store rows (asin, version, body) as one file each; a task writes one file after the other.
+
+    The number of tasks is given, so that Spark does not join small partitions into one task, whose time goes by files.
+    """
+    spark = images.sparkSession
     name = F.concat_ws(".", F.col("asin").cast("string"), F.col("version").cast("string"))
-    dealt = images.select(name.alias("image"), F.col("body").cast("string").alias("value")).repartition("image").sortWithinPartitions("image")
-    dealt.write.mode("append").partitionBy("image").text(folder)
+    dealt = images.select(name.alias("image"), F.col("body").cast("string").alias("value")).repartition(SHARES, "image").sortWithinPartitions("image", "value")
+    uri = _arrow_folder(spark, folder)
+    if uri is None:
+        dealt.write.mode("append").partitionBy("image").text(folder)
+        return
+    store, root = PF.FileSystem.from_uri(uri)
+    store.create_dir(root)                                # an empty set of images is an empty folder
+    dealt.mapInArrow(_write_files(uri, uuid.uuid4().hex), "files long").agg(F.sum("files")).collect()
 
 
 def _images(raw: DataFrame) -> DataFrame:
-    part = lambda k: F.regexp_extract("path", r"/image=(\d+)\.(\d+)/", k).try_cast("bigint")
+    part = lambda k: F.regexp_extract("path", r"/(?:image=|part-)(\d+)\.(\d+)[/-]", k).try_cast("bigint")
     return raw.select(part(1).alias("asin"), part(2).alias("version"), "length", F.sha2("content", 256).alias("sha256"))
 
 

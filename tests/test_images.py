@@ -42,3 +42,28 @@ def test_upload_names_and_extensions(spark):
     assert all(got[k]["reject_reason"] == IM.BAD_EXTENSION and got[k]["image_filename"] is None for k in range(4, 10))
     kept, dropped = IM.split_uploads(df)
     assert kept.count() == 4 and dropped.count() == 6
+
+
+def test_images_are_written_by_many_tasks_into_few_folders(spark, tmp_path):
+    """Files cost time by their number, not their bytes: many tasks write them, and a listing meets one folder per share."""
+    import os
+    folder, n = f"{tmp_path}/images", 600
+    store(spark, folder, [(k, 0, f"image {k}") for k in range(n)] + [(7, 0, "twice"), (8, 0, None), (None, 0, "no key")])
+    store(spark, folder, [(5, 1, "newer"), (6, 0, "same version again")])
+    store(spark, folder, [])
+    shares = [d for d in os.listdir(folder) if d.startswith("share=")]
+    assert 8 < len(shares) <= IM.SHARES and not [f for d in shares for f in os.listdir(f"{folder}/{d}") if not f.startswith("part-")]
+    files = rows(IM.read_images(spark, folder))
+    assert len(files) == n + 3 and sum(r["asin"] is None for r in files) == 1
+    got = {r["asin"]: r for r in rows(IM.manifest(IM.read_images(spark, folder)))}
+    assert (got[5]["version"], got[5]["versions"], got[6]["version"], got[6]["versions"], got[7]["versions"]) == (1, 2, 0, 2, 1)
+    assert got[7]["length"] == len("image 7\ntwice\n") and got[8]["length"] == len("\nimage 8\n")
+
+
+def test_an_empty_set_and_the_older_layout_are_read(spark, tmp_path):
+    folder = f"{tmp_path}/images"
+    store(spark, folder, [])
+    assert rows(IM.read_images(spark, folder)) == []
+    spark.createDataFrame([("3.1", "old")], "image string, value string").write.mode("append").partitionBy("image").text(folder)
+    store(spark, folder, [(3, 2, "new")])
+    assert sorted((r["asin"], r["version"]) for r in rows(IM.read_images(spark, folder))) == [(3, 1), (3, 2)]
