@@ -6,7 +6,8 @@ segments (M9-M12, J9, A17).
   one unit per class seen in training.  Category codes, standardization and the
   class names are stages of one pipeline, so a saved model scores a later
   catalog exactly as the one it was trained on.  Spark's MLP uses sigmoid hidden
-  units and L-BFGS, so results are compared by metrics, not weights.
+  units and L-BFGS, so results are compared by metrics, not weights.  Its weights are
+  fitted by ``operators/perceptron.py``, which follows Spark's fit on every row.
 * KMeans for every category at once is in ``operators/clusters.py``; the segment
   labels are here.
 """
@@ -21,6 +22,7 @@ from catalytics.functions import scores as S
 from catalytics.operators.catalog import catalog_stats, with_stats
 from catalytics.operators.clusters import category_clusters
 from catalytics.operators import mlp as T
+from catalytics.operators.perceptron import fit_weights
 from catalytics.operators.sampling import FEATURES, model_frame, standardize, stratified_split
 
 CAT = "categoryName"
@@ -41,9 +43,10 @@ def train_demand_model(scored: DataFrame, max_iter: int = MAX_ITER, seed: int =
     demand_level and split.  Null or empty categories count as unknown, and a
     category unseen in training gets code 0, as in the reference.
     """
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+    from pyspark.ml.linalg import Vectors
 
     frame = stratified_split(scored.select("asin", CAT, "demand_level", *FEATURES[:-1]))
     train = frame.where(F.col("split") == "train")
@@ -59,12 +62,19 @@ def train_demand_model(scored: DataFrame, max_iter: int = MAX_ITER, seed: int =
     m = prepared.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
     z = ", ".join(f"({c} - {m[f'm_{c}']!r}D) / {(m[f's_{c}'] or 1.0)!r}D AS {_sql_name(c)}" for c in FEATURES)
     scaled = SQLTransformer(statement=f"SELECT *, {z} FROM __THIS__")
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, blockSize=block_size, seed=seed,
-                                         layers=[len(FEATURES), *HIDDEN_LAYERS, max(2, len(label.labels))])
-    fitted = Pipeline(stages=[scaled, VectorAssembler(inputCols=[_sql_name(c) for c in FEATURES], outputCol="features"), mlp]).fit(
-        label.transform(prepared))
+    layers = [len(FEATURES), *HIDDEN_LAYERS, max(2, len(label.labels))]
+    names = [_sql_name(c) for c in FEATURES]
+
+    def holding(weights=None):                            # no iteration: Spark's model of given weights, or of those it draws for the seed
+        mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", maxIter=0, blockSize=block_size, seed=seed, layers=layers)
+        one = scored.sparkSession.createDataFrame([(Vectors.dense([0.0] * len(FEATURES)), 0.0)], ["features", "label"])
+        return (mlp if weights is None else mlp.setInitialWeights(Vectors.dense(weights))).fit(one)
+
+    weights, losses = fit_weights(scaled.transform(label.transform(prepared)), names, "label", layers, holding().weights.toArray(), max_iter, block_size)
     back = IndexToString(inputCol="prediction", outputCol="predicted_level", labels=_class_names(label.labels))
-    return PipelineModel([named, category, coded, *fitted.stages, back]), frame
+    model = PipelineModel([named, category, coded, scaled, VectorAssembler(inputCols=names, outputCol="features"), holding(weights), back])
+    model.losses = losses                                 # of this training; a loaded model has none
+    return model, frame
 
 
 def _class_names(labels: list[str]) -> list[str]:
@@ -85,12 +95,11 @@ def training_summary(scored: DataFrame, max_iter: int = MAX_ITER) -> DataFrame:
 
 def _training_row(model, frame: DataFrame) -> DataFrame:
     mlp = model.stages[-2]
-    summ = mlp.summary() if callable(mlp.summary) else mlp.summary
     counts = frame.agg(F.count("*").alias("total_samples"),
                        F.count_if(F.col("split") == "train").alias("train_samples"),
                        F.count_if(F.col("split") == "test").alias("test_samples"))
     return counts.select("*", F.lit("-".join(map(str, mlp.getLayers()))).alias("layers"),
-                         F.lit(len(summ.objectiveHistory)).cast("int").alias("iterations_run"))
+                         F.lit(len(model.losses)).cast("int").alias("iterations_run"))
 
 
 # ---------------------------------------------------------------- M10

@@ -201,3 +201,47 @@ def test_drawn_seeds_follow_the_squared_distance():
         centers = drawn_seeds(x, y, m, 1 - rng.random((2, 3)), 2, 1.0, 1.0)
         far += centers[1, 0] == 3
     assert abs(far / 2000 - 0.9) < 0.03
+
+
+def test_perceptron_fit_follows_sparks_own(spark):
+    """The loss of every early iteration is that of Spark's MultilayerPerceptronClassifier; later ones differ in the order of sums."""
+    import numpy as np
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.linalg import Vectors
+    from catalytics.operators import perceptron as PC
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 2))
+    data = [(float(a), float(b), float(int(a + b > 0) + int(a * b > 0.5))) for a, b in x]
+    df = spark.createDataFrame(data, "a double, b double, label double").coalesce(1).persist()
+    vectors = spark.createDataFrame([(Vectors.dense(r[:2]), r[2]) for r in data], ["features", "label"]).coalesce(1)
+    mlp = MultilayerPerceptronClassifier(layers=[2, 6, 4, 3], blockSize=64, seed=42)
+    first = mlp.copy({mlp.maxIter: 0}).fit(vectors).weights.toArray()
+    theirs = mlp.copy({mlp.maxIter: 12}).fit(vectors)
+    weights, losses = PC.fit_weights(df, ["a", "b"], "label", [2, 6, 4, 3], first, 12, 64)
+    expected = theirs.summary().objectiveHistory if callable(theirs.summary) else theirs.summary.objectiveHistory
+    assert len(losses) == len(expected) == 13 and np.allclose(losses, list(expected), rtol=1e-6)
+    assert np.allclose(weights, theirs.weights.toArray(), rtol=1e-4, atol=1e-6)
+
+
+def test_perceptron_gradient_is_the_slope_of_the_loss():
+    import numpy as np
+    from catalytics.operators import mlp as T
+    from catalytics.operators import perceptron as PC
+    rng, widths = np.random.default_rng(1), [3, 5, 4, 3]
+    x, y, share = rng.normal(size=(7, 3)), rng.integers(0, 3, 7), rng.uniform(0.1, 1, 7)
+    flat = T.first_weights(widths, 2)
+    _, g = PC.loss_and_gradient(x, y, share, flat, widths)
+    for k in range(0, len(flat), 5):
+        e = np.zeros_like(flat)
+        e[k] = 1e-6
+        slope = (PC.loss_and_gradient(x, y, share, flat + e, widths)[0] - PC.loss_and_gradient(x, y, share, flat - e, widths)[0]) / 2e-6
+        assert abs(slope - g[k]) < 1e-6
+
+
+def test_demand_model_is_not_fitted_by_rows_in_the_jvm(spark, monkeypatch):
+    """Spark's classifier holds the weights and draws the first ones; it makes no iteration over the rows itself."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    seen, fit = [], MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", lambda self, df, *a: seen.append((self.getMaxIter(), df.count())) or fit(self, df, *a))
+    model, _ = M.train_demand_model(_score(spark, [(i, f"t{i}", f"C{i % 3 + 1}", 10.0 + i, 1.5 + (i % 5) / 2, i * 3, False) for i in range(60)]), max_iter=3)
+    assert seen == [(0, 1), (0, 1)] and len(model.losses) == 4 and model.losses[-1] < model.losses[0]
