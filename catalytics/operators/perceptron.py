@@ -28,7 +28,7 @@ CORRECTIONS = 10
 LOSS_MEMORY = 20
 LINE_STEPS = 10
 DECREASE, CURVATURE = 1e-4, 0.9
-ROWS = 4096                    # rows multiplied at a time
+ROWS = 1024                    # rows multiplied at a time, so that a layer's values stay in a core's cache
 LEAST = 16                     # blocks of a task, if that leaves fewer tasks than cores
 FEW = 64                       # gradients that the driver adds up itself
 
@@ -39,10 +39,14 @@ def loss_and_gradient(x: np.ndarray, labels: np.ndarray, share: np.ndarray, flat
     """Cross-entropy of the rows, each times its share, and its gradient."""
     layers, values = unflat(flat, widths), [x]
     for k, w in enumerate(layers):
-        z = values[-1] @ w[:-1] + w[-1]
-        if k < len(layers) - 1:
+        z = values[-1] @ w[:-1]
+        z += w[-1]
+        if k < len(layers) - 1:                           # sigmoid, in place
+            np.negative(z, out=z)
             with np.errstate(over="ignore"):
-                values.append(1 / (1 + np.exp(-z)))
+                np.exp(z, out=z)
+            z += 1
+            values.append(np.reciprocal(z, out=z))
         else:
             z -= z.max(axis=1, keepdims=True)
             total = np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -57,7 +61,10 @@ def loss_and_gradient(x: np.ndarray, labels: np.ndarray, share: np.ndarray, flat
     for k in range(len(layers) - 1, -1, -1):
         grads.append(np.concatenate([values[k].T @ delta, delta.sum(axis=0, keepdims=True)]).ravel())
         if k:
-            delta = (delta @ layers[k][:-1].T) * (values[k] * (1 - values[k]))
+            delta = delta @ layers[k][:-1].T
+            slope = np.subtract(1, values[k])
+            slope *= values[k]
+            delta *= slope
     return loss, np.concatenate(grads[::-1])
 
 
@@ -69,6 +76,8 @@ def _stacked(features: int, size: int):
             if len(part):
                 x = np.concatenate([x, np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(features)], 1)])
                 y = np.concatenate([y, part.column(features).to_numpy(zero_copy_only=False)])
+            if not np.isfinite(x).all():
+                raise ValueError("a feature is null or not a finite number")      # as Spark's assembler, which ends the fit
             whole = len(x) // size * size
             if whole:
                 yield _blocks(x[:whole], y[:whole], size)

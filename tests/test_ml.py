@@ -245,3 +245,12 @@ def test_demand_model_is_not_fitted_by_rows_in_the_jvm(spark, monkeypatch):
     monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", lambda self, df, *a: seen.append((self.getMaxIter(), df.count())) or fit(self, df, *a))
     model, _ = M.train_demand_model(_score(spark, [(i, f"t{i}", f"C{i % 3 + 1}", 10.0 + i, 1.5 + (i % 5) / 2, i * 3, False) for i in range(60)]), max_iter=3)
     assert seen == [(0, 1), (0, 1)] and len(model.losses) == 4 and model.losses[-1] < model.losses[0]
+
+
+def test_a_feature_without_a_value_ends_the_fit(spark):
+    """As Spark's own fit does: no model is made of such rows."""
+    import pytest
+    from catalytics.operators import perceptron as PC
+    df = spark.createDataFrame([(1.0, 0.0), (None, 1.0)], "a double, label double")
+    with pytest.raises(Exception, match="null or not a finite number"):
+        PC.fit_weights(df, ["a"], "label", [1, 2, 2], PC.np.zeros(10), 2, 64)
