@@ -22,9 +22,12 @@ the capacity unless its length is a power of two; only the last few of each kind
 
 from __future__ import annotations
 
+import array
+import itertools
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ CAPACITY = 4096
 UNIT = 16
 END_ID = 2
 RANGE_ROWS = 50_000          # pieces of one length ranked in one task
-_CACHE = 1_000_000             # distinct words a worker remembers
+_CACHE = 1_000_000             # distinct words, and distinct runs of them, from which on a worker starts anew
 
 Pattern = tuple[dict[int, int], int]      # pieces by length in one sequence; number of sequences
 
@@ -69,6 +72,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
 
 
+class _Memory:
+    """Ids of keys, one key after another; a key's number tells where its ids are."""
+
+    def __init__(self):
+        self.number: dict[str | bytes, int] = defaultdict(itertools.count().__next__)
+        self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.known = self.used = 0
+
+    def numbers(self, keys: Iterator[str | bytes], n: int) -> tuple[np.ndarray, list[str | bytes]]:
+        """Numbers of the n keys, and the keys that are new, whose ids are to be added next."""
+        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, n)
+        new = list(itertools.islice(reversed(self.number), len(self.number) - self.known))
+        new.reverse()
+        return at, new
+
+    def add(self, size: np.ndarray, ids: np.ndarray):
+        n, used = self.known + len(size), self.used + len(ids)
+        if n > len(self.first):
+            self.first, self.size = (np.resize(x, 2 * n) for x in (self.first, self.size))
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        self.size[self.known:n], self.first[self.known:n] = size, self.used + np.cumsum(size) - size
+        self.ids[self.used:used] = ids
+        self.known, self.used = n, used
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered keys, joined, and the offsets of the keys in them."""
+        size = self.size[at]
+        stop = np.cumsum(size)
+        return self.ids[np.repeat(self.first[at] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)], np.concatenate([[0], stop])
+
+
 class WordCoder:
     """Ids of texts through a memory of words.
 
@@ -76,7 +111,8 @@ class WordCoder:
     its neighbours.  A word of Latin letters, digits and ASCII marks is cut as the tokenizer's own
     pattern cuts it and each run goes straight to its merge model; any other word, and one that may
     hold an apostrophe form or a special token, goes through the whole tokenizer.  A tokenizer
-    with other text steps codes whole texts.
+    with other text steps codes whole texts.  Ids are kept in arrays: a list for each
+    word would be visited by every collection of Python's garbage.
     """
 
     def __init__(self, path: str):
@@ -87,65 +123,53 @@ class WordCoder:
         split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = steps.get("normalizer") == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self._forget()
+        self.words, self.runs = _Memory(), _Memory()
 
-    def _forget(self):
-        self.known: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _run(self, run: str) -> list[int]:
-        found = self.runs.get(run)
-        if found is None:
-            inner = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
-            found = self.runs[run] = [t.id for t in self.model.tokenize(inner)]
-        return found
+    def _ids(self, run: str | bytes) -> list[int]:
+        if isinstance(run, bytes):
+            return self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(run if run.isascii() else "".join(self.letters[b] for b in run.encode()))]
 
-    def word(self, word: bytes) -> list[int]:
+    @staticmethod
+    def _cut(word: bytes) -> list[str] | list[bytes]:
+        """The runs of a word, in lower case; a word for the whole tokenizer is one run, in bytes."""
         if word.isalpha():                                  # ASCII letters only
-            return self._run(word.decode().lower())
+            return [word.decode().lower()]
         if word[:-1].isalpha() and word[-1:] in (b".", b","):
-            return self._run(word[:-1].decode().lower()) + self._run(word[-1:].decode())
+            body = word.decode().lower()
+            return [body[:-1], body[-1]]
         body = word.decode()
         if _PLAIN.fullmatch(body) and "'" not in body and "<|" not in body:
-            return [i for run in _RUN.findall(body.lower()) for i in self._run(run)]
-        return self.tokenizer.encode(body, add_special_tokens=False).ids
+            return _RUN.findall(body.lower())
+        return [word]
 
     def _learn(self, words: list[bytes]):
-        coded = [self.word(w) for w in words]
-        n, size = len(self.known), np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(size.sum()))
-        if n + len(words) > len(self.first):
-            self.first, self.size = (np.resize(x, 2 * (n + len(words))) for x in (self.first, self.size))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
-        self.size[n:n + len(words)], self.first[n:n + len(words)] = size, self.used + np.cumsum(size) - size
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words))))
+        cut = [self._cut(w) for w in words]
+        ends = np.cumsum([0, *map(len, cut)])
+        at, new = self.runs.numbers(itertools.chain.from_iterable(cut), int(ends[-1]))
+        size, flat = np.zeros(len(new), np.int64), array.array("I")
+        for k, run in enumerate(new):
+            ids = self._ids(run)
+            size[k] = len(ids)
+            flat.extend(ids)
+        self.runs.add(size, np.array(flat, np.uint32))
+        ids, offsets = self.runs.take(at)
+        self.words.add(np.diff(offsets[ends]), ids)
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the offsets of the texts in them."""
         if not self.by_word:
             whole = [e.ids for e in self.tokenizer.encode_batch_fast([b.decode() for b in bodies], add_special_tokens=False)]
             return np.array([i for ids in whole for i in ids], np.uint32), np.cumsum([0, *map(len, whole)])
+        if max(self.words.known, self.runs.known) > _CACHE:
+            self.words, self.runs = _Memory(), _Memory()
         split = [b.split() for b in bodies]
-        words = [w for s in split for w in s]
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list({w for w, a in zip(words, at) if a is None})
-            if len(self.known) + len(new) > _CACHE:
-                self._forget()
-                new = list(set(words))
-            self._learn(new)
-            at = list(map(self.known.__getitem__, words))
-        at = np.array(at, np.int64)
-        size = self.size[at]
-        stop = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[at] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
         ends = np.cumsum([0, *map(len, split)])
-        return flat, np.concatenate([[0], stop])[ends]
+        at, new = self.words.numbers(itertools.chain.from_iterable(split), int(ends[-1]))
+        if new:
+            self._learn(new)
+        flat, offsets = self.words.take(at)
+        return flat, offsets[ends]
 
 
 _CODERS: dict[str, WordCoder] = {}

@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -146,3 +147,22 @@ def test_every_letter_of_the_plain_range_is_coded_as_the_tokenizer_codes_it():
 
 def test_packing_of_an_empty_table(spark, tmp_path):
     assert packing.op5_packing(spark, write(frame(spark, []), tmp_path)).collect() == []
+
+
+def test_word_memory_holds_no_object_for_each_word(monkeypatch):
+    """Remembered ids are arrays (a list a word was visited by every garbage collection), and a full memory starts anew."""
+    from tokenizers import Tokenizer
+    tokenizer, coder = Tokenizer.from_file(packing.tokenizer_path()), packing.WordCoder(packing.tokenizer_path())
+    letters = ["".join(chr(97 + n // 26 ** k % 26) for k in range(4)) for n in range(0, 20_000)]
+    coder.encode([b"warm"])
+    gc.collect()
+    before = len(gc.get_objects())
+    coder.encode([" ".join(letters).encode()])
+    gc.collect()
+    assert len(gc.get_objects()) - before < 2_000
+    monkeypatch.setattr(packing, "_CACHE", 100)
+    for texts in (["Zwei", "zwei. drei", "", "zwei drei."], [" ".join(letters[:300])], ["zwei, aaaa's 12"]):
+        flat, offsets = coder.encode([t.encode() for t in texts])
+        for t, b, e in zip(texts, offsets[:-1], offsets[1:]):
+            assert flat[b:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert coder.words.known < 1_000
