@@ -120,6 +120,14 @@ _SUPER = 8                     # 64-bit words of high bits counted together
 _ASKED = 1 << 16               # numbers searched at a time
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, and the place of each number among them; sorted numbers, as n-grams in order ask for, are not sorted again."""
+    new = np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+    if (values[1:] < values[:-1]).any():
+        return np.unique(values, return_inverse=True)
+    return values[new], np.cumsum(new) - 1
+
+
 class EliasFano:
     """A sorted sequence of numbers: low bytes, and high parts as unary gaps in a bit string of whole superblocks."""
 
@@ -182,7 +190,7 @@ class EliasFano:
         for b in range(0, len(values), _ASKED):
             v = values[b:b + _ASKED]
             own = np.flatnonzero((v >= 0) & (v >> (8 * self.low) <= most))
-            high, which = np.unique(v[own] >> (8 * self.low), return_inverse=True)
+            high, which = _runs(v[own] >> (8 * self.low))
             begin = np.zeros(len(high), np.int64)
             later = high > 0
             begin[later] = self._select(high[later] - 1, False) + 1 - high[later]
@@ -240,7 +248,7 @@ class Trie:
         """Places of (parent, word), or -1; the parent's pointers bound the search."""
         out = np.full(len(parent), -1, np.int64)
         known = np.flatnonzero(parent >= 0)
-        own, which = np.unique(parent[known], return_inverse=True)
+        own, which = _runs(parent[known])
         ends = np.unique(np.concatenate([own, own + 1]))               # neighbours share a pointer
         at = self.sequences[pointers].get(ends)
         begin, end = (at[np.searchsorted(ends, own + k)][which] for k in (0, 1))
@@ -435,13 +443,14 @@ class Grams:
         has2 = (word > 0) & (before > 0)
         self.at2 = np.flatnonzero(has2)                    # tokens with a pair
         pair = before[self.at2] << 32 | word[self.at2]
-        spread = np.isin(before[self.at2], hot)
-        shard = text.mix((before[self.at2].astype(np.uint64) + spread * text.mix(word[self.at2].astype(np.uint64)))) % np.uint64(shards)
-        order = np.lexsort((pair, shard))
-        new = np.append(True, (pair[order][1:] != pair[order][:-1]) | (shard[order][1:] != shard[order][:-1])) if len(order) else np.zeros(0, bool)
-        self.which2 = np.empty(len(order), np.int64)       # number of a token's pair
-        self.which2[order] = np.cumsum(new) - 1
-        self.pair, self.shard = pair[order][new], shard[order][new].astype(np.int64)
+        own, which = np.unique(pair, return_inverse=True)
+        first, second = (own >> 32).astype(np.uint64), (own & 0xFFFFFFFF).astype(np.uint64)
+        shard = text.mix(first + np.isin(own >> 32, hot) * text.mix(second)) % np.uint64(shards)
+        order = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.uint64), kind="stable")     # pairs stay in order within a shard
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        self.which2 = place[which]                         # number of a token's pair
+        self.pair, self.shard = own[order], shard[order].astype(np.int64)
         # a triple's first pair is that of the token before, in the same text
         place2 = np.full(len(word), -1, np.int64)
         place2[self.at2] = self.which2
@@ -489,32 +498,37 @@ def _decoded(entry: dict) -> tuple[np.ndarray, ...]:
             ungap(v["third"], v["fan3"]), v["c3"])
 
 
-def merged_grams(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """first, parent, second, c2, grand, third, c3 of all blocks together; n-grams that no training text holds stay out."""
+def distinct_grams(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct pairs and triples (a place among the pairs, a word) of all blocks, sorted; their training counts; and the place of
+    every block's pairs and triples, one block after another."""
     pairs = [f[p] << 32 | s for f, p, s, *_ in blocks]
-    own, which = np.unique(np.concatenate(pairs), return_inverse=True)
-    c2 = np.bincount(which, np.concatenate([b[3] for b in blocks]), len(own)).astype(np.int64)
-    kept = np.cumsum(c2 > 0) - 1
+    pair, which2 = np.unique(np.concatenate(pairs), return_inverse=True)
     cuts = np.cumsum([0, *(len(p) for p in pairs)])
-    triples = [kept[which[a:b]][g] << 32 | t for a, b, (*_, g, t, _c) in zip(cuts, cuts[1:], blocks)]
-    c3 = np.concatenate([b[6] for b in blocks])
-    some = c3 > 0
-    triple, at = np.unique(np.concatenate(triples)[some], return_inverse=True)
-    c3 = np.bincount(at, c3[some], len(triple)).astype(np.int64)
-    own, c2 = own[c2 > 0], c2[c2 > 0]
-    first, parent = np.unique(own >> 32, return_inverse=True)
-    return first, parent, own & 0xFFFFFFFF, c2, triple >> 32, triple & 0xFFFFFFFF, c3
+    triples = [which2[a:b][g] << 32 | t for a, b, (*_, g, t, _c) in zip(cuts, cuts[1:], blocks)]
+    triple, which3 = np.unique(np.concatenate(triples), return_inverse=True)
+    c2, c3 = (np.bincount(at, np.concatenate([b[k] for b in blocks]), n).astype(np.int64) for at, k, n in ((which2, 3, len(pair)), (which3, 6, len(triple))))
+    return pair, triple, c2, c3, which2, which3
+
+
+def trained_grams(pair: np.ndarray, triple: np.ndarray, c2: np.ndarray, c3: np.ndarray) -> tuple[np.ndarray, ...]:
+    """first, parent, second, c2, grand, third, c3 of the n-grams that training texts hold."""
+    kept, some = np.cumsum(c2 > 0) - 1, c3 > 0
+    first, parent = _runs(pair[c2 > 0] >> 32)
+    return first, parent, pair[c2 > 0] & 0xFFFFFFFF, c2[c2 > 0], kept[triple[some] >> 32], triple[some] & 0xFFFFFFFF, c3[some]
 
 
 def _answer_shard(mu: float, hot_total: dict[int, int], keep: bool):
     def run(entries: pa.Table) -> pa.Table:
         blocks = [_decoded(e) for e in entries.to_pylist()]
-        first, parent, second, c2, grand, third, c3 = merged_grams(blocks)
+        pair, triple, n2, n3, which2, which3 = distinct_grams(blocks)
+        first, parent, second, c2, grand, third, c3 = trained_grams(pair, triple, n2, n3)
         total = np.bincount(parent, c2, len(first)).astype(np.int64)
         for word, n in hot_total.items():                  # a hot word's successors are spread: its count is not the sum of those here
             total[first == word] = n
         trie = Trie.build(first, total, parent, second, c2, grand, third, c3, mu)
-        codes, weights, triples = zip(*(trie.ask(f, p, s, g, t) for f, p, s, _, g, t, _ in blocks))
+        # blocks share most of their n-grams: each is asked for once, in order, and every block gets its answers
+        asked = trie.ask(*_runs(pair >> 32), pair & 0xFFFFFFFF, triple >> 32, triple & 0xFFFFFFFF)
+        codes, weights, triples = (np.split(a[at], np.cumsum([len(b[k]) for b in blocks])[:-1]) for a, at, k in zip(asked, (which2, which2, which3), (3, 3, 6)))
         n = len(blocks)
         shard = entries["shard"]
         names = sorted(trie.levels) if keep else []

@@ -418,3 +418,29 @@ def test_written_tables_lie_in_the_shared_folder(spark):
     df = frames.cut(frame(spark, special_rows()), "rows")
     assert all(f.removeprefix("file:").lstrip("/").startswith(frames.shared_folder(spark).removeprefix("file:").lstrip("/")) for f in df.inputFiles())
     assert sorted(map(str, df.collect())) == sorted(map(str, frame(spark, special_rows()).collect()))
+
+
+def test_shard_asks_its_trie_for_each_ngram_once(monkeypatch):
+    """N-grams that several blocks send are asked for once, and every block gets the answers that its own question gets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from catalytics.llm import ngram_lm as lm
+
+    def entry(block, c2, c3, second, third):
+        counts = {"first": [2, 1], "fan": [1, 2], "second": second, "c2": c2, "fan3": [1, 0, 1], "third": third, "c3": c3}
+        return {"shard": 0, "block": block, **{k: lm.varint(np.array(v)) for k, v in counts.items()}}
+    entries = [entry(0, [3, 0, 1], [2, 1], [4, 2, 5], [6, 9]), entry(1, [1, 2, 0], [0, 4], [4, 2, 5], [6, 9]), entry(2, [0, 0, 0], [0, 0], [4, 3, 4], [7, 9])]
+    asked, ask, tries = [], lm.Trie.ask, []
+
+    def counted(trie, first, parent, second, grand, third):
+        asked.append((len(second), len(third)))
+        tries.append(trie)
+        return ask(trie, first, parent, second, grand, third)
+    monkeypatch.setattr(lm.Trie, "ask", counted)
+    table = lm._answer_shard(2.0, {}, False)(pa.Table.from_pylist(entries))
+    assert asked == [(4, 3)]
+    for e, row in zip(entries, table.to_pylist()):
+        first, parent, second, _, grand, third, _ = lm._decoded(e)
+        for name, want in zip(("codes", "weights", "triples"), ask(tries[0], first, parent, second, grand, third)):
+            assert lm._from_columns(row[name], 2, "<u2").tolist() == want.tolist()
