@@ -254,12 +254,18 @@ def flat_orders(docs):
 
 
 def order_documents_stream(spark, d):
-    """U6 over whole order requests, in two runs of the stream: the repeated requests come after a restart."""
-    posted = X.order_requests(spark, d)
-    repeated = F.col("payment_method") == "repeat"
-    source, sink, state = _stream_files(spark, posted.where(~repeated), "requests")
+    """U6 over whole order requests, in two runs of the stream: the repeated requests come after a restart.
+
+    The requests are put together and written once, repeated ones in a folder of their own.
+    """
+    from catalytics.session import scratch_path
+    requests, sink, state = (scratch_path(spark, n) for n in ("requests", "sink", "stream"))
+    source = f"{requests}/repeated=false"
+    spark.createDataFrame([], ST.ORDER_SCHEMA).write.parquet(source)          # the folder is there without any request, too
+    posted = X.order_requests(spark, d).withColumn("repeated", F.col("payment_method") == "repeat")
+    posted.write.partitionBy("repeated").mode("append").parquet(requests)
     ST.start_order_documents(spark, source, sink, state).awaitTermination()
-    posted.where(repeated).write.mode("append").parquet(source)
+    spark.read.schema(posted.schema).parquet(requests).where("repeated").drop("repeated").write.mode("append").parquet(source)
     ST.start_order_documents(spark, source, sink, state).awaitTermination()
     return flat_orders(ST.read_order_documents(spark, sink))
 

@@ -5,7 +5,7 @@ import datetime as dt
 import tempfile
 
 from catalytics.streaming import orders as ST
-from helpers import rows
+from helpers import SF_SMALL, rows
 
 T0 = dt.datetime(2024, 1, 1, 10, 0)
 FIRST = [
@@ -110,3 +110,27 @@ def test_closed_days_come_once_and_late_purchases_are_reconciled(spark):
     assert key(late) == {("2024-01-01", 7): (3, 1), ("2024-01-01", 9): (1, 1)}
     shut = closed.select("day").distinct()
     assert key(ST.reconciled_days(closed, late)) == key(everything.join(shut, "day", "left_semi"))
+
+
+def test_order_requests_are_put_together_once(spark):
+    """The lines are read once for first and repeated requests, which hold what the orders hold."""
+    from catalytics.sources import fixtures as X
+    posted = X.order_requests(spark, SF_SMALL)
+    plan = posted._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("FileScan parquet [l_") == 1
+    first = {r["order_id"]: r for r in rows(X.orders(spark, SF_SMALL))}
+    got = rows(posted)
+    assert sorted(r["order_id"] for r in got) == sorted([*first, *(k for k in first if k % 7 == 3)])
+    for r in got:
+        o, again = first[r["order_id"]], r["payment_method"] == "repeat"
+        ts = dt.datetime.strptime(o["created_at"], "%Y-%m-%dT%H:%M:%S") + dt.timedelta(days=again)
+        assert r["ts"].replace(tzinfo=None) == ts and r["items"] == o["items"] and r["total"] == o["total"] and r["address"] == o["address"]
+        assert (r["user_email"], r["delivery_speed"]) == ((o["user_email"].upper(), "express") if again else (o["user_email"], o["delivery_speed"]))
+        assert again or r["payment_method"] == o["payment_method"]
+
+
+def test_order_documents_stream_of_no_orders(spark, tmp_path):
+    from catalytics.plans.queries import QUERIES
+    for t in ("orders", "lineitem", "customer", "nation"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert QUERIES["order_documents_stream"](spark, str(tmp_path)).collect() == []
