@@ -4,13 +4,16 @@ Images lie as files ``part-<asin>.<version>-<call>.txt`` in the shares of one fo
 is served.  A listing meets as many folders as there are shares, however many images there are.  Files under
 ``image=<asin>.<version>/``, as Spark's own writer lays them out, are read too.  The scan reads path and length
 of every file and hashes the content in the task that reads it; contents are not shuffled.  On a stream only
-files that are new are read.
+files that are new are read: tasks list the folders, keyed state knows the paths met before, and neither paths nor
+contents come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs as PF
@@ -23,7 +26,9 @@ from catalytics.streaming.orders import _run, _sink
 
 # The accepted extensions and their content types.
 CONTENT_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp"}
-SHARES = 64                    # tasks that write images, and folders they write to
+SHARES = 64                    # tasks that write images, and folders they write to; tasks that list folders on a stream
+LISTED = 10_000                # rows of a listing handed on at once
+PIECE = 1 << 20                # bytes of a file read at once on a stream
 BAD_EXTENSION = "Only jpg/png/webp allowed"
 IMAGE_SCHEMA = T.StructType([T.StructField("asin", T.LongType()), T.StructField("version", T.LongType()), T.StructField("length", T.LongType()),
                              T.StructField("sha256", T.StringType())])
@@ -111,14 +116,15 @@ def write_images(images: DataFrame, folder: str) -> None:
     dealt.mapInArrow(_write_files(uri, uuid.uuid4().hex), "files long").agg(F.sum("files")).collect()
 
 
-def _images(raw: DataFrame) -> DataFrame:
+def _images(raw: DataFrame, sha256) -> DataFrame:
     part = lambda k: F.regexp_extract("path", r"/(?:image=|part-)(\d+)\.(\d+)[/-]", k).try_cast("bigint")
-    return raw.select(part(1).alias("asin"), part(2).alias("version"), "length", F.sha2("content", 256).alias("sha256"))
+    return raw.select(part(1).alias("asin"), part(2).alias("version"), "length", sha256.alias("sha256"))
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """asin, version, length, sha256 of every stored image file."""
-    return _images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder))
+    return _images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder),
+                   F.sha2("content", 256))
 
 
 def manifest(images: DataFrame) -> DataFrame:
@@ -127,11 +133,97 @@ def manifest(images: DataFrame) -> DataFrame:
     return images.groupBy("asin").agg(newest, F.count("*").alias("versions")).select("asin", "n.version", "n.length", "n.sha256", "versions")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over: unfinished files and their folders."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(store: PF.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of the image files and folders in a folder; as in Spark's scans, empty files are none."""
+    for e in store.get_file_info(PF.FileSelector(folder)):
+        inner = e.type == PF.FileType.Directory
+        if not _hidden(e.base_name) and (inner or (e.type == PF.FileType.File and e.size and e.base_name.startswith("part-"))):
+            yield e.path, inner
+
+
+def _path_batches(entries: Iterable[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    for some in batched(entries, LISTED):
+        paths, inner = zip(*some)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(inner, pa.bool_())], ["path", "is_folder"])
+
+
+def _list_root(uri: str):
+    """For each row: what lies directly in the image folder."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = PF.FileSystem.from_uri(uri)
+        yield from _path_batches(e for part in parts for _ in range(part.num_rows) for e in _entries(store, root))
+    return run
+
+
+def _list_folders(uri: str):
+    """Rows (path, is_folder): folders become the files in them, at any depth."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = PF.FileSystem.from_uri(uri)
+
+        def files() -> Iterator[tuple[str, bool]]:
+            for part in parts:
+                todo = list(zip(part.column("path").to_pylist(), part.column("is_folder").to_pylist()))
+                while todo:
+                    path, inner = todo.pop()
+                    if inner:
+                        todo.extend(_entries(store, path))
+                    else:
+                        yield path, inner
+        yield from _path_batches(files())
+    return run
+
+
+def _hash_files(uri: str):
+    """Rows (path): path, length and sha256 of each file, which is read in pieces and never held whole."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = PF.FileSystem.from_uri(uri)
+        for part in parts:
+            lengths, digests = [], []
+            for path in part.column("path").to_pylist():
+                digest, length = hashlib.sha256(), 0
+                with store.open_input_stream(path, compression=None) as file:
+                    while piece := file.read(PIECE):
+                        digest.update(piece)
+                        length += len(piece)
+                lengths.append(length)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+    return run
+
+
+def _new_files(spark: SparkSession, uri: str) -> DataFrame:
+    """path, length, sha256 of the files that no earlier batch has met: each batch lists the folders and reads what its keyed state does not know.
+
+    The one row of a batch is its clock; a run with ``availableNow`` makes one batch.  A batch that finds no new file gives no rows.
+    """
+    store, root = PF.FileSystem.from_uri(uri)
+    if store.get_file_info(root).type != PF.FileType.Directory:
+        raise FileNotFoundError(f"no image folder {uri}")
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load().select("value")
+    found = clock.mapInArrow(_list_root(uri), "path string, is_folder boolean").repartition(SHARES, "path").mapInArrow(
+        _list_folders(uri), "path string, is_folder boolean")
+    return found.select("path").dropDuplicates(["path"]).mapInArrow(_hash_files(uri), "path string, length long, sha256 string")
+
+
 def start_manifest(spark: SparkSession, folder: str, sink_dir: str, checkpoint: str, available_now: bool = True):
-    """The manifest as a stream over the image folder: keyed state per product; each batch gives out the products it touched."""
-    raw = spark.readStream.format("binaryFile").schema(_BINARY).option(
-        "recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
-    return _run(manifest(_images(raw)), sink_dir, checkpoint, available_now, "1 minute", "update")
+    """The manifest as a stream over the image folder: keyed state per product; each batch gives out the products it touched.
+
+    Spark's own file stream takes every path through the driver and lists new files one by one; it is used only where
+    Arrow does not know the file system.
+    """
+    uri = _arrow_folder(spark, folder)
+    if uri is None:
+        raw = spark.readStream.format("binaryFile").schema(_BINARY).option(
+            "recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+        images = _images(raw, F.sha2("content", 256))
+    else:
+        images = _images(_new_files(spark, uri), F.col("sha256"))
+    return _run(manifest(images), sink_dir, checkpoint, available_now, "1 minute", "update")
 
 
 _BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),

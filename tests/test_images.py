@@ -1,5 +1,7 @@
 """Image files: names, versions, the manifest as batch and stream, the extension rule."""
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from catalytics.sources import images as IM
@@ -33,6 +35,62 @@ def test_stream_of_new_files_equals_the_scan(spark, tmp_path):
     assert key(IM.read_manifest(spark, sink)) == key(IM.manifest(IM.read_images(spark, folder)))
 
 
+def test_a_stream_needs_no_task_per_file(spark, tmp_path):
+    """New files are listed by folder: listing jobs of a task per file take longer than the reading."""
+    folder, sink, state = (f"{tmp_path}/{n}" for n in ("images", "sink", "state"))
+    n, tracker = 400, spark.sparkContext.statusTracker()
+    for version in (0, 1):
+        store(spark, folder, [(k, version, f"image {k}") for k in range(n)])
+        run = IM.start_manifest(spark, folder, sink, state)
+        run.awaitTermination()
+        stages = [s for j in tracker.getJobIdsForGroup(str(run.runId)) for s in tracker.getJobInfo(j).stageIds]
+        tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i]
+        assert tasks and max(tasks) <= max(IM.SHARES, 8)
+    assert {(r["version"], r["versions"]) for r in rows(IM.read_manifest(spark, sink))} == {(1, 2)}
+
+
+def test_a_stream_meets_the_files_that_a_scan_meets(spark, tmp_path):
+    folder, sink, state = (f"{tmp_path}/{n}" for n in ("images", "sink", "state"))
+    key = lambda d: sorted((tuple(sorted(r.items())) for r in rows(d)), key=str)
+
+    def put(name, body):
+        file = tmp_path / "images" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(body)
+
+    def run():
+        IM.start_manifest(spark, folder, sink, state).awaitTermination()
+        found = key(IM.read_manifest(spark, sink))
+        assert found == key(IM.manifest(IM.read_images(spark, folder)))
+        return {dict(r)["asin"]: (dict(r)["version"], dict(r)["versions"], dict(r)["length"]) for r in found}
+
+    store(spark, folder, [])
+    assert run() == {}
+    put("part-1.0-a.txt", b"in the folder itself")
+    put("image=2.0/part-00000-b.txt", b"older layout")
+    put("deep/er/_k=1/part-3.0-c.txt", b"deep")
+    put("share=0/part-5.1-a.txt", b"")
+    put("share=0/part-4.0-a b%20.txt", bytes(range(256)) * 10_000)
+    put("share=0/part-none.txt", b"no key")
+    for name in ("_temporary/0/image=5.0/part-0.txt", ".hidden/part-5.0-a.txt", "share=0/_part-5.0-a.txt", "share=0/5.0.txt", "share=0/part-5.0-a._COPYING_"):
+        put(name, b"not to be met")
+    assert run() == {None: (None, 1, 6), 1: (0, 1, 20), 2: (0, 1, 12), 3: (0, 1, 4), 4: (0, 1, 2_560_000)}
+    assert run()[4] == (0, 1, 2_560_000)                 # nothing new
+    put("share=0/part-4.2-a.txt", b"newer")
+    put("image=2.1/part-00000-b.txt", b"new folder")
+    assert {a: v for a, v in run().items() if a in (2, 4)} == {2: (1, 2, 10), 4: (2, 2, 5)}
+
+
+def test_a_stream_without_its_folder_fails_at_once(spark, tmp_path):
+    with pytest.raises((FileNotFoundError, AnalysisException)):
+        IM.start_manifest(spark, f"{tmp_path}/none", f"{tmp_path}/sink", f"{tmp_path}/state")
+
+
+def test_a_file_system_that_only_spark_knows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IM, "_arrow_folder", lambda spark, folder: None)
+    test_stream_of_new_files_equals_the_scan(spark, tmp_path)
+
+
 def test_upload_names_and_extensions(spark):
     names = ["a.jpg", "a.JPEG", "x.y.png", "b.webp", "c.gif", "noext", ".jpg", "d.jpg.exe", "e.", None]
     df = spark.createDataFrame([(k, "Ann.Bee@x.com ", None, n) for k, n in enumerate(names)], "id long, owner_email string, ts timestamp, filename string")
